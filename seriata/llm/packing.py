@@ -123,7 +123,7 @@ def pack(docs: DataFrame, json_path: str, ranks_path: str, pattern: str) -> Data
     """A row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, klass."""
     pieces = materialize(docs.select(F.col("doc_id").cast("long"), text_or_empty()).mapInArrow(lambda b: cut_and_fill(b, json_path, ranks_path, pattern), _PIECES), "packing-pieces")
     keep = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
-    own = pieces.where("bin is not null").select(*keep, (F.col("klass") * F.lit(1 << 50) + (F.col("worker") + 1) * F.lit(1 << 28) + F.col("bin")).alias("sequence_id"), "offset", "klass")
+    own = pieces.where("bin is not null").select(*keep, (F.col("klass") * F.lit(1 << 40) + (F.col("worker") + 1) * F.lit(1 << 20) + F.col("bin")).alias("sequence_id"), "offset", "klass")
     left = pieces.where("bin is null")
     counts = left.groupBy("klass", "worker").agg(F.count("*").alias("n"))
     before = counts.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("klass").orderBy("worker").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
@@ -131,7 +131,7 @@ def pack(docs: DataFrame, json_path: str, ranks_path: str, pattern: str) -> Data
     numbered = left.drop("bin", "offset").join(before, ["klass", "worker"]).join(totals, "klass").withColumn("rank", F.col("before") + F.col("k"))
     joint = numbered.where(F.expr("rank < total - total % klass")).withColumn("bin", F.expr("rank div klass"))
     offset = F.coalesce(F.sum("length").over(Window.partitionBy("klass", "bin").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    joint = joint.select(*keep, (F.col("klass") * F.lit(1 << 50) + F.col("bin")).alias("sequence_id"), offset.alias("offset"), "klass")
+    joint = joint.select(*keep, (F.col("klass") * F.lit(1 << 40) + F.col("bin")).alias("sequence_id"), offset.alias("offset"), "klass")
     last = numbered.where(F.expr("rank >= total - total % klass")).select(*keep, "klass")
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     last = last.groupBy(F.lit(0).alias("one")).applyInPandas(lambda p: first_fit_decreasing(p), schema).withColumn("klass", F.lit(0))

@@ -1,9 +1,9 @@
 """Quality classifier: regularised quadratic discriminant over transformed document statistics.
 
 Per class a mean and a covariance shrunk towards its own diagonal and a multiple of the
-identity; the score is the logistic of the difference of the two Mahalanobis log-densities
+identity; the score comes from the difference of the two Mahalanobis log-densities
 plus the log prior ratio. Cholesky factors are computed once, at the fit, and travel with
-the model. The fit reads at most `sample` labelled rows (chosen by a hash of doc_id); the
+the model; a logistic curve over the training margins scales them. The fit reads at most `sample` labelled rows (chosen by a hash of doc_id); the
 score uses the text only.
 
 Null text counts as empty. An empty text gets a defined score (its statistics are zeros).
@@ -13,7 +13,7 @@ Rows without label only get scored; a repeated row gets the same score each time
 from __future__ import annotations
 
 import zlib
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from operator import eq
 
 import numpy as np
@@ -48,20 +48,19 @@ def statistics(text: str | None) -> np.ndarray:
     for x in ws:
         counts[x] = counts.get(x, 0) + 1
     lines = [x for x in b.split(b"\n") if x]
-    near = 1.0 / w  # a share below one word in the text says nothing
-    solid = max(1.0, n - kinds[3])
-    share = lambda x, of: np.log(x / of + 0.01)
+    solid = n - kinds[3]
+    share = lambda x, of, more: np.log(x / (of + more) + 0.01)  # noqa: E731  a few cases in a short text say little
     return np.array([
         np.log1p(len(ws)),
-        np.log(solid / w),
-        share(kinds[1], solid),
-        share(kinds[2], solid),
-        share(kinds[4], solid),
-        share(kinds[5], solid),
-        share(sum(map(eq, ws, ws[1:])), w),
-        np.log(max(1, len(counts))) / np.log(w + 1.0) if w > 1 else 1.0,
-        share(len(lines) - len(set(lines)), max(1, len(lines))),
-        share(max(counts.values(), default=0), w + 20.0) + near * 0.0,
+        np.log((solid + 50) / (w + 10)),
+        share(kinds[1], solid, 100),
+        share(kinds[2], solid, 100),
+        share(kinds[4], solid, 100),
+        share(kinds[5], solid, 50),
+        share(sum(map(eq, ws, ws[1:])), w, 20),
+        np.log(len(counts) + 10) / np.log(w + 10),
+        share(len(lines) - len(set(lines)), len(lines), 10),
+        share(max(counts.values(), default=0), w, 20),
     ])
 
 
@@ -73,14 +72,31 @@ class Discriminant:
     factors: np.ndarray
     half_logdets: np.ndarray
     offset: float
+    slope: float = 1.0
+    shift: float = 0.0
 
-    def score(self, x: np.ndarray) -> np.ndarray:
+    def margin(self, x: np.ndarray) -> np.ndarray:
         density = []
         for c in (0, 1):
             z = (x - self.means[c]) @ self.factors[c].T
             density.append(-0.5 * np.einsum("ij,ij->i", z, z) - self.half_logdets[c])
-        d = np.clip(density[1] - density[0] + self.offset, -500, 500)
-        return 1.0 / (1.0 + np.exp(-d))
+        return density[1] - density[0] + self.offset
+
+    def score(self, x: np.ndarray) -> np.ndarray:
+        return 1.0 / (1.0 + np.exp(-np.clip(self.slope * self.margin(x) + self.shift, -500, 500)))
+
+
+def calibrate(margin: np.ndarray, y: np.ndarray, ridge: float = 0.1, steps: int = 30) -> tuple[float, float]:
+    """Slope and shift of a logistic curve over the training margins: densities of real features overstate their odds."""
+    scale = max(float(np.median(np.abs(margin))), 1e-9)
+    z = np.stack([np.clip(margin / scale, -20, 20), np.ones(len(margin))], 1)
+    w = np.array([1.0, 0.0])
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+        gradient = z.T @ (p - y) + ridge * (w - [1.0, 0.0])
+        hessian = (z * (p * (1 - p))[:, None]).T @ z + ridge * np.eye(2)
+        w -= np.clip(np.linalg.solve(hessian, gradient), -1, 1)
+    return (float(w[0] / scale), float(w[1])) if w[0] > 0 else (1.0, 0.0)
 
 
 def fit_discriminant(x: np.ndarray, y: np.ndarray, diagonal: float = SHRINK_DIAGONAL, identity: float = SHRINK_IDENTITY) -> Discriminant:
@@ -99,7 +115,11 @@ def fit_discriminant(x: np.ndarray, y: np.ndarray, diagonal: float = SHRINK_DIAG
         factors.append(np.linalg.inv(low))
         dets.append(float(np.log(np.diag(low)).sum()))
         sizes.append(max(0.5, float((y == c).sum())))
-    return Discriminant(np.stack(means), np.stack(factors), np.array(dets), float(np.log(sizes[1] / sizes[0])))
+    model = Discriminant(np.stack(means), np.stack(factors), np.array(dets), float(np.log(sizes[1] / sizes[0])))
+    if len(np.unique(y)) < 2:
+        return model
+    slope, shift = calibrate(model.margin(x), y)
+    return replace(model, slope=slope, shift=shift)
 
 
 def fold(doc_id) -> F.Column:
