@@ -10,8 +10,8 @@
    between its other members. Those classes go through an exact prefix index: shingles
    ordered rarest first, two sets above the threshold share a shingle within the first
    n - ceil(t n) + 1, at positions that the sizes bound. Lists of more than SMALL classes
-   again give stars around the most central member, round by round, until no list holds
-   two components that could still be linked. So no candidate is capped or dropped.
+   again give stars, around the most central member and members outside the list's largest
+   component, round by round, until no list holds two components that could still be linked. So no candidate is capped or dropped.
 4. Components come from alternating large-star and small-star.
 
 Null and empty texts and texts without words have no shingles and link with nothing.
@@ -39,6 +39,7 @@ ROWS = 8
 MISS = 1e-6
 MARGIN = 0.12
 SMALL = 8
+PIVOTS = 16
 SLOTS = 1 << 18
 SEEN_BITS = 1 << 23
 _SET_ROWS = "doc_id long, n_shingles long, digest binary, bands array<long>, signature binary"
@@ -200,18 +201,22 @@ def check_signatures(pairs: DataFrame, classes: DataFrame, least: float, k: int)
     return both.where(same("a", "b") >= int(least * k)).select("u", "v")
 
 
-def _pairs(lists: DataFrame, extra: list[str], pivot_by: Column, possible: Column) -> DataFrame:
-    """Distinct pairs (u, v) of lists (key, digest, c: rows of the key, *extra): all of a small key's, a star of a larger one's."""
+def _pairs(lists: DataFrame, pivots: DataFrame, extra: list[str], possible: Column) -> DataFrame:
+    """Distinct pairs (u, v) of lists (key, digest, c: rows of the key, *extra): all of a small key's, stars around the pivots (key, digest) of a larger one's."""
     side = lambda d, p: d.select("key", *[F.col(x).alias(p + x) for x in ["digest", *extra]])
     small = lists.where(F.col("c") <= SMALL)
     near = side(small, "a_").join(side(small, "b_"), "key").where("a_digest < b_digest")
-    large = lists.where(F.col("c") > SMALL)
-    pivots = large.groupBy("key").agg(F.min_by(F.struct("digest", *extra), pivot_by).alias("p")).select("key", *[F.col(f"p.{x}").alias("b_" + x) for x in ["digest", *extra]])
-    star = side(large, "a_").join(pivots, "key").where("a_digest != b_digest")
+    star = side(lists.where(F.col("c") > SMALL), "a_").join(side(pivots, "b_"), "key").where("a_digest != b_digest")
     both = near.unionByName(star).where(possible)
     return both.select(F.least("a_digest", "b_digest").alias("u"), F.greatest("a_digest", "b_digest").alias("v")).distinct()
 
 
+def _pivots(lists: DataFrame, extra: list[str], order: Column, sub: Column) -> DataFrame:
+    """For each key of more than SMALL rows the least row by order of every sub-bucket: a fixed number a key."""
+    rows = lists.where(F.col("c") > SMALL).groupBy("key", sub.alias("_s")).agg(F.min_by(F.struct("digest", *extra), order).alias("p"))
+    return rows.select("key", *[F.col(f"p.{x}").alias(x) for x in ["digest", *extra]])
+
+
 def _residual(classes: DataFrame, sets: DataFrame, open_: DataFrame, roots: DataFrame, t: Fraction) -> DataFrame:
     """Components (node, root) after all links among the open classes are found, by prefix lists in rounds."""
     sets = materialize(sets.join(open_, "digest", "left_semi"), "near-open")
@@ -233,10 +238,14 @@ def _residual(classes: DataFrame, sets: DataFrame, open_: DataFrame, roots: Data
         live = materialize(live.join(sizes, "key"), "near-live")
         if not live.limit(1).count():
             return roots
-        order = F.struct("i", "n", "digest")
-        pairs = _pairs(live, ["n", "i", "root"], order, possible)
-        links = materialize(confirm(pairs, sets, t), "near-links")
-        done = live.where(col("c") > SMALL).groupBy("key").agg(F.min_by("digest", order).alias("digest"))
+        # a pair across components has a member outside its list's largest one: only those, and the most central member, need be pivots
+        largest = live.groupBy("key", "root").agg(F.count("*").alias("m")).groupBy("key").agg(F.max_by("root", F.struct("m", "root")).alias("largest"))
+        order, extra = F.struct("i", "n", "digest"), ["n", "i", "root"]
+        outside = live.join(largest, "key").where("root != largest")
+        pivots = _pivots(live, extra, order, F.lit(0)).unionByName(_pivots(outside, extra, order, F.pmod(F.xxhash64("digest"), F.lit(PIVOTS)))).distinct()
+        pivots = materialize(pivots, "near-pivots")
+        links = materialize(confirm(_pairs(live, pivots, extra, possible), sets, t), "near-links")
+        done = pivots.select("key", "digest")
         lists = live.where(col("c") > SMALL).drop("c", "root").join(done, ["key", "digest"], "left_anti")
         lists = materialize(lists, "near-prefixes")
         if links.limit(1).count():
@@ -255,7 +264,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     keys = classes.select("digest", F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
     lists = materialize(keys.join(shared, "key"), "near-buckets")
-    pairs = _pairs(lists, [], F.col("digest"), F.lit(True))
+    pairs = _pairs(lists, _pivots(lists, [], F.col("digest"), F.lit(0)), [], F.lit(True))
     pairs = materialize(check_signatures(pairs, classes, threshold - MARGIN, k), "near-pairs")
     wide = lists.where(F.col("c") > SMALL)
     wanted = pairs.select(F.col("u").alias("digest")).unionByName(pairs.select(F.col("v").alias("digest"))).unionByName(wide.select("digest")).distinct()
