@@ -7,6 +7,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def normal_sf(z: float) -> float:
@@ -94,7 +95,7 @@ def kolmogorov_sf(d: float, n: float) -> float:
 
 
 def _column(f):
-    @F.pandas_udf("double")
+    @F.pandas_udf(DoubleType())
     def of(x: pd.Series) -> pd.Series:
         return x.map(lambda v: f(float(v)) if pd.notna(v) else None).astype(float)
 
@@ -105,7 +106,7 @@ erfc = _column(math.erfc)
 
 
 def _column2(f):
-    @F.pandas_udf("double")
+    @F.pandas_udf(DoubleType())
     def of(x: pd.Series, df: pd.Series) -> pd.Series:
         return pd.Series([f(float(a), float(b)) if pd.notna(a) and pd.notna(b) else None for a, b in zip(x, df)], dtype=float)
 

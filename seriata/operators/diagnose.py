@@ -189,7 +189,7 @@ def permutation_sharing(perms: DataFrame, group: Key) -> DataFrame:
     arms = perms.groupBy(*group, "arm").agg(digest.alias("d"), F.max((F.col("pos") != F.col("src_pos")).cast("int")).alias("moved"))
     orders = arms.groupBy(*group, "d").agg(F.count("*").alias("c"), F.sum("moved").alias("moved"))
     g = orders.groupBy(*group).agg(F.sum("c").alias("n_arms"), F.count("*").alias("n_distinct"), F.sum(F.expr("c * (c - 1) div 2")).alias("identical_pairs"), F.sum("moved").alias("non_identity"))
-    return g.withColumn("sharing", F.when(F.col("n_distinct") == F.col("n_arms"), "independent").when(F.col("n_distinct") == 1, "all_shared").otherwise("partly_shared"))
+    return g.withColumn("sharing", F.when(F.col("n_distinct") == 1, "all_identical").when(F.col("n_distinct") == F.col("n_arms"), "all_distinct").otherwise("partial_shared"))
 
 
 def masking_check(a: DataFrame, b: DataFrame, key: Key, value: str = "value") -> DataFrame:

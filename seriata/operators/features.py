@@ -17,6 +17,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 Key = Sequence[str]
 EPS = 1e-12
@@ -77,7 +78,7 @@ def cross_correlation(series: DataFrame, key: Key, seq_len: int, pred_len: int)
     return rows.groupBy(*key, F.col("t").alias("window_origin")).agg(F.avg("c").alias("f_cross_corr"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def spectral_entropy(windows: pd.Series) -> pd.Series:
     """Normalised entropy of the power spectrum without its constant term; Spark has no FFT."""
     if not len(windows):

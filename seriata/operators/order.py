@@ -29,28 +29,28 @@ def with_pos(df: DataFrame, key: Key, *order) -> DataFrame:
 def full_permutation(df: DataFrame, key: Key, seed: object) -> DataFrame:
     """Key..., pos, src_pos, uniformly shuffled within each key. The key takes part in the hash, so keys get independent orders."""
     h = order_key(seed, *[F.col(k) for k in key], F.col("pos"))
-    return df.select(*key, F.col("pos").alias("src_pos"), h.alias("h")).withColumn("pos", (F.row_number().over(_by(key, "h", "src_pos")) - 1).cast("bigint")).select(*key, "pos", "src_pos")
+    return df.select(*key, F.col("pos").alias("src_pos"), h.alias("_h")).withColumn("pos", (F.row_number().over(_by(key, "_h", "src_pos")) - 1).cast("bigint")).select(*key, "pos", "src_pos")
 
 
 def block_permutation(df: DataFrame, key: Key, block: int, seed: object) -> DataFrame:
     """R2: whole blocks of `block` positions change places; the last may be short; blocks stay intact."""
     b = F.floor(F.col("pos") / block).cast("bigint")
-    rows = df.select(*key, F.col("pos").alias("src_pos"), b.alias("b"))
-    rows = rows.withColumn("h", order_key(seed, *[F.col(k) for k in key], F.col("b")))
-    return rows.withColumn("pos", (F.row_number().over(_by(key, "h", "b", "src_pos")) - 1).cast("bigint")).select(*key, "pos", "src_pos")
+    rows = df.select(*key, F.col("pos").alias("src_pos"), b.alias("_b"))
+    rows = rows.withColumn("_h", order_key(seed, *[F.col(k) for k in key], F.col("_b")))
+    return rows.withColumn("pos", (F.row_number().over(_by(key, "_h", "_b", "src_pos")) - 1).cast("bigint")).select(*key, "pos", "src_pos")
 
 
 def partial_permutation(df: DataFrame, key: Key, fraction: float, seed: object) -> DataFrame:
     """round(fraction n) positions (half to even) change places among themselves; fewer than two: nothing moves."""
     cols = [F.col(k) for k in key]
-    rows = df.select(*key, F.col("pos").alias("src_pos")).withColumn("h", order_key(f"{seed}/pick", *cols, F.col("src_pos"))).withColumn("g", order_key(f"{seed}/move", *cols, F.col("src_pos")))
+    rows = df.select(*key, F.col("pos").alias("src_pos")).withColumn("_h", order_key(f"{seed}/pick", *cols, F.col("src_pos"))).withColumn("_g", order_key(f"{seed}/move", *cols, F.col("src_pos")))
     m = F.bround(F.count("*").over(Window.partitionBy(*key)) * F.lit(float(fraction)))
-    picked = (F.row_number().over(_by(key, "h", "src_pos")) <= m) & (m >= 2)
-    rows = rows.withColumn("picked", picked)
-    sources = rows.where("picked").withColumn("k", F.row_number().over(_by(key, "g", "src_pos"))).select(*key, "k", "src_pos")
-    places = rows.where("picked").withColumn("k", F.row_number().over(_by(key, "src_pos"))).select(*key, "k", F.col("src_pos").alias("pos"))
-    moved = places.join(sources, [*key, "k"]).select(*key, "pos", "src_pos")
-    still = rows.where("not picked").select(*key, F.col("src_pos").alias("pos"), "src_pos")
+    picked = (F.row_number().over(_by(key, "_h", "src_pos")) <= m) & (m >= 2)
+    rows = rows.withColumn("_picked", picked)
+    sources = rows.where("_picked").withColumn("_k", F.row_number().over(_by(key, "_g", "src_pos"))).select(*key, "_k", "src_pos")
+    places = rows.where("_picked").withColumn("_k", F.row_number().over(_by(key, "src_pos"))).select(*key, "_k", F.col("src_pos").alias("pos"))
+    moved = places.join(sources, [*key, "_k"]).select(*key, "pos", "src_pos")
+    still = rows.where("not _picked").select(*key, F.col("src_pos").alias("pos"), "src_pos")
     return moved.unionByName(still)
 
 
@@ -82,21 +82,21 @@ def replicates(spark: SparkSession, n: int) -> DataFrame:
 def moving_block_indices(lengths: DataFrame, key: Key, draws: DataFrame, seed: object) -> DataFrame:
     """Lengths (key..., n, block_len) and draws (replicate) -> key..., replicate, pos, src_pos: circular moving-block bootstrap, ceil(n / b) uniform starts, cut to n."""
     rows = lengths.crossJoin(F.broadcast(draws))  # replicates are a parameter
-    rows = rows.withColumn("b", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / F.col("block_len")).cast("int") - 1)))
-    h = order_key(seed, *[F.col(k) for k in key], F.col("replicate"), F.col("b"))
+    rows = rows.withColumn("_b", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / F.col("block_len")).cast("int") - 1)))
+    h = order_key(seed, *[F.col(k) for k in key], F.col("replicate"), F.col("_b"))
     start = F.pmod(F.conv(F.substring(h, 1, 15), 16, 10).cast("bigint"), F.col("n"))
-    rows = rows.withColumn("start", start).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("block_len").cast("int") - 1)))
-    pos = F.col("b") * F.col("block_len") + F.col("k")
-    return rows.withColumn("pos", pos.cast("bigint")).where("pos < n").select(*key, "replicate", "pos", ((F.col("start") + F.col("k")) % F.col("n")).cast("bigint").alias("src_pos"))
+    rows = rows.withColumn("_start", start).withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("block_len").cast("int") - 1)))
+    pos = F.col("_b") * F.col("block_len") + F.col("_k")
+    return rows.withColumn("pos", pos.cast("bigint")).where("pos < n").select(*key, "replicate", "pos", ((F.col("_start") + F.col("_k")) % F.col("n")).cast("bigint").alias("src_pos"))
 
 
 def circular_block_permutation(df: DataFrame, key: Key, block: int, seed: object) -> DataFrame:
     """A random circular shift, then whole blocks change places."""
     n = F.count("*").over(Window.partitionBy(*key))
-    shift = F.pmod(F.conv(F.substring(order_key(f"{seed}/shift", *[F.col(k) for k in key]), 1, 15), 16, 10).cast("bigint"), F.col("n"))
-    rolled = df.select(*key, F.col("pos").alias("src")).withColumn("n", n).withColumn("pos", F.pmod(F.col("src") + shift, F.col("n")))
+    shift = F.pmod(F.conv(F.substring(order_key(f"{seed}/shift", *[F.col(k) for k in key]), 1, 15), 16, 10).cast("bigint"), F.col("_n"))
+    rolled = df.select(*key, F.col("pos").alias("_src")).withColumn("_n", n).withColumn("pos", F.pmod(F.col("_src") + shift, F.col("_n")))
     perm = block_permutation(rolled.select(*key, "pos"), key, block, seed)
-    return perm.withColumnRenamed("src_pos", "mid").join(rolled.select(*key, F.col("pos").alias("mid"), F.col("src").alias("src_pos")), [*key, "mid"]).select(*key, "pos", "src_pos")
+    return perm.withColumnRenamed("src_pos", "_mid").join(rolled.select(*key, F.col("pos").alias("_mid"), F.col("_src").alias("src_pos")), [*key, "_mid"]).select(*key, "pos", "src_pos")
 
 
 def rotate(df: DataFrame, key: Key, k: int) -> DataFrame:
@@ -127,10 +127,10 @@ def sharing_label(condition: str, arm_index: Column) -> Column:
 def inject_sharing(arms: DataFrame, group: Key, condition: str, seed: object) -> DataFrame:
     """arms (group..., arm, pos, value) with each arm's values permuted by the order that its label names within its group."""
     index = F.dense_rank().over(Window.partitionBy(*group).orderBy("arm")) - 1
-    rows = arms.withColumn("label", sharing_label(condition, index))
+    rows = arms.withColumn("_label", sharing_label(condition, index))
     if condition == "intact":
-        return rows.drop("label")
-    key = [*group, "label"]
+        return rows.drop("_label")
+    key = [*group, "_label"]
     perm = full_permutation(rows.select(*key, "pos").distinct(), key, f"{seed}/{condition}")
     moved = rows.withColumnRenamed("pos", "src_pos").join(perm, [*key, "src_pos"])
     return moved.select(*arms.columns)
