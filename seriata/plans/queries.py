@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from seriata.functions.columns import finite, is_close, token
 from seriata.operators import assoc, contract, diagnose, downstream, features, joins, order, reports, split
-from seriata.plans import inputs
+from seriata.plans import inputs, pipelines
 from seriata.plans.inputs import ARMS, CHANNELS, HOURLY, SERIES, USER_SERIES, VECTORS, H, L, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -722,3 +722,97 @@ def recorder_stream(spark, sf_dir):
     pairs.write.parquet(f"{root}/in")
     recorder.record(spark.readStream.schema(pairs.schema).parquet(f"{root}/in"), f"{root}/out", f"{root}/ck").awaitTermination()
     return rounded(spark.read.parquet(f"{root}/out").select("batch_id", "pos_in_batch", "window_origin", "value"), "value")
+
+
+def _cells(spark, sf_dir) -> DataFrame:
+    return inputs.arms(spark, sf_dir).select(F.col("arm").alias("cell_id"), F.col("g").alias("split"), "pos", "value")
+
+
+_VARIANTS = f"""{ARMS}, cv as (select arm as cell_id, g as split, pos, value from a),
+fp as (select cell_id, split, row_number() over (partition by cell_id, split order by md5(concat_ws('|', 'q3', cell_id, split, pos)), pos) - 1 as pos, value from cv),
+lo as (select cell_id, split, row_number() over (partition by cell_id, split order by md5(concat_ws('|', 'loader', cell_id, split, pos)), pos) - 1 as pos, value from cv),
+q3 as (select *, 'index_order' as variant from cv union all select *, 'full_permutation' from fp union all select *, 'observed_loader_order' from lo)"""
+
+
+@query(aot_sql(_VARIANTS, "q3", "cell_id, split, variant"))
+def aot_sequences(spark, sf_dir):
+    v = _cells(spark, sf_dir)
+    out = pipelines.aot_sequences(v, order.full_permutation(v, ["cell_id", "split"], "loader"), "q3")
+    return rounded(out, "r", "null_mean", "null_sd", "z").select("cell_id", "split", "variant", "n", "r", "null_mean", "null_sd", "z", "reject")
+
+
+_SEQ = aot_sql(_VARIANTS, "q3", "cell_id, split, variant")
+
+
+@query(f"""with sq as ({_SEQ}), l as (select * from (values (0.05::double, 1.6448536269514722), (0.01, 2.3263478740408408), (0.001, 3.090232306167813)) t(alpha, lim))
+select alpha, count(*) filter (variant = 'index_order') as n_clean, count(*) filter (variant = 'full_permutation') as n_corrupted, round(100 * avg(case when z > lim then 1.0 else 0.0 end) filter (variant = 'index_order'), 6) as clean_certified_pct,
+ round(100 * avg(case when z > lim then 1.0 else 0.0 end) filter (variant = 'full_permutation'), 6) as corrupted_certified_pct from sq, l where variant in ('index_order', 'full_permutation') group by 1""")
+def certification(spark, sf_dir):
+    v = _cells(spark, sf_dir)
+    return rounded(pipelines.certification(pipelines.aot_sequences(v, None, "q3"), (0.05, 0.01, 1e-3)), "clean_certified_pct", "corrupted_certified_pct")
+
+
+@query()
+def certification_margin(spark, sf_dir):
+    out = pipelines.margin(pipelines.aot_sequences(_cells(spark, sf_dir), None, "q3"))
+    return rounded(out, *[c for c in out.columns if c != "variant"])
+
+
+@query()
+def aot_calibration(spark, sf_dir):
+    return rounded(pipelines.aot_calibration(_cells(spark, sf_dir), 300), "p_normal", "p_perm")
+
+
+@query()
+def aot_sensitivity(spark, sf_dir):
+    return rounded(pipelines.aot_sensitivity(_cells(spark, sf_dir), (8, 32), (0.05, 0.5)), "z")
+
+
+@query()
+def cat_blocks(spark, sf_dir):
+    return rounded(pipelines.cat_blocks(inputs.arms(spark, sf_dir), ["g"]), "rho_bar", "z_corrected", "z_naive")
+
+
+@query()
+def battery(spark, sf_dir):
+    return rounded(pipelines.battery(inputs.arms(spark, sf_dir), ["g"], L, H, STRIDES), "overlap_ratio", "aot_median_z", "aot_certify_rate", "cat_rho_bar")
+
+
+@query()
+def observed_perm_scan(spark, sf_dir):
+    a = inputs.arms(spark, sf_dir)
+    out = pipelines.observed_scan(a, order.full_permutation(a, ["g", "arm"], "scan"), ["g"])
+    return rounded(out, *[c for c, t in out.dtypes if t == "double"])
+
+
+@query()
+def equivalence_draws(spark, sf_dir):
+    d = inputs.hourly(spark, sf_dir).withColumn("g", F.floor(F.col("t") / 120).cast("string"))
+    f = order.with_pos(d, ["g"], "t").select("g", "pos", F.col("value").alias("x"))
+    v = order.with_pos(d.withColumn("value", F.abs(F.col("value") - 50)), ["g"], "t").select("g", "pos", "value")
+    draws = downstream.replicated_associations(f, v, ["g"], "x", 4)
+    return pipelines.draws_summary(pipelines.equivalence_draws(draws, "g", 0.5))
+
+
+@query()
+def purge_audit_rules(spark, sf_dir):
+    return pipelines.purge_audit(cells(spark, sf_dir), 4, 10)
+
+
+@query()
+def cluster_summary(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("source", "lang", F.col("n_chars").cast("double").alias("chars"), F.length("text").cast("double").alias("length"))
+    return rounded(pipelines.cluster_summary(d, ["source", "lang"], ["chars", "length"], 30), "point", "ci_lo", "ci_hi", "boot_median")
+
+
+def runs(spark, sf_dir) -> DataFrame:
+    """Orders as run records: the customer is the cell, the priority the order."""
+    o = table(spark, sf_dir, "orders")
+    return o.groupBy((F.col("o_custkey") % 50).alias("cell"), F.when(F.col("o_orderpriority") < "3", "det").otherwise("shuf").alias("val_order")).agg(F.floor(F.avg("o_totalprice")).cast("double").alias("mse"), F.floor(F.max("o_totalprice")).cast("double").alias("val_mse"), F.count("*").cast("int").alias("best_epoch"))
+
+
+@query("""with r as (select o_custkey % 50 as cell, case when o_orderpriority < '3' then 'det' else 'shuf' end as val_order, floor(avg(o_totalprice)) as mse, floor(max(o_totalprice)) as val_mse, count(*)::int as best_epoch from orders group by 1, 2)
+select a.cell, a.mse as mse_det, a.val_mse as val_mse_det, a.best_epoch as best_epoch_det, b.mse as mse_shuf, b.val_mse as val_mse_shuf, b.best_epoch as best_epoch_shuf, round(100 * (b.mse - a.mse) / nullif(a.mse, 0), 6) + 0.0::double as rel_diff_pct,
+ round(abs(100 * (b.mse - a.mse) / nullif(a.mse, 0)), 6) as abs_rel_diff_pct, case when a.best_epoch = b.best_epoch then 1 else 0 end as same_best_epoch from r a join r b using (cell) where a.val_order = 'det' and b.val_order = 'shuf'""")
+def rng_tax(spark, sf_dir):
+    return rounded(pipelines.rng_tax(runs(spark, sf_dir), ["cell"]), "rel_diff_pct", "abs_rel_diff_pct")
