@@ -7,7 +7,7 @@ words. The forest learns from labelled findings (value, before, after, label); w
 any other, `example_findings` makes some from hashes of row numbers.
 
 Null and empty texts give no finding; a text's repeated candidates are findings each. A
-very long run is a candidate of at most LONGEST characters at a time.
+very long run is one candidate; its features look at the first LONGEST characters.
 """
 
 from __future__ import annotations
@@ -22,26 +22,38 @@ from seriata.llm.common import materialize
 
 LONGEST = 200
 CONTEXT = 48
+AFTER = 24
 THRESHOLD = 0.5
-_WORD = r"(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)[\"']?[ \t]{0,3}[:=][ \t]{0,3}[\"']?"
-_RUN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,200}[0-9])[A-Za-z0-9+/_-]{16,200}"
-CANDIDATE = rf"(?:(?<=[=:\"' ])(?<=(?i:{_WORD}))[^\s\"',;]{{6,200}}|AKIA[A-Z0-9]{{16}}|{_RUN})"
+_NAME = r"(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)[\"']?[ \t]{0,3}"
+_RUN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,200}[0-9])[A-Za-z0-9+/_-]{16,}+"
+_KEY = r"AKIA[A-Z0-9]{16}"
+#: Each looks first for what is rare, so most positions cost one comparison.
+_ASSIGNED = rf"[:=](?<={_NAME}[:=])[ \t]{{0,3}}[\"']?[^\s\"',;]{{6}}"
+_VALUE = rf"(?<=[:=][ \t]{{0,3}}[\"']?)(?<={_NAME}[:=][ \t]{{0,3}}[\"']?)[^\s\"',;]{{6,}}+"
+CANDIDATE = f"(?:{_VALUE}|{_RUN}|{_KEY})"
+_OPEN, _CLOSE = "\x01", "\x02"
 #: Words and syllables that ordinary text is made of.
 DICTIONARY = ("the", "and", "ing", "tion", "ment", "example", "sample", "changeme", "password", "secret", "token", "test", "dummy", "your", "here", "admin", "user", "http", "html", "index", "image", "article", "section", "chapter", "page", "version", "thread", "message")
 FEATURES = ("length", "digits", "capitals", "hex", "variety", "entropy", "transitions", "coverage", "path", "keyword", "assigned", "quoted", "innocent", "access_id", "spaced_number", "repeats")
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """doc_id, value, before, after. A cheap linear pattern drops texts without candidates; only the rest is read with context."""
-    pattern = rf"(?s)(.{{0,{CONTEXT}}}){CANDIDATE.replace('(?:', '(', 1)}(?=(.{{0,24}}))"
-    some = docs.where(F.col("text").rlike(CANDIDATE))
-    got = lambda k: F.regexp_extract_all("text", F.lit(pattern), F.lit(k))
-    rows = some.select("doc_id", F.explode(F.arrays_zip(got(1).alias("before"), got(2).alias("value"), got(3).alias("after"))).alias("c"))
-    return rows.select("doc_id", "c.value", "c.before", "c.after")
+    """doc_id, value, before, after. Texts without candidates drop out by three linear patterns; in the others one pass marks the candidates, and the text is split at the marks."""
+    text = F.col("text")
+    some = docs.where(text.rlike(_ASSIGNED) | text.rlike(_RUN) | text.rlike(_KEY)).select("doc_id", "text")
+    marked = F.regexp_replace(F.translate("text", _OPEN + _CLOSE, "  "), f"({CANDIDATE})", f"{_OPEN}$1{_CLOSE}")
+    parts = some.select("doc_id", F.split(marked, _OPEN).alias("parts"))
+    n = F.size("parts")
+    pairs = F.arrays_zip(F.slice("parts", 1, n - 1).alias("left"), F.slice("parts", 2, n - 1).alias("right"))
+    rows = parts.where(n > 1).select("doc_id", F.explode(pairs).alias("p")).select("doc_id", F.col("p.left").alias("left"), F.col("p.right").alias("right"))
+    before = F.substring_index("left", _CLOSE, -1)
+    before = F.when(F.length(before) < 8, F.translate("left", _CLOSE, " ")).otherwise(before)
+    return rows.select("doc_id", F.substring_index("right", _CLOSE, 1).alias("value"), F.substring(before, -CONTEXT, CONTEXT).alias("before"), F.substring(F.substring_index("right", _CLOSE, -1), 1, AFTER).alias("after"))
 
 
 def features(rows: DataFrame) -> DataFrame:
-    v, n = F.col("value"), F.greatest(F.length("value"), F.lit(1)).cast("double")
+    v = F.substring("value", 1, LONGEST)
+    n = F.greatest(F.length(v), F.lit(1)).cast("double")
     share = lambda pattern: F.length(F.regexp_replace(v, pattern, "")) / n
     kinds = F.translate(v, "bcdefghijklmnopqrstuvwxyzBCDEFGHIJKLMNOPQRSTUVWXYZ123456789", "a" * 25 + "A" * 25 + "0" * 9)
     changes = F.size(F.filter(F.sequence(F.lit(2), F.greatest(F.length(v), F.lit(2))), lambda i: F.substr(kinds, i, F.lit(1)) != F.substr(kinds, i - 1, F.lit(1))))
@@ -51,7 +63,7 @@ def features(rows: DataFrame) -> DataFrame:
     flag = lambda c: F.coalesce(c, F.lit(False)).cast("double")
     before, around = F.lower("before"), F.lower(F.concat_ws(" ", "before", "after"))
     return rows.withColumns({
-        "length": n,
+        "length": F.length("value").cast("double"),
         "digits": 1 - share("[0-9]"),
         "capitals": 1 - share("[A-Z]"),
         "hex": 1 - share("[0-9a-f]"),
