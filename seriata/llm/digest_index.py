@@ -26,13 +26,14 @@ def digest(text: Column | None = None) -> Column:
 
 
 class DigestIndex:
-    """Table (digest binary, keep_id long, batch string). Opened by name; a session with a persistent catalog finds it again, another reopens its folder with `path`."""
+    """Table (digest binary, keep_id long, batch string). Opened by name; a session with a persistent catalog finds it again, another reopens its folder with `path` and the bucket count it was made with (by default the shuffle partitions)."""
 
-    def __init__(self, spark: SparkSession, name: str, buckets: int = 16, path: str | None = None):
-        self.spark, self.name, self.buckets = spark, name, buckets
+    def __init__(self, spark: SparkSession, name: str, buckets: int | None = None, path: str | None = None):
+        self.spark, self.name = spark, name
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         if not spark.catalog.tableExists(name):
             where = f"LOCATION '{path}'" if path else ""
-            spark.sql(f"CREATE TABLE {name} (digest BINARY, keep_id BIGINT, batch STRING) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS {where}")
+            spark.sql(f"CREATE TABLE {name} (digest BINARY, keep_id BIGINT, batch STRING) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS {where}")
 
     def rows(self) -> DataFrame:
         return self.spark.table(self.name)
