@@ -27,8 +27,8 @@ def query(sql: str | None = None):
     return register
 
 
-def rounded(df: DataFrame, *names: str) -> DataFrame:
-    return df.withColumns({n: F.round(n, DIGITS) + F.lit(0.0) for n in names})
+def rounded(df: DataFrame, *names: str, digits: int = DIGITS) -> DataFrame:
+    return df.withColumns({n: F.round(n, digits) + F.lit(0.0) for n in names})
 
 
 def aot_sql(ctes: str, source: str, key: str) -> str:
@@ -194,7 +194,7 @@ def rank_average_ties(spark, sf_dir):
 
 @query("""with d as (select d.lang, d.n_chars, l.quality from documents d join labels l using (doc_id)),
 r as (select lang, rank() over (partition by lang order by n_chars) + (count(*) over (partition by lang, n_chars) - 1) / 2.0 as x, rank() over (partition by lang order by quality) + (count(*) over (partition by lang, quality) - 1) / 2.0 as y from d)
-select lang, round(corr(x, y), 6) + 0.0::double as rho, count(*) as n from r group by lang""")
+select lang, case when not isnan(corr(x, y)) then round(corr(x, y), 6) + 0.0::double end as rho, count(*) as n from r group by lang""")
 def spearman_rank(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "lang", F.col("n_chars").cast("double").alias("n_chars")).join(table(spark, sf_dir, "labels"), "doc_id").withColumn("quality", F.col("quality").cast("double"))
     return rounded(assoc.spearman(d, ["lang"], "n_chars", "quality"), "rho")
@@ -226,9 +226,9 @@ def window_features_all(spark, sf_dir):
     return rounded(features.window_features(inputs.channels(spark, sf_dir), ["dataset"], 7, 2), *features.FEATURES)
 
 
-@query(f"with {ARMS} select g, arm, pos, round(value, 6) as value from a")
+@query(f"with {ARMS} select g, arm, pos, round(value, 4) as value from a")
 def forecaster_errors(spark, sf_dir):
-    return rounded(inputs.arms(spark, sf_dir), "value")
+    return rounded(inputs.arms(spark, sf_dir), "value", digits=4)
 
 
 _CELLS = "cells as (select source as cell, count(*) as n, 6 + (min(doc_id) % 5)::int as seq_len, 2 as pred_len from documents group by 1)"
@@ -304,9 +304,9 @@ def label_law(spark, sf_dir):
     return rounded(downstream.label_law(inputs.arms(spark, sf_dir), ["g"]), "modal_share", "entropy_bits", "best_fixed_share")
 
 
-@query(f"with {ARMS} select g, pos, arg_min(arm, struct_pack(v := value, a := arm)) as label, round(min(value), 6) as best, round(avg(value), 6) as mean from a group by 1, 2")
+@query(f"with {ARMS} select g, pos, arg_min(arm, struct_pack(v := value, a := arm)) as label, round(min(value), 4) as best, round(avg(value), 4) as mean from a group by 1, 2")
 def arm_argmin_labels(spark, sf_dir):
-    return rounded(downstream.best_arms(inputs.arms(spark, sf_dir), ["g"]), "best", "mean")
+    return rounded(downstream.best_arms(inputs.arms(spark, sf_dir), ["g"]), "best", "mean", digits=4)
 
 
 @query(f"""with {ARMS}, cut as (select max(pos) // 2 as c from a), f as (select arm, avg(value) as m from a, cut where pos < c group by 1), bf as (select arg_min(arm, struct_pack(v := m, a := arm)) as arm, count(*) as n_arms from f),
@@ -428,31 +428,31 @@ def permutation_sharing(spark, sf_dir):
     return diagnose.permutation_sharing(per_arm, ["g"])
 
 
-@query(f"with {ARMS} select g, arm, pos, round(value, 6) as value from a")
+@query(f"with {ARMS} select g, arm, pos, round(value, 4) as value from a")
 def unpermute_roundtrip(spark, sf_dir):
     a = inputs.arms(spark, sf_dir)
     key = ["g", "arm"]
     perm = order.full_permutation(a, key, "trip")
-    return rounded(order.unpermute(order.apply_permutation(a, perm, key), perm, key), "value").select("g", "arm", "pos", "value")
+    return rounded(order.unpermute(order.apply_permutation(a, perm, key), perm, key), "value", digits=4).select("g", "arm", "pos", "value")
 
 
 _X = "x as (select g, arm, pos, value as y from a where arm in ('last', 'mean'))"
 
 
-@query(f"with {ARMS}, {permuted_sql('a', 'g, arm', 'defect')} select f.g, f.arm, f.pos, round(f.value, 6) as feature, round(p.value, 6) as value from a f join p on f.g = p.g and f.arm = p.arm and f.pos = p.pos")
+@query(f"with {ARMS}, {permuted_sql('a', 'g, arm', 'defect')} select f.g, f.arm, f.pos, round(f.value, 4) as feature, round(p.value, 4) as value from a f join p on f.g = p.g and f.arm = p.arm and f.pos = p.pos")
 def defect_join(spark, sf_dir):
     a = inputs.arms(spark, sf_dir)
     key = ["g", "arm"]
     x = a.withColumnRenamed("value", "feature")
-    return rounded(joins.defect_join(x, a, order.full_permutation(a, key, "defect"), key), "feature", "value")
+    return rounded(joins.defect_join(x, a, order.full_permutation(a, key, "defect"), key), "feature", "value", digits=4)
 
 
-@query(f"with {ARMS}, {permuted_sql('a', 'g, arm', 'control')} select f.g, f.arm, f.pos, round(p.value, 6) as feature, round(f.value, 6) as value from a f join p on f.g = p.g and f.arm = p.arm and f.pos = p.pos")
+@query(f"with {ARMS}, {permuted_sql('a', 'g, arm', 'control')} select f.g, f.arm, f.pos, round(p.value, 4) as feature, round(f.value, 4) as value from a f join p on f.g = p.g and f.arm = p.arm and f.pos = p.pos")
 def control_join(spark, sf_dir):
     a = inputs.arms(spark, sf_dir)
     key = ["g", "arm"]
     x = a.withColumnRenamed("value", "feature")
-    return rounded(joins.control_join(x, a, order.full_permutation(a, key, "control"), key), "feature", "value")
+    return rounded(joins.control_join(x, a, order.full_permutation(a, key, "control"), key), "feature", "value", digits=4)
 
 
 @query("select l_shipmonth, round(avg(case when l_returnflag = 'A' then l_quantity end), 6) as \"A\", round(avg(case when l_returnflag = 'N' then l_quantity end), 6) as \"N\", round(avg(case when l_returnflag = 'R' then l_quantity end), 6) as \"R\" from (select *, strftime(l_shipdate, '%Y-%m') as l_shipmonth from lineitem) group by 1")
