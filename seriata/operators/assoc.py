@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seriata.functions.columns import ceil_cube_root, finite, order_key
-from seriata.functions.stats import normal_two_sided, signed_rank_exact, t_isf_col, t_sf_col
+from seriata.functions.stats import normal_two_sided, signed_rank_exact, t_cdf, t_isf, t_isf_col, t_sf, t_sf_col
 from seriata.operators.diagnose import average_rank
 
 Key = Sequence[str]
@@ -209,5 +209,9 @@ def r_squared(df: DataFrame, key: Key, y: str, fitted: str) -> DataFrame:
     return g.select(*key, F.when(F.col("tot") > 0, 1 - F.col("res") / F.when(F.col("tot") > 0, F.col("tot"))).alias("r2"))
 
 
-def ceil_div(a: int, b: int) -> int:
-    return math.ceil(a / b)
+def equivalence_from_summary(n: int, mean: float, sd: float, margin: float) -> dict[str, float]:
+    """The test from n, mean and deviation alone; the independent check of reported intervals."""
+    se = sd / math.sqrt(n) if sd > 0 else 1e-300
+    p = max(t_sf((mean + margin) / se, n - 1), t_cdf((mean - margin) / se, n - 1))
+    half = t_isf(0.025, n - 1) * se
+    return {"p_tost": p, "equivalent_at_05": float(p < 0.05), "ci95_low": mean - half, "ci95_high": mean + half}

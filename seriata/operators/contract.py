@@ -219,7 +219,7 @@ def enforce(report: DataFrame) -> None:
         raise ERRORS[row["error"]](f"{row['cell_id']}/{row['product']}: {row['violation']}")
 
 
-def backfill_plan(sidecars: DataFrame, values: DataFrame, identity: DataFrame, commit: str = S.UNKNOWN, tool: str = "backfill") -> DataFrame:
+def backfill_plan(sidecars: DataFrame, values: DataFrame) -> DataFrame:
     """C11: cell_id, product, status (ok, skipped, error), reason, n: which legacy sidecars can be given a contract. A loader product needs its cell's val_perm to be a bijection. Nothing is written."""
     from seriata.operators.order import bijection_violations
 
@@ -242,6 +242,36 @@ def backfill_plan(sidecars: DataFrame, values: DataFrame, identity: DataFrame, c
     return rows.select(*key, status.alias("status"), reason.alias("reason"), "n")
 
 
+def backfill(sidecars: DataFrame, values: DataFrame, identity: DataFrame, tool: str = "backfill", commit: str = S.UNKNOWN) -> DataFrame:
+    """C11: the contract sidecars of all products that backfill_plan finds ok. Loader products take their windows from the cell's val_perm, index products from their positions; the producing commit of old values is unknown. Nothing is written; write the result to apply it."""
+    key = list(PRODUCT)
+    ok = backfill_plan(sidecars, values).where("status = 'ok'").select(*key).join(sidecars.select(*key, "order", "note", "val_order"), key)
+    perm = values.where("product = 'val_perm'").select("cell_id", "pos", F.col("value").cast("bigint").alias("_origin"))
+    rows = values.join(ok.select(*key, "order"), key).join(identity.select(*key, "dataset", "split", "seq_len", "pred_len"), key)
+    rows = rows.join(perm, ["cell_id", "pos"], "left").withColumn("window_origin", F.when(F.col("order") == "loader", F.col("_origin")).otherwise(F.col("pos")))
+    rows = rows.withColumn("sample_id", sample_id(F.col("dataset"), F.col("split"), F.col("seq_len"), F.col("pred_len"), F.col("window_origin")))
+    cols = [f.name for f in S.SAMPLE_VALUES]
+    out = None
+    for label, semantics in S.ORDER_LABELS.items():
+        part = rows.where(F.col("order") == label)
+        mine = identity.join(ok.where(F.col("order") == label).select(*key), key)
+        made = build_sidecars(part.select(*cols), mine, semantics, commit=S.UNKNOWN)
+        none, kind = F.lit(None), F.lit("identity_range" if label == "index" else "sibling_array")
+        spec = F.struct(kind.alias("kind"), F.lit(0 if label == "index" else None).cast("bigint").alias("start"), F.lit(None if label == "index" else "val_perm").cast("string").alias("name"), none.cast("array<bigint>").alias("window_origins"), none.cast("array<string>").alias("sample_ids"))
+        made = made.withColumns({"sample_id_spec": spec, "order": F.lit(label), "n_windows": F.col("n_samples"), "backfilled": F.lit(True), "backfill_commit": F.lit(commit), "backfill_tool": F.lit(tool)})
+        out = made if out is None else out.unionByName(made)
+    return out
+
+
+def loader_consistency(values: DataFrame) -> DataFrame:
+    """cell_id, worst: by how much val_loader_order leaves the tolerance about val_index_order taken in val_perm's order; above 0 where the three disagree."""
+    part = lambda name, c: values.where(F.col("product") == name).select("cell_id", "pos", F.col("value").alias(c))
+    perm = part("val_perm", "_p").withColumn("_src", F.col("_p").cast("bigint"))
+    index = part("val_index_order", "a").withColumnRenamed("pos", "_src")
+    both = perm.join(index, ["cell_id", "_src"]).join(part("val_loader_order", "b"), ["cell_id", "pos"])
+    return both.groupBy("cell_id").agg(F.max(F.abs(F.col("a") - F.col("b")) - (1e-8 + 1e-5 * F.abs("b"))).alias("worst"))
+
+
 def latest(df: DataFrame, key: Key, order: str) -> DataFrame:
     """The last row of each key."""
     return df.withColumn("_r", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc(order)))).where("_r = 1").drop("_r")

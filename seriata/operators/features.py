@@ -145,23 +145,54 @@ def slice_length(seq_len: int) -> int:
     return max(4, min(24, seq_len // 3))
 
 
+SPREAD_EPS = 1e-5
+SPREAD_FLOOR = 0.1
+
+
 def slice_statistics(windows: DataFrame, key: Key, seq_len: int, length: int | None = None) -> DataFrame:
     """Windows (key..., k from 0, value): key..., slice, mean, sd of whole slices aligned to the window's end; sd is a tenth of the window's at least."""
     p = length or slice_length(seq_len)
     pad = seq_len % p
-    window_sd = F.stddev_pop("value").over(Window.partitionBy(*key))
+    window_sd = F.sqrt(F.var_pop("value").over(Window.partitionBy(*key)) + SPREAD_EPS)
     rows = windows.withColumn("_sd", window_sd).where(F.col("k") >= pad).withColumn("slice", F.floor((F.col("k") - pad) / p).cast("int"))
-    g = rows.groupBy(*key, "slice").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd"), F.max("_sd").alias("_sd"))
-    return g.withColumn("sd", F.greatest("sd", 0.1 * F.col("_sd"))).drop("_sd")
+    g = rows.groupBy(*key, "slice").agg(F.avg("value").alias("mean"), F.sqrt(F.var_pop("value") + SPREAD_EPS).alias("sd"), F.max("_sd").alias("_sd"))
+    return g.withColumn("sd", F.greatest("sd", SPREAD_FLOOR * F.col("_sd"))).drop("_sd")
 
 
 def slice_forecast(slices: DataFrame, key: Key) -> DataFrame:
-    """Key..., mean, sd expected of the future: weights halve every half of the K slices."""
+    """Key..., mean, sd expected of the future: weights halve every half of the K slices; spreads are averaged as logarithms."""
     k = F.max("slice").over(Window.partitionBy(*key)) + 1
     w = F.pow(F.lit(0.5), (F.col("_k") - 1 - F.col("slice")) / (F.col("_k") / 2))
     rows = slices.withColumn("_k", k).withColumn("_w", w)
-    mean = lambda c: (F.sum(F.col(c) * F.col("_w")) / F.sum("_w")).alias(c)
-    return rows.groupBy(*key).agg(mean("mean"), mean("sd"))
+    mean = lambda c: F.sum(c * F.col("_w")) / F.sum("_w")
+    return rows.groupBy(*key).agg(mean(F.col("mean")).alias("mean"), F.exp(F.greatest(F.lit(-8.0), F.least(F.lit(8.0), mean(F.ln("sd"))))).alias("sd"))
+
+
+def slice_trend(slices: DataFrame, key: Key, ahead: int, penalty: float = 1.0) -> DataFrame:
+    """key..., slice (the next `ahead` ones), mean: a penalised line through the slice means, kept within the observed span on either side of it. The negative control of slice_forecast."""
+    g = slices.groupBy(*key).agg(F.avg("mean").alias("_y"), F.avg("slice").alias("_x"), (F.covar_pop("slice", "mean") * F.count("*")).alias("_sxy"), (F.var_pop("slice") * F.count("*")).alias("_sxx"), F.min("mean").alias("_lo"), F.max("mean").alias("_hi"), F.max("slice").alias("_last"))
+    rows = g.withColumn("slice", F.explode(F.sequence(F.col("_last") + 1, F.col("_last") + ahead)))
+    line = F.col("_y") + F.col("_sxy") / (F.col("_sxx") + penalty) * (F.col("slice") - F.col("_x"))
+    span = F.greatest(F.col("_hi") - F.col("_lo"), F.lit(1e-6))
+    return rows.select(*key, "slice", F.greatest(F.col("_lo") - span, F.least(F.col("_hi") + span, line)).alias("mean"))
+
+
+def slice_normalise(windows: DataFrame, key: Key, seq_len: int, length: int | None = None) -> DataFrame:
+    """Windows with normalised: each value by its slice; the remainder before the first whole slice goes by the first."""
+    p = length or slice_length(seq_len)
+    at = F.floor(F.greatest(F.col("k") - seq_len % p, F.lit(0)) / p).cast("int")
+    stats = slice_statistics(windows, key, seq_len, p).withColumnRenamed("mean", "_m").withColumnRenamed("sd", "_s")
+    return windows.withColumn("slice", at).join(stats, [*key, "slice"]).withColumn("normalised", (F.col("value") - F.col("_m")) / F.col("_s")).drop("_m", "_s")
+
+
+def slice_denormalise(forecast: DataFrame, expected: DataFrame, key: Key) -> DataFrame:
+    """forecast (key..., step, normalised) with value, by the statistics expected of the future."""
+    return forecast.join(expected, list(key)).withColumn("value", F.col("normalised") * F.col("sd") + F.col("mean")).drop("mean", "sd")
+
+
+def lag_pairs(df: DataFrame, key: Key, value: str = "value") -> DataFrame:
+    """Key..., pos, a value and the next one."""
+    return df.withColumn("following", F.lead(value).over(Window.partitionBy(*key).orderBy("pos"))).where("following is not null").select(*key, "pos", value, "following")
 
 
 def ridge_slope(df: DataFrame, key: Key, x: str, y: str, penalty: float = 1.0) -> DataFrame:

@@ -551,10 +551,10 @@ def revin_normalise(spark, sf_dir):
     return rounded(features.revin(inputs.series(spark, sf_dir), ["series_id"]), "normalised").select("series_id", "pos", "normalised")
 
 
-@query(f"""with {SERIES}, k as (select series_id, pos // 50 as w, pos % 50 as k, value from s), z as (select *, stddev_pop(value) over (partition by series_id, w) as wsd from k),
-g as (select series_id, w, ((k - 2) // 16)::int as slice, avg(value) as mean, greatest(stddev_pop(value), 0.1 * max(wsd)) as sd from z where k >= 2 group by 1, 2, 3),
+@query(f"""with {SERIES}, k as (select series_id, pos // 50 as w, pos % 50 as k, value from s), z as (select *, sqrt(var_pop(value) over (partition by series_id, w) + 1e-5) as wsd from k),
+g as (select series_id, w, ((k - 2) // 16)::int as slice, avg(value) as mean, greatest(sqrt(var_pop(value) + 1e-5), 0.1 * max(wsd)) as sd from z where k >= 2 group by 1, 2, 3),
 f as (select *, pow(0.5, (n - 1 - slice) / (n / 2.0)) as wt from (select *, max(slice) over (partition by series_id, w) + 1 as n from g))
-select series_id, w, round(sum(mean * wt) / sum(wt), 6) as mean, round(sum(sd * wt) / sum(wt), 6) as sd from f group by 1, 2""")
+select series_id, w, round(sum(mean * wt) / sum(wt), 6) as mean, round(exp(sum(ln(sd) * wt) / sum(wt)), 6) as sd from f group by 1, 2""")
 def slice_forecast(spark, sf_dir):
     k = inputs.series(spark, sf_dir).select("series_id", F.floor(F.col("pos") / 50).alias("w"), (F.col("pos") % 50).alias("k"), "value")
     return rounded(features.slice_forecast(features.slice_statistics(k, ["series_id", "w"], 50), ["series_id", "w"]), "mean", "sd")
@@ -816,3 +816,45 @@ select a.cell, a.mse as mse_det, a.val_mse as val_mse_det, a.best_epoch as best_
  round(abs(100 * (b.mse - a.mse) / nullif(a.mse, 0)), 6) as abs_rel_diff_pct, case when a.best_epoch = b.best_epoch then 1 else 0 end as same_best_epoch from r a join r b using (cell) where a.val_order = 'det' and b.val_order = 'shuf'""")
 def rng_tax(spark, sf_dir):
     return rounded(pipelines.rng_tax(runs(spark, sf_dir), ["cell"]), "rel_diff_pct", "abs_rel_diff_pct")
+
+
+@query(f"""with {SERIES}, k as (select series_id, pos // 50 as w, pos % 50 as k, value from s), z as (select *, sqrt(var_pop(value) over (partition by series_id, w) + 1e-5) as wsd, greatest(k - 2, 0) // 16 as slice from k),
+g as (select series_id, w, slice, avg(value) filter (k >= 2) as m, greatest(sqrt(var_pop(value) filter (k >= 2) + 1e-5), 0.1 * max(wsd)) as sd from z group by 1, 2, 3)
+select z.series_id, z.w, z.k, round((z.value - g.m) / g.sd, 6) + 0.0::double as normalised from z join g using (series_id, w, slice) where g.m is not null""")
+def slice_normalise(spark, sf_dir):
+    k = inputs.series(spark, sf_dir).select("series_id", F.floor(F.col("pos") / 50).alias("w"), (F.col("pos") % 50).alias("k"), "value")
+    return rounded(features.slice_normalise(k, ["series_id", "w"], 50), "normalised").select("series_id", "w", "k", "normalised")
+
+
+@query(f"with {SERIES}, l as (select series_id, pos, value, lead(value) over (partition by series_id order by pos) as following from s) select * from l where following is not null")
+def lag_pairs(spark, sf_dir):
+    return features.lag_pairs(inputs.series(spark, sf_dir), ["series_id"])
+
+
+@query(f"""with {ARMS}, {permuted_sql('a', 'g, arm', 'law')}, c as (select 'index' as condition, * from a union all select 'defect', * from p),
+b as (select condition, pos, arg_min(arm, struct_pack(v := value, a := arm)) as label from c group by 1, 2), n as (select condition, label, count(*) as c from b group by 1, 2), f as (select *, c / sum(c) over (partition by condition) as f from n)
+select condition, round(max(f), 6) as modal_share, round(sum(-f * log2(f)), 6) as entropy_bits from f group by 1""")
+def label_law_conditions(spark, sf_dir):
+    a = inputs.arms(spark, sf_dir)
+    moved = order.apply_permutation(a, order.full_permutation(a, ["g", "arm"], "law"), ["g", "arm"])
+    both = a.withColumn("condition", F.lit("index")).unionByName(moved.withColumn("condition", F.lit("defect")))
+    return rounded(downstream.label_law(both, ["condition"]), "modal_share", "entropy_bits").select("condition", "modal_share", "entropy_bits")
+
+
+@query()
+def difficulty_dep_aware(spark, sf_dir):
+    """The dependence-aware association of all three joins; conditions are keys of one plan."""
+    df = hourly_association(spark, sf_dir)
+    x, y = df.select("g", "pos", "f_std"), df.select("g", "pos", "value")
+    joined = downstream.three_conditions(x, y, order.full_permutation(y, ["g"], "q19"), order.full_permutation(y, ["g"], "q19c"), ["g"])
+    return assoc.dependence_aware(joined.select("condition", "g", "pos", "f_std", "value"), ["condition", "g"], "f_std", "value", L, H, 200, 200)
+
+
+@query()
+def backfill_report(spark, sf_dir):
+    from seriata.sources.files import fixture_cell, fixture_identity
+
+    inputs.ship(spark)
+    names = ["val_index_order", "val_loader_order"]
+    legacy = fixture_identity(spark, products=names).select("cell_id", "product", F.lit(None).cast("string").alias("schema_version"), F.split("product", "_")[1].alias("order"), F.lit(64).cast("bigint").alias("n_windows"))
+    return contract.backfill_plan(legacy, fixture_cell(spark))

@@ -97,6 +97,14 @@ def read_grid(path: str) -> dict[str, Any]:
         return yaml.safe_load(f)
 
 
+def horizons(available: Sequence[int], spec: str | Sequence[int | str]) -> list[int]:
+    """The horizons that a grid entry names: all, places first to fourth, or numbers."""
+    if spec == "all":
+        return list(available)
+    places = ("first", "second", "third", "fourth")
+    return [available[places.index(s)] if isinstance(s, str) else int(s) for s in spec]
+
+
 def feature_cache(spark: SparkSession, root: str, key: Mapping[str, object], build) -> DataFrame:
     """The table of this key if it was built before, else built and kept; a partition per key."""
     path = "/".join([root, *[f"{k}={v}" for k, v in key.items()]])

@@ -90,10 +90,27 @@ def test_sibling_ids_and_backfill(spark, cell):
     assert ids == {r.pos: r.sample_id for r in loader.collect()}
     assert violation(loader, sib, resolved=contract.resolve_sample_ids(sib, values), require_order="loader").violation is None
     legacy = spark.createDataFrame([("cell", "val_index_order", None, "index", 64), ("cell", "val_loader_order", None, "loader", 64), ("cell", "val_perm", None, "odd", 64), ("other", "val_index_order", None, "index", 3)], "cell_id string, product string, schema_version string, order string, n_windows long")
-    plan = {(r.cell_id, r["product"]): r.status for r in contract.backfill_plan(legacy, values, None).collect()}
+    plan = {(r.cell_id, r["product"]): r.status for r in contract.backfill_plan(legacy, values).collect()}
     assert plan == {("cell", "val_index_order"): "ok", ("cell", "val_loader_order"): "ok", ("cell", "val_perm"): "error", ("other", "val_index_order"): "error"}
 
 
+def test_backfilled_sidecars_validate(spark, cell):
+    _, _, values = cell
+    names = ["val_index_order", "val_loader_order"]
+    legacy = spark.createDataFrame([("cell", "val_index_order", "index"), ("cell", "val_loader_order", "loader")], "cell_id string, product string, order string")
+    legacy = legacy.select("*", F.lit(None).cast("string").alias("schema_version"), F.lit(64).cast("bigint").alias("n_windows"), F.lit(None).cast("string").alias("note"), F.lit(None).cast("string").alias("val_order"))
+    made = contract.backfill(legacy, values, files.fixture_identity(spark, products=names)).cache()
+    assert {r["product"]: r.sample_id_spec.kind for r in made.collect()} == {"val_index_order": "identity_range", "val_loader_order": "sibling_array"}
+    resolved = contract.resolve_sample_ids(made, values)
+    for name, order_ in zip(names, ("index", "loader")):
+        own = made.where(F.col("product") == name)
+        assert violation(values.where(F.col("product") == name), own, resolved=resolved, require_order=order_).violation is None
+    assert contract.loader_consistency(values).first().worst <= 0
+    broken = values.withColumn("value", F.when((F.col("product") == "val_loader_order") & (F.col("pos") == 3), 99.0).otherwise(F.col("value")))
+    assert contract.loader_consistency(broken).first().worst > 0
+    assert made.first().backfilled and made.first().producer_commit == "unknown"
+
+
 def test_join_by_sample_id(spark):
     mk = lambda a, b: spark.createDataFrame([(f"w{i}", i, float(i)) for i in range(a, b)], "sample_id string, pos long, value double")
     out = joins.join_by_sample_id({"a": mk(0, 10), "b": mk(3, 13).orderBy(F.rand(1))})
@@ -151,6 +168,7 @@ def test_small_sources(spark, tmp_path):
     assert [(r["product"], r.pos, r.value) for r in files.read_npy(spark, str(tmp_path / "npy")).collect()] == [("val", 0, 3.0), ("val", 1, 1.0)]
     (tmp_path / "g.yaml").write_text("datasets: [a, b]\n")
     assert files.read_grid(str(tmp_path / "g.yaml")) == {"datasets": ["a", "b"]}
+    assert files.horizons([96, 192, 336, 720], "all") == [96, 192, 336, 720] and files.horizons([96, 192, 336, 720], ["first", "fourth", 5]) == [96, 720, 5]
     built = []
     for _ in range(2):
         files.feature_cache(spark, str(tmp_path / "cache"), {"dataset": "d", "pred_len": 96}, lambda: built.append(1) or spark.range(3)).count()

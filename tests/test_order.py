@@ -66,6 +66,7 @@ def test_power_and_theory(spark):
     rows = by_key(diagnose.theory(spark, [50, 11425]), "n")
     assert rows[50].rho_min_detectable == pytest.approx((1.6448536 + 1.2815516) / math.sqrt(50), abs=1e-6)
     assert rows[11425].power_at_rho_0_5 == pytest.approx(1.0)
+    assert rows[50].rho_min_detectable == pytest.approx(0.41385619122269934, abs=1e-12) and rows[50].power_at_rho_0_5 == pytest.approx(0.9706664817215228, abs=1e-12) and rows[50].power_at_rho_0_1 == pytest.approx(0.17418726161793208, abs=1e-12)
 
 
 def test_permutations_are_bijections(spark):
@@ -213,6 +214,16 @@ def test_transforms(spark):
     w = spark.createDataFrame([("w", i, float(i % 5)) for i in range(50)], "k string, k2 long, value double").withColumnRenamed("k2", "k_").withColumnRenamed("k", "w").withColumnRenamed("k_", "k")
     s = features.slice_statistics(w, ["w"], 50).collect()
     assert len(s) == 50 // features.slice_length(50)
+    stats_ = features.slice_statistics(w, ["w"], 50)
+    expected = features.slice_forecast(stats_, ["w"])
+    normal = features.slice_normalise(w, ["w"], 50)
+    assert normal.count() == 50
+    flat = features.slice_denormalise(spark.createDataFrame([("w", 0, 0.0)], "w string, step int, normalised double"), expected, ["w"]).first()
+    assert flat.value == pytest.approx(expected.first().mean)
+    trend = features.slice_trend(stats_, ["w"], 30).agg(F.max("mean"), F.min("mean")).first()
+    means = [r.mean for r in s]
+    span = max(means) - min(means)
+    assert trend[0] <= max(means) + span + 1e-5 and trend[1] >= min(means) - span - 1e-5
     steps = spark.createDataFrame([("w", i, 0.0, float(i)) for i in range(8)], "w string, step long, pred double, true double")
     d = -np.arange(8.0)
     assert features.frequency_loss(steps, ["w"], 0.25).first().loss == pytest.approx(0.75 * (d**2).mean() + 0.25 * np.abs(np.fft.rfft(d)).mean())
@@ -278,6 +289,22 @@ def test_equivalence(spark):
     assert cl["same"].n_clusters == 10 and cl["same"].n_cells == 200
 
 
+@pytest.mark.parametrize(
+    "n, mean, sd, margin, p, low, high",
+    [
+        (356, 0.0005478910344765196, 0.05272951874514077, 0.03, 4.4615626594426387e-23, -0.0049482776969003335, 0.006044059765853373),
+        (7, 0.001044928830891181, 0.004220376559588606, 0.03, 8.998321522355624e-07, -0.0028582684865454786, 0.00494812614832784),
+        (96, -0.5872586654287383, 2.079612329608604, 0.25, 0.9423053429183137, -1.0086272868346513, -0.16589004402282537),
+        (7, -0.6218222995529816, 0.7107286532934697, 0.25, 0.8922004366496541, -1.2791366727592568, 0.03549207365329354),
+        (324, 0.01595139201570863, 0.1548169925633461, 0.03, 0.051681744042137726, -0.0009695514337189244, 0.03287233546513618),
+        (6, 0.02031298402508246, 0.01661946849678343, 0.03, 0.10636291265449227, 0.0028719214684293816, 0.037754046581735534),
+    ],
+)
+def test_equivalence_of_published_summaries(n, mean, sd, margin, p, low, high):
+    got = assoc.equivalence_from_summary(n, mean, sd, margin)
+    assert got["p_tost"] == pytest.approx(p, rel=1e-8) and got["ci95_low"] == pytest.approx(low, rel=1e-9) and got["ci95_high"] == pytest.approx(high, rel=1e-9)
+
+
 def test_signed_rank_exact_and_normal(spark):
     small = spark.createDataFrame([("a", float(x)) for x in (1, -2, 3, 4, 5, 6, 7, 0)], "k string, d double")
     row = assoc.signed_rank_p(assoc.signed_rank(small, ["k"], "d")).first()
