@@ -246,6 +246,20 @@ def test_bpe_equals_the_library(spark, texts):
     assert all(bytes(r.decoded).decode() == r.text for r in back)
 
 
+def test_trees_of_many_words_equal_single_trees():
+    ranks = bpe.load_ranks(P.path("byte_bpe_multi_50k.tiktoken"))
+    trees = bpe.Trees(ranks)
+    rng = random.Random(1)
+    for size in (2, 4, 8, 16, 32, 64):
+        low = size // 2 + 1 if size > 2 else 2
+        words = [bytes(rng.choice([rng.randrange(256), rng.choice(b"aeiounrst ")]) for _ in range(rng.randint(low, size))) for _ in range(300)] + [b"a" * low, b"ab" * (size // 2), b"\0" * size]
+        got = trees.merge(words, size)
+        for w, ids in zip(words, got):
+            assert w in ranks or ids == bpe.merge_word(w, ranks)
+    back = {v: k for k, v in ranks.items()}
+    assert all(b"".join(back[i] for i in ids) == w for w, ids in zip(words, got))
+
+
 def test_long_runs_take_n_log_n():
     import time
 
