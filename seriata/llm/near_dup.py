@@ -11,7 +11,8 @@
    ordered rarest first, two sets above the threshold share a shingle within the first
    n - ceil(t n) + 1, at positions that the sizes bound. Lists of more than SMALL classes
    again give stars, around the most central member and members outside the list's largest
-   component, round by round, until no list holds two components that could still be linked. So no candidate is capped or dropped.
+   component, round by round, until no list holds two components that could still be
+   linked. So no candidate is capped or dropped.
 4. Components come from alternating large-star and small-star.
 
 Null and empty texts and texts without words have no shingles and link with nothing.

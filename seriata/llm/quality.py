@@ -2,9 +2,9 @@
 
 Per class a mean and a covariance shrunk towards its own diagonal and a multiple of the
 identity; the score comes from the difference of the two Mahalanobis log-densities
-plus the log prior ratio. Cholesky factors are computed once, at the fit, and travel with
-the model; a logistic curve over the training margins scales them. The fit reads at most `sample` labelled rows (chosen by a hash of doc_id); the
-score uses the text only.
+plus the log prior ratio, scaled by a logistic curve over the training margins. Cholesky
+factors are computed once, at the fit, and travel with the model. The fit reads at most
+`sample` labelled rows (chosen by a hash of doc_id); the score uses the text only.
 
 Null text counts as empty. An empty text gets a defined score (its statistics are zeros).
 Rows without label only get scored; a repeated row gets the same score each time.
@@ -142,8 +142,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Discriminan
     return fit_discriminant(x, got["y"].to_numpy(int))
 
 
-def score(docs: DataFrame, model: Discriminant) -> DataFrame:
-    """docs with the column score; narrow."""
+def score(docs: DataFrame, model: Discriminant, name: str = "score") -> DataFrame:
+    """docs with the score in column `name`, which replaces one of that name; narrow."""
 
     @F.pandas_udf("double")
     def of(texts: pd.Series) -> pd.Series:
@@ -151,7 +151,7 @@ def score(docs: DataFrame, model: Discriminant) -> DataFrame:
             return pd.Series([], dtype=float)
         return pd.Series(model.score(np.stack([statistics(t) for t in texts])))
 
-    return docs.withColumn("score", of(F.col("text")))
+    return docs.withColumn(name, of(F.col("text")))
 
 
 def crc_fold(doc_id: int) -> int:

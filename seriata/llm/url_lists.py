@@ -35,8 +35,8 @@ def validity(entries: DataFrame) -> DataFrame:
 
 
 def evaluate(captures: DataFrame, entries: DataFrame) -> DataFrame:
-    """captures (url, fetched_at, ...) with host, verdict, rule_list, rule_pattern, valid_from, valid_to."""
-    rows = captures.withColumn("host", host_of(F.col("url")))
+    """captures (url, fetched_at, ...) with host, verdict, rule_list, rule_pattern, valid_from, valid_to; these replace columns of the same names."""
+    rows = captures.drop("host", "verdict", "rule_list", "rule_pattern", "valid_from", "valid_to").withColumn("host", host_of(F.col("url")))
     asked = rows.where("host is not null and fetched_at is not null").select("host", "fetched_at").distinct()
     labels = F.split("host", r"\.")
     parents = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
