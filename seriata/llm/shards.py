@@ -21,6 +21,7 @@ from seriata.llm.common import materialize, salted_buckets, text_or_empty
 
 SHARDS = 40
 ROWS_PER_BUCKET = 2_000
+MAX_BUCKETS = 2_000_000  # rows of the one running sum
 
 
 def bucketed_rank(df: DataFrame, group: list[str], bucket: Column, order: list) -> DataFrame:
@@ -49,7 +50,7 @@ def interleave(docs: DataFrame, shards: int = SHARDS, seed: int = 42) -> DataFra
         "sharding-rows",
     )
     n = rows.count()
-    buckets = salted_buckets(n, ROWS_PER_BUCKET)
+    buckets = min(MAX_BUCKETS, salted_buckets(n, ROWS_PER_BUCKET))
     h_bucket = F.floor((F.shiftrightunsigned("h", 1) / F.lit(2.0**63)) * buckets).cast("long")
     order = [F.shiftrightunsigned("h", 1), "h", "doc_id", "size", "text_crc32"]
     ranked = bucketed_rank(rows, ["stratum"], h_bucket, order)
