@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seriata.llm.common import text_or_empty
+from seriata.ship import ship
 
 NONE = 1 << 60
 EMPTY = np.int32(2**31 - 1)
@@ -241,12 +242,14 @@ def encode_rows(batches: Iterator[pa.RecordBatch], ranks_path: str, pattern: str
 
 def encode_digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256; narrow."""
+    ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     return rows.mapInArrow(lambda b: encode_rows(b, ranks_path, pattern), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def encode_column(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """docs with the column ids."""
+    ship(docs.sparkSession)
 
     @F.pandas_udf("array<int>")
     def ids(texts):
@@ -258,6 +261,7 @@ def encode_column(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 
 def decode_column(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """docs (ids array<int>) with the column decoded (binary)."""
+    ship(docs.sparkSession)
 
     @F.pandas_udf("binary")
     def back(rows):

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seriata.llm.common import shingles, text_or_empty, words
+from seriata.ship import ship
 
 K = 256
 BITS = 48
@@ -80,6 +81,8 @@ def unpack_sketch(s: str) -> np.ndarray:
 def fingerprints(docs: DataFrame, k: int = K) -> DataFrame:
     """Sketch of every row's text, without shuffle: the columns given, and fingerprint."""
 
+    ship(docs.sparkSession)
+
     @F.pandas_udf("string")
     def of(texts):
         return texts.map(lambda t: pack_sketch(sketch(t or "", k)))
@@ -135,6 +138,7 @@ def compare_with_edits(docs: DataFrame, rows_per_range: int = 2_000, k: int = K)
     the overall first row to the last range. The driver holds one id per range, and
     there are MAX_RANGES at most. Null doc_ids lie in the first range, before all others.
     """
+    ship(docs.sparkSession)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     n, low, known = d.agg(F.count("*"), F.min("doc_id"), F.count("doc_id")).first()
     if not n:

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seriata.llm.common import materialize, text_or_empty
+from seriata.ship import ship
 
 CAPACITY = 2048
 END_ID = 1
@@ -121,6 +122,7 @@ def first_fit_decreasing(rest: pd.DataFrame) -> pd.DataFrame:
 
 def pack(docs: DataFrame, json_path: str, ranks_path: str, pattern: str) -> DataFrame:
     """A row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, klass."""
+    ship(docs.sparkSession)
     pieces = materialize(docs.select(F.col("doc_id").cast("long"), text_or_empty()).mapInArrow(lambda b: cut_and_fill(b, json_path, ranks_path, pattern), _PIECES), "packing-pieces")
     keep = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
     own = pieces.where("bin is not null").select(*keep, (F.col("klass") * F.lit(1 << 40) + (F.col("worker") + 1) * F.lit(1 << 20) + F.col("bin")).alias("sequence_id"), "offset", "klass")

@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seriata.ship import ship
+
 SAMPLE = 20_000
 THRESHOLD = 0.3
 SHRINK_DIAGONAL = 0.1
@@ -129,6 +131,7 @@ def fold(doc_id) -> F.Column:
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Discriminant:
     """Learns from at most `sample` labelled rows outside the held-out fold; those few ids are broadcast, so no text is shuffled."""
+    ship(docs.sparkSession)
     chosen = labels.select(F.col("doc_id").alias("id"), F.col("quality").alias("y")).where("id is not null and y in (0, 1)").where(fold(F.col("id")) != 0)
     chosen = chosen.groupBy("id").agg(F.min("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(sample)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("id"))
@@ -144,6 +147,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Discriminan
 
 def score(docs: DataFrame, model: Discriminant, name: str = "score") -> DataFrame:
     """docs with the score in column `name`, which replaces one of that name; narrow."""
+    ship(docs.sparkSession)
 
     @F.pandas_udf("double")
     def of(texts: pd.Series) -> pd.Series:
