@@ -35,12 +35,13 @@ from pyspark.sql import functions as F
 
 from seriata.llm.common import materialize, shingle_set, text_or_empty
 from seriata.llm.components import components
+from seriata.ship import ship
 
 ROWS = 8
 MISS = 1e-6
 MARGIN = 0.12
 SMALL = 8
-PIVOTS = 16
+PIVOTS = 48
 SLOTS = 1 << 18
 SEEN_BITS = 1 << 23
 _SET_ROWS = "doc_id long, n_shingles long, digest binary, bands array<long>, signature binary"
@@ -255,6 +256,7 @@ def _residual(classes: DataFrame, sets: DataFrame, open_: DataFrame, roots: Data
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, class_size for every row of docs (doc_id, text)."""
+    ship(docs.sparkSession)
     t = Fraction(str(threshold))
     bands = bands_for(threshold)
     k = bands * ROWS
