@@ -60,7 +60,7 @@ def salted_buckets(rows: int, per_bucket: int = 20_000) -> int:
 class _WordHashes(dict):
     """Word -> 64-bit hash; emptied at a fixed size, so memory stays bounded on any vocabulary."""
 
-    LIMIT = 400_000
+    LIMIT = 100_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:

@@ -95,6 +95,8 @@ def _sketch(batches: Iterator[pa.RecordBatch], bands: int) -> Iterator[pa.Record
             rows.append((doc_id, len(s), digest_of(s), *minhash.of(s)) if len(s) else (doc_id, 0, None, None, None))
         if rows:
             yield _batch([list(c) for c in zip(*rows)], schema)
+        del rows, batch
+        pa.default_memory_pool().release_unused()
 
 
 def _sets(batches: Iterator[pa.RecordBatch], seen: np.ndarray) -> Iterator[pa.RecordBatch]:

@@ -48,8 +48,9 @@ def cut(remainder: int, capacity: int = CAPACITY) -> tuple[tuple[int, int], ...]
     return ((capacity // (j + 1), j + 1), *cut(remainder - capacity // (j + 1), capacity))
 
 
+@lru_cache(maxsize=2)
 def encoder(json_path: str, ranks_path: str, pattern: str):
-    """text -> ids. Both files hold one vocabulary, so the rank file gives the JSON's ids, faster; only texts with the special token's string go by the JSON."""
+    """text -> ids, one a worker process. Both files hold one vocabulary, so the rank file gives the JSON's ids, faster; only texts with the special token's string go by the JSON."""
     import tiktoken
 
     with open(ranks_path, "rb") as f:
