@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seriata.functions.columns import ceil_cube_root, finite, order_key
+from seriata.functions.columns import ceil_cube_root, finite, order_key, stable_seed
 from seriata.functions.stats import normal_two_sided, signed_rank_exact, t_cdf, t_isf, t_isf_col, t_sf, t_sf_col
 from seriata.operators.diagnose import average_rank
 
@@ -66,25 +66,32 @@ def block_length(n: Column, seq_len: Column, pred_len: Column) -> dict[str, Colu
     return {"block_len": used, "block_len_requested": want, "block_len_cover": cover, "block_len_floor": floor, "block_len_capped": (used < want).cast("int"), "n_blocks": F.ceil(n / used)}
 
 
-def _rank_rows(a: np.ndarray) -> np.ndarray:
-    """Average ranks within each row."""
-    order = np.argsort(a, 1, kind="stable")
-    s = np.take_along_axis(a, order, 1)
-    new = np.concatenate([np.ones((len(a), 1), bool), s[:, 1:] != s[:, :-1]], 1)
-    n = a.shape[1]
-    at = np.arange(n)
-    first = np.maximum.accumulate(np.where(new, at, 0), 1)
-    last = np.minimum.accumulate(np.where(np.concatenate([new[:, 1:], np.ones((len(a), 1), bool)], 1), at, n - 1)[:, ::-1], 1)[:, ::-1]
-    out = np.empty_like(a, float)
-    np.put_along_axis(out, order, (first + last) / 2 + 1, 1)
-    return out
+def _codes(x: np.ndarray) -> tuple[np.ndarray, int]:
+    """Position of each value among the distinct ones, and their number."""
+    distinct, codes = np.unique(x, return_inverse=True)
+    return codes.reshape(-1), len(distinct)
+
+
+def _ranks(codes: np.ndarray, m: int) -> np.ndarray:
+    """Average ranks within each row of value codes below m: by counting, so a resample costs no sort."""
+    rows = len(codes)
+    counts = np.bincount((codes + np.arange(rows)[:, None] * m).ravel(), minlength=rows * m).reshape(rows, m)
+    middle = np.cumsum(counts, 1) - (counts - 1) / 2.0
+    return np.take_along_axis(middle, codes, 1)
 
 
 def _row_correlation(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """T12."""
     a, b = a - a.mean(1, keepdims=True), b - b.mean(1, keepdims=True)
-    den = np.sqrt((a * a).sum(1) * (b * b).sum(1))
-    return np.divide((a * b).sum(1), den, out=np.full(len(den), np.nan), where=den > 0)
+    den = np.sqrt(np.einsum("ij,ij->i", a, a) * np.einsum("ij,ij->i", b, b))
+    return np.divide(np.einsum("ij,ij->i", a, b), den, out=np.full(len(den), np.nan), where=den > 0)
+
+
+def _shuffled_blocks(cuts: np.ndarray, lengths: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Positions after whole blocks change places."""
+    o = rng.permutation(len(cuts))
+    size = lengths[o]
+    return np.repeat(cuts[o] - np.cumsum(size) + size, size) + np.arange(size.sum())
 
 
 def dependence_aware(df: DataFrame, key: Key, x: str, y: str, seq_len: int, pred_len: int, n_boot: int = 2000, n_perm: int = 2000, seed: int = 0, chunk: int = 100) -> DataFrame:
@@ -92,26 +99,31 @@ def dependence_aware(df: DataFrame, key: Key, x: str, y: str, seq_len: int, pred
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*key).schema)
     names = ["n", "assoc_rho", "ci_lo", "ci_hi", "ci_excludes_zero", "p_block", "p_boot_2sided", "boot_rho_mean", "block_len", "n_blocks", "n_boot", "n_perm"]
 
-    def one(k, rows: pd.DataFrame) -> pd.DataFrame:
+    def one(k: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("pos")
         n = len(rows)
-        rng = np.random.default_rng([seed, n])
+        rng = np.random.default_rng(stable_seed(seed, *map(str, k)))  # each key its own stream
         want = max(seq_len + pred_len, next(i for i in range(1, n + 2) if i**3 >= n))
         b = max(1, min(want, n // 2))
         blocks = -(-n // b)
-        rx, ry = (_rank_rows(rows[c].to_numpy(float)[None])[0] for c in (x, y))
+        (cx, mx), (cy, my) = (_codes(rows[c].to_numpy(float)) for c in (x, y))
+        rx, ry = _ranks(cx[None], mx)[0], _ranks(cy[None], my)[0]
         rho = float(_row_correlation(rx[None], ry[None])[0])
         boot, null = [], []
+        twice_x, twice_y = np.tile(cx, 2), np.tile(cy, 2)  # positions run around the end
         for at in range(0, n_boot, chunk):
             starts = rng.integers(0, n, (min(chunk, n_boot - at), blocks))
-            i = ((starts[:, :, None] + np.arange(b)) % n).reshape(len(starts), -1)[:, :n]
-            boot.append(_row_correlation(_rank_rows(rx[i]), _rank_rows(ry[i])))
+            i = (starts[:, :, None] + np.arange(b)).reshape(len(starts), -1)[:, :n]
+            boot.append(_row_correlation(_ranks(twice_x[i], mx), _ranks(twice_y[i], my)))
         cuts = np.arange(0, n, b)
+        lengths = np.minimum(cuts + b, n) - cuts
+        ux, uy = rx - rx.mean(), ry - ry.mean()
+        scale = float(np.sqrt((ux @ ux) * (uy @ uy)))
+        around = np.tile(uy, 2)
         for at in range(0, n_perm, chunk):
-            take = min(chunk, n_perm - at)
-            i = np.stack([np.concatenate([np.arange(c, min(c + b, n)) for c in rng.permutation(cuts)]) for _ in range(take)])
-            i = (i + rng.integers(0, n, (take, 1))) % n
-            null.append(_row_correlation(np.broadcast_to(rx, (take, n)), ry[i]))
+            shifts = rng.integers(0, n, min(chunk, n_perm - at))
+            dots = np.array([around[_shuffled_blocks(cuts, lengths, rng) + k] @ ux for k in shifts])
+            null.append(dots / scale if scale > 0 else np.full(len(dots), np.nan))  # a shuffle keeps both deviations
         boot, null = (np.concatenate(v) if v else np.empty(0) for v in (boot, null))
         boot, null = boot[np.isfinite(boot)], null[np.isfinite(null)]
         lo, hi = np.percentile(boot, [2.5, 97.5]) if len(boot) else (np.nan, np.nan)

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seriata.functions.columns import indicator, order_key
+from seriata.functions.columns import indicator, stable_seed
 from seriata.functions.stats import normal_cdf, normal_isf, normal_sf_col
 
 ALPHA = 0.05
@@ -72,10 +72,10 @@ def aot_monte_carlo(df: DataFrame, key: Key, draws: int, seed: int = 0, value: s
     """key..., n, r, p_perm: share of shuffled copies with r at least as large. One vector at a time in memory; draws in chunks."""
     names = [*key, "n", "r", "p_perm"]
 
-    def one(k, rows: pd.DataFrame) -> pd.DataFrame:
+    def one(k: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         x = rows.sort_values(pos)[value].to_numpy(float)
         r = circular_correlation(x)
-        rng = np.random.default_rng([seed, *[int.from_bytes(str(i).encode()[-6:], "big") for i in k]])
+        rng = np.random.default_rng(stable_seed(seed, *map(str, k)))
         hits = sum(circular_correlation(rng.permutation(x)) >= r - 1e-15 for _ in range(draws)) if r is not None else 0
         return pd.DataFrame([[*k, len(x), r, (1 + hits) / (draws + 1) if r is not None else None]], columns=names).astype({"r": float, "p_perm": float})
 
@@ -141,14 +141,14 @@ def agreement_monte_carlo(arms: DataFrame, group: Key, draws: int, seed: int = 0
     """group..., rho_bar, p, null_mean, null_sd: ranks are taken once and permuted, which preserves them."""
     names = [*group, "rho_bar", "p", "null_mean", "null_sd"]
 
-    def one(k, rows: pd.DataFrame) -> pd.DataFrame:
+    def one(k: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         m = rows.pivot(index="pos", columns="arm", values=value).to_numpy(float)
         r = pd.DataFrame(m).rank().to_numpy()
         r -= r.mean(0)
         r /= np.sqrt((r * r).sum(0))
         a = r.shape[1]
         of = lambda x: (float((x.sum(1) ** 2).sum()) - a) / (a * (a - 1))
-        rng = np.random.default_rng(seed)
+        rng = np.random.default_rng(stable_seed(seed, *map(str, k)))
         null = np.array([of(np.column_stack([rng.permutation(r[:, j]) for j in range(a)])) for _ in range(draws)])
         rho = of(r)
         return pd.DataFrame([[*k, rho, (1 + (null >= rho).sum()) / (draws + 1), null.mean(), null.std(ddof=1)]], columns=names)
@@ -162,14 +162,14 @@ def tail_calibration(df: DataFrame, key: Key, draws: int, alphas: Sequence[float
     limits = [normal_isf(a) for a in alphas]
     names = [*key, "n", "kurtosis", "n_perm", "alpha", "n_reject", "fpr_empirical", "ratio_to_nominal", "max_z"]
 
-    def one(k, rows: pd.DataFrame) -> pd.DataFrame:
+    def one(k: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         x = rows.sort_values("pos")[value].to_numpy(float)
         c = x - x.mean()
         n, s2, s4 = len(c), float((c**2).sum()), float((c**4).sum())
         if n < 4 or s2 <= 1e-24 * n:
             return pd.DataFrame([], columns=names)
         var = ((s2 * s2 - s4) / (n - 1) + (s2 * s2 - 2 * s4) / ((n - 1) * (n - 2)) - s2 * s2 / (n - 1) ** 2) / (s2 * s2)
-        rng = np.random.default_rng(seed)
+        rng = np.random.default_rng(stable_seed(seed, *map(str, k)))
         hits, top = np.zeros(len(limits), int), -np.inf
         for at in range(0, draws, chunk):
             p = rng.permuted(np.broadcast_to(c, (min(chunk, draws - at), n)), axis=1)
