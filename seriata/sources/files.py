@@ -30,10 +30,8 @@ def block_id() -> Column:
 
 def write_series(values: DataFrame, sidecars: DataFrame, root: str) -> None:
     """Values and sidecars as Parquet, split by product; each write is all or nothing, and sidecars, which make a product readable, come last."""
-    mode = "overwrite"
-    values.sparkSession.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    values.write.mode(mode).partitionBy("cell_id", "product").parquet(f"{root}/values")
-    sidecars.write.mode(mode).partitionBy("cell_id", "product").parquet(f"{root}/sidecars")
+    for df, name in ((values, "values"), (sidecars, "sidecars")):
+        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("cell_id", "product").parquet(f"{root}/{name}")
 
 
 def read_values(spark: SparkSession, root: str) -> DataFrame:

@@ -224,6 +224,28 @@ def test_incremental_aot_equals_batch(spark, tmp_path):
     assert got.n == 50 and got.r == pytest.approx(want.r, rel=1e-9) and got.z == pytest.approx(want.z, rel=1e-9)
 
 
+def test_event_time_streams(spark, tmp_path):
+    rows = [(f"s{i % 40}", f"2024-01-0{1 + i % 3} 0{i % 9}:00:00", float(i)) for i in range(60)]
+    df = spark.createDataFrame(rows, "sample_id string, t string, value double").withColumn("ts", F.col("t").cast("timestamp_ntz")).drop("t")
+    df.write.parquet(str(tmp_path / "in"))
+    stream = lambda: spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    q = recorder.tumbling(stream(), "ts", "value", "1 day", "1 hour").writeStream.format("memory").queryName("days").outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert {(str(r.window.start.date()), r.n) for r in spark.table("days").collect()} == {(f"2024-01-0{d}", 20) for d in (1, 2, 3)}
+    q = recorder.deduplicated(stream(), "ts", "10 days").writeStream.format("memory").queryName("once").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert spark.table("once").count() == 40
+
+
+def test_written_cells_replace_only_themselves(spark, cell, tmp_path):
+    index, side, _ = cell
+    root = str(tmp_path / "bank")
+    files.write_series(index, side, root)
+    files.write_series(index.withColumn("cell_id", F.lit("b")), side.withColumn("cell_id", F.lit("b")), root)
+    assert {r.cell_id for r in files.read_sidecars(spark, root).collect()} == {"cell", "b"}
+    files.load_series(spark, root, "cell", "val_index_order")
+
+
 def test_reports(spark):
     e = spark.createDataFrame([("a", i, v) for i, v in enumerate([5.0, 4.0, 4.5, 4.2, 4.1, 1.0])], "k string, epoch int, loss double")
     row = reports.early_stop(e, ["k"], "epoch", "loss", 3).first()
