@@ -436,9 +436,6 @@ def unpermute_roundtrip(spark, sf_dir):
     return rounded(order.unpermute(order.apply_permutation(a, perm, key), perm, key), "value", digits=4).select("g", "arm", "pos", "value")
 
 
-_X = "x as (select g, arm, pos, value as y from a where arm in ('last', 'mean'))"
-
-
 @query(f"with {ARMS}, {permuted_sql('a', 'g, arm', 'defect')} select f.g, f.arm, f.pos, round(f.value, 4) as feature, round(p.value, 4) as value from a f join p on f.g = p.g and f.arm = p.arm and f.pos = p.pos")
 def defect_join(spark, sf_dir):
     a = inputs.arms(spark, sf_dir)
