@@ -13,9 +13,7 @@ from pyspark.sql import functions as F
 from seriata.ship import ship
 
 SHINGLE = 5
-MASK = (1 << 64) - 1
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_POWERS = [np.uint64(pow(int(_BASE), k, 1 << 64)) for k in range(SHINGLE)]
 _local_dir: str | None = None
 
 

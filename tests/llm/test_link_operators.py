@@ -7,7 +7,7 @@ import pytest
 
 from seriata.llm import near_dup, quotes, secrets, url_lists
 from seriata.llm.components import components
-from tests.llm.test_text_operators import DOCS, brute_set, make, prose
+from tests.llm.test_text_operators import brute_set, make, prose
 
 
 def brute_components(texts, ids, threshold):
