@@ -158,11 +158,6 @@ def slot_counts(sets: DataFrame) -> np.ndarray:
     return out
 
 
-def need(t: Fraction, nx: int, ny: int) -> int:
-    """Least intersection of sets of nx and ny above the threshold."""
-    return -(-t.numerator * (nx + ny) // (t.numerator + t.denominator))
-
-
 def _prefixes(batches: Iterator[pa.RecordBatch], counts: np.ndarray, t: Fraction) -> Iterator[pa.RecordBatch]:
     """(token, digest, n, i) of each set's prefix; shingles that no other set can hold (count 1) are left out, their position is not."""
     schema = pa.schema([("token", pa.int64()), ("digest", pa.binary()), ("n", pa.int32()), ("i", pa.int32())])
@@ -221,7 +216,7 @@ def _pivots(lists: DataFrame, extra: list[str], order: Column, sub: Column) -> D
     return rows.select("key", *[F.col(f"p.{x}").alias(x) for x in ["digest", *extra]])
 
 
-def _residual(classes: DataFrame, sets: DataFrame, open_: DataFrame, roots: DataFrame, t: Fraction) -> DataFrame:
+def _residual(sets: DataFrame, open_: DataFrame, roots: DataFrame, t: Fraction) -> DataFrame:
     """Components (node, root) after all links among the open classes are found, by prefix lists in rounds."""
     sets = materialize(sets.join(open_, "digest", "left_semi"), "near-open")
     counts = slot_counts(sets)
@@ -282,7 +277,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     open_keys = mixed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("key")
     open_ = materialize(wide.join(open_keys, "key", "left_semi").select("digest").distinct(), "near-undecided")
     if open_.limit(1).count():
-        roots = _residual(classes, sets, open_, roots, t)
+        roots = _residual(sets, open_, roots, t)
     named = classes.join(roots.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
     least = named.groupBy("root").agg(F.min("id").alias("component_id"))
     labels = materialize(named.join(least, "root").select("digest", "component_id", "class_size"), "near-labels")

@@ -83,6 +83,15 @@ def test_cut_lengths():
         assert all(x * j <= 2048 and x >= 2048 // j - 2048 // j // 64 for x, j in got)
 
 
+def test_written_tables_are_released(spark):
+    from seriata.llm import common
+
+    df = common.materialize(spark.range(3), "t")
+    assert df.count() == 3 and common.release(spark) >= 1 and common.release(spark) == 0
+    with pytest.raises(Exception):
+        df.count()
+
+
 def test_packing_empty_table(spark):
     assert packed(spark, make(spark, [])).count() == 0
 
