@@ -125,6 +125,7 @@ class Trees:
         while level > 1:
             level >>= 1
             tree[:, level : 2 * level] = np.minimum(tree[:, 2 * level : 4 * level : 2], tree[:, 2 * level + 1 : 4 * level : 2])
+        flat = tree.reshape(-1)
         row = np.flatnonzero(tree[:, 1] != EMPTY)
         while len(row):
             least = tree[row, 1]
@@ -144,15 +145,17 @@ class Trees:
             has = left >= 0
             left = np.where(has, left, i)
             tree[row[has], size + left[has]] = self.rank(ids[row[has], left[has]], least[has])
-            paths = [node, size + gone, size + left]
+            # the three changed leaves' ancestors, level by level, in the array's flat form
+            base = np.tile(row * (2 * size), 3)
+            path = np.concatenate([node, size + gone, size + left])
             for _ in range(size.bit_length() - 1):
-                for k, p in enumerate(paths):
-                    paths[k] = p = p >> 1
-                    tree[row, p] = np.minimum(tree[row, 2 * p], tree[row, 2 * p + 1])
+                path >>= 1
+                below = base + 2 * path
+                flat[base + path] = np.minimum(flat[below], flat[below + 1])
             row = row[tree[row, 1] != EMPTY]
         ends = np.cumsum(live.sum(1)).tolist()
-        flat = ids[live].tolist()
-        return [flat[a:b] for a, b in zip([0, *ends], ends)]
+        parts = ids[live].tolist()
+        return [parts[a:b] for a, b in zip([0, *ends], ends)]
 
 
 class Codec:
@@ -173,20 +176,22 @@ class Codec:
     def learn(self, words: Iterable[str]) -> dict[str, list[int]]:
         """Ids of words that are not remembered yet; very long ones are not remembered."""
         long: dict[str, list[int]] = {}
-        sized: dict[int, list[tuple[str, bytes]]] = {}
-        for w in words:
-            raw = w.encode("utf-8", "surrogatepass")
-            r = self.ranks.get(raw)
+        sized: list[tuple[list[str], list[bytes]]] = [([], []) for _ in range(LONGEST_TOGETHER.bit_length())]  # by the logarithm of the size
+        names = list(words)
+        raws = [w.encode("utf-8", "surrogatepass") for w in names]
+        seen = self.seen
+        for w, raw, r in zip(names, raws, map(self.ranks.get, raws)):
             if r is not None:
-                self.seen[w] = [r]
+                seen[w] = [r]
             elif len(raw) > LONGEST_TOGETHER:
                 long[w] = merge_word(raw, self.ranks)
             else:
-                sized.setdefault(max(2, 1 << (len(raw) - 1).bit_length()), []).append((w, raw))
-        for size, pairs in sized.items():
-            for at in range(0, len(pairs), 20_000):
-                part = pairs[at : at + 20_000]
-                self.seen.update(zip((w for w, _ in part), self.trees.merge([raw for _, raw in part], size)))
+                own, bits = sized[(len(raw) - 1).bit_length()]
+                own.append(w)
+                bits.append(raw)
+        for k, (own, bits) in enumerate(sized):
+            for at in range(0, len(own), 10_000):
+                seen.update(zip(own[at : at + 10_000], self.trees.merge(bits[at : at + 10_000], max(2, 1 << k))))
         return long
 
     def encode(self, texts: list[str]) -> list[list[int]]:
