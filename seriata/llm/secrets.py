@@ -7,7 +7,9 @@ words. The forest learns from labelled findings (value, before, after, label); w
 any other, `example_findings` makes some from hashes of row numbers.
 
 Null and empty texts give no finding; a text's repeated candidates are findings each. A
-very long run is one candidate; its features look at the first LONGEST characters.
+candidate of more than LONGEST characters is scored by overlapping windows of WINDOW
+characters, a new one every STEP, and by the access-key ids in it; its probability is the
+greatest of theirs.
 """
 
 from __future__ import annotations
@@ -15,17 +17,19 @@ from __future__ import annotations
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seriata.llm.common import materialize
 
 LONGEST = 200
+WINDOW = 48
+STEP = 8
 CONTEXT = 48
 AFTER = 24
 THRESHOLD = 0.5
 _NAME = r"(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)[\"']?[ \t]{0,3}"
-_RUN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,200}[0-9])[A-Za-z0-9+/_-]{16,}+"
+_RUN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}+"
 _KEY = r"AKIA[A-Z0-9]{16}"
 #: Each looks first for what is rare, so most positions cost one comparison.
 _ASSIGNED = rf"[:=](?<={_NAME}[:=])[ \t]{{0,3}}[\"']?[^\s\"',;]{{6}}"
@@ -52,11 +56,11 @@ def candidates(docs: DataFrame) -> DataFrame:
 
 
 def features(rows: DataFrame) -> DataFrame:
-    v = F.substring("value", 1, LONGEST)
+    v = F.col("value")
     n = F.greatest(F.length(v), F.lit(1)).cast("double")
     share = lambda pattern: F.length(F.regexp_replace(v, pattern, "")) / n
     kinds = F.translate(v, "bcdefghijklmnopqrstuvwxyzBCDEFGHIJKLMNOPQRSTUVWXYZ123456789", "a" * 25 + "A" * 25 + "0" * 9)
-    changes = F.size(F.filter(F.sequence(F.lit(2), F.greatest(F.length(v), F.lit(2))), lambda i: F.substr(kinds, i, F.lit(1)) != F.substr(kinds, i - 1, F.lit(1))))
+    changes = F.greatest(F.length(F.regexp_replace(kinds, r"(?s)(.)(?=\1)", "")) - 1, F.lit(0))
     chars = F.array_distinct(F.split(v, ""))
     p = lambda c: (F.length(v) - F.length(F.replace(v, c, F.lit("")))) / n
     entropy = F.aggregate(F.filter(chars, lambda c: c != ""), F.lit(0.0), lambda acc, c: acc - p(c) * F.log2(p(c)))
@@ -118,10 +122,24 @@ def train(findings: DataFrame, trees: int = 20, depth: int = 8, seed: int = 7) -
     return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, labelCol="label", featuresCol="features").fit(_vectors(findings))
 
 
+def _scored(rows: DataFrame, model: RandomForestClassificationModel) -> DataFrame:
+    return model.transform(_vectors(rows)).withColumn("probability", vector_to_array("probability")[1])
+
+
+def windows(value: Column) -> Column:
+    """Overlapping windows up to the value's end, and its access-key ids: linear in its length."""
+    cut = F.regexp_extract_all(value, F.lit(f"(?s)(?=(.{{{WINDOW - STEP + 1},{WINDOW}}})).{{{STEP}}}"), F.lit(1))
+    return F.concat(cut, F.regexp_extract_all(value, F.lit(f"({_KEY})"), F.lit(1)))
+
+
 def scan(docs: DataFrame, model: RandomForestClassificationModel, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, value, before, after, probability, secret: a row per candidate."""
-    found = materialize(candidates(docs), "secrets-candidates")
-    scored = model.transform(_vectors(found)).withColumn("probability", vector_to_array("probability")[1])
+    found = materialize(candidates(docs).withColumn("rid", F.monotonically_increasing_id()), "secrets-candidates")
+    long = F.length("value") > LONGEST
+    parts = found.where(long).select("rid", "before", "after", F.explode(windows(F.col("value"))).alias("value"))
+    best = _scored(parts, model).groupBy("rid").agg(F.max("probability").alias("probability"))
+    columns = [*found.columns, "probability"]
+    scored = _scored(found.where(~long), model).select(*columns).unionByName(found.where(long).join(best, "rid").select(*columns))
     return scored.select("doc_id", "value", "before", "after", "probability", (F.col("probability") >= threshold).alias("secret"))
 
 

@@ -173,6 +173,26 @@ def test_secrets_are_found_and_prose_left(spark, forest):
     assert secrets.scan(make(spark, []), forest).count() == 0
 
 
+def test_secrets_behind_long_runs_are_found(spark, forest):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(5)
+    text = lambda n, of: "".join(rng.choice(of) for _ in range(n))
+    slug = lambda n: "-".join(["tionther", "mentsch", "ingouble"] * n)
+    base64 = lambda n: text(n, "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+    found = [slug(10) + "-" + base64(43), "chapter1-" + slug(10) + "-" + base64(43), slug(9) + base64(43) + slug(9), slug(10) + "AKIA" + text(16, "ABCDEFGHIJ234567"), "token = " + slug(60) + text(40, "0123456789abcdef")]
+    clean = [slug(10), "1-" + slug(10), slug(12) + "-2", slug(400) + "24"]
+    docs = make(spark, [f"words {v} more" for v in found + clean])
+    rows = secrets.scan(docs, forest).collect()
+    assert {r.doc_id for r in rows if r.secret} == set(range(len(found))), [(r.doc_id, r.probability) for r in rows]
+    assert sorted(r.doc_id for r in rows) == [0, 1, 2, 3, 4, 6, 7, 8]
+    redacted = {r.doc_id: r.text for r in secrets.redact(docs, forest).collect()}
+    assert all("[SECRET]" in redacted[i] and found[i][-40:] not in redacted[i] for i in range(len(found)))
+    assert all(redacted[len(found) + i] == f"words {v} more" for i, v in enumerate(clean))
+    rest = [r.w for r in spark.sql(f"select '{slug(10)}{'x' * 7}9' as v").select(F.explode(secrets.windows(F.col("v"))).alias("w")).collect()]
+    assert rest[-1].endswith("x9") and all(secrets.WINDOW - secrets.STEP < len(w) <= secrets.WINDOW for w in rest)
+
+
 def test_native_operators_have_no_python_in_their_plans(spark, forest):
     convs = conversation(spark, [(1, 0, "user", "a"), (1, 1, "user", "> a\nb")])
     for df in (quotes.link(convs), secrets.scan(make(spark, ["AKIA" + "Z2" * 8]), forest)):
