@@ -157,30 +157,40 @@ def agreement_monte_carlo(arms: DataFrame, group: Key, draws: int, seed: int = 0
     return arms.groupBy(*group).applyInPandas(one, f"{fields}, rho_bar double, p double, null_mean double, null_sd double")
 
 
-def tail_calibration(df: DataFrame, key: Key, draws: int, alphas: Sequence[float] = (1e-2, 1e-3, 1e-4, 1e-5, 1e-6), seed: int = 0, value: str = "value", chunk: int = 512) -> DataFrame:
-    """Key..., n, kurtosis, n_perm, alpha, n_reject, fpr_empirical, ratio_to_nominal, max_z: how often shuffled copies exceed the normal limits."""
+def tail_calibration(df: DataFrame, key: Key, draws: int, alphas: Sequence[float] = (1e-2, 1e-3, 1e-4, 1e-5, 1e-6), seed: int = 0, value: str = "value", chunk: int = 512, part: int = 31_250) -> DataFrame:
+    """Key..., n, kurtosis, n_perm, alpha, n_reject, fpr_empirical, ratio_to_nominal, max_z: how often shuffled copies exceed the normal limits. A vector's draws go to tasks in parts of `part`, each with its own seed; the counts are summed."""
     limits = [normal_isf(a) for a in alphas]
-    names = [*key, "n", "kurtosis", "n_perm", "alpha", "n_reject", "fpr_empirical", "ratio_to_nominal", "max_z"]
+    parts = max(1, -(-draws // part))
+    names = [*key, "n", "kurtosis", "n_perm", "alpha", "n_reject", "max_z"]
 
     def one(k: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        *k, piece = k
         x = rows.sort_values("pos")[value].to_numpy(float)
         c = x - x.mean()
         n, s2, s4 = len(c), float((c**2).sum()), float((c**4).sum())
         if n < 4 or s2 <= 1e-24 * n:
             return pd.DataFrame([], columns=names)
         var = ((s2 * s2 - s4) / (n - 1) + (s2 * s2 - 2 * s4) / ((n - 1) * (n - 2)) - s2 * s2 / (n - 1) ** 2) / (s2 * s2)
-        rng = np.random.default_rng(stable_seed(seed, *map(str, k)))
+        rng = np.random.default_rng(stable_seed(seed, *map(str, k), int(piece)))
+        own = min(part, draws - int(piece) * part)
         hits, top = np.zeros(len(limits), int), -np.inf
-        for at in range(0, draws, chunk):
-            p = rng.permuted(np.broadcast_to(c, (min(chunk, draws - at), n)), axis=1)
-            z = ((p * np.roll(p, -1, 1)).sum(1) / s2 + 1 / (n - 1)) / math.sqrt(var)
+        p = np.tile(c, (max(1, min(chunk, own, 4_000_000 // n)), 1))
+        for at in range(0, own, len(p)):
+            rng.permuted(p, axis=1, out=p)
+            r = (p[:, :-1] * p[:, 1:]).sum(1) + p[:, -1] * p[:, 0]
+            z = ((r / s2 + 1 / (n - 1)) / math.sqrt(var))[: own - at]
             hits += (z[:, None] > np.array(limits)).sum(0)
             top = max(top, float(z.max()))
-        kurt = n * s4 / s2**2
-        return pd.DataFrame([[*k, n, kurt, draws, a, int(h), h / draws, h / draws / a, top] for a, h in zip(alphas, hits)], columns=names)
+        return pd.DataFrame([[*k, n, n * s4 / s2**2, own, a, int(h), top] for a, h in zip(alphas, hits)], columns=names)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*key).schema)
-    return df.groupBy(*key).applyInPandas(one, f"{fields}, n bigint, kurtosis double, n_perm bigint, alpha double, n_reject bigint, fpr_empirical double, ratio_to_nominal double, max_z double")
+    pieces = F.broadcast(df.sparkSession.range(parts).select(F.col("id").alias("_part")))
+    by = [*key, "_part"]
+    # a fixed number of tasks: the rows are few, the draws are not
+    counts = df.select(*key, "pos", value).crossJoin(pieces).repartition(parts, *by).groupBy(*by).applyInPandas(one, f"{fields}, n bigint, kurtosis double, n_perm bigint, alpha double, n_reject bigint, max_z double")
+    out = counts.groupBy(*key, "alpha").agg(F.first("n").alias("n"), F.first("kurtosis").alias("kurtosis"), F.sum("n_perm").alias("n_perm"), F.sum("n_reject").alias("n_reject"), F.max("max_z").alias("max_z"))
+    out = out.withColumn("fpr_empirical", F.col("n_reject") / F.col("n_perm")).withColumn("ratio_to_nominal", F.col("fpr_empirical") / F.col("alpha"))
+    return out.select(*key, "n", "kurtosis", "n_perm", "alpha", "n_reject", "fpr_empirical", "ratio_to_nominal", "max_z")
 
 
 def permutation_sharing(perms: DataFrame, group: Key) -> DataFrame:

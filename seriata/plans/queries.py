@@ -647,7 +647,7 @@ def cat_mc_pvalue(spark, sf_dir):
 
 @query()
 def aot_tail(spark, sf_dir):
-    return diagnose.tail_calibration(inputs.arms(spark, sf_dir), ["g", "arm"], 4000, seed=1)
+    return diagnose.tail_calibration(inputs.arms(spark, sf_dir), ["g", "arm"], 1_000_000, seed=1)
 
 
 @query()

@@ -6,7 +6,8 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from seriata.plans import pipelines, registry
+from seriata.operators import diagnose
+from seriata.plans import inputs, pipelines, registry
 from seriata.plans.queries import ORACLES, QUERIES
 
 DIR = "/root/testdata/sf0.001"
@@ -89,3 +90,18 @@ def test_numbers_and_tables(spark):
     assert numbers["runs"] == 2 and numbers["hours"] == 3 and numbers["epochs"] == 10
     assert {r.backbone: r.runs for r in pipelines.grid_table(runs).collect()} == {"a": 1, "b": 1, "all": 2}
     assert runs.agg(pipelines.rate_of(F.col("mse") > 0.6).alias("x")).first().x == 50.0
+
+
+def test_tail_draws_are_split_and_summed(spark, monkeypatch):
+    rows = [(k, i, float((i * i * 7919) % 101)) for k in ("a", "b") for i in range(40)] + [("flat", i, 1.0) for i in range(40)]
+    df = spark.createDataFrame(rows, "k string, pos long, value double")
+    got = diagnose.tail_calibration(df, ["k"], 20_500, (0.05, 0.01), seed=3, part=4_000).collect()
+    assert sorted((r.k, r.alpha) for r in got) == [("a", 0.01), ("a", 0.05), ("b", 0.01), ("b", 0.05)]
+    assert all(r.n_perm == 20_500 and r.n == 40 and r.fpr_empirical == r.n_reject / 20_500 and 0.5 < r.ratio_to_nominal < 2 for r in got)
+    assert diagnose.tail_calibration(df, ["k"], 20_500, (0.05,), seed=3, part=4_000).agg(F.sum("n_reject")).first()[0] == sum(r.n_reject for r in got if r.alpha == 0.05)
+    assert next(iter(diagnose.tail_calibration(df.where("k = 'a'"), ["k"], 7, (0.5,), part=4).collect())).n_perm == 7
+    asked = []
+    monkeypatch.setattr(diagnose, "tail_calibration", lambda df, key, draws, **more: asked.append(draws))
+    monkeypatch.setattr(inputs, "arms", lambda spark, sf_dir: None)
+    QUERIES["aot_tail"](spark, DIR)
+    assert asked == [1_000_000]
