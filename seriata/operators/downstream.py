@@ -47,7 +47,7 @@ def classifier(seed: int = 0) -> RandomForestClassifier:
     return RandomForestClassifier(featuresCol="_x", labelCol="_y", predictionCol="pick", numTrees=60, maxDepth=6, minInstancesPerNode=20, seed=seed)
 
 
-def difficulty_regression(joined: DataFrame, test: DataFrame, columns: Sequence[str], seq_len: int, pred_len: int, purge: int | None = None, mode: str = "disjoint", seed: int = 0, iterations: int = 50) -> DataFrame:
+def difficulty_regression(joined: DataFrame, test: DataFrame, columns: Sequence[str], seq_len: int, pred_len: int, purge: int | None = None, mode: str = "disjoint", seed: int = 0, iterations: int = 200) -> DataFrame:
     """M1: joined (condition, pos, columns, value) and test (columns, value): condition, spearman_test, r2_test, spearman_holdout, holdout_eligible and association. The target is the log of the value."""
     y = clamped_log(F.col("value"))
     test = _vectors(test.withColumn("_y", y), columns)

@@ -669,7 +669,7 @@ def difficulty_regression(spark, sf_dir):
     x, y = df.select("g", "pos", *cols), df.select("g", "pos", "value")
     perm, control = order.full_permutation(y, ["g"], "t1"), order.full_permutation(y, ["g"], "t1c")
     joined = downstream.three_conditions(x, y, perm, control, ["g"])
-    return downstream.difficulty_regression(joined.drop("g"), df.select(*cols, "value"), cols, L, H, iterations=5)
+    return downstream.difficulty_regression(joined.drop("g"), df.select(*cols, "value"), cols, L, H)
 
 
 @query()

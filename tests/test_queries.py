@@ -6,7 +6,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from seriata.operators import diagnose
+from seriata.operators import diagnose, downstream
 from seriata.plans import inputs, pipelines, registry
 from seriata.plans.queries import ORACLES, QUERIES
 
@@ -105,3 +105,19 @@ def test_tail_draws_are_split_and_summed(spark, monkeypatch):
     monkeypatch.setattr(inputs, "arms", lambda spark, sf_dir: None)
     QUERIES["aot_tail"](spark, DIR)
     assert asked == [1_000_000]
+
+
+def test_difficulty_regression_boosts_200_rounds(spark, monkeypatch):
+    asked = []
+
+    class Fitted(Exception):
+        pass
+
+    def fit(seed, iterations):
+        asked.append(iterations)
+        raise Fitted
+
+    monkeypatch.setattr(downstream, "regressor", fit)
+    with pytest.raises(Fitted):
+        QUERIES["difficulty_regression"](spark, DIR)
+    assert asked == [200]
