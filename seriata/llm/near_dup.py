@@ -44,7 +44,7 @@ SMALL = 8
 PIVOTS = 48
 SLOTS = 1 << 18
 SEEN_BITS = 1 << 23
-_SET_ROWS = "doc_id long, n_shingles long, digest binary, bands array<long>, signature binary"
+_SET_ROWS = "doc_id long, text_hash long, n_shingles long, digest binary, bands array<long>, signature binary"
 
 
 def bands_for(threshold: float, rows: int = ROWS, miss: float = MISS) -> int:
@@ -86,13 +86,13 @@ def _batch(columns: list[list], schema: pa.Schema) -> pa.RecordBatch:
 
 def _sketch(batches: Iterator[pa.RecordBatch], bands: int) -> Iterator[pa.RecordBatch]:
     minhash = MinHash(bands)
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64())), ("signature", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64())), ("signature", pa.binary())])
     for batch in batches:
         ids = batch.column(0).to_pylist()
         rows: list[tuple] = []
-        for doc_id, text in zip(ids, batch.column(1)):
+        for doc_id, text, text_hash in zip(ids, batch.column(1), batch.column(2).to_pylist()):
             s = shingle_set(text.as_py())
-            rows.append((doc_id, len(s), digest_of(s), *minhash.of(s)) if len(s) else (doc_id, 0, None, None, None))
+            rows.append((doc_id, text_hash, len(s), digest_of(s), *minhash.of(s)) if len(s) else (doc_id, text_hash, 0, None, None, None))
         if rows:
             yield _batch([list(c) for c in zip(*rows)], schema)
         del rows, batch
@@ -251,14 +251,24 @@ def _residual(sets: DataFrame, open_: DataFrame, roots: DataFrame, t: Fraction)
             roots = components(roots.select(col("node").alias("u"), col("root").alias("v")).unionByName(links))
 
 
+def _text_hash() -> Column:
+    return F.xxhash64(text_or_empty())
+
+
 def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, class_size for every row of docs (doc_id, text)."""
+    return _labelled(docs, threshold).drop("text_hash")
+
+
+def _labelled(docs: DataFrame, threshold: float) -> DataFrame:
+    """The rows of near_duplicates with the text's hash, which tells rows of one doc_id apart."""
     ship(docs.sparkSession)
     t = Fraction(str(threshold))
     bands = bands_for(threshold)
     k = bands * ROWS
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    rows = materialize(source.mapInArrow(lambda b: _sketch(b, bands), _SET_ROWS), "near-rows")
+    hashed = source.withColumn("text_hash", _text_hash())
+    rows = materialize(hashed.mapInArrow(lambda b: _sketch(b, bands), _SET_ROWS), "near-rows")
     classes = rows.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("id"), F.count("*").alias("class_size"), F.first("bands").alias("bands"), F.first("signature").alias("signature"))
     classes = materialize(classes, "near-classes")
     keys = classes.select("digest", F.explode("bands").alias("key"))
@@ -281,14 +291,15 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     named = classes.join(roots.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
     least = named.groupBy("root").agg(F.min("id").alias("component_id"))
     labels = materialize(named.join(least, "root").select("digest", "component_id", "class_size"), "near-labels")
-    alone = rows.where("digest is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(1).cast("long").alias("class_size"))
-    linked = rows.where("digest is not null").select("doc_id", "n_shingles", "digest").join(labels, "digest").select("doc_id", "n_shingles", "component_id", "class_size")
+    alone = rows.where("digest is null").select("doc_id", "text_hash", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(1).cast("long").alias("class_size"))
+    linked = rows.where("digest is not null").select("doc_id", "text_hash", "n_shingles", "digest").join(labels, "digest").select("doc_id", "text_hash", "n_shingles", "component_id", "class_size")
     out = alone.unionByName(linked)
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
 
 
 def drop_near_copies(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """One row of each component stays (the smallest doc_id). Only the ids that go are joined; a null doc_id stays."""
-    found = near_duplicates(docs, threshold)
-    gone = materialize(found.where("not kept and doc_id is not null").select("doc_id").distinct(), "near-gone")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """The rows of each component's smallest doc_id stay, its others go; a null doc_id stays. Only what goes is joined, by doc_id and text, so another text of the same doc_id stays."""
+    found = _labelled(docs, threshold)
+    gone = found.where("not kept and doc_id is not null").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    gone = materialize(gone, "near-gone")
+    return docs.join(gone, (docs["doc_id"].cast("long") == F.col("_id")) & (_text_hash() == F.col("_hash")), "left_anti").select(*docs.columns)

@@ -14,6 +14,8 @@ greatest of theirs.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -41,18 +43,18 @@ DICTIONARY = ("the", "and", "ing", "tion", "ment", "example", "sample", "changem
 FEATURES = ("length", "digits", "capitals", "hex", "variety", "entropy", "transitions", "coverage", "path", "keyword", "assigned", "quoted", "innocent", "access_id", "spaced_number", "repeats")
 
 
-def candidates(docs: DataFrame) -> DataFrame:
-    """doc_id, value, before, after. Texts without candidates drop out by three linear patterns; in the others one pass marks the candidates, and the text is split at the marks."""
+def candidates(docs: DataFrame, keys: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """keys..., value, before, after. Texts without candidates drop out by three linear patterns; in the others one pass marks the candidates, and the text is split at the marks."""
     text = F.col("text")
-    some = docs.where(text.rlike(_ASSIGNED) | text.rlike(_RUN) | text.rlike(_KEY)).select("doc_id", "text")
+    some = docs.where(text.rlike(_ASSIGNED) | text.rlike(_RUN) | text.rlike(_KEY)).select(*keys, "text")
     marked = F.regexp_replace(F.translate("text", _OPEN + _CLOSE, "  "), f"({CANDIDATE})", f"{_OPEN}$1{_CLOSE}")
-    parts = some.select("doc_id", F.split(marked, _OPEN).alias("parts"))
+    parts = some.select(*keys, F.split(marked, _OPEN).alias("parts"))
     n = F.size("parts")
     pairs = F.arrays_zip(F.slice("parts", 1, n - 1).alias("left"), F.slice("parts", 2, n - 1).alias("right"))
-    rows = parts.where(n > 1).select("doc_id", F.explode(pairs).alias("p")).select("doc_id", F.col("p.left").alias("left"), F.col("p.right").alias("right"))
+    rows = parts.where(n > 1).select(*keys, F.explode(pairs).alias("p")).select(*keys, F.col("p.left").alias("left"), F.col("p.right").alias("right"))
     before = F.substring_index("left", _CLOSE, -1)
     before = F.when(F.length(before) < 8, F.translate("left", _CLOSE, " ")).otherwise(before)
-    return rows.select("doc_id", F.substring_index("right", _CLOSE, 1).alias("value"), F.substring(before, -CONTEXT, CONTEXT).alias("before"), F.substring(F.substring_index("right", _CLOSE, -1), 1, AFTER).alias("after"))
+    return rows.select(*keys, F.substring_index("right", _CLOSE, 1).alias("value"), F.substring(before, -CONTEXT, CONTEXT).alias("before"), F.substring(F.substring_index("right", _CLOSE, -1), 1, AFTER).alias("after"))
 
 
 def features(rows: DataFrame) -> DataFrame:
@@ -132,22 +134,23 @@ def windows(value: Column) -> Column:
     return F.concat(cut, F.regexp_extract_all(value, F.lit(f"({_KEY})"), F.lit(1)))
 
 
-def scan(docs: DataFrame, model: RandomForestClassificationModel, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, value, before, after, probability, secret: a row per candidate."""
-    found = materialize(candidates(docs).withColumn("rid", F.monotonically_increasing_id()), "secrets-candidates")
+def scan(docs: DataFrame, model: RandomForestClassificationModel, threshold: float = THRESHOLD, keys: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """keys..., value, before, after, probability, secret: a row per candidate."""
+    found = materialize(candidates(docs, keys).withColumn("rid", F.monotonically_increasing_id()), "secrets-candidates")
     long = F.length("value") > LONGEST
     parts = found.where(long).select("rid", "before", "after", F.explode(windows(F.col("value"))).alias("value"))
     best = _scored(parts, model).groupBy("rid").agg(F.max("probability").alias("probability"))
     columns = [*found.columns, "probability"]
     scored = _scored(found.where(~long), model).select(*columns).unionByName(found.where(long).join(best, "rid").select(*columns))
-    return scored.select("doc_id", "value", "before", "after", "probability", (F.col("probability") >= threshold).alias("secret"))
+    return scored.select(*keys, "value", "before", "after", "probability", (F.col("probability") >= threshold).alias("secret"))
 
 
 def redact(docs: DataFrame, model: RandomForestClassificationModel, mark: str = "[SECRET]") -> DataFrame:
-    """docs with every value found secret replaced in text, and n_chars, where there is one, set anew. A document keeps its row."""
-    values = scan(docs, model).where("secret and doc_id is not null").groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct(F.length("value").alias("n"), "value")), False).alias("_secrets"))
-    values = materialize(values.select(F.col("doc_id").alias("_id"), F.col("_secrets.value").alias("_secrets")), "secrets-values")
-    joined = docs.join(values, F.col("doc_id") == F.col("_id"), "left")
+    """docs with every value found secret replaced in text, and n_chars, where there is one, set anew. A document keeps its row; rows are told apart by doc_id, which may be null or repeated, and a hash of the text."""
+    own = docs.withColumn("_text_hash", F.xxhash64("text"))
+    values = scan(own, model, keys=("doc_id", "_text_hash")).where("secret").groupBy("doc_id", "_text_hash").agg(F.sort_array(F.collect_set(F.struct(F.length("value").alias("n"), "value")), False).alias("_secrets"))
+    values = materialize(values.select(F.col("doc_id").alias("_id"), F.col("_text_hash").alias("_hash"), F.col("_secrets.value").alias("_secrets")), "secrets-values")
+    joined = own.join(values, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left")
     text = F.aggregate("_secrets", F.col("text"), lambda t, s: F.replace(t, s, F.lit(mark)))
     joined = joined.withColumn("text", F.when(F.col("_secrets").isNull(), F.col("text")).otherwise(text))
     if "n_chars" in docs.columns:

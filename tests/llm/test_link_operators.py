@@ -72,6 +72,12 @@ def test_near_duplicates_edges(spark):
     assert sorted(r.doc_id for r in kept) == [4, 5]
 
 
+def test_near_copies_go_by_row(spark):
+    texts = ["a b c d e f g", "a b c d e f g", "quite another text of eight words here", "", None]
+    kept = near_dup.drop_near_copies(make(spark, texts, ids=[1, 5, 5, 5, None]), 0.8).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept) == [(0, ""), (1, texts[0]), (5, ""), (5, texts[2])]
+
+
 def test_components_of_long_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(200)] + [(1000, 1000 + i) for i in range(1, 120)] + [(5, 5), (None, 3)]
     rng = random.Random(0)
@@ -173,6 +179,13 @@ def test_secrets_are_found_and_prose_left(spark, forest):
     assert secrets.scan(make(spark, []), forest).count() == 0
 
 
+def test_secrets_of_null_and_repeated_ids_are_redacted(spark, forest):
+    key = lambda c: "AKIA" + (c + "2") * 8
+    texts = [f"one {key('Z')} end", f"two {key('Q')} end", f"three {key('X')} end", f"four {key('V')} end", "plain", None]
+    got = secrets.redact(make(spark, texts, ids=[None, None, 7, 7, None, 7]), forest).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in got) == [(0, "one [SECRET] end"), (0, "plain"), (0, "two [SECRET] end"), (7, ""), (7, "four [SECRET] end"), (7, "three [SECRET] end")]
+
+
 def test_secrets_behind_long_runs_are_found(spark, forest):
     from pyspark.sql import functions as F
 
