@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextvars
 import tempfile
 import uuid
+import weakref
 
 import numpy as np
 import xxhash
@@ -13,9 +15,11 @@ from pyspark.sql import functions as F
 from seriata.ship import ship
 
 SHINGLE = 5
+HOT_SHARE = 1000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _local_dir: str | None = None
-_written: list[str] = []
+_places: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+_run: contextvars.ContextVar[Tables | None] = contextvars.ContextVar("run", default=None)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,33 +28,87 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
+    """The folder that driver and executors share; a temporary one only on a local master that names none."""
     global _local_dir
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if _local_dir is None:
         _local_dir = "file://" + tempfile.mkdtemp(prefix="seriata-")
     return _local_dir
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: lineage ends there, so lost executors cost nothing that was written."""
+def _path(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, p = _path(spark, path)
+    fs.delete(p, True)
+
+
+class Tables:
+    """The tables that one run writes: `with Tables(spark) as run:` owns those written inside the block.
+
+    run.release() deletes them, once nothing that reads them is needed any more. What is
+    never released goes when the application ends."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Tables:
+        self._token = _run.set(self)
+        return self
+
+    def __exit__(self, *_) -> None:
+        _run.reset(self._token)
+
+    def release(self) -> int:
+        n = len(self.paths)
+        while self.paths:
+            remove(self.spark, self.paths.pop())
+        return n
+
+
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, owned by the current run and deleted with the application at the latest."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    fs, p = _path(spark, path)
+    fs.mkdirs(p)
+    fs.deleteOnExit(p)
+    if owner := _run.get():
+        owner.paths.append(path)
+    return path
+
+
+def materialize(df: DataFrame, name: str, instead_of: DataFrame | None = None) -> DataFrame:
+    """Write df as Parquet into the shared folder and read it back: lineage ends there, so lost executors cost nothing that was written.
+
+    instead_of: an earlier result of this function that nothing reads any more once df is written; its files go."""
     spark = df.sparkSession
     ship(spark)
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path = fresh_path(spark, name)
+    df.write.mode("append").parquet(path)
+    if instead_of is not None and (old := _places.pop(instead_of, None)):
+        remove(spark, old)
+    out = spark.read.schema(df.schema).parquet(path)
+    _places[out] = path
+    return out
+
 
+def join_hot(rows: DataFrame, table: DataFrame, on: list[str], size: str, total: int, how: str = "inner") -> DataFrame:
+    """rows join table (a row a key, of which column `size` says how many of the `total` rows it meets), inner or left, without `size`.
 
-def release(spark: SparkSession) -> int:
-    """Delete the tables written so far; only once no result that reads them is needed any more."""
-    n = len(_written)
-    while _written:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    return n
+    Keys with over a thousandth of the rows are a thousand at most: those are broadcast, so
+    that their rows need not meet in one task; the rest is joined by shuffle."""
+    hot = F.col(size) * HOT_SHARE > F.lit(total)
+    heavy, light = F.broadcast(table.where(hot).drop(size)), table.where(~hot).drop(size)
+    rest = rows.join(F.broadcast(table.where(hot).select(*on)), on, "left_anti")
+    return rows.join(heavy, on).unionByName(rest.join(light, on, how))
 
 
 def text_or_empty(name: str = "text") -> Column:
@@ -62,10 +120,6 @@ def ascii_lower(col: Column) -> Column:
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def salted_buckets(rows: int, per_bucket: int = 20_000) -> int:
-    return max(1, -(-rows // per_bucket))
-
-
 class _WordHashes(dict):
     """Word -> 64-bit hash; emptied at a fixed size, so memory stays bounded on any vocabulary."""
 
