@@ -5,19 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seriata.llm.common import materialize
+from seriata.llm.common import join_hot, materialize
 
 
-def _large_star(e: DataFrame) -> DataFrame:
+def _large_star(e: DataFrame, n: int) -> DataFrame:
     both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("deg"))
+    return join_hot(both.where("v > u"), least, ["u"], "deg", 2 * n).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
 
 
-def _small_star(e: DataFrame) -> DataFrame:
+def _small_star(e: DataFrame, n: int) -> DataFrame:
     down = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("deg"))
+    moved = join_hot(down, least, ["u"], "deg", n).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -29,8 +29,9 @@ def _stars(e: DataFrame) -> bool:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """edges (u, v) -> (node, root): the least node reachable, for every node with an edge to another. Nulls link nothing; each round is written to the shared folder."""
+    """edges (u, v) -> (node, root): the least node reachable, for every node with an edge to another. Nulls link nothing; each round is written to the shared folder in the place of the one before. A node with a third of all edges does not meet them in one task."""
     e = materialize(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "components")
     while not _stars(e):
-        e = materialize(_small_star(_large_star(e)), "components")
+        e = materialize(_large_star(e, e.count()), "components", instead_of=e)
+        e = materialize(_small_star(e, e.count()), "components", instead_of=e)
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -15,16 +15,23 @@
    linked. So no candidate is capped or dropped.
 4. Components come from alternating large-star and small-star.
 
+Hot buckets, lists, classes and components are joined by `join_hot`; a pivot's set is sent
+once per PER_SALT members, to as many tasks. Texts are shingled again for candidates only:
+a bitmap of hashed doc_ids, sized by their number up to 2^MOST_BITS bits (8 MB), passes them
+and few others to a semi-join on doc_id and a hash of the text. From some 10^8 candidates
+on the bitmap passes most rows, and the semi-join shuffles most texts once; nothing is lost.
+
 Null and empty texts and texts without words have no shingles and link with nothing.
-Fewer than five words are one shingle. Repeated rows are copies of each other. A null
-doc_id takes part; a component's id is the smallest doc_id that is not null.
+Fewer than five words are one shingle. A text's length is not bounded. Repeated rows are
+copies of each other. A null doc_id takes part; a component's id is the smallest doc_id that
+is not null. An empty table gives no rows. Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from fractions import Fraction
 
 import numpy as np
@@ -33,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seriata.llm.common import materialize, shingle_set, text_or_empty
+from seriata.llm.common import join_hot, materialize, shingle_set, text_or_empty
 from seriata.llm.components import components
 from seriata.ship import ship
 
@@ -43,7 +50,8 @@ MARGIN = 0.12
 SMALL = 8
 PIVOTS = 48
 SLOTS = 1 << 18
-SEEN_BITS = 1 << 23
+PER_SALT = 256
+MOST_BITS = 26
 _SET_ROWS = "doc_id long, text_hash long, n_shingles long, digest binary, bands array<long>, signature binary"
 
 
@@ -99,16 +107,13 @@ def _sketch(batches: Iterator[pa.RecordBatch], bands: int) -> Iterator[pa.Record
         pa.default_memory_pool().release_unused()
 
 
-def _sets(batches: Iterator[pa.RecordBatch], seen: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Shingle sets of the rows whose doc_id may be a candidate's (a bitmap of fixed size; what passes in error does no harm)."""
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(digest, tokens) of texts that have shingles."""
     schema = pa.schema([("digest", pa.binary()), ("tokens", pa.list_(pa.int64()))])
     for batch in batches:
-        ids = np.array(batch.column(0).fill_null(-1), np.int64).astype(np.uint64)
-        slots = slot_of(ids)
-        hits = np.flatnonzero(np.unpackbits(seen, bitorder="little")[slots])
         held, size = ([], []), 0
-        for i in hits:
-            s = shingle_set(batch.column(1)[int(i)].as_py())
+        for text in batch.column(0):
+            s = shingle_set(text.as_py())
             if len(s):
                 held[0].append(digest_of(s))
                 held[1].append(s.view(np.int64))
@@ -120,21 +125,28 @@ def _sets(batches: Iterator[pa.RecordBatch], seen: np.ndarray) -> Iterator[pa.Re
             yield _batch([*held], schema)
 
 
-def slot_of(ids: np.ndarray) -> np.ndarray:
-    return ((ids * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 23)).astype(np.int64)
+def slot_of(ids: pd.Series, bits: int) -> np.ndarray:
+    return (ids.to_numpy(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def bitmap(ids: DataFrame) -> np.ndarray:
-    """SEEN_BITS bits as bytes, set at the hashes of column id: at most SEEN_BITS / 64 rows reach the driver."""
+def maybe_in(ids: DataFrame, n: int) -> Callable[[Column], Column]:
+    """A test that all of the n values of ids' column _id pass, and few others: a bitmap of 16 bits a value, 2^MOST_BITS at most, of which the driver gets a row for each 64."""
+    bits = min(MOST_BITS, max(16, (16 * n).bit_length()))
 
-    @F.pandas_udf("int")
-    def slot(x):
-        return pd.Series(slot_of(x.to_numpy(np.int64).astype(np.uint64)).astype(np.int32))
+    @F.pandas_udf("long")
+    def slot(x: pd.Series) -> pd.Series:
+        return pd.Series(slot_of(x, bits))
+
+    words = ids.select(slot("_id").alias("s")).groupBy(F.expr("s div 64").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(s % 64 as int)))").alias("b")).toPandas()
+    table = np.zeros(max(1, (1 << bits) // 64), np.int64)
+    table[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64)
 
-    words = ids.select(slot(F.coalesce("id", F.lit(-1)).cast("long")).alias("s")).groupBy(F.expr("s div 64").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(s % 64 as int)))").alias("bits")).toPandas()
-    out = np.zeros(SEEN_BITS // 64, np.int64)
-    out[words["w"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
-    return out.view(np.uint8)
+    @F.pandas_udf("boolean")
+    def test(x: pd.Series) -> pd.Series:
+        s = slot_of(x, bits)
+        return pd.Series((table[s >> 6] >> (s & 63)) & 1 == 1)
+
+    return test
 
 
 def _slot_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,19 +188,24 @@ def _enough(inter: Column, na: Column, nb: Column, t: Fraction) -> Column:
     return inter * t.denominator >= (na + nb - inter) * t.numerator
 
 
+def _beside(pairs: DataFrame, values: DataFrame) -> DataFrame:
+    """pairs (u, v) with the values (digest, x) of both as a and b. A hub u of many pairs meets them in several tasks, each with its own copy of the hub's value."""
+    hubs = pairs.groupBy("u").agg(F.count("*").alias("n")).withColumn("salts", F.ceil(F.col("n") / PER_SALT).cast("int"))
+    salted = join_hot(pairs, hubs, ["u"], "n", pairs.count()).withColumn("salt", F.pmod(F.xxhash64("v"), F.col("salts")).cast("int")).drop("salts")
+    a = values.select(F.col("digest").alias("u"), F.col("x").alias("a")).join(hubs.drop("n"), "u").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    return salted.join(a, ["u", "salt"]).drop("salt").join(values.select(F.col("digest").alias("v"), F.col("x").alias("b")), "v")
+
+
 def confirm(pairs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
-    """The pairs (u, v) whose full sets meet the threshold."""
-    a = sets.select(F.col("digest").alias("u"), F.col("tokens").alias("a"))
-    b = sets.select(F.col("digest").alias("v"), F.col("tokens").alias("b"))
-    both = pairs.join(a, "u").join(b, "v")
+    """The pairs (u, v) whose full sets meet the threshold; pairs is read twice, so it should be written."""
+    both = _beside(pairs, sets.select("digest", F.col("tokens").alias("x")))
     inter = F.size(F.array_intersect("a", "b"))
     return both.where(_enough(inter, F.size("a"), F.size("b"), t)).select("u", "v")
 
 
 def check_signatures(pairs: DataFrame, classes: DataFrame, least: float, k: int) -> DataFrame:
     """Drops pairs whose signatures agree in fewer than `least` of the k bytes: far below what the threshold allows."""
-    sig = classes.select("digest", "signature")
-    both = pairs.join(sig.select(F.col("digest").alias("u"), F.col("signature").alias("a")), "u").join(sig.select(F.col("digest").alias("v"), F.col("signature").alias("b")), "v")
+    both = _beside(pairs, classes.select("digest", F.col("signature").alias("x")))
 
     @F.pandas_udf("int")
     def same(a, b):
@@ -200,20 +217,21 @@ def check_signatures(pairs: DataFrame, classes: DataFrame, least: float, k: int)
     return both.where(same("a", "b") >= int(least * k)).select("u", "v")
 
 
-def _pairs(lists: DataFrame, pivots: DataFrame, extra: list[str], possible: Column) -> DataFrame:
-    """Distinct pairs (u, v) of lists (key, digest, c: rows of the key, *extra): all of a small key's, stars around the pivots (key, digest) of a larger one's."""
-    side = lambda d, p: d.select("key", *[F.col(x).alias(p + x) for x in ["digest", *extra]])
+def _pairs(lists: DataFrame, pivots: DataFrame, extra: list[str], possible: Column, total: int) -> DataFrame:
+    """Distinct pairs (u, v) of lists (key, digest, c: rows of the key, *extra), total rows: all of a small key's, stars around the pivots (key, digest) of a larger one's, with the pivot as u."""
+    side = lambda d, p, *more: d.select("key", *more, *[F.col(x).alias(p + x) for x in ["digest", *extra]])
     small = lists.where(F.col("c") <= SMALL)
-    near = side(small, "a_").join(side(small, "b_"), "key").where("a_digest < b_digest")
-    star = side(lists.where(F.col("c") > SMALL), "a_").join(side(pivots, "b_"), "key").where("a_digest != b_digest")
-    both = near.unionByName(star).where(possible)
-    return both.select(F.least("a_digest", "b_digest").alias("u"), F.greatest("a_digest", "b_digest").alias("v")).distinct()
+    near = side(small, "a_").join(side(small, "b_"), "key").where("a_digest < b_digest").withColumn("star", F.lit(0))
+    star = join_hot(side(lists.where(F.col("c") > SMALL), "b_"), side(pivots, "a_", "c"), ["key"], "c", total).where("a_digest != b_digest").withColumn("star", F.lit(1))
+    both = near.unionByName(star).where(possible).select(F.least("a_digest", "b_digest").alias("l"), F.greatest("a_digest", "b_digest").alias("g"), F.col("a_digest").alias("hub"), "star")
+    one = both.groupBy("l", "g").agg(F.max(F.struct("star", "hub"))["hub"].alias("u"))
+    return one.select("u", F.when(F.col("u") == F.col("l"), F.col("g")).otherwise(F.col("l")).alias("v"))
 
 
 def _pivots(lists: DataFrame, extra: list[str], order: Column, sub: Column) -> DataFrame:
-    """For each key of more than SMALL rows the least row by order of every sub-bucket: a fixed number a key."""
-    rows = lists.where(F.col("c") > SMALL).groupBy("key", sub.alias("_s")).agg(F.min_by(F.struct("digest", *extra), order).alias("p"))
-    return rows.select("key", *[F.col(f"p.{x}").alias(x) for x in ["digest", *extra]])
+    """For each key of more than SMALL rows the least row by order of every sub-bucket, and c: a fixed number a key."""
+    rows = lists.where(F.col("c") > SMALL).groupBy("key", "c", sub.alias("_s")).agg(F.min_by(F.struct("digest", *extra), order).alias("p"))
+    return rows.select("key", "c", *[F.col(f"p.{x}").alias(x) for x in ["digest", *extra]])
 
 
 def _residual(sets: DataFrame, open_: DataFrame, roots: DataFrame, t: Fraction) -> DataFrame:
@@ -228,25 +246,29 @@ def _residual(sets: DataFrame, open_: DataFrame, roots: DataFrame, t: Fraction)
     indexes = bound(F.col("n"), F.col("n")) <= slack
     col = F.col
     possible = (col("a_root") != col("b_root")) & (bound(col("a_n"), col("b_n")) <= F.least(col("a_n") - col("a_i"), col("b_n") - col("b_i"))) & (F.least("a_n", "b_n") * den >= F.greatest("a_n", "b_n") * num)
+    before = None
     while True:
+        total = lists.count()
         live = lists.join(roots.select(col("node").alias("digest"), "root"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
         # a pair needs a member that could meet its like here, and the other's size within reach of it
-        least = live.groupBy("key").agg(F.min(F.when(indexes, col("n"))).alias("n_min"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("n_min is not null and r0 != r1").drop("r0", "r1")
-        live = live.join(least, "key").where(indexes | (F.floor(slack * F.lit(num + den) / F.lit(num) + F.lit(1e-9)) - col("n") >= col("n_min"))).drop("n_min")
-        sizes = live.groupBy("key").agg(F.count("*").alias("c"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("c > 1 and r0 != r1").drop("r0", "r1")
-        live = materialize(live.join(sizes, "key"), "near-live")
+        least = live.groupBy("key").agg(F.min(F.when(indexes, col("n"))).alias("n_min"), F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("_c")).where("n_min is not null and r0 != r1").drop("r0", "r1")
+        live = join_hot(live, least, ["key"], "_c", total).where(indexes | (F.floor(slack * F.lit(num + den) / F.lit(num) + F.lit(1e-9)) - col("n") >= col("n_min"))).drop("n_min")
+        live = materialize(live, "near-reach", instead_of=before)
+        sizes = live.groupBy("key").agg(F.count("*").alias("c"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("c > 1 and r0 != r1").drop("r0", "r1").withColumn("_c", col("c"))
+        live = materialize(join_hot(live, sizes, ["key"], "_c", total), "near-live", instead_of=live)
         if not live.limit(1).count():
             return roots
         # a pair across components has a member outside its list's largest one: only those, and the most central member, need be pivots
-        largest = live.groupBy("key", "root").agg(F.count("*").alias("m")).groupBy("key").agg(F.max_by("root", F.struct("m", "root")).alias("largest"))
+        largest = live.groupBy("key", "c", "root").agg(F.count("*").alias("m")).groupBy("key", "c").agg(F.max_by("root", F.struct("m", "root")).alias("largest"))
         order, extra = F.struct("i", "n", "digest"), ["n", "i", "root"]
-        outside = live.join(largest, "key").where("root != largest")
+        outside = join_hot(live.where(col("c") > SMALL), largest.withColumn("_c", col("c")).drop("c"), ["key"], "_c", total).where("root != largest").drop("largest")
         pivots = _pivots(live, extra, order, F.lit(0)).unionByName(_pivots(outside, extra, order, F.pmod(F.xxhash64("digest"), F.lit(PIVOTS)))).distinct()
         pivots = materialize(pivots, "near-pivots")
-        links = materialize(confirm(_pairs(live, pivots, extra, possible), sets, t), "near-links")
+        pairs = materialize(_pairs(live, pivots, extra, possible, total), "near-pairs")
+        links = materialize(confirm(pairs, sets, t), "near-links", instead_of=pairs)
         done = pivots.select("key", "digest")
-        lists = live.where(col("c") > SMALL).drop("c", "root").join(done, ["key", "digest"], "left_anti")
-        lists = materialize(lists, "near-prefixes")
+        lists = materialize(live.where(col("c") > SMALL).drop("c", "root").join(done, ["key", "digest"], "left_anti"), "near-prefixes", instead_of=lists)
+        before = live
         if links.limit(1).count():
             roots = components(roots.select(col("node").alias("u"), col("root").alias("v")).unionByName(links))
 
@@ -269,37 +291,44 @@ def _labelled(docs: DataFrame, threshold: float) -> DataFrame:
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     hashed = source.withColumn("text_hash", _text_hash())
     rows = materialize(hashed.mapInArrow(lambda b: _sketch(b, bands), _SET_ROWS), "near-rows")
-    classes = rows.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("id"), F.count("*").alias("class_size"), F.first("bands").alias("bands"), F.first("signature").alias("signature"))
-    classes = materialize(classes, "near-classes")
+    known = F.col("doc_id").isNotNull()
+    first = F.min(F.struct((~known).alias("n"), "doc_id", "text_hash"))  # any row of the class will do; the least id is its name
+    classes = rows.where("digest is not null").groupBy("digest").agg(first.alias("f"), F.count("*").alias("class_size"), F.first("bands").alias("bands"), F.first("signature").alias("signature"))
+    classes = materialize(classes.select("digest", F.col("f.doc_id").alias("id"), F.col("f.text_hash").alias("text_hash"), "class_size", "bands", "signature"), "near-classes")
+    n_classes = classes.count()
+    total = n_classes * bands
     keys = classes.select("digest", F.explode("bands").alias("key"))
-    shared = keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
-    lists = materialize(keys.join(shared, "key"), "near-buckets")
-    pairs = _pairs(lists, _pivots(lists, [], F.col("digest"), F.lit(0)), [], F.lit(True))
-    pairs = materialize(check_signatures(pairs, classes, threshold - MARGIN, k), "near-pairs")
+    shared = keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").withColumn("_c", F.col("c"))
+    lists = materialize(join_hot(keys, shared, ["key"], "_c", total), "near-buckets")
+    tried = materialize(_pairs(lists, _pivots(lists, [], F.col("digest"), F.lit(0)), [], F.lit(True), total), "near-candidates")
+    pairs = materialize(check_signatures(tried, classes, threshold - MARGIN, k), "near-pairs", instead_of=tried)
     wide = lists.where(F.col("c") > SMALL)
     wanted = pairs.select(F.col("u").alias("digest")).unionByName(pairs.select(F.col("v").alias("digest"))).unionByName(wide.select("digest")).distinct()
-    wanted = materialize(classes.join(wanted, "digest", "left_semi").select("digest", F.col("id")), "near-wanted")
-    seen = bitmap(wanted.select("id"))
-    sets = source.mapInArrow(lambda b: _sets(b, seen), "digest binary, tokens array<long>").join(wanted.select("digest"), "digest", "left_semi")
+    wanted = materialize(classes.join(wanted, "digest", "left_semi").select(F.coalesce("id", F.lit(-1)).alias("_id"), F.col("text_hash").alias("_hash")).distinct(), "near-wanted")
+    maybe = maybe_in(wanted, wanted.count())
+    again = source.withColumn("_id", F.coalesce("doc_id", F.lit(-1))).where(maybe("_id")).withColumn("_hash", _text_hash()).join(wanted, ["_id", "_hash"], "left_semi")
+    sets = again.select("text").mapInArrow(_sets, "digest binary, tokens array<long>")
     sets = materialize(sets.groupBy("digest").agg(F.first("tokens").alias("tokens")), "near-sets")
     roots = components(confirm(pairs, sets, t))
     mixed = wide.join(roots.select(F.col("node").alias("digest"), "root"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
-    open_keys = mixed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("key")
-    open_ = materialize(wide.join(open_keys, "key", "left_semi").select("digest").distinct(), "near-undecided")
+    open_keys = mixed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.max("c").alias("_c")).where("r0 != r1").select("key", "_c")
+    open_ = materialize(join_hot(wide, open_keys, ["key"], "_c", total).select("digest").distinct(), "near-undecided")
     if open_.limit(1).count():
         roots = _residual(sets, open_, roots, t)
-    named = classes.join(roots.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
-    least = named.groupBy("root").agg(F.min("id").alias("component_id"))
-    labels = materialize(named.join(least, "root").select("digest", "component_id", "class_size"), "near-labels")
+    named = classes.select("digest", "id", "class_size").join(roots.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
+    least = named.groupBy("root").agg(F.min("id").alias("component_id"), F.count("*").alias("_c"))
+    labels = materialize(join_hot(named, least, ["root"], "_c", n_classes).select("digest", "component_id", "class_size"), "near-labels")
     alone = rows.where("digest is null").select("doc_id", "text_hash", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(1).cast("long").alias("class_size"))
-    linked = rows.where("digest is not null").select("doc_id", "text_hash", "n_shingles", "digest").join(labels, "digest").select("doc_id", "text_hash", "n_shingles", "component_id", "class_size")
+    linked = rows.where("digest is not null").select("doc_id", "text_hash", "n_shingles", "digest")
+    linked = join_hot(linked, labels.withColumn("_c", F.col("class_size")), ["digest"], "_c", rows.count()).select("doc_id", "text_hash", "n_shingles", "component_id", "class_size")
     out = alone.unionByName(linked)
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
 
 
 def drop_near_copies(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """The rows of each component's smallest doc_id stay, its others go; a null doc_id stays. Only what goes is joined, by doc_id and text, so another text of the same doc_id stays."""
+    """The rows of each component's smallest doc_id stay, its others go; a null doc_id stays. Only what goes is joined, by doc_id and text, so another text of the same doc_id stays; rows that repeat a kept row in both stay with it (exact dedup takes those)."""
     found = _labelled(docs, threshold)
-    gone = found.where("not kept and doc_id is not null").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    gone = found.where("not kept and doc_id is not null").select(F.col("doc_id").alias("_gone_id"), F.col("text_hash").alias("_gone_hash")).distinct()
     gone = materialize(gone, "near-gone")
-    return docs.join(gone, (docs["doc_id"].cast("long") == F.col("_id")) & (_text_hash() == F.col("_hash")), "left_anti").select(*docs.columns)
+    same = (docs["doc_id"].cast("long") == gone["_gone_id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == gone["_gone_hash"])
+    return docs.join(gone, same, "left_anti").select(*docs.columns)
