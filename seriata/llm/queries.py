@@ -9,14 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seriata.llm import bpe, digest_index, fingerprint, near_dup, packing, quality, quotes, secrets, shards, url_lists
-from seriata.llm.common import table
+from seriata.llm.common import materialize, table
 
 FIRST_DAY = "2024-01-01"
 
 
 def op1_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path
-    return packing.pack(table(spark, sf_dir, "documents"), path("byte_bpe_50k.json"), path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return packing.pack(table(spark, sf_dir, "documents"), path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
 def op2_bottom_k_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,8 +40,10 @@ def op5_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_digest_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = digest_index.DigestIndex(spark, digest_index.fresh_name())
-    rows = index.add(digest_index.keyed(table(spark, sf_dir, "documents")))
-    return rows.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+    rows = digest_index.add_in_batches(index, digest_index.keyed(table(spark, sf_dir, "documents")))
+    out = materialize(rows.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256")), "digest-rows")
+    index.drop()
+    return out
 
 
 def op7_segment_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,8 +97,8 @@ from d
 
 _OP8 = r"""
 with p as (
-  select page_id, url, nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)', 1)), '') as host,
-         date '2024-01-01' + (page_id % 366)::int as fetched from pages),
+  select page_id, url, case when length(x) between 1 and 253 then x end as host, date '2024-01-01' + (page_id % 366)::int as fetched
+  from (select page_id, url, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)', 1)) as x from pages)),
 h as (select distinct host, ('0x' || substr(md5(host), 1, 4))::int as a, ('0x' || substr(md5(host), 5, 4))::int as b, ('0x' || substr(md5(host), 9, 4))::int as c from p where host is not null),
 e as (select *, case when a % 5 = 0 then regexp_replace(host, '^[^.]+\.', '') else host end as pattern, case when b % 3 = 0 then 'allow' else 'block' end as list from h where a % 2 = 0),
 entries as (
@@ -117,21 +119,23 @@ _OP5 = r"""
 with recursive m as (select row_number() over () as mid, conv_id, turn, role, coalesce(text, '') as text from conversations),
 split as (select mid, conv_id, turn, string_split_regex(text, '\r?\n') as ls from m),
 l0 as (select mid, conv_id, turn, unnest(range(len(ls))) as pos, unnest(ls) as line from split),
-l1 as (select mid, conv_id, turn, pos, length(regexp_replace(regexp_extract(line, '^((?:[ \t]*>)+)', 1), '[^>]', '', 'g')) as level, regexp_replace(line, '^((?:[ \t]*>)+)[ \t]?', '') as content from l0),
+l1 as (select mid, conv_id, turn, pos, length(regexp_replace(regexp_extract(line, '^[ \t>]*>'), '[^>]', '', 'g')) as level, regexp_replace(line, '^[ \t>]*>[ \t]?', '') as content from l0),
 l2 as (select *, case when level != lag(level) over (partition by mid order by pos) then 1 else 0 end as starts, lead(level) over (partition by mid order by pos) as nl from l1),
 l3 as (select *, sum(starts) over (partition by mid order by pos) as passage from l2),
-l4 as (select * from l3 where not (level = 0 and coalesce(nl, 0) > 0 and regexp_matches(content, '(?i)^[ \t]*(on|am|le|el)\b.{0,200}(wrote|schrieb|a écrit|escribió):[ \t]*$'))),
-parts as (select mid, conv_id, turn, passage, level, min(pos) as first, string_agg(content, chr(10) order by pos) as content from l4 group by mid, conv_id, turn, passage, level),
-bodies as (select mid, conv_id, turn, trim(string_agg(content, chr(10) order by passage), ' ') as body from parts where level = 0 group by mid, conv_id, turn),
+l4 as (select *, trim(regexp_replace(lower(content), '\s+', ' ', 'g'), ' ') as t from l3 where not (level = 0 and coalesce(nl, 0) > 0 and regexp_matches(content, '(?i)^[ \t]*(on|am|le|el)\b.*(wrote|schrieb|a écrit|escribió):[ \t]*$'))),
+parts as (select mid, conv_id, turn, passage, level, min(pos) as first, string_agg(content, chr(10) order by pos) as content, coalesce(string_agg(t, ' ' order by pos) filter (t != ''), '') as t, count(*) filter (t != '') as k from l4 group by mid, conv_id, turn, passage, level),
+bodies as (select mid, trim(string_agg(content, chr(10) order by passage), ' ') as body from parts where level = 0 group by mid),
+said_lines as (select mid, conv_id, turn, list(t order by pos) as ts from l4 where level = 0 and t != '' group by mid, conv_id, turn),
+sizes as (select distinct conv_id, k from parts where level > 0 and k > 0),
 norm as (
-  select conv_id, turn, trim(regexp_replace(lower(c), '\s+', ' ', 'g'), ' ') as t from (
-    select conv_id, turn, body as c from bodies union all
-    select conv_id, turn, content from parts where level = 0 union all
-    select conv_id, turn, unnest(string_split(content, chr(10))) from parts where level = 0)),
+  select conv_id, turn, array_to_string(ts, ' ') as t from said_lines union all
+  select conv_id, turn, t from parts where level = 0 union all
+  select conv_id, turn, unnest(ts) from said_lines union all
+  select conv_id, turn, array_to_string(ts[i + 1 : i + k], ' ') from (select s.conv_id, s.turn, s.ts, z.k, unnest(range(len(s.ts) - z.k + 1)) as i from said_lines s join sizes z on s.conv_id = z.conv_id and z.k <= len(s.ts))),
 said as (select conv_id, t, min(turn) as origin from norm where t != '' group by conv_id, t),
 q as (
   select p.mid, p.level, p.first, case when s.origin < p.turn then s.origin end as origin
-  from parts p left join said s on s.conv_id = p.conv_id and s.t = trim(regexp_replace(lower(p.content), '\s+', ' ', 'g'), ' ') where p.level > 0),
+  from parts p left join said s on s.conv_id = p.conv_id and s.t = p.t where p.level > 0),
 links as (select mid, count(*) as quoted_passages, count(origin) as linked_passages, max(level) as deepest_quote, arg_min(origin, level * 1000000000 + first) filter (origin is not null) as reply_to from q group by mid),
 ups as (select m.conv_id, m.turn, min(l.reply_to) as up from m join links l using (mid) where l.reply_to is not null group by m.conv_id, m.turn),
 walk as (

@@ -122,6 +122,62 @@ def test_quotes_link_to_their_originals(spark):
     assert quotes.link(conversation(spark, [])).count() == 0
 
 
+def planted_messages(rng, convs=60, turns=12):
+    """Messages that quote whole bodies, excerpts, lines and nested quotes of earlier ones, and things nobody said."""
+    say = lambda: "\n".join(" ".join(rng.choice(["alpha", "Beta", "gamma", "delta", "ok"]) + str(rng.randrange(9)) for _ in range(rng.randint(1, 5))) if rng.random() < 0.9 else "" for _ in range(rng.randint(1, 7)))
+    quote = lambda t, level=1: "\n".join(rng.choice([">" * level, "> " * (level - 1) + ">"]) + rng.choice(["", " "]) + x for x in t.split("\n"))
+    rows = []
+    for c in range(convs):
+        said = []
+        for turn in range(turns):
+            body, text = say(), ""
+            if said and rng.random() < 0.8:
+                t = rng.choice(said)
+                lines = t.split("\n")
+                a = rng.randrange(len(lines))
+                kind = rng.randrange(5)
+                part = t if kind == 0 else "\n".join(lines[a : a + rng.randint(1, 4)]) if kind < 3 else lines[a] if kind == 3 else say()
+                text = rng.choice(["", "On Monday " + "x" * rng.choice([3, 400]) + " wrote:\n"]) + quote(part.upper() if rng.random() < 0.3 else part, 1) + "\n"
+                if rng.random() < 0.3:
+                    text += quote(rng.choice(said), 2) + "\n"
+            said.append(body)
+            rows.append((c if c else None, turn if rng.random() < 0.97 else None, rng.choice(["user", "assistant"]), rng.choice([text + body, body + "\n" + text]) if rng.random() < 0.97 else None))
+    return rows + rows[5:8]
+
+
+def test_quotes_equal_sql_on_planted_messages(spark):
+    import duckdb
+    import pandas as pd
+
+    from seriata.llm.queries import ORACLES
+
+    rows = planted_messages(random.Random(3))
+    got = quotes.link(conversation(spark, rows).repartition(3)).toPandas()
+    con = duckdb.connect()
+    frame = pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text"]).astype({"conv_id": "Int64", "turn": "Int64"})
+    con.register("frame", frame)
+    con.sql("create table conversations as select conv_id::bigint as conv_id, turn::bigint as turn, role, text from frame")
+    want = con.sql(ORACLES["op5_quotation_linking"]).df()
+    cols = sorted(got.columns)
+    plain = lambda d: sorted(tuple("" if pd.isna(x) else str(int(x)) if isinstance(x, (int, float)) else str(x) for x in r) for r in d[cols].itertuples(index=False))
+    assert plain(got) == plain(want)
+    assert got["linked_passages"].sum() > 300 and (got["quoted_passages"] > got["linked_passages"]).any()
+
+
+def test_excerpts_and_long_marks(spark):
+    rows = [
+        (1, 0, "user", "one line\n\nsecond  Line\nthird line\nfourth"),
+        (1, 1, "user", "On " + "x" * 5000 + " wrote:\n> second line\n> THIRD line\nanswer"),
+        (1, 2, "user", "> third line\n> one line\nnot in a row"),
+        (1, 3, "user", ">" * 100_000 + " deep"),
+        (1, 4, "user", ("line " + "y" * 40 + "\n") * 20_000),
+    ]
+    got = {r.turn: r for r in quotes.link(conversation(spark, rows)).collect()}
+    assert got[1].reply_to == 0 and got[1].body == "answer"
+    assert got[2].reply_to is None and got[2].quoted_passages == 1
+    assert got[3].deepest_quote == 100_000 and got[3].body == "" and len(got[4].body) > 900_000
+
+
 def test_long_reply_chains(spark):
     rows = [(1, 0, "user", "line 0")] + [(1, i, "user", f"> line {i - 1}\nline {i}") for i in range(1, 40)]
     got = {r.turn: r for r in quotes.link(conversation(spark, rows)).collect()}

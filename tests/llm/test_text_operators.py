@@ -33,7 +33,7 @@ def texts():
 
 def packed(spark, docs):
     path = P.path
-    return packing.pack(docs, path("byte_bpe_50k.json"), path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    return packing.pack(docs, path("byte_bpe_50k.json"), P.PATTERN)
 
 
 def test_packing_covers_every_id_once(spark, texts):
@@ -86,10 +86,42 @@ def test_cut_lengths():
 def test_written_tables_are_released(spark):
     from seriata.llm import common
 
-    df = common.materialize(spark.range(3), "t")
-    assert df.count() == 3 and common.release(spark) >= 1 and common.release(spark) == 0
+    other = common.materialize(spark.range(5), "t")
+    with common.Tables(spark) as run:
+        df = common.materialize(spark.range(3), "t")
+    assert df.count() == 3 and run.release() == 1 and run.release() == 0 and other.count() == 5
     with pytest.raises(Exception):
         df.count()
+    new = common.materialize(other.selectExpr("id + 1 as id"), "t", instead_of=other)
+    assert new.count() == 5
+    with pytest.raises(Exception):
+        spark.read.schema("id long").parquet(other.inputFiles()[0]).count()
+
+
+def test_shared_folder_is_asked_for_on_a_cluster(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from seriata.llm import common
+
+    bare = SimpleNamespace(get=lambda *_: None)
+    cluster = SimpleNamespace(conf=bare, sparkContext=SimpleNamespace(master="yarn", getConf=lambda: bare))
+    with pytest.raises(RuntimeError):
+        common.shared_dir(cluster)
+    monkeypatch.setattr(common, "_local_dir", "file:///here")
+    cluster.sparkContext.master = "local[4]"
+    assert common.shared_dir(cluster) == "file:///here"
+
+
+def test_hot_keys_join_like_others(spark):
+    from pyspark.sql import functions as F
+
+    from seriata.llm.common import join_hot
+
+    rows = spark.range(3000).select(F.when(F.col("id") < 1500, 0).otherwise(F.col("id") % 1400).alias("k"), "id")
+    sizes = rows.where("k % 3 = 0").groupBy("k").agg(F.count("*").alias("n")).withColumn("x", F.col("k") * 2)
+    for how in ("inner", "left"):
+        want = sorted(rows.join(sizes.drop("n"), "k", how).collect(), key=lambda r: r.id)
+        assert sorted(join_hot(rows, sizes, ["k"], "n", 3000, how).collect(), key=lambda r: r.id) == want
 
 
 def test_packing_empty_table(spark):
@@ -193,6 +225,34 @@ def test_shards_hold_the_mixture(spark, texts):
         assert all(abs(c.get(s, 0) - share) <= 2 for s in range(40)), source
 
 
+def brute_interleave(rows, seed=42):
+    """Sorted lists instead of buckets: (doc_id, text crc) -> (shard, slot), with the same hashes."""
+    by = defaultdict(list)
+    for r in rows:
+        by[r["stratum"]].append(r)
+    placed = []
+    for stratum, own in by.items():
+        own.sort(key=lambda r: (r["h"] % 2**64 >> 1, r["h"], r["doc_id"]))
+        u = min((own[0]["tie"] % 2**64 >> 1) / 2.0**63, 1 - 2.0**-53)
+        placed += [((k + 1 - u) / len(own), r["tie"], stratum, k, r["doc_id"]) for k, r in enumerate(own)]
+    placed.sort()
+    return [p[4] for p in placed]
+
+
+def test_shards_equal_sorted_lists(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(shards, "ROWS_PER_BUCKET", 7)
+    rng = random.Random(12)
+    sources = ["hot"] * 300 + [rng.choice(["a", "b", None]) for _ in range(100)] + [f"one{i}" for i in range(150)]
+    docs = spark.createDataFrame([(i, f"t{i % 40}", "en", s, 0) for i, s in enumerate(sources)], DOCS).repartition(4)
+    got = sorted(shards.interleave(docs).collect(), key=lambda r: (r.shard, r.slot))
+    keyed = docs.select("doc_id", F.coalesce(F.concat(F.lit("="), "source"), F.lit("null")).alias("stratum"), F.xxhash64(F.lit(42), F.col("doc_id"), F.crc32("text")).alias("h")).withColumn("tie", F.xxhash64(F.lit(43), "stratum"))
+    assert [r.doc_id for r in got] == brute_interleave([r.asDict() for r in keyed.collect()])
+    ones = Counter(r.shard for r in got if r.source and r.source.startswith("one"))
+    assert len(ones) > 30  # many small sources do not meet in one shard
+
+
 def test_shards_edges(spark):
     assert shards.interleave(make(spark, [])).count() == 0
     few = shards.interleave(make(spark, ["a", "a", None], ids=[1, 1, None])).collect()
@@ -202,7 +262,8 @@ def test_shards_edges(spark):
 def test_digest_index_keeps_the_largest_id_once(spark, texts):
     index = digest_index.DigestIndex(spark, digest_index.fresh_name("t"))
     docs = make(spark, texts).repartition(3)
-    got = {r.doc_id: r for r in index.add(digest_index.keyed(docs)).collect()}
+    keys = digest_index.keyed(docs)
+    got = {r.doc_id: r for r in digest_index.resolve(keys, index.add(keys)).collect()}
     groups = defaultdict(list)
     for i, t in enumerate(texts):
         groups["".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")].append(i)
@@ -214,7 +275,10 @@ def test_digest_index_keeps_the_largest_id_once(spark, texts):
     n = index.rows().count()
     assert n == len(groups)
     more = make(spark, [texts[0], "a brand new text"], ids=[900, 901])
-    second = {r.doc_id: r for r in index.add(digest_index.keyed(more)).collect()}
+    keys = digest_index.keyed(more)
+    second = {r.doc_id: r for r in digest_index.resolve(keys, index.add(keys, "b")).collect()}
+    again = {r.doc_id: r for r in digest_index.resolve(keys, index.add(keys, "b")).collect()}
+    assert again == second  # a batch may come again
     assert not second[900].kept and second[900].keep_id == 65 and second[901].kept
     assert index.rows().count() == n + 1
     plan = digest_index.keyed(more).select("digest").hint("merge").join(index.rows(), "digest", "left_anti")._jdf.queryExecution().executedPlan().toString()
@@ -224,13 +288,37 @@ def test_digest_index_keeps_the_largest_id_once(spark, texts):
 
 def test_digest_index_edges(spark):
     index = digest_index.DigestIndex(spark, digest_index.fresh_name("t"))
-    assert index.add(digest_index.keyed(make(spark, []))).count() == 0
+    empty = digest_index.keyed(make(spark, []))
+    assert digest_index.resolve(empty, index.add(empty)).count() == 0 and digest_index.add_in_batches(index, empty).count() == 0
     docs = make(spark, ["x", "x", "x", None, ""], ids=[5, 5, None, None, None])
-    got = index.add(digest_index.keyed(docs)).collect()
+    keys = digest_index.keyed(docs)
+    got = digest_index.resolve(keys, index.add(keys)).collect()
     assert sum(r.kept for r in got) == 2 and len(got) == 5
     other = digest_index.DigestIndex(spark, digest_index.fresh_name("t"))
     kept = digest_index.drop_exact_copies(docs.withColumn("digest", docs.text).withColumn("rid", docs.doc_id), other)
     assert kept.count() == 2 and {"digest", "rid"} <= set(kept.columns)
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == [(0, ""), (5, "x")]
+
+
+def test_digest_index_in_batches(spark):
+    rng = random.Random(6)
+    texts = [rng.choice(["hot text", *[f"Text {k}" for k in range(30)], None, ""]) for _ in range(300)]
+    ids = [rng.choice([None, *range(100)]) for _ in texts]
+    for batches in (1, 2, 5):
+        index = digest_index.DigestIndex(spark, digest_index.fresh_name("t"))
+        got = digest_index.add_in_batches(index, digest_index.keyed(make(spark, texts, ids)), batches).collect()
+        groups = defaultdict(list)
+        for i, t in zip(ids, texts):
+            groups[hashlib.sha256((t or "").lower().encode()).hexdigest()].append(-1 if i is None else i)
+        assert len(got) == len(texts) and index.rows().count() == len(groups)
+        for r in got:
+            own = groups[bytes(r.digest).hex()]
+            assert r.group_size == len(own) and (-1 if r.keep_id is None else r.keep_id) == max(own)
+        kept = Counter(bytes(r.digest).hex() for r in got if r.kept)
+        assert set(kept) == set(groups) and set(kept.values()) == {1}
+        path = index.own_path
+        index.drop()
+        assert not __import__("os").path.exists(path.removeprefix("file:"))
 
 
 def test_bpe_equals_the_library(spark, texts):
