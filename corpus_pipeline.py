@@ -1,7 +1,7 @@
 """The corpus pipeline: quality, exact dedup, near-duplicates, secrets, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns the columns of documents, the last one
-the packed pieces; run() writes every stage to the shared folder and rereads it.
+the packed pieces; run() writes every stage to the shared folder, rereads it, and deletes what only earlier stages needed.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seriata.llm import digest_index, near_dup, packing, quality, secrets
-from seriata.llm.common import materialize, table
+from seriata.llm.common import Tables, materialize, table
 
 NEAR = 0.8
 
@@ -23,7 +23,10 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return digest_index.drop_exact_copies(docs, digest_index.DigestIndex(spark, digest_index.fresh_name()))
+    index = digest_index.DigestIndex(spark, digest_index.fresh_name())
+    kept = digest_index.drop_exact_copies(docs, index)
+    index.drop()  # what goes is decided and written
+    return kept
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,8 +39,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    path = public_tokenizers.path
-    return packing.pack(docs, path("byte_bpe_50k.json"), path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
 STAGES = [("quality", quality_filter), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("secrets", secret_scan), ("packing", pack)]
@@ -49,5 +51,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with Tables(spark) as own:
+            kept = stage(spark, docs, sf_dir)
+        docs = materialize(kept, f"pipeline-{name}", instead_of=docs)
+        own.release()
     return STAGES[-1][1](spark, docs, sf_dir)
