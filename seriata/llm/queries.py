@@ -16,7 +16,7 @@ FIRST_DAY = "2024-01-01"
 
 def op1_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path
-    return packing.pack(table(spark, sf_dir, "documents"), path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    return packing.pack(table(spark, sf_dir, "documents"), path("byte_bpe_50k.json"), path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def op2_bottom_k_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,8 +71,8 @@ def op8_temporal_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = secrets.train(secrets.example_findings(spark))
-    found = secrets.scan(table(spark, sf_dir, "documents"), model)
+    docs = table(spark, sf_dir, "documents")
+    found = secrets.scan(docs, secrets.train_for(docs))
     return found.select("doc_id", F.sha2("value", 256).alias("value_sha256"), F.length("value").alias("length"), "probability", "secret")
 
 

@@ -2,19 +2,28 @@
 
 Candidates are runs of 16 characters or more of [A-Za-z0-9+/_-] with a digit, access-key ids,
 and values after words such as password or token. Features: length, character classes and
-transitions between them, entropy, dictionary coverage, path marks, and the neighbouring
-words. The forest learns from labelled findings (value, before, after, label); without
-any other, `example_findings` makes some from hashes of row numbers.
-
-Null and empty texts give no finding; a text's repeated candidates are findings each. A
-candidate of more than LONGEST characters is scored by overlapping windows of WINDOW
-characters, a new one every STEP, and by the access-key ids in it; its probability is the
-greatest of theirs.
+transitions between them, the likelihood of the characters' transitions among dictionary
+words, entropy, dictionary coverage, path marks, and the odds of the neighbouring words. The
+dictionary is the SIZE words that most documents hold, counted over all documents; the
+forest and the words' odds are learnt from labelled findings (value, before, after, label).
+The tables hold none, so `example_findings` makes some from hashes of row numbers and the
+dictionary; give `train` your own.
+
+Null and empty texts give no finding; a text's repeated candidates are findings each, in
+order k, and repeated rows give their findings each. Texts and candidates of any length are
+read whole: a candidate of more than LONGEST characters is scored by overlapping windows of
+WINDOW characters, a new one every STEP, and by the access-key ids in it; its probability is
+the greatest of theirs. A probability of exactly the threshold counts as a secret. The
+control characters 1 and 2 count as white space, like 11. An empty table gives no findings; without
+documents the dictionary is empty and coverage 0. Columns besides text and the keys are not
+read by the scan, whatever their names; `redact` returns them unchanged.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -27,8 +36,9 @@ from seriata.llm.common import materialize
 LONGEST = 200
 WINDOW = 48
 STEP = 8
-CONTEXT = 48
-AFTER = 24
+WORDS_BEFORE, WORDS_AFTER = 3, 2
+SIZE = 4096
+MOST_ODDS = 300
 THRESHOLD = 0.5
 _NAME = r"(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)[\"']?[ \t]{0,3}"
 _RUN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}+"
@@ -37,27 +47,86 @@ _KEY = r"AKIA[A-Z0-9]{16}"
 _ASSIGNED = rf"[:=](?<={_NAME}[:=])[ \t]{{0,3}}[\"']?[^\s\"',;]{{6}}"
 _VALUE = rf"(?<=[:=][ \t]{{0,3}}[\"']?)(?<={_NAME}[:=][ \t]{{0,3}}[\"']?)[^\s\"',;]{{6,}}+"
 CANDIDATE = f"(?:{_VALUE}|{_RUN}|{_KEY})"
-_OPEN, _CLOSE = "\x01", "\x02"
-#: Words and syllables that ordinary text is made of.
-DICTIONARY = ("the", "and", "ing", "tion", "ment", "example", "sample", "changeme", "password", "secret", "token", "test", "dummy", "your", "here", "admin", "user", "http", "html", "index", "image", "article", "section", "chapter", "page", "version", "thread", "message")
-FEATURES = ("length", "digits", "capitals", "hex", "variety", "entropy", "transitions", "coverage", "path", "keyword", "assigned", "quoted", "innocent", "access_id", "spaced_number", "repeats")
+_OPEN, _CLOSE, _LEAD = "\x01", "\x02", "\x0b"
+_ESCAPES = ((_LEAD, _LEAD + " "), (_OPEN, _LEAD + "\t"), (_CLOSE, _LEAD + "\n"))
+_CODES = "abcdefghijklmnopqrstuvwxyz0123456789"
+_N = len(_CODES) + 1
+FEATURES = ("length", "digits", "capitals", "hex", "variety", "entropy", "transitions", "likelihood", "coverage", "path", "before_odds", "after_odds", "assigned", "quoted", "access_id", "spaced_number", "repeats")
+
+
+def marked(text: Column) -> Column:
+    """The text with marks about each candidate; what looks like a mark is escaped by white space, which no candidate holds."""
+    for plain, escape in _ESCAPES:
+        text = F.replace(text, F.lit(plain), F.lit(escape))
+    return F.regexp_replace(text, f"({CANDIDATE})", f"{_OPEN}$1{_CLOSE}")
 
 
 def candidates(docs: DataFrame, keys: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """keys..., value, before, after. Texts without candidates drop out by three linear patterns; in the others one pass marks the candidates, and the text is split at the marks."""
+    """keys..., k (from 0 in the text), value, before, after (the neighbouring words, with what is glued to the value). Texts without candidates drop out by three linear patterns; in the others one pass marks the candidates, and the text is split at the marks."""
     text = F.col("text")
     some = docs.where(text.rlike(_ASSIGNED) | text.rlike(_RUN) | text.rlike(_KEY)).select(*keys, "text")
-    marked = F.regexp_replace(F.translate("text", _OPEN + _CLOSE, "  "), f"({CANDIDATE})", f"{_OPEN}$1{_CLOSE}")
-    parts = some.select(*keys, F.split(marked, _OPEN).alias("parts"))
+    parts = some.select(*keys, F.split(marked(text), _OPEN).alias("parts"))
     n = F.size("parts")
     pairs = F.arrays_zip(F.slice("parts", 1, n - 1).alias("left"), F.slice("parts", 2, n - 1).alias("right"))
-    rows = parts.where(n > 1).select(*keys, F.explode(pairs).alias("p")).select(*keys, F.col("p.left").alias("left"), F.col("p.right").alias("right"))
-    before = F.substring_index("left", _CLOSE, -1)
-    before = F.when(F.length(before) < 8, F.translate("left", _CLOSE, " ")).otherwise(before)
-    return rows.select(*keys, F.substring_index("right", _CLOSE, 1).alias("value"), F.substring(before, -CONTEXT, CONTEXT).alias("before"), F.substring(F.substring_index("right", _CLOSE, -1), 1, AFTER).alias("after"))
+    rows = parts.where(n > 1).select(*keys, F.posexplode(pairs).alias("k", "p")).select(*keys, "k", F.translate("p.left", _CLOSE, "").alias("left"), F.col("p.right").alias("right"))
+    left, right = F.split("left", r"\s+"), F.split(F.substring_index("right", _CLOSE, -1), r"\s+")
+    before = F.array_join(F.slice(left, F.greatest(F.size(left) - WORDS_BEFORE, F.lit(1)), WORDS_BEFORE + 1), " ")
+    after = F.array_join(F.slice(right, 1, WORDS_AFTER + 1), " ")
+    return rows.select(*keys, "k", F.substring_index("right", _CLOSE, 1).alias("value"), before.alias("before"), after.alias("after"))
+
+
+def dictionary(docs: DataFrame, size: int = SIZE) -> list[str]:
+    """The `size` words of 3 to 24 letters that most documents hold, lower-case, over all documents; a word of one document only is left out. The words reach the driver, the counts do not."""
+    words = F.filter(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+")), lambda w: w.rlike(r"^\p{L}{3,24}$"))
+    counts = docs.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n")).where("n > 1")
+    return [r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(size).collect()]
+
+
+def transition_table(words: Sequence[str]) -> list[float]:
+    """Log-probability of each character after each other among the words, of lower-case letters, digits and anything else; with nothing known all are equal."""
+    counts = [[1.0] * _N for _ in range(_N)]
+    code = {c: i + 1 for i, c in enumerate(_CODES)}
+    for w in words:
+        for a, b in zip(w, w[1:]):
+            counts[code.get(a, 0)][code.get(b, 0)] += 1
+    return [math.log(x / sum(row)) for row in counts for x in row]
+
+
+@dataclass(frozen=True)
+class SecretModel:
+    """The forest with all that its features need; of fixed size whatever the corpus."""
+
+    forest: RandomForestClassificationModel | None
+    words: tuple[str, ...]
+    odds: dict[str, float]
+
+
+def _neighbours(text: str) -> Column:
+    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def features(rows: DataFrame) -> DataFrame:
+def _last(words: Column, n: int) -> Column:
+    return F.slice(words, F.greatest(F.size(words) - n + 1, F.lit(1)), n)
+
+
+def word_odds(findings: DataFrame, most: int = MOST_ODDS) -> dict[str, float]:
+    """Logarithm of how much likelier a neighbouring word is beside a secret, for the `most` telling words of the findings."""
+    words = F.concat(_last(_neighbours("before"), WORDS_BEFORE), F.slice(_neighbours("after"), 1, WORDS_AFTER))
+    counts = findings.select("label", F.explode(F.array_distinct(words)).alias("word")).groupBy("word").agg(F.sum("label").alias("yes"), F.sum(1 - F.col("label")).alias("no"))
+    odds = F.log((F.col("yes") + 1) / (F.col("no") + 1))
+    top = counts.select("word", odds.alias("odds"), "yes", "no").orderBy(F.desc(F.abs("odds")), "word").limit(most).collect()
+    return {r["word"]: r["odds"] for r in top}
+
+
+def _sum_odds(words: Column, odds: dict[str, float]) -> Column:
+    if not odds:
+        return F.lit(0.0)
+    table = F.create_map(*[F.lit(x) for pair in odds.items() for x in pair])
+    return F.aggregate(words, F.lit(0.0), lambda s, w: s + F.coalesce(F.try_element_at(table, w), F.lit(0.0)))
+
+
+def features(rows: DataFrame, model: SecretModel) -> DataFrame:
+    """rows (value, before, after) with FEATURES; narrow."""
     v = F.col("value")
     n = F.greatest(F.length(v), F.lit(1)).cast("double")
     share = lambda pattern: F.length(F.regexp_replace(v, pattern, "")) / n
@@ -66,8 +135,15 @@ def features(rows: DataFrame) -> DataFrame:
     chars = F.array_distinct(F.split(v, ""))
     p = lambda c: (F.length(v) - F.length(F.replace(v, c, F.lit("")))) / n
     entropy = F.aggregate(F.filter(chars, lambda c: c != ""), F.lit(0.0), lambda acc, c: acc - p(c) * F.log2(p(c)))
+    codes = F.transform(F.filter(F.split(F.lower(v), ""), lambda c: c != ""), lambda c: F.instr(F.lit(_CODES), c))
+    table = F.split(F.lit(" ".join(map(repr, transition_table(model.words)))), " ").cast("array<double>")
+    pairs = F.zip_with(F.slice(codes, 1, F.greatest(F.size(codes) - 1, F.lit(0))), F.slice(codes, 2, F.greatest(F.size(codes) - 1, F.lit(0))), lambda a, b: F.element_at(table, a * _N + b + 1))
+    likelihood = F.aggregate(pairs, F.lit(0.0), lambda s, x: s + x) / F.greatest(F.size(codes) - 1, F.lit(1))
+    pieces = F.split(F.lower(F.regexp_replace(v, "(?<=[a-z])(?=[A-Z])", " ")), r"[^\p{L}]+")
+    known = F.filter(pieces, lambda w: w.isin(*model.words)) if model.words else F.array().cast("array<string>")
+    covered = F.aggregate(known, F.lit(0), lambda s, w: s + F.length(w))
     flag = lambda c: F.coalesce(c, F.lit(False)).cast("double")
-    before, around = F.lower("before"), F.lower(F.concat_ws(" ", "before", "after"))
+    glued = F.concat(F.substring_index("before", " ", -1), v, F.substring_index("after", " ", 1))
     return rows.withColumns({
         "length": F.length("value").cast("double"),
         "digits": 1 - share("[0-9]"),
@@ -76,56 +152,90 @@ def features(rows: DataFrame) -> DataFrame:
         "variety": F.size(chars) / n,
         "entropy": entropy,
         "transitions": changes / n,
-        "coverage": 1 - F.length(F.regexp_replace(F.lower(v), "|".join(DICTIONARY), "")) / n,
-        "path": flag(F.concat(F.substr("before", F.greatest(F.length("before") - 8, F.lit(1)), F.lit(9)), v).rlike(r"(?i)[/\\][^\s]*[/\\]|https?:|\.(html?|png|jpe?g|js|css)$")),
-        "keyword": flag(before.rlike(r"(password|passwd|pwd|secret|token|key|credential|bearer)[^a-z0-9]{0,6}$")),
-        "assigned": flag(before.rlike(r"[:=][ \t]*[\"']?$")),
-        "quoted": flag(before.rlike(r"[\"']$")),
-        "innocent": flag(around.rlike(r"commit|sha-?(1|256)|md5|checksum|digest|uuid|isbn|doi|order|invoice|phone|example|sample|dummy|placeholder")),
+        "likelihood": likelihood,
+        "coverage": covered / n,
+        "path": flag(glued.rlike(r"(?i)[/\\][^/\\]+[/\\]|https?:|\.(html?|png|jpe?g|js|css)$")),
+        "before_odds": _sum_odds(_last(_neighbours("before"), WORDS_BEFORE), model.odds),
+        "after_odds": _sum_odds(F.slice(_neighbours("after"), 1, WORDS_AFTER), model.odds),
+        "assigned": flag(F.col("before").rlike(r"[:=] ?[\"']?$")),
+        "quoted": flag(F.col("before").rlike(r"[\"']$")),
         "access_id": flag(v.rlike("^AKIA[A-Z0-9]{16}$")),
         "spaced_number": flag(v.rlike("^[0-9+/_-]+$")),
         "repeats": flag(v.rlike(r"(.)\1{4,}")),
     })
 
 
-def example_findings(spark: SparkSession, n: int = 6000) -> DataFrame:
-    """Labelled findings made from hashes: keys and assigned random values are secrets; numbers, digests of commits, paths, words and placeholders are not."""
+#: Used where the corpus gives no words.
+_SYLLABLES = ("tion", "ther", "ing", "ment", "en", "sch", "ou", "re", "la", "ble")
+_YES = ("password=", 'token = "', "api_key: ", "secret='", "pwd: ", "Authorization: Bearer ", "access_key=", "key ", "")
+_NO = ("commit ", "sha256: ", "md5 ", "checksum ", "order ", "invoice no. ", "phone ", "card ", "isbn ", "uuid ", "id ", "version ", "")
+
+
+def example_findings(spark: SparkSession, words: Sequence[str] = (), n: int = 8000) -> DataFrame:
+    """Labelled findings (value, before, after, label) made from hashes: access-key ids, prefixed and assigned random values of several alphabets and lengths are secrets; numbers, digests, paths, joined words of the dictionary and placeholders are not."""
     h = lambda k: F.md5(F.concat_ws("-", F.col("id").cast("string"), F.lit(k)))
-    kind = (F.col("id") % 12).cast("int")
-    up = F.translate(F.upper(F.concat(h("a"), h("b"))), "01", "XQ")
-    syllables = F.array(*[F.lit(x) for x in ("tion", "ther", "ing", "ment", "en", "sch", "ou", "re", "la", "ble")])
-    word = lambda k: F.array_join(F.transform(F.sequence(F.lit(1), F.lit(6)), lambda i: F.element_at(syllables, (F.conv(F.substr(h(k), i, F.lit(1)), 16, 10).cast("int") % 10 + 1))), "")
-    digits = F.regexp_replace(F.concat(h("d"), h("e"), h("f")), "[^0-9]", "")
-    prose = F.concat(word("p"), F.lit(" "), word("q"), F.lit(" "))
-    mixed = F.translate(F.base64(F.unhex(F.concat(h("m"), h("n")))), "=", "")
+    number = lambda k, m: F.pmod(F.conv(F.substr(h(k), F.lit(1), F.lit(8)), 16, 10).cast("bigint"), F.lit(m)).cast("int")
+    vocabulary = F.split(F.lit(" ".join(words[:1000] if words else [a + b for a in _SYLLABLES for b in _SYLLABLES])), " ")
+    word = lambda k: F.element_at(vocabulary, number(k, len(words[:1000]) or len(_SYLLABLES) ** 2) + 1)
+    of = lambda options, k: F.element_at(F.array(*[F.lit(x) for x in options]), number(k, len(options)) + 1)
+    cut = lambda text, low, high, k: F.substr(text, F.lit(1), F.lit(low) + number(k, high - low + 1))
+    hexes = F.concat(h("a"), h("b"))
+    up = F.translate(F.upper(hexes), "0189", "XQZW")
+    mixed = F.translate(F.base64(F.unhex(F.concat(h("m"), h("n"), h("o")))), "=", "")
+    digits = F.regexp_replace(F.concat(h("d"), h("e"), h("f"), h("g")), "[^0-9]", "")
+    prose = F.concat_ws(" ", word("p"), of(("", "", "mail@mail.example.com", "https://www.example.com/page"), "c1"), word("q"))
+    prose = F.when(number("c2", 3) == 0, F.concat(prose, F.lit(" "), of(("user.1@mail.example.com", "www.example.com", "(example)", "97.51.17.173"), "c3"))).otherwise(prose)
+    yes, no = F.concat(prose, F.lit(" "), of(_YES, "y")), F.concat(prose, F.lit(" "), of(_NO, "z"))
+    assigned = F.concat(prose, F.lit(" "), of(_YES[:7], "y"))
+    slug = F.concat_ws("-", word("s"), word("t"), word("u"), word("v"), F.substr(digits, F.lit(1), F.lit(2)))
     cases = [
-        (F.concat(F.lit("AKIA"), F.substr(up, F.lit(1), F.lit(16))), prose, 1),
-        (F.substr(h("x"), F.lit(1), F.lit(18)), F.concat(prose, F.lit("password=")), 1),
-        (F.concat(h("x"), F.substr(h("y"), F.lit(1), F.lit(8))), F.concat(prose, F.lit('token = "')), 1),
-        (mixed, F.concat(prose, F.lit("api_key: ")), 1),
-        (F.substr(mixed, F.lit(1), F.lit(24)), F.concat(prose, F.lit("secret='")), 1),
-        (F.concat(F.lit("AKIA"), F.substr(up, F.lit(3), F.lit(16))), F.concat(prose, F.lit("key ")), 1),
-        (F.substr(digits, F.lit(1), F.lit(16)), prose, 0),
-        (F.concat(h("x"), F.substr(h("y"), F.lit(1), F.lit(8))), F.concat(prose, F.lit("commit ")), 0),
-        (F.concat_ws("/", F.lit("img"), word("r"), F.substr(digits, F.lit(1), F.lit(4)), word("s")), F.concat(prose, F.lit("https://www.example.com/")), 0),
-        (F.concat(word("t"), F.substr(digits, F.lit(1), F.lit(2))), prose, 0),
-        (F.concat(F.lit("changeme-example-"), F.substr(digits, F.lit(1), F.lit(3))), F.concat(prose, F.lit("password=")), 0),
-        (F.repeat(F.substr(digits, F.lit(1), F.lit(1)), F.lit(20)), F.concat(prose, F.lit("token=")), 0),
+        (F.concat(F.lit("AKIA"), F.substr(up, F.lit(1), F.lit(16))), yes, 1),
+        (F.concat(F.lit("AKIA"), F.substr(up, F.lit(9), F.lit(16))), F.concat(prose, F.lit(" ")), 1),
+        (cut(hexes, 18, 64, "1"), assigned, 1),
+        (F.upper(cut(hexes, 18, 64, "2")), F.upper(assigned), 1),
+        (cut(mixed, 20, 62, "3"), yes, 1),
+        (cut(mixed, 40, 62, "4"), F.concat(prose, F.lit(" ")), 1),
+        (F.concat(of(("ghp_", "sk_live_", "xoxb-", "glpat-"), "5"), cut(F.regexp_replace(mixed, "[+/]", "x"), 24, 40, "6")), yes, 1),
+        (F.concat(cut(mixed, 8, 14, "7"), F.lit("1")), assigned, 1),
+        (cut(digits, 12, 20, "8"), no, 0),
+        (cut(hexes, 32, 64, "9"), F.concat(prose, F.lit(" "), of(_NO[:4], "0")), 0),
+        (F.concat(cut(hexes, 32, 40, "a1"), F.lit("")), F.concat(prose, F.lit(" ")), 0),
+        (F.concat_ws("/", F.lit("img"), word("s"), F.substr(digits, F.lit(1), F.lit(4)), word("t")), F.concat(prose, F.lit(" https://www.example.com/")), 0),
+        (slug, no, 0),
+        (F.concat(word("s"), word("t"), word("u"), F.substr(digits, F.lit(1), F.lit(3))), no, 0),
+        (F.concat(F.initcap(word("s")), F.initcap(word("t")), F.initcap(word("u")), F.initcap(word("v")), F.lit("2")), no, 0),
+        (F.concat(of(("changeme-example-", "your-password-here-", "dummy-token-value-"), "b1"), F.substr(digits, F.lit(1), F.lit(3))), assigned, 0),
+        (F.repeat(F.substr(digits, F.lit(1), F.lit(1)), F.lit(20)), assigned, 0),
+        (F.substr(slug, F.lit(3), F.lit(48)), F.concat(prose, F.lit(" ")), 0),
     ]
+    kind = (F.col("id") % len(cases)).cast("int")
     pick = lambda k: F.coalesce(*[F.when(kind == i, F.lit(c[k]) if k == 2 else c[k]) for i, c in enumerate(cases)])
-    return spark.range(n).select(pick(0).alias("value"), pick(1).alias("before"), F.when(pick(1).rlike("[\"']$"), F.substr(pick(1), F.length(pick(1)), F.lit(1))).otherwise(F.concat(F.lit(" "), word("z"))).alias("after"), pick(2).cast("double").alias("label"))
+    before = pick(1)
+    mark = F.substr(before, F.length(before), F.lit(1))
+    after = F.concat(F.when(mark.isin('"', "'"), mark).otherwise(""), F.lit(" "), word("w"), F.lit(" "), word("x"))
+    return spark.range(n).select(pick(0).alias("value"), before.alias("before"), after.alias("after"), pick(2).cast("double").alias("label"))
+
 
+def _vectors(rows: DataFrame, model: SecretModel) -> DataFrame:
+    return VectorAssembler(inputCols=list(FEATURES), outputCol="features", handleInvalid="keep").transform(features(rows, model))
 
-def _vectors(rows: DataFrame) -> DataFrame:
-    return VectorAssembler(inputCols=list(FEATURES), outputCol="features", handleInvalid="keep").transform(features(rows))
 
+def train(findings: DataFrame, words: Sequence[str] = (), trees: int = 20, depth: int = 8, seed: int = 7) -> SecretModel:
+    """findings: value, before, after, label (1: a secret), a bounded table; words: the dictionary."""
+    findings = materialize(findings.select("value", "before", "after", F.col("label").cast("double").alias("label")), "secrets-findings")
+    model = SecretModel(None, tuple(words), word_odds(findings))
+    forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, labelCol="label", featuresCol="features").fit(_vectors(findings, model))
+    return SecretModel(forest, model.words, model.odds)
 
-def train(findings: DataFrame, trees: int = 20, depth: int = 8, seed: int = 7) -> RandomForestClassificationModel:
-    return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, labelCol="label", featuresCol="features").fit(_vectors(findings))
 
+def train_for(docs: DataFrame, findings: DataFrame | None = None) -> SecretModel:
+    """A model with the dictionary of docs; findings are the example ones by default."""
+    words = dictionary(docs)
+    return train(example_findings(docs.sparkSession, words) if findings is None else findings, words)
 
-def _scored(rows: DataFrame, model: RandomForestClassificationModel) -> DataFrame:
-    return model.transform(_vectors(rows)).withColumn("probability", vector_to_array("probability")[1])
+
+def scored(rows: DataFrame, model: SecretModel) -> DataFrame:
+    return model.forest.transform(_vectors(rows, model)).withColumn("probability", vector_to_array("probability")[1])
 
 
 def windows(value: Column) -> Column:
@@ -134,25 +244,31 @@ def windows(value: Column) -> Column:
     return F.concat(cut, F.regexp_extract_all(value, F.lit(f"({_KEY})"), F.lit(1)))
 
 
-def scan(docs: DataFrame, model: RandomForestClassificationModel, threshold: float = THRESHOLD, keys: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """keys..., value, before, after, probability, secret: a row per candidate."""
+def scan(docs: DataFrame, model: SecretModel, threshold: float = THRESHOLD, keys: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """keys..., k, value, before, after, probability, secret: a row per candidate."""
     found = materialize(candidates(docs, keys).withColumn("rid", F.monotonically_increasing_id()), "secrets-candidates")
     long = F.length("value") > LONGEST
     parts = found.where(long).select("rid", "before", "after", F.explode(windows(F.col("value"))).alias("value"))
-    best = _scored(parts, model).groupBy("rid").agg(F.max("probability").alias("probability"))
+    best = scored(parts, model).groupBy("rid").agg(F.max("probability").alias("probability"))
     columns = [*found.columns, "probability"]
-    scored = _scored(found.where(~long), model).select(*columns).unionByName(found.where(long).join(best, "rid").select(*columns))
-    return scored.select(*keys, "value", "before", "after", "probability", (F.col("probability") >= threshold).alias("secret"))
-
-
-def redact(docs: DataFrame, model: RandomForestClassificationModel, mark: str = "[SECRET]") -> DataFrame:
-    """docs with every value found secret replaced in text, and n_chars, where there is one, set anew. A document keeps its row; rows are told apart by doc_id, which may be null or repeated, and a hash of the text."""
-    own = docs.withColumn("_text_hash", F.xxhash64("text"))
-    values = scan(own, model, keys=("doc_id", "_text_hash")).where("secret").groupBy("doc_id", "_text_hash").agg(F.sort_array(F.collect_set(F.struct(F.length("value").alias("n"), "value")), False).alias("_secrets"))
-    values = materialize(values.select(F.col("doc_id").alias("_id"), F.col("_text_hash").alias("_hash"), F.col("_secrets.value").alias("_secrets")), "secrets-values")
-    joined = own.join(values, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left")
-    text = F.aggregate("_secrets", F.col("text"), lambda t, s: F.replace(t, s, F.lit(mark)))
-    joined = joined.withColumn("text", F.when(F.col("_secrets").isNull(), F.col("text")).otherwise(text))
+    both = scored(found.where(~long), model).select(*columns).unionByName(found.where(long).join(best, "rid").select(*columns))
+    return both.select(*keys, "k", "value", "before", "after", "probability", (F.col("probability") >= threshold).alias("secret"))
+
+
+def redact(docs: DataFrame, model: SecretModel, mark: str = "[SECRET]") -> DataFrame:
+    """docs with every candidate found secret replaced in text where it was found, and n_chars, where there is one, set anew; equal strings elsewhere stay. A document keeps its row; rows are told apart by doc_id, which may be null or repeated, and a hash of the text."""
+    own = docs.withColumn("_redact_hash", F.xxhash64("text"))
+    found = scan(own, model, keys=("doc_id", "_redact_hash")).where("secret")
+    found = found.groupBy(F.col("doc_id").alias("_redact_id"), F.col("_redact_hash").alias("_redact_of")).agg(F.collect_set("k").alias("_redact_at"))
+    found = materialize(found, "secrets-found")
+    joined = own.join(found, F.col("doc_id").eqNullSafe(F.col("_redact_id")) & (F.col("_redact_hash") == F.col("_redact_of")), "left")
+    parts = F.split(marked(F.col("text")), _OPEN)
+    shown = F.transform(parts, lambda p, i: F.when(i == 0, p).when(F.array_contains("_redact_at", i - 1), F.concat(F.lit(mark), F.substring_index(p, _CLOSE, -1))).otherwise(F.translate(p, _CLOSE, "")))
+    text = F.array_join(shown, "")
+    for plain, escape in reversed(_ESCAPES):
+        text = F.replace(text, F.lit(escape), F.lit(plain))
+    hit = F.col("_redact_at").isNotNull()
+    joined = joined.withColumn("text", F.when(hit, text).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        joined = joined.withColumn("n_chars", F.when(F.col("_secrets").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+        joined = joined.withColumn("n_chars", F.when(hit, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return joined.select(*docs.columns)

@@ -33,7 +33,7 @@ def texts():
 
 def packed(spark, docs):
     path = P.path
-    return packing.pack(docs, path("byte_bpe_50k.json"), P.PATTERN)
+    return packing.pack(docs, path("byte_bpe_50k.json"), path("byte_bpe_50k.tiktoken"), P.PATTERN)
 
 
 def test_packing_covers_every_id_once(spark, texts):
@@ -63,6 +63,48 @@ def test_packing_covers_every_id_once(spark, texts):
         assert at <= 2048
 
 
+LONG = ["x" + " " * 2_000_000 + "y", "\n" * 2_000_000, "a" * 2_000_000, "ab " * 700_000]
+
+
+def test_packing_of_very_long_runs(spark):
+    from tokenizers import Tokenizer
+
+    texts = [*LONG, "x" + " " * 999 + "y" + "\u3000" * 1001 + "z \t" * 400]
+    rows = packed(spark, make(spark, texts).repartition(5)).collect()
+    tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    for i, t in enumerate(texts):
+        ids = np.array([*tok.encode(t, add_special_tokens=False).ids, 1], "<u4")
+        own = sorted((r for r in rows if r.doc_id == i), key=lambda r: r.start)
+        assert sum(r.length for r in own) == len(ids) == own[0].doc_tokens
+        assert all(r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length].tobytes()) for r in own)
+    assert len({(r.sequence_id, r.offset) for r in rows}) == len(rows)
+
+
+def test_packing_sequence_ids_do_not_overlap(spark):
+    from pyspark.sql import functions as F
+
+    edge = [(j, w, b) for j in (1, 2, 2048) for w in (0, 1, (1 << packing.WORKER_BITS) - 1) for b in (0, 1, (1 << packing.BIN_BITS) - 1)]
+    got = spark.createDataFrame(edge, "j int, w int, b long").select(packing.sequence_id(F.col("j"), F.col("w"), F.col("b")).alias("s")).collect()
+    assert len({r.s for r in got}) == len(edge) and min(r.s for r in got) > 0
+
+
+def test_very_long_texts_in_the_other_operators(spark):
+    docs = make(spark, [*LONG, "", None]).repartition(6)
+    prints = {r.doc_id: r for r in fingerprint.compare_with_edits(docs).collect()}
+    assert [prints[i].n_chars for i in range(6)] == [len(t) for t in LONG] + [0, 0]
+    assert all(0 <= r.score <= 1 for r in quality.score(docs, quality.fit(docs, spark.createDataFrame([(0, 1, 0), (3, 0, 0)], "doc_id long, quality int, toxic int"))).collect())
+    assert {r.doc_id: r.size for r in shards.interleave(docs).collect()} == {i: len(t) + 16 for i, t in enumerate([*LONG, "", ""])}
+    index = digest_index.DigestIndex(spark, digest_index.fresh_name("t"))
+    assert {r.doc_id for r in digest_index.drop_exact_copies(docs, index).collect()} in ({0, 1, 2, 3, 4}, {0, 1, 2, 3, 5})
+
+
+def test_bpe_of_very_long_runs(spark):
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    texts = ["x" + " " * 1_200_000 + "y", "a" * 200_000]
+    rows = {r.doc_id: r for r in bpe.encode_digests(make(spark, texts).repartition(2), path, P.PATTERN).collect()}
+    assert all(rows[i].decoded_sha256 == hashlib.sha256(t.encode()).hexdigest() for i, t in enumerate(texts))
+
+
 def test_packing_fills_bins_by_class(spark):
     rng = random.Random(5)
     rows = packed(spark, make(spark, [prose(rng, rng.randint(1, 900)) for _ in range(400)]).repartition(3)).collect()
