@@ -66,73 +66,165 @@ def block_length(n: Column, seq_len: Column, pred_len: Column) -> dict[str, Colu
     return {"block_len": used, "block_len_requested": want, "block_len_cover": cover, "block_len_floor": floor, "block_len_capped": (used < want).cast("int"), "n_blocks": F.ceil(n / used)}
 
 
-def _codes(x: np.ndarray) -> tuple[np.ndarray, int]:
-    """Position of each value among the distinct ones, and their number."""
-    distinct, codes = np.unique(x, return_inverse=True)
-    return codes.reshape(-1), len(distinct)
-
-
-def _ranks(codes: np.ndarray, m: int) -> np.ndarray:
-    """Average ranks within each row of value codes below m: by counting, so a resample costs no sort."""
-    rows = len(codes)
-    counts = np.bincount((codes + np.arange(rows)[:, None] * m).ravel(), minlength=rows * m).reshape(rows, m)
-    middle = np.cumsum(counts, 1) - (counts - 1) / 2.0
-    return np.take_along_axis(middle, codes, 1)
+def _running_sums(a: np.ndarray) -> np.ndarray:
+    """Cumulative sums down the rows, in place, by strips of rows: whole rows are added at a time."""
+    n = len(a)
+    size = max(1, math.isqrt(n))
+    whole = n // size * size
+    strips = a[:whole].reshape(-1, size, a.shape[1])
+    for k in range(1, size):
+        strips[:, k] += strips[:, k - 1]
+    for k in range(1, len(strips)):
+        strips[k] += strips[k - 1, -1]
+    for k in range(whole, n):
+        a[k] += a[k - 1]
+    return a
+
+
+class _Sorted:
+    """The order of a vector's values: where each value's group of ties starts and ends in it."""
+
+    def __init__(self, x: np.ndarray):
+        self.order = np.argsort(x, kind="stable")
+        v = x[self.order]
+        new = np.append(True, v[1:] != v[:-1])
+        self.starts = np.flatnonzero(new)
+        self.ends = np.append(self.starts[1:], len(x))
+        group = np.cumsum(new) - 1
+        self.group_at = np.empty(len(x), np.intp)  # by position
+        self.group_at[self.order] = group
+        self.ranks = ((self.starts + self.ends + 1) / 2.0)[self.group_at]
+
+    def weighted(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """w: how often each position (row) was drawn in each replicate (column). Twice the centred average ranks by position, and twice their sums of squares over the draws."""
+        n = len(w)
+        sums = np.empty((n + 1, w.shape[1]), w.dtype)
+        sums[0] = 0
+        np.take(w, self.order, axis=0, out=sums[1:])
+        _running_sums(sums[1:])
+        low, high = sums[self.starts], sums[self.ends]
+        size = (high - low).astype(float)
+        squares = (float(n) ** 3 - n) / 3 - (size * size * size - size).sum(0) / 3
+        return np.take(low + high - w.dtype.type(n), self.group_at, axis=0), squares
+
+
+def _drawn(starts: np.ndarray, lengths: np.ndarray, n: int, dtype: type) -> np.ndarray:
+    """(position, replicate): how often circular blocks from starts (replicate, block) cover each position."""
+    c = len(starts)
+    w = np.zeros((n, c), dtype)
+    flat, ends, column = w.reshape(-1), starts + lengths, np.arange(c)[:, None]
+    np.add.at(flat, (starts * c + column).ravel(), 1)
+    inner = ends % n != 0
+    np.add.at(flat, (ends % n * c + column)[inner], -1)
+    w[0] += (ends > n).sum(1)
+    return _running_sums(w)
+
+
+def block_bootstrap(x: np.ndarray, y: np.ndarray, block: int, draws: int, rng: np.random.Generator, chunk: int = 32) -> np.ndarray:
+    """Rank correlations of circular moving-block resamples, the last block cut to the vector's length; NaN where a resample is constant.
+
+    A resample is a count per position, so its ranks are running sums of counts in the order of the values: nothing is sorted or copied per draw."""
+    n = len(x)
+    sx, sy = _Sorted(x), _Sorted(y)
+    blocks = -(-n // block)
+    lengths = np.full(blocks, block)
+    lengths[-1] = n - (blocks - 1) * block
+    dtype = np.float32 if n < 1 << 22 else np.float64  # counts and twice the ranks are exact in either
+    out = []
+    for at in range(0, draws, chunk):
+        w = _drawn(rng.integers(0, n, (min(chunk, draws - at), blocks)), lengths, n, dtype)
+        (rx, xx), (ry, yy) = sx.weighted(w), sy.weighted(w)
+        xy = np.einsum("ij,ij,ij->j", w, rx, ry, dtype=float) if n >= 1 << 22 else np.einsum("ij,ij->j", (w * rx).astype(float), ry)
+        den = np.sqrt(np.maximum(xx, 0) * np.maximum(yy, 0))
+        out.append(np.divide(xy, den, out=np.full(len(den), np.nan), where=den > 0))
+    return np.concatenate(out) if out else np.empty(0)
+
+
+def block_shuffles(ux: np.ndarray, uy: np.ndarray, block: int, draws: int, rng: np.random.Generator, most: int = 1 << 25) -> np.ndarray:
+    """Sums of products of ux with uy turned by a random shift and then cut into blocks that change places.
+
+    A sum is made of one product sum per block, which depends on where the block lands and on
+    which piece of uy it holds. Those are tabled for all shifts by Fourier transforms; where
+    the table would pass `most` numbers, each draw is summed by itself."""
+    n = len(ux)
+    cuts = np.arange(0, n, block)
+    k = len(cuts)
+    last = n - (k - 1) * block
+    orders = rng.permuted(np.tile(np.arange(k), (draws, 1)), axis=1)
+    shifts = rng.integers(0, n, draws)
+    place = np.argmax(orders == k - 1, axis=1)[:, None]  # of the short block
+    i = np.arange(k)
+    target = i * block - np.where(i > place, block - last, 0)
+    if 3 * k * n > most:
+        around, lengths = np.tile(uy, 2), np.minimum(cuts + block, n) - cuts
+        dots = []
+        for o, s in zip(orders, shifts):
+            size = lengths[o]
+            dots.append(around[np.repeat(cuts[o] - np.cumsum(size) + size, size) + np.arange(n) + s] @ ux)
+        return np.array(dots)
+    pieces = np.zeros((3 * k, n))  # of ux: whole blocks before the short one, after it, and the short one, by place
+    for j in range(k):
+        pieces[j, : min(block, n - j * block)] = ux[j * block : j * block + block]
+        if j:
+            a = j * block - (block - last)
+            pieces[k + j, : min(block, n - a)] = ux[a : a + block]
+        pieces[2 * k + j, :last] = ux[j * block : j * block + last]
+    table = np.fft.irfft(np.conj(np.fft.rfft(pieces)) * np.fft.rfft(uy), n)
+    row = i + np.where(i > place, k, 0) + np.where(i == place, 2 * k, 0)
+    return table[row, (cuts[orders] + shifts[:, None]) % n].sum(1)
+
+
+_DEP_AWARE = "n bigint, assoc_rho double, ci_lo double, ci_hi double, ci_excludes_zero int, p_block double, p_boot_2sided double, boot_rho_mean double, block_len bigint, n_blocks bigint, n_boot bigint, n_perm bigint"
+
+
+def _dep_aware_row(n: int, rho: float, boot: np.ndarray, null: np.ndarray, block: int) -> list:
+    boot, null = boot[np.isfinite(boot)], null[np.isfinite(null)]
+    lo, hi = np.percentile(boot, [2.5, 97.5]) if len(boot) else (np.nan, np.nan)
+    side = 2 * min((boot <= 0).mean(), (boot >= 0).mean()) if len(boot) else np.nan
+    p = (1 + (np.abs(null) >= abs(rho)).sum()) / (len(null) + 1)
+    return [n, rho, lo, hi, int(bool(lo * hi > 0)), p, max(side, 1 / max(len(boot), 1)), boot.mean() if len(boot) else np.nan, block, -(-n // block), len(boot), len(null)]
+
+
+def dependence_aware(df: DataFrame, key: Key, x: str, y: str, seq_len: int, pred_len: int, n_boot: int = 2000, n_perm: int = 2000, seed: int = 0, parts: int = 1) -> DataFrame:
+    """Rows (key..., pos, x, y): rho with a circular moving-block bootstrap interval and a circular block permutation p. One key's vector is in memory at a time, replicates in chunks; for few long vectors, `parts` spreads a key's draws over as many tasks."""
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*key).schema)
+    names = [c.split(" ")[0] for c in _DEP_AWARE.split(", ")]
 
+    def drawn(k: tuple, rows: pd.DataFrame, part: int) -> tuple:
+        rows = rows.sort_values("pos")
+        n = len(rows)
+        rng = np.random.default_rng(stable_seed(seed, *map(str, k), *([part] if parts > 1 else [])))  # each key and part its own stream
+        want = max(seq_len + pred_len, next(i for i in range(1, n + 2) if i**3 >= n))
+        block = max(1, min(want, n // 2))
+        vx, vy = rows[x].to_numpy(float), rows[y].to_numpy(float)
+        ux, uy = (_Sorted(v).ranks - (n + 1) / 2 for v in (vx, vy))
+        scale = float(np.sqrt((ux @ ux) * (uy @ uy)))
+        share = lambda total: total // parts + (part < total % parts)
+        boot = block_bootstrap(vx, vy, block, share(n_boot), rng)
+        dots = block_shuffles(ux, uy, block, share(n_perm), rng)
+        if scale > 0:  # a shuffle keeps both deviations
+            return n, float(ux @ uy) / scale, boot, dots / scale, block
+        return n, np.nan, boot, np.full(len(dots), np.nan), block
 
-def _row_correlation(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """T12."""
-    a, b = a - a.mean(1, keepdims=True), b - b.mean(1, keepdims=True)
-    den = np.sqrt(np.einsum("ij,ij->i", a, a) * np.einsum("ij,ij->i", b, b))
-    return np.divide(np.einsum("ij,ij->i", a, b), den, out=np.full(len(den), np.nan), where=den > 0)
+    if parts == 1:
 
+        def one(k: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame([[*k, *_dep_aware_row(*drawn(k, rows, 0))]], columns=[*key, *names])
 
-def _shuffled_blocks(cuts: np.ndarray, lengths: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Positions after whole blocks change places."""
-    o = rng.permutation(len(cuts))
-    size = lengths[o]
-    return np.repeat(cuts[o] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        return df.groupBy(*key).applyInPandas(one, f"{fields}, {_DEP_AWARE}")
 
+    def piece(k: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        n, rho, boot, null, block = drawn(k[:-1], rows, int(k[-1]))
+        return pd.DataFrame([[*k[:-1], n, rho, block, boot.tolist(), null.tolist()]], columns=[*key, "n", "rho", "block", "boot", "null"])
 
-def dependence_aware(df: DataFrame, key: Key, x: str, y: str, seq_len: int, pred_len: int, n_boot: int = 2000, n_perm: int = 2000, seed: int = 0, chunk: int = 100) -> DataFrame:
-    """Rows (key..., pos, x, y): rho with a circular moving-block bootstrap interval and a circular block permutation p. One key's vector is in memory at a time, replicates in chunks."""
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*key).schema)
-    names = ["n", "assoc_rho", "ci_lo", "ci_hi", "ci_excludes_zero", "p_block", "p_boot_2sided", "boot_rho_mean", "block_len", "n_blocks", "n_boot", "n_perm"]
+    def whole(k: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        n, rho, block = (rows[c].iloc[0] for c in ("n", "rho", "block"))
+        return pd.DataFrame([[*k, *_dep_aware_row(int(n), float(rho), *(np.concatenate([np.asarray(v, float) for v in rows[c]]) for c in ("boot", "null")), int(block))]], columns=[*key, *names])
 
-    def one(k: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("pos")
-        n = len(rows)
-        rng = np.random.default_rng(stable_seed(seed, *map(str, k)))  # each key its own stream
-        want = max(seq_len + pred_len, next(i for i in range(1, n + 2) if i**3 >= n))
-        b = max(1, min(want, n // 2))
-        blocks = -(-n // b)
-        (cx, mx), (cy, my) = (_codes(rows[c].to_numpy(float)) for c in (x, y))
-        rx, ry = _ranks(cx[None], mx)[0], _ranks(cy[None], my)[0]
-        rho = float(_row_correlation(rx[None], ry[None])[0])
-        boot, null = [], []
-        twice_x, twice_y = np.tile(cx, 2), np.tile(cy, 2)  # positions run around the end
-        for at in range(0, n_boot, chunk):
-            starts = rng.integers(0, n, (min(chunk, n_boot - at), blocks))
-            i = (starts[:, :, None] + np.arange(b)).reshape(len(starts), -1)[:, :n]
-            boot.append(_row_correlation(_ranks(twice_x[i], mx), _ranks(twice_y[i], my)))
-        cuts = np.arange(0, n, b)
-        lengths = np.minimum(cuts + b, n) - cuts
-        ux, uy = rx - rx.mean(), ry - ry.mean()
-        scale = float(np.sqrt((ux @ ux) * (uy @ uy)))
-        around = np.tile(uy, 2)
-        for at in range(0, n_perm, chunk):
-            shifts = rng.integers(0, n, min(chunk, n_perm - at))
-            dots = np.array([around[_shuffled_blocks(cuts, lengths, rng) + k] @ ux for k in shifts])
-            null.append(dots / scale if scale > 0 else np.full(len(dots), np.nan))  # a shuffle keeps both deviations
-        boot, null = (np.concatenate(v) if v else np.empty(0) for v in (boot, null))
-        boot, null = boot[np.isfinite(boot)], null[np.isfinite(null)]
-        lo, hi = np.percentile(boot, [2.5, 97.5]) if len(boot) else (np.nan, np.nan)
-        side = 2 * min((boot <= 0).mean(), (boot >= 0).mean()) if len(boot) else np.nan
-        p = (1 + (np.abs(null) >= abs(rho)).sum()) / (len(null) + 1)
-        values = [n, rho, lo, hi, int(bool(lo * hi > 0)), p, max(side, 1 / max(len(boot), 1)), boot.mean() if len(boot) else np.nan, b, blocks, len(boot), len(null)]
-        return pd.DataFrame([[*k, *values]], columns=[*key, *names])
-
-    return df.groupBy(*key).applyInPandas(one, f"{fields}, n bigint, assoc_rho double, ci_lo double, ci_hi double, ci_excludes_zero int, p_block double, p_boot_2sided double, boot_rho_mean double, block_len bigint, n_blocks bigint, n_boot bigint, n_perm bigint")
+    by = [*key, "_part"]
+    many = df.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    drawn_parts = many.groupBy(*by).applyInPandas(piece, f"{fields}, n bigint, rho double, block bigint, boot array<double>, `null` array<double>")
+    return drawn_parts.groupBy(*key).applyInPandas(whole, f"{fields}, {_DEP_AWARE}")
 
 
 def cluster_bootstrap(df: DataFrame, key: Key, cluster: str, value: str, n_boot: int = 2000, seed: object = 0, stat: Callable[[Column], Column] = F.median) -> DataFrame:
