@@ -16,6 +16,7 @@ from seriata.ship import ship
 
 SHINGLE = 5
 HOT_SHARE = 1000
+FEW_ROWS = 20_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _local_dir: str | None = None
 _places: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
@@ -104,7 +105,10 @@ def join_hot(rows: DataFrame, table: DataFrame, on: list[str], size: str, total:
     """rows join table (a row a key, of which column `size` says how many of the `total` rows it meets), inner or left, without `size`.
 
     Keys with over a thousandth of the rows are a thousand at most: those are broadcast, so
-    that their rows need not meet in one task; the rest is joined by shuffle."""
+    that their rows need not meet in one task; the rest is joined by shuffle. Of FEW_ROWS rows
+    or less no key needs that: a task that gets all of them is small."""
+    if total <= FEW_ROWS:
+        return rows.join(table.drop(size), on, how)
     hot = F.col(size) * HOT_SHARE > F.lit(total)
     heavy, light = F.broadcast(table.where(hot).drop(size)), table.where(~hot).drop(size)
     rest = rows.join(F.broadcast(table.where(hot).select(*on)), on, "left_anti")
