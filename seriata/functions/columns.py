@@ -65,6 +65,27 @@ def order_key(seed: object, *cols: Column) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[c.cast("string") for c in cols]))
 
 
+def fixed(c: Column, decimals: int, grouped: bool = False) -> Column:
+    """A figure as text, rounded half up, with thousands separated on demand."""
+    r = F.round(c.cast("double"), decimals)
+    return F.format_number(r, decimals) if grouped else F.format_string(f"%.{decimals}f", r)
+
+
+def wall_clock(text: Column) -> Column:
+    """The time a run record names, as a timestamp without zone."""
+    return F.to_timestamp_ntz(text, F.lit("yyyy-MM-dd'T'HH:mm:ss"))
+
+
+def sorted_json(columns: dict[str, Column]) -> Column:
+    """One JSON object with its keys in order."""
+    return F.to_json(F.struct(*[columns[k].alias(k) for k in sorted(columns)]))
+
+
+def pipe_list(text: Column) -> Column:
+    """The parts of a list written as a|b|c; none for an empty text."""
+    return F.filter(F.split(text, r"\|"), lambda x: x != "")
+
+
 def escape_tex(c: Column) -> Column:
     return F.regexp_replace(c, r"([&%$#_{}])", r"\\$1")
 

@@ -10,7 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seriata.functions.columns import ceil_cube_root, finite, order_key, stable_seed
+from seriata.functions.columns import ceil_cube_root, finite, order_key
+from seriata.functions.draws import integers, orders, seed_of
 from seriata.functions.stats import normal_two_sided, signed_rank_exact, t_cdf, t_isf, t_isf_col, t_sf, t_sf_col
 from seriata.operators.diagnose import average_rank
 
@@ -120,8 +121,8 @@ def _drawn(starts: np.ndarray, lengths: np.ndarray, n: int, dtype: type) -> np.n
     return _running_sums(w)
 
 
-def block_bootstrap(x: np.ndarray, y: np.ndarray, block: int, draws: int, rng: np.random.Generator, chunk: int = 32) -> np.ndarray:
-    """Rank correlations of circular moving-block resamples, the last block cut to the vector's length; NaN where a resample is constant.
+def block_bootstrap(x: np.ndarray, y: np.ndarray, block: int, draws: int, seed: int, first: int = 0, chunk: int = 32) -> np.ndarray:
+    """Rank correlations of circular moving-block resamples (draws number `first` on), the last block cut to the vector's length; NaN where a resample is constant.
 
     A resample is a count per position, so its ranks are running sums of counts in the order of the values: nothing is sorted or copied per draw."""
     n = len(x)
@@ -132,7 +133,7 @@ def block_bootstrap(x: np.ndarray, y: np.ndarray, block: int, draws: int, rng: n
     dtype = np.float32 if n < 1 << 22 else np.float64  # counts and twice the ranks are exact in either
     out = []
     for at in range(0, draws, chunk):
-        w = _drawn(rng.integers(0, n, (min(chunk, draws - at), blocks)), lengths, n, dtype)
+        w = _drawn(integers(seed, first + at, min(chunk, draws - at), blocks, n), lengths, n, dtype)
         (rx, xx), (ry, yy) = sx.weighted(w), sy.weighted(w)
         xy = np.einsum("ij,ij,ij->j", w, rx, ry, dtype=float) if n >= 1 << 22 else np.einsum("ij,ij->j", (w * rx).astype(float), ry)
         den = np.sqrt(np.maximum(xx, 0) * np.maximum(yy, 0))
@@ -140,7 +141,7 @@ def block_bootstrap(x: np.ndarray, y: np.ndarray, block: int, draws: int, rng: n
     return np.concatenate(out) if out else np.empty(0)
 
 
-def block_shuffles(ux: np.ndarray, uy: np.ndarray, block: int, draws: int, rng: np.random.Generator, most: int = 1 << 25) -> np.ndarray:
+def block_shuffles(ux: np.ndarray, uy: np.ndarray, block: int, draws: int, seed: int, first: int = 0, most: int = 1 << 25) -> np.ndarray:
     """Sums of products of ux with uy turned by a random shift and then cut into blocks that change places.
 
     A sum is made of one product sum per block, which depends on where the block lands and on
@@ -150,15 +151,15 @@ def block_shuffles(ux: np.ndarray, uy: np.ndarray, block: int, draws: int, rng:
     cuts = np.arange(0, n, block)
     k = len(cuts)
     last = n - (k - 1) * block
-    orders = rng.permuted(np.tile(np.arange(k), (draws, 1)), axis=1)
-    shifts = rng.integers(0, n, draws)
-    place = np.argmax(orders == k - 1, axis=1)[:, None]  # of the short block
+    placed = orders(seed, first, draws, k)
+    shifts = integers(seed + 1, first, draws, 1, n)[:, 0]
+    place = np.argmax(placed == k - 1, axis=1)[:, None]  # of the short block
     i = np.arange(k)
     target = i * block - np.where(i > place, block - last, 0)
     if 3 * k * n > most:
         around, lengths = np.tile(uy, 2), np.minimum(cuts + block, n) - cuts
         dots = []
-        for o, s in zip(orders, shifts):
+        for o, s in zip(placed, shifts):
             size = lengths[o]
             dots.append(around[np.repeat(cuts[o] - np.cumsum(size) + size, size) + np.arange(n) + s] @ ux)
         return np.array(dots)
@@ -171,7 +172,7 @@ def block_shuffles(ux: np.ndarray, uy: np.ndarray, block: int, draws: int, rng:
         pieces[2 * k + j, :last] = ux[j * block : j * block + last]
     table = np.fft.irfft(np.conj(np.fft.rfft(pieces)) * np.fft.rfft(uy), n)
     row = i + np.where(i > place, k, 0) + np.where(i == place, 2 * k, 0)
-    return table[row, (cuts[orders] + shifts[:, None]) % n].sum(1)
+    return table[row, (cuts[placed] + shifts[:, None]) % n].sum(1)
 
 
 _DEP_AWARE = "n bigint, assoc_rho double, ci_lo double, ci_hi double, ci_excludes_zero int, p_block double, p_boot_2sided double, boot_rho_mean double, block_len bigint, n_blocks bigint, n_boot bigint, n_perm bigint"
@@ -193,15 +194,16 @@ def dependence_aware(df: DataFrame, key: Key, x: str, y: str, seq_len: int, pred
     def drawn(k: tuple, rows: pd.DataFrame, part: int) -> tuple:
         rows = rows.sort_values("pos")
         n = len(rows)
-        rng = np.random.default_rng(stable_seed(seed, *map(str, k), *([part] if parts > 1 else [])))  # each key and part its own stream
+        own = seed_of(seed, *k)  # each key has its own draws, whatever part makes them
         want = max(seq_len + pred_len, next(i for i in range(1, n + 2) if i**3 >= n))
         block = max(1, min(want, n // 2))
         vx, vy = rows[x].to_numpy(float), rows[y].to_numpy(float)
         ux, uy = (_Sorted(v).ranks - (n + 1) / 2 for v in (vx, vy))
         scale = float(np.sqrt((ux @ ux) * (uy @ uy)))
-        share = lambda total: total // parts + (part < total % parts)
-        boot = block_bootstrap(vx, vy, block, share(n_boot), rng)
-        dots = block_shuffles(ux, uy, block, share(n_perm), rng)
+        cut = lambda total: (total * part // parts, total * (part + 1) // parts)
+        (b0, b1), (p0, p1) = cut(n_boot), cut(n_perm)
+        boot = block_bootstrap(vx, vy, block, b1 - b0, own, b0)
+        dots = block_shuffles(ux, uy, block, p1 - p0, own + 2, p0)
         if scale > 0:  # a shuffle keeps both deviations
             return n, float(ux @ uy) / scale, boot, dots / scale, block
         return n, np.nan, boot, np.full(len(dots), np.nan), block
@@ -227,20 +229,61 @@ def dependence_aware(df: DataFrame, key: Key, x: str, y: str, seq_len: int, pred
     return drawn_parts.groupBy(*key).applyInPandas(whole, f"{fields}, {_DEP_AWARE}")
 
 
-def cluster_bootstrap(df: DataFrame, key: Key, cluster: str, value: str, n_boot: int = 2000, seed: object = 0, stat: Callable[[Column], Column] = F.median) -> DataFrame:
-    """Key..., point, ci_lo, ci_hi, boot_median, n_clusters, n_cells, n_boot: whole clusters are drawn with replacement. stat is any native aggregate.
-
-    A draw is a count per (replicate, cluster), so the join repeats rows only as drawn."""
-    rows = df.where(finite(F.col(value)))
-    clusters = rows.select(*key, cluster).distinct()
-    clusters = clusters.withColumn("_i", F.row_number().over(Window.partitionBy(*(key or [F.lit(0)])).orderBy(cluster)) - 1).withColumn("_k", F.count("*").over(Window.partitionBy(*(key or [F.lit(0)]))))
-    draws = clusters.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
+def _picks(clusters: DataFrame, key: Key, n_boot: int, seed: object) -> DataFrame:
+    """clusters (key..., _i, _k) -> key..., replicate, _i, times: how often each cluster was drawn; a draw is md5 of seed, key, replicate and place."""
+    draws = clusters.select(*key, "_i", "_k").withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
     h = order_key(seed, *[F.col(c) for c in key], F.col("replicate"), F.col("_i"))
-    draws = draws.withColumn("_pick", F.pmod(F.conv(F.substring(h, 1, 15), 16, 10).cast("bigint"), F.col("_k"))).select(*key, "replicate", "_pick")
-    picked = draws.join(clusters.select(*key, cluster, F.col("_i").alias("_pick")), [*key, "_pick"])
-    stats = picked.join(rows.select(*key, cluster, value), [*key, cluster]).groupBy(*key, "replicate").agg(stat(F.col(value)).alias("s"))
+    pick = F.pmod(F.conv(F.substring(h, 1, 15), 16, 10).cast("bigint"), F.col("_k"))
+    return draws.groupBy(*key, "replicate", pick.alias("_i")).agg(F.count("*").alias("times"))
+
+
+def _weighted_median(values: np.ndarray, clusters: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """times (cluster, replicate): the median of each replicate's values, each value as often as its cluster was drawn."""
+    order = np.argsort(values, kind="stable")
+    v = values[order]
+    out = []
+    for at in range(0, times.shape[1], 64):
+        sums = _running_sums(times[clusters[order], at : at + 64].astype(np.int64))
+        n = sums[-1]
+        low, high = (n + 1) // 2, n // 2 + 1  # from 1
+        out += [(v[np.searchsorted(s, a)] + v[np.searchsorted(s, b)]) / 2 if b <= m else np.nan for s, a, b, m in zip(sums.T, low, high, n)]
+    return np.array(out)
+
+
+def cluster_bootstrap(df: DataFrame, key: Key, cluster: str, value: str, n_boot: int = 2000, seed: object = 0, stat: str | Callable[[Column], Column] = "median") -> DataFrame:
+    """Key..., point, ci_lo, ci_hi, boot_median, n_clusters, n_cells, n_boot: whole clusters are drawn with replacement.
+
+    stat "mean" goes by cluster sums, a row per cluster and replicate. "median" goes by counts
+    of draws per key: one key's values are in memory at a time, replicates in chunks, and no
+    value is repeated per replicate. Any native aggregate can be given as a function; its rows
+    are repeated as drawn."""
+    rows = df.where(finite(F.col(value))).select(*key, cluster, F.col(value).alias("_v"))
+    by = Window.partitionBy(*(key or [F.lit(0)]))
+    sizes = rows.groupBy(*key, cluster).agg(F.count("*").alias("_n"), F.sum("_v").alias("_s"))
+    sizes = sizes.withColumn("_i", F.row_number().over(by.orderBy(cluster)) - 1).withColumn("_k", F.count("*").over(by))
+    picks = _picks(sizes, key, n_boot, seed)
+    if stat == "mean":
+        stats = picks.join(sizes, [*key, "_i"]).groupBy(*key, "replicate").agg((F.sum(F.col("times") * F.col("_s")) / F.sum(F.col("times") * F.col("_n"))).alias("s"))
+    elif stat == "median":
+        # the clusters' places and the draws of a key, beside its values, in one group
+        code = rows.join(sizes.select(*key, cluster, "_i"), [*key, cluster]).select(*key, F.col("_v"), "_i", F.lit(None).cast("int").alias("replicate"), F.lit(None).cast("bigint").alias("times"))
+        both = code.unionByName(picks.withColumn("_v", F.lit(None).cast("double")).select(*code.columns))
+        fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.select(*key).schema)
+
+        def one(k: tuple, part: pd.DataFrame) -> pd.DataFrame:
+            own, drawn = part[part["replicate"].isna()], part[part["replicate"].notna()]
+            times = np.zeros((int(own["_i"].max()) + 1 if len(own) else 0, n_boot), np.int64)
+            times[drawn["_i"].to_numpy(int), drawn["replicate"].to_numpy(int)] = drawn["times"].to_numpy(int)
+            s = _weighted_median(own["_v"].to_numpy(float), own["_i"].to_numpy(int), times)
+            return pd.DataFrame({**{c: [x] * n_boot for c, x in zip(key, k)}, "replicate": np.arange(n_boot), "s": s})
+
+        stats = (both.groupBy(*key) if key else both.groupBy(F.lit(0).alias("_one"))).applyInPandas(one if key else lambda p: one((), p), f"{fields}replicate int, s double")
+    else:
+        drawn = picks.join(sizes.select(*key, cluster, "_i"), [*key, "_i"]).join(rows, [*key, cluster])
+        stats = drawn.withColumn("_t", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).groupBy(*key, "replicate").agg(stat(F.col("_v")).alias("s"))
     ci = stats.groupBy(*key).agg(F.percentile("s", 0.025).alias("ci_lo"), F.percentile("s", 0.975).alias("ci_hi"), F.median("s").alias("boot_median"), F.count("*").alias("n_boot"))
-    point = rows.groupBy(*key).agg(stat(F.col(value)).alias("point"), F.countDistinct(cluster).alias("n_clusters"), F.count("*").alias("n_cells"))
+    whole = F.avg if stat == "mean" else F.median if stat == "median" else stat
+    point = rows.groupBy(*key).agg(whole(F.col("_v")).alias("point"), F.countDistinct(cluster).alias("n_clusters"), F.count("*").alias("n_cells"))
     return point.join(ci, list(key)) if key else point.crossJoin(ci)
 
 

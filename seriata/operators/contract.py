@@ -96,7 +96,7 @@ def value_digest(df: DataFrame, key: Key, value: str = "value") -> DataFrame:
 
     @F.pandas_udf("string")
     def of(rows: pd.Series) -> pd.Series:
-        return rows.map(lambda v: value_digest_of(np.asarray([np.nan if x is None else x for x in v])))
+        return rows.map(lambda v: value_digest_of(np.asarray(v)))  # Arrow gives one flat array each; a null double is NaN
 
     v = F.transform(F.array_sort(F.collect_list(F.struct("pos", F.col(value).alias("v")))), lambda x: x["v"])
     return df.groupBy(*key).agg(F.count("*").alias("n"), v.alias("v")).select(*key, "n", of("v").alias("digest"))
@@ -150,7 +150,7 @@ def is_legacy() -> Column:
 
 
 def resolve_sample_ids(sidecars: DataFrame, values: DataFrame | None = None) -> DataFrame:
-    """cell_id, product, pos, sample_id by what the sidecar's spec says: inline ids, inline origins, a range, another product's window order, or none (no rows)."""
+    """cell_id, product, pos, sample_id by what the sidecar's spec says: inline ids, inline origins, a range, another product's window order (the plan fails where that product has no values), or none (no rows)."""
     key = list(PRODUCT)
     sc = sidecars.select(*key, "dataset", "split", "seq_len", "pred_len", "n_samples", "sample_id_scheme", F.col("sample_id_spec").alias("spec"))
     made = F.concat_ws("|", F.col("sample_id_scheme"), token(F.col("dataset")), token(F.col("split")), F.concat(F.lit("L"), token(F.col("seq_len"))), F.concat(F.lit("H"), token(F.col("pred_len"))), F.concat(F.lit("w"), F.col("origin").cast("string")))
@@ -160,25 +160,35 @@ def resolve_sample_ids(sidecars: DataFrame, values: DataFrame | None = None) ->
     out = listed.unionByName(inline).unionByName(ranged)
     if values is not None:
         other = values.select("cell_id", F.col("product").alias("_name"), F.col("pos").cast("int").alias("pos"), F.col("value").cast("bigint").alias("origin"))
-        named = sc.where("spec.kind = 'sibling_array'").withColumn("_name", F.col("spec.name")).join(other, ["cell_id", "_name"]).select(*key, "pos", made.alias("sample_id"))
-        out = out.unionByName(named)
+        named = sc.where("spec.kind = 'sibling_array'").withColumn("_name", F.col("spec.name")).join(other, ["cell_id", "_name"], "left")
+        pos = F.when(F.col("pos").isNotNull(), F.col("pos")).otherwise(F.raise_error(F.concat(F.lit("MissingField: "), "cell_id", F.lit("/"), "product", F.lit(" takes its ids from an array that is not there: "), "_name")).cast("int"))
+        out = out.unionByName(named.select(*key, pos.alias("pos"), made.alias("sample_id")))
     return out.withColumn("pos", F.col("pos").cast("bigint"))
 
 
-def validate(values: DataFrame, sidecars: DataFrame, expect: Mapping[str, object] | None = None, resolved: DataFrame | None = None, wanted: DataFrame | None = None, require_order: str | None = "index", legacy_ok: bool = False) -> DataFrame:
+def missing_siblings(sidecars: DataFrame, values: DataFrame) -> DataFrame:
+    """cell_id, product of sidecars that take their ids from another product of their cell that has no values."""
+    there = values.select("cell_id", F.col("product").alias("_name")).distinct()
+    return sidecars.where("sample_id_spec.kind = 'sibling_array'").withColumn("_name", F.col("sample_id_spec.name")).join(there, ["cell_id", "_name"], "left_anti").select(*PRODUCT)
+
+
+def validate(values: DataFrame, sidecars: DataFrame, expect: Mapping[str, object] | None = None, siblings: DataFrame | None = None, wanted: DataFrame | None = None, require_order: str | None = "index", legacy_ok: bool = False) -> DataFrame:
     """cell_id, product, n, violation, error, legacy, incomplete; first failing clause in the contract's order.
 
-    wanted: the (cell_id, product) that must exist; default all in values. expect: values that
+    wanted: the (cell_id, product) that must exist; default all in values. siblings: values in
+    which the products that sidecars name are looked up; default values. expect: values that
     fields must have. require_order None lets a product without sidecar pass."""
     key = list(PRODUCT)
     wanted = (values.select(*key).distinct() if wanted is None else wanted.select(*key)).distinct()
     own = value_digest(values, key).withColumnRenamed("digest", "_value_digest").withColumnRenamed("n", "n")
-    ids = resolve_sample_ids(sidecars, values) if resolved is None else resolved
+    siblings = values if siblings is None else siblings
+    orphans = missing_siblings(sidecars, siblings).withColumn("_orphan", F.lit(1))
+    ids = resolve_sample_ids(sidecars.join(orphans, key, "left_anti"), siblings)
     got = ordered_digest(ids, key).select(*key, F.col("n").alias("_n_ids"), F.col("digest").alias("_id_digest"))
     first_wrong = ids.join(sidecars.select(*key, "dataset", "split", "seq_len", "pred_len", "sample_id_scheme"), key)
     made = sample_id(F.col("dataset"), F.col("split"), F.col("seq_len"), F.col("pred_len"), F.col("pos"))
     first_wrong = first_wrong.groupBy(*key).agg(F.min(F.when(F.col("sample_id") != made, F.col("pos"))).alias("_first_wrong"))
-    rows = wanted.join(own, key, "left").join(sidecars.withColumn("_side", F.lit(1)), key, "left").join(got, key, "left").join(first_wrong, key, "left")
+    rows = wanted.join(own, key, "left").join(sidecars.withColumn("_side", F.lit(1)), key, "left").join(got, key, "left").join(first_wrong, key, "left").join(orphans, key, "left")
     c = F.col
     no_side, legacy = c("_side").isNull(), c("_side").isNotNull() & is_legacy()
     clauses: list[tuple[Column, str, str]] = [(c("n").isNull(), "values", "MissingField")]
@@ -198,6 +208,7 @@ def validate(values: DataFrame, sidecars: DataFrame, expect: Mapping[str, object
         (new & ~c("sample_id_scheme").isin(S.SCHEME_ORIGIN, S.SCHEME_DECLARED), "sample_id_scheme", "SchemaVersion"),
         (new & (c("n_samples") != c("n")), "n_samples", "IdentityMismatch"),
         (new & (c("value_digest") != c("_value_digest")), "value_digest", "DigestMismatch"),
+        (new & c("_orphan").isNotNull(), "sample_id_spec", "MissingField"),
         (new & c("_n_ids").isNotNull() & (c("_n_ids") != c("n")), "sample_ids", "IdentityMismatch"),
         (new & c("_id_digest").isNotNull() & (c("_id_digest") != c("ordered_sample_id_digest")), "ordered_sample_id_digest", "IdentityMismatch"),
         (new & (c("order_semantics") == S.ORDER_INDEX) & (c("sample_id_scheme") == S.SCHEME_ORIGIN) & c("_first_wrong").isNotNull(), "window_origin", "IdentityMismatch"),

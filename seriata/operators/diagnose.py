@@ -7,7 +7,7 @@ Both tests' null is complete randomisation: p < alpha certifies a vector as orde
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seriata.functions.columns import indicator, stable_seed
+from seriata.functions.draws import orders, seed_of
 from seriata.functions.stats import normal_cdf, normal_isf, normal_sf_col
 
 ALPHA = 0.05
@@ -68,16 +69,21 @@ def aot_certified(z: Column, alpha: float = ALPHA) -> Column:
     return indicator(z > F.lit(normal_isf(alpha)))
 
 
-def aot_monte_carlo(df: DataFrame, key: Key, draws: int, seed: int = 0, value: str = "value", pos: str = "pos") -> DataFrame:
+def aot_monte_carlo(df: DataFrame, key: Key, draws: int = 2000, seed: int = 0, value: str = "value", pos: str = "pos", chunk: int = 64) -> DataFrame:
     """key..., n, r, p_perm: share of shuffled copies with r at least as large. One vector at a time in memory; draws in chunks."""
     names = [*key, "n", "r", "p_perm"]
 
     def one(k: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         x = rows.sort_values(pos)[value].to_numpy(float)
         r = circular_correlation(x)
-        rng = np.random.default_rng(stable_seed(seed, *map(str, k)))
-        hits = sum(circular_correlation(rng.permutation(x)) >= r - 1e-15 for _ in range(draws)) if r is not None else 0
-        return pd.DataFrame([[*k, len(x), r, (1 + hits) / (draws + 1) if r is not None else None]], columns=names).astype({"r": float, "p_perm": float})
+        if r is None:
+            return pd.DataFrame([[*k, len(x), None, None]], columns=names).astype({"r": float, "p_perm": float})
+        c = x - x.mean()
+        s2, own, hits = float((c * c).sum()), seed_of(seed, *k), 0
+        for at in range(0, draws, chunk):
+            m = c[orders(own, at, min(chunk, draws - at), len(c))]
+            hits += int(((np.einsum("ij,ij->i", m[:, :-1], m[:, 1:]) + m[:, -1] * m[:, 0]) / s2 >= r - 1e-15).sum())
+        return pd.DataFrame([[*k, len(x), r, (1 + hits) / (draws + 1)]], columns=names)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*key).schema)
     return df.groupBy(*key).applyInPandas(one, f"{fields}, n bigint, r double, p_perm double")
@@ -137,20 +143,26 @@ def pairwise_spearman(arms: DataFrame, group: Key, value: str = "value") -> Data
     return pairs.groupBy(*group, F.col("arm").alias("arm_a"), "arm_b").agg(F.sum(F.col("u") * F.col("u_b")).alias("rho"), F.count("*").alias("n"))
 
 
-def agreement_monte_carlo(arms: DataFrame, group: Key, draws: int, seed: int = 0, value: str = "value") -> DataFrame:
-    """group..., rho_bar, p, null_mean, null_sd: ranks are taken once and permuted, which preserves them."""
+def agreement_monte_carlo(arms: DataFrame, group: Key, draws: int = 2000, seed: int = 0, value: str = "value", chunk: int = 32) -> DataFrame:
+    """group..., rho_bar, p, null_mean, null_sd: ranks are taken once and permuted, which preserves them. NULL for groups of one arm, of arms with gaps, and of constant arms."""
     names = [*group, "rho_bar", "p", "null_mean", "null_sd"]
 
     def one(k: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         m = rows.pivot(index="pos", columns="arm", values=value).to_numpy(float)
         r = pd.DataFrame(m).rank().to_numpy()
         r -= r.mean(0)
-        r /= np.sqrt((r * r).sum(0))
-        a = r.shape[1]
-        of = lambda x: (float((x.sum(1) ** 2).sum()) - a) / (a * (a - 1))
-        rng = np.random.default_rng(stable_seed(seed, *map(str, k)))
-        null = np.array([of(np.column_stack([rng.permutation(r[:, j]) for j in range(a)])) for _ in range(draws)])
-        rho = of(r)
+        size = np.sqrt((r * r).sum(0))
+        n, a = r.shape
+        if a < 2 or n < 2 or np.isnan(r).any() or not size.all():
+            return pd.DataFrame([[*k, None, None, None, None]], columns=names).astype(dict.fromkeys(names[-4:], float))
+        r /= size
+        of = lambda total: ((total**2).sum(-1) - a) / (a * (a - 1))
+        own, null = seed_of(seed, *k), []
+        for at in range(0, draws, chunk):
+            d = min(chunk, draws - at)
+            o = orders(own, at * a, d * a, n).reshape(d, a, n)  # each arm of each draw its own order
+            null.append(of(sum(r[o[:, j], j] for j in range(a))))
+        null, rho = np.concatenate(null), float(of(r.sum(1)))
         return pd.DataFrame([[*k, rho, (1 + (null >= rho).sum()) / (draws + 1), null.mean(), null.std(ddof=1)]], columns=names)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in arms.select(*group).schema)
@@ -212,12 +224,33 @@ def masking_check(a: DataFrame, b: DataFrame, key: Key, value: str = "value") ->
     return g.select(*key, "n_a", "n_b", (F.abs(mb - ma) / F.nullif(F.abs(ma), F.lit(0.0))).alias("mean_rel_diff"), (F.col("gap") == 0).alias("multiset_equal"))
 
 
+def _cumulated(counts: DataFrame, key: Key, by: str, columns: Sequence[str], buckets: int = 1024) -> DataFrame:
+    """counts (key..., by, columns) with the running and whole sums <c>_upto and <c>_all along `by`: sums within value ranges plus the totals of the ranges before, so one key's values spread over as many tasks as ranges."""
+    ends = counts.groupBy(*key).agg(F.min(by).alias("_lo"), F.max(by).alias("_hi")) if key else counts.agg(F.min(by).alias("_lo"), F.max(by).alias("_hi"))
+    rows = counts.join(ends, list(key)) if key else counts.crossJoin(F.broadcast(ends))  # without key: one row
+    width = (F.col("_hi") - F.col("_lo")) / buckets
+    rows = rows.withColumn("_bucket", F.when(width > 0, F.floor((F.col(by) - F.col("_lo")) / F.when(width > 0, width))).otherwise(0).cast("int")).drop("_lo", "_hi")
+    at = [*key, "_bucket"]
+    totals = rows.groupBy(*at).agg(*[F.sum(c).alias(f"_sum_{c}") for c in columns])
+    whole = Window.partitionBy(*(key or [F.lit(0)]))
+    before = whole.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(*at, *[F.coalesce(F.sum(f"_sum_{c}").over(before), F.lit(0)).alias(f"_pre_{c}") for c in columns], *[F.sum(f"_sum_{c}").over(whole).alias(f"{c}_all") for c in columns])
+    inner = Window.partitionBy(*at).orderBy(by)
+    rows = rows.join(totals, at).withColumns({f"{c}_upto": F.sum(c).over(inner) + F.col(f"_pre_{c}") for c in columns})
+    return rows.drop("_bucket", *[f"_pre_{c}" for c in columns])
+
+
 def ks_two_sample(a: DataFrame, b: DataFrame, value: str = "value", key: Key = ()) -> DataFrame:
-    """Key..., d, n_a, n_b: largest gap of the two cumulative shares. Ranges of values are counted first, so sorting is distributed by key only."""
+    """Key..., d, n_a, n_b: largest gap of the two cumulative shares."""
     both = a.select(*key, F.col(value).alias("v"), F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(b.select(*key, F.col(value).alias("v"), F.lit(0).alias("a"), F.lit(1).alias("b")))
-    counts = both.groupBy(*key, "v").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    by = Window.partitionBy(*(key or [F.lit(0)])).orderBy("v")
-    whole = Window.partitionBy(*(key or [F.lit(0)]))
-    share = lambda c: F.sum(c).over(by) / F.sum(c).over(whole)
-    rows = counts.withColumn("gap", F.abs(share("a") - share("b")))
-    return rows.groupBy(*key).agg(F.max("gap").alias("d"), F.sum("a").alias("n_a"), F.sum("b").alias("n_b"))
+    counts = both.where(F.col("v").isNotNull()).groupBy(*key, "v").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    rows = _cumulated(counts, key, "v", ["a", "b"])
+    return rows.groupBy(*key).agg(F.max(F.abs(F.col("a_upto") / F.col("a_all") - F.col("b_upto") / F.col("b_all"))).alias("d"), F.sum("a").alias("n_a"), F.sum("b").alias("n_b"))
+
+
+def ks_one_sample(df: DataFrame, cdf: Callable[[Column], Column], value: str = "value", key: Key = ()) -> DataFrame:
+    """Key..., d, n: largest gap between the values' cumulative share and cdf, on either side of each step."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*key, F.col(value).alias("v")).agg(F.count("*").alias("a"))
+    rows = _cumulated(counts, key, "v", ["a"])
+    f, upto = cdf(F.col("v")), F.col("a_upto") / F.col("a_all")
+    return rows.groupBy(*key).agg(F.max(F.greatest(upto - f, f - (F.col("a_upto") - F.col("a")) / F.col("a_all"))).alias("d"), F.sum("a").alias("n"))

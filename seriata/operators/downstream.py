@@ -115,7 +115,7 @@ def label_law(arms: DataFrame, group: Key) -> DataFrame:
     labels = best_arms(arms, group)
     shares = labels.groupBy(*group, "label").agg(F.count("*").alias("c")).withColumn("f", F.col("c") / F.sum("c").over(Window.partitionBy(*(group or [F.lit(0)]))))
     fixed = arms.groupBy(*group, "arm").agg(F.avg("value").alias("m")).groupBy(*group).agg(F.min_by("arm", F.struct("m", "arm")).alias("best_fixed_arm"))
-    law = shares.groupBy(*group).agg(F.max_by("label", F.struct("c", F.expr("-ascii(label)"))).alias("modal_arm"), F.max("f").alias("modal_share"), F.sum(-F.col("f") * F.log2("f")).alias("entropy_bits"))
+    law = shares.groupBy(*group).agg(F.min_by("label", F.struct(-F.col("c"), "label")).alias("modal_arm"), F.max("f").alias("modal_share"), F.sum(-F.col("f") * F.log2("f")).alias("entropy_bits"))
     both = law.join(fixed, list(group)) if group else law.crossJoin(fixed)
     own = shares.select(*group, F.col("label").alias("best_fixed_arm"), F.col("f").alias("_f"))
     both = both.join(own, [*group, "best_fixed_arm"], "left").withColumn("best_fixed_share", F.coalesce("_f", F.lit(0.0))).drop("_f")

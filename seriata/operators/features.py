@@ -130,15 +130,32 @@ def forecaster_errors(series: DataFrame, key: Key, seq_len: int, pred_len: int)
     return rows.select(*key, F.col("t").alias("pos"), F.explode(arms).alias("a")).select(*key, "a.arm", "pos", "a.value")
 
 
-def revin(series: DataFrame, key: Key, value: str = "value", eps: float = 1e-5) -> DataFrame:
-    """Value normalised within each key (a window and channel), with the mean and scale that undo it."""
+def revin(series: DataFrame, key: Key, value: str = "value", eps: float = 1e-5, affine: DataFrame | None = None, channel: str = "channel") -> DataFrame:
+    """Value normalised within each key (a window and channel), with the mean and scale that undo it; affine (channel, weight, bias), a row per channel, is applied after."""
     w = Window.partitionBy(*key)
     rows = series.withColumn("mean", F.avg(value).over(w)).withColumn("scale", F.sqrt(F.var_pop(value).over(w) + eps))
-    return rows.withColumn("normalised", (F.col(value) - F.col("mean")) / F.col("scale"))
-
-
-def revin_inverse(df: DataFrame, value: str = "normalised") -> DataFrame:
-    return df.withColumn("value", F.col(value) * F.col("scale") + F.col("mean"))
+    rows = rows.withColumn("normalised", (F.col(value) - F.col("mean")) / F.col("scale"))
+    if affine is None:
+        return rows
+    return rows.join(affine.select(channel, "weight", "bias"), channel).withColumn("normalised", F.col("normalised") * F.col("weight") + F.col("bias"))
+
+
+def revin_inverse(df: DataFrame, value: str = "normalised", eps: float = 1e-5) -> DataFrame:
+    """value from the normalised one; where the rows hold weight and bias, those are undone first, a weight kept off zero by eps squared."""
+    v = F.col(value)
+    if {"weight", "bias"} <= set(df.columns):
+        v = (v - F.col("bias")) / (F.col("weight") + eps * eps)
+    return df.withColumn("value", v * F.col("scale") + F.col("mean"))
+
+
+def align_channels(df: DataFrame, wanted: Sequence[int], channel: str = "channel") -> DataFrame:
+    """U4: rows of the wanted channels, numbered in the wanted order; the plan fails where one has no rows."""
+    names = df.sparkSession.createDataFrame([(int(c), i) for i, c in enumerate(wanted)], f"{channel} int, _at int")
+    seen = df.select(F.col(channel).cast("int").alias(channel)).distinct()
+    missing = names.join(seen, channel, "left_anti").agg(F.count("*").alias("_missing"))
+    rows = df.join(F.broadcast(names), channel).crossJoin(F.broadcast(missing))  # a row per channel asked for, and one row
+    at = F.when(F.col("_missing") == 0, F.col("_at")).otherwise(F.raise_error(F.lit("a channel has no rows")).cast("int"))
+    return rows.withColumn(channel, at).drop("_at", "_missing")
 
 
 def slice_length(seq_len: int) -> int:

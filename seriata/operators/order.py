@@ -32,6 +32,29 @@ def full_permutation(df: DataFrame, key: Key, seed: object) -> DataFrame:
     return df.select(*key, F.col("pos").alias("src_pos"), h.alias("_h")).withColumn("pos", (F.row_number().over(_by(key, "_h", "src_pos")) - 1).cast("bigint")).select(*key, "pos", "src_pos")
 
 
+def with_pos_spread(df: DataFrame, key: Key, *order: str, buckets: int = 4096) -> DataFrame:
+    """with_pos for keys of any size: ranges of the first order column (numeric or time) are counted, numbered within, and shifted by what lies before, so one key's rows spread over as many tasks as ranges. One running sum holds a row per key and range."""
+    first = F.col(order[0])
+    number = first.cast("timestamp").cast("double") if dict(df.dtypes)[order[0]].startswith(("timestamp", "date")) else first.cast("double")
+    ends = df.groupBy(*key).agg(F.min(number).alias("_lo"), F.max(number).alias("_hi"))
+    rows = df.join(ends, list(key))
+    width = (F.col("_hi") - F.col("_lo")) / buckets
+    rows = rows.withColumn("_bucket", F.coalesce(F.when(width > 0, F.floor((number - F.col("_lo")) / F.when(width > 0, width))), F.lit(-1)).cast("int")).drop("_lo", "_hi")
+    at = [*key, "_bucket"]
+    counts = rows.groupBy(*at).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(_by(key, "_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.withColumn("_before", before).drop("_n")
+    own = F.row_number().over(Window.partitionBy(*at).orderBy(*order)) - 1
+    return rows.withColumn("_own", own).join(counts, at).withColumn("pos", (F.col("_own") + F.col("_before")).cast("bigint")).drop("_own", "_before", "_bucket")
+
+
+def full_permutation_spread(df: DataFrame, key: Key, seed: object) -> DataFrame:
+    """full_permutation for keys of any size, the same orders: the hash is numbered by its ranges."""
+    h = order_key(seed, *[F.col(k) for k in key], F.col("pos"))
+    rows = df.select(*key, F.col("pos").alias("src_pos"), h.alias("_h")).withColumn("_x", F.conv(F.substring("_h", 1, 13), 16, 10).cast("double"))
+    return with_pos_spread(rows, key, "_x", "_h", "src_pos").select(*key, "pos", "src_pos")
+
+
 def block_permutation(df: DataFrame, key: Key, block: int, seed: object) -> DataFrame:
     """R2: whole blocks of `block` positions change places; the last may be short; blocks stay intact."""
     b = F.floor(F.col("pos") / block).cast("bigint")
@@ -145,6 +168,11 @@ def overlap_ratio(stride: Column, seq_len: int, pred_len: int) -> Column:
     return F.greatest(F.lit(0.0), 1 - stride / F.lit(float(seq_len + pred_len)))
 
 
+def least_disjoint_stride(strides: Sequence[int], seq_len: Column, pred_len: Column) -> Column:
+    """The smallest of the strides at which neighbouring windows share no point; NULL if none is."""
+    return F.array_min(F.filter(F.array(*[F.lit(int(s)) for s in strides]), lambda s: s >= seq_len + pred_len))
+
+
 def subsample(df: DataFrame, n: int, seed: object, *unique: str) -> DataFrame:
     """N rows, the same on every run."""
     return df.withColumn("_h", order_key(seed, *[F.col(c) for c in unique])).orderBy("_h", *unique).limit(n).drop("_h")

@@ -83,8 +83,8 @@ def multiset_equal(a: DataFrame, b: DataFrame) -> bool:
 
 
 def distinct_sum(df: DataFrame, identity: Key, value: str) -> DataFrame:
-    """The sum over one row per identity."""
-    return df.groupBy(*identity).agg(F.first(value).alias("_v")).agg(F.sum("_v").alias(value))
+    """The sum over one row per identity; where its rows differ, the greatest value counts."""
+    return df.groupBy(*identity).agg(F.max(value).alias("_v")).agg(F.sum("_v").alias(value))
 
 
 def custom_order(df: DataFrame, column: str, order: Sequence[str]) -> DataFrame:

@@ -15,6 +15,7 @@ from seriata import schema as S
 from seriata.operators import contract, joins
 from seriata.sources.files import fixture_cell, fixture_identity
 
+# The names of the faults, here and below, are fixed values: reports of other tools are compared by them.
 INDEX, LOADER = "val_index_order", "val_loader_order"
 ACCEPTED = {
     "two_producers_share_one_wrong_loader_order": "both declare the same wrong order",

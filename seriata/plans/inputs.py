@@ -23,6 +23,18 @@ def series(spark: SparkSession, sf_dir: str, key: str = "event_type") -> DataFra
     return with_pos(e, ["series_id"], "ts", "event_id").select("series_id", "pos", "value")
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a temporary one only on a local master that names none."""
+    import tempfile
+
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return "file://" + tempfile.mkdtemp(prefix="seriata-")
+
+
 SERIES = "s as (select event_type as series_id, row_number() over (partition by event_type order by ts, event_id) - 1 as pos, value from events where event_type is not null)"
 USER_SERIES = SERIES.replace("event_type", "user_id")
 
@@ -52,20 +64,14 @@ def arms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forecaster_errors(h, ["g"], L, H)
 
 
-ARMS = (
-    HOURLY
-    + """,
-look as (select o.t as pos, avg(x.value) as m, max(case when x.t = o.t + 23 then x.value end) as l,
-                sum(x.value * pow(0.5, (23 - (x.t - o.t)) / 12.0)) / sum(pow(0.5, (23 - (x.t - o.t)) / 12.0)) as e
-         from h o join h x on x.t between o.t and o.t + 23 group by o.t),
-target as (select o.t as pos, x.value as v, y.value as sv from h o join h x on x.t between o.t + 24 and o.t + 29 join h y on y.t = x.t - 24),
-full_t as (select pos from target group by pos having count(*) = 6),
-a as (
-  select 'hourly' as g, 'last' as arm, pos, avg((v - l) * (v - l)) as value from target join full_t using (pos) join look using (pos) group by pos
-  union all select 'hourly', 'mean', pos, avg((v - m) * (v - m)) from target join full_t using (pos) join look using (pos) group by pos
-  union all select 'hourly', 'ewma', pos, avg((v - e) * (v - e)) from target join full_t using (pos) join look using (pos) group by pos
-  union all select 'hourly', 'seasonal', pos, avg((v - sv) * (v - sv)) from target join full_t using (pos) group by pos)"""
-)
+_WEIGHTS = [0.5 ** ((L - 1 - i) / (L / 2)) for i in range(L)]
+_LEADS = ", ".join(f"lead(value, {i}) over o as v{i}" for i in range(L + H))
+_ERROR = lambda f: "(" + " + ".join(f"pow(v{L + i} - ({f.replace('#', str(i))}), 2)" for i in range(H)) + f") / {H}.0"
+_FORECASTS = {"last": f"v{L - 1}", "mean": "m", "ewma": "e", "seasonal": "v#"}
+ARMS = f"""{HOURLY},
+leads as (select t as pos, {_LEADS} from h window o as (order by t)),
+looks as (select *, ({" + ".join(f"v{i}" for i in range(L))}) / {L}.0 as m, ({" + ".join(f"v{i} * {w!r}" for i, w in enumerate(_WEIGHTS))}) / {sum(_WEIGHTS)!r} as e from leads where v{L + H - 1} is not null),
+a as ({" union all ".join(f"select 'hourly' as g, '{k}' as arm, pos, {_ERROR(f)} as value from looks" for k, f in _FORECASTS.items())})"""
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seriata.functions.columns import finite, is_close, token
+from seriata.functions.stats import normal_isf
 from seriata.operators import assoc, contract, diagnose, downstream, features, joins, order, reports, split
-from seriata.plans import inputs, pipelines
+from seriata.plans import inputs, pipelines, sql
 from seriata.plans.inputs import ARMS, CHANNELS, HOURLY, SERIES, USER_SERIES, VECTORS, H, L, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,7 +32,8 @@ def rounded(df: DataFrame, *names: str, digits: int = DIGITS) -> DataFrame:
     return df.withColumns({n: F.round(n, digits) + F.lit(0.0) for n in names})
 
 
-def aot_sql(ctes: str, source: str, key: str) -> str:
+def aot_sql(ctes: str, source: str, key: str, p: str = "") -> str:
+    """p: text for the p column, after z."""
     return f"""
 with {ctes},
 c1 as (select {key}, pos, value - avg(value) over (partition by {key}) as c from {source}),
@@ -40,7 +42,7 @@ m as (select {key}, count(*) as n, sum(c * nx) as num, sum(c * c) as s2, sum(c *
 k as (select *, case when n >= 4 and s2 > 1e-24 * n then num / s2 end as r, case when n >= 4 and s2 > 1e-24 * n then -1.0 / (n - 1) end as null_mean,
         case when n >= 4 and s2 > 1e-24 * n then ((s2 * s2 - s4) / (n - 1) + (s2 * s2 - 2 * s4) / ((n - 1.0) * (n - 2)) - s2 * s2 / ((n - 1.0) * (n - 1))) / (s2 * s2) end as var from m)
 select {key}, n, round(r, 6) + 0.0::double as r, round(null_mean, 6) + 0.0::double as null_mean, case when var > 0 then round(sqrt(var), 6) end as null_sd,
-       case when var > 0 then round((r - null_mean) / sqrt(var), 6) + 0.0::double end as z,
+       case when var > 0 then round((r - null_mean) / sqrt(var), 6) + 0.0::double end as z,{p}
        case when var > 0 and (r - null_mean) / sqrt(var) > 1.6448536269514722 then 1 else 0 end as reject
 from k"""
 
@@ -51,6 +53,10 @@ def aot_table(df: DataFrame, key: list[str]) -> DataFrame:
     return rounded(out, "r", "null_mean", "null_sd", "z").select(*key, "n", "r", "null_mean", "null_sd", "z", "reject")
 
 
+#: In the aot_sql query: the p of z, undefined where z is.
+P_COLUMN = f" case when var > 0 then round({sql.normal_sf('((r - null_mean) / sqrt(var))')}, 6) + 0.0::double end as p,"
+
+
 def permuted_sql(source: str, key: str, seed: str, name: str = "p") -> str:
     parts = ", ".join(k.strip() for k in key.split(","))
     return f"{name} as (select {key}, row_number() over (partition by {key} order by md5(concat_ws('|', '{seed}', {parts}, pos)), pos) - 1 as pos, value from {source})"
@@ -105,16 +111,16 @@ def aot_partial_shuffled(spark, sf_dir):
     return aot_table(order.apply_permutation(a, order.partial_permutation(a, key, 0.25, "part"), key), key)
 
 
-STRIDES = (1, 4, 16, 64)
+STRIDES = (1, 4, 16, 64, 192, 512)
 
 
-@query(aot_sql(f"{ARMS}, p as (select a.*, s.stride from a, (select unnest([1, 4, 16, 64]) as stride) s where a.pos % s.stride = 0)", "p", "g, arm, stride"))
+@query(aot_sql(f"{ARMS}, p as (select a.*, s.stride from a, (select unnest([1, 4, 16, 64, 192, 512]) as stride) s where a.pos % s.stride = 0)", "p", "g, arm, stride"))
 def aot_strided_battery(spark, sf_dir):
     return aot_table(order.strided(inputs.arms(spark, sf_dir), STRIDES), ["g", "arm", "stride"])
 
 
-@query(f"""with {ARMS}, {permuted_sql('a', 'g, arm', 'shuffle')}, i as (select g, arm, avg(value) as m, count(*) as n from a group by 1, 2), j as (select g, arm, avg(value) as m, count(*) as n from p group by 1, 2)
-select g, arm, i.n as n_a, j.n as n_b, round(abs(j.m - i.m) / abs(i.m), 6) as mean_rel_diff, true as multiset_equal from i join j using (g, arm)""")
+@query(f"""with {ARMS}, {permuted_sql('a', 'g, arm', 'shuffle')}, i as (select g, arm, avg(value) as m, count(*) as n, list(value order by value) as l from a group by 1, 2), j as (select g, arm, avg(value) as m, count(*) as n, list(value order by value) as l from p group by 1, 2)
+select g, arm, i.n as n_a, j.n as n_b, round(abs(j.m - i.m) / abs(i.m), 6) as mean_rel_diff, i.l = j.l as multiset_equal from i join j using (g, arm)""")
 def order_masking_check(spark, sf_dir):
     a = inputs.arms(spark, sf_dir)
     p = order.apply_permutation(a, order.full_permutation(a, ["g", "arm"], "shuffle"), ["g", "arm"])
@@ -186,10 +192,10 @@ def cat_conditions(spark, sf_dir):
     return rounded(diagnose.agreement(out, ["condition"]), "rho_bar").select("condition", "rho_bar")
 
 
-@query("select doc_id, n_chars, rank() over (order by n_chars) + (count(*) over (partition by n_chars) - 1) / 2.0 as rank from documents where lang = 'en'")
+@query("select doc_id, lang, n_chars, rank() over (partition by lang order by n_chars) + (count(*) over (partition by lang, n_chars) - 1) / 2.0 as rank from documents")
 def rank_average_ties(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where("lang = 'en'")
-    return d.select("doc_id", "n_chars", diagnose.average_rank("n_chars", ["lang"]).alias("rank"))
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", "lang", "n_chars", diagnose.average_rank("n_chars", ["lang"]).alias("rank"))
 
 
 @query("""with d as (select d.lang, d.n_chars, l.quality from documents d join labels l using (doc_id)),
@@ -221,9 +227,23 @@ def window_features_cross_corr(spark, sf_dir):
     return rounded(features.cross_correlation(inputs.channels(spark, sf_dir), ["dataset"], 7, 2), "f_cross_corr")
 
 
-@query()
+_DAYS, _AHEAD = 7, 2
+_FREQUENCIES = _DAYS // 2
+
+
+@query(f"""with {CHANNELS}, ends as (select channel, max(t) as last from ch group by 1),
+w as (select o.channel, o.t as window_origin, x.t - o.t as i, x.value as v, n.value as nv from ch o join ends e on e.channel = o.channel and o.t <= e.last - {_DAYS + _AHEAD - 1} join ch x on x.channel = o.channel and x.t between o.t and o.t + {_DAYS - 1} left join ch n on n.channel = x.channel and n.t = x.t + 1),
+m as (select channel, window_origin, avg(v) as m, stddev_pop(v) as sd, var_pop(v) as var, max(v) - min(v) as rg, avg(abs(nv - v)) filter (i < {_DAYS - 1}) as ad, covar_pop(v, i) / (stddev_pop(i) + 1e-12) as sl, avg(v) filter (i >= {_DAYS // 2}) - avg(v) filter (i < {_DAYS // 2}) as dr, max(v) filter (i = {_DAYS - 1}) as lv from w group by 1, 2),
+c as (select channel, window_origin, sum((v - m) * (nv - m)) filter (i < {_DAYS - 1}) as lag, sum(pow(v - m, 4)) / {_DAYS} as m4 from w join m using (channel, window_origin) group by 1, 2),
+own as (select window_origin, avg(sd) as f_std, avg(rg) as f_range, avg(ad) as f_absdiff, avg(sl) as f_slope, avg(lag / ({_DAYS} * var + 1e-12)) as f_acf1, avg(abs(dr) / (sd + 1e-12)) as f_drift, avg(abs(lv - m) / (sd + 1e-12)) as f_last_dev, avg(case when var > 0 then m4 / (var * var) else 0 end) as f_kurtosis from m join c using (channel, window_origin) group by 1),
+mean as (select t, avg(value) as v from ch group by 1), mw as (select o.t as window_origin, x.t - o.t as i, x.v - avg(x.v) over (partition by o.t) as v from mean o join mean x on x.t between o.t and o.t + {_DAYS - 1} where o.t <= (select max(t) from mean) - {_DAYS + _AHEAD - 1}),
+power as (select window_origin, f, pow(sum(v * cos(2 * pi() * f * i / {_DAYS})), 2) + pow(sum(v * sin(2 * pi() * f * i / {_DAYS})), 2) as p from mw, range(1, {_FREQUENCIES + 1}) r(f) group by 1, 2),
+spec as (select window_origin, -sum(q * ln(q + 1e-12)) / ln({max(_FREQUENCIES, 2)}) as f_spec_ent from (select window_origin, p / (sum(p) over (partition by window_origin) + 1e-12) as q from power) group by 1),
+pairs as (select a.window_origin, abs(covar_pop(a.v, b.v)) / (stddev_pop(a.v) * stddev_pop(b.v) + 1e-12) as c from w a join w b on a.window_origin = b.window_origin and a.i = b.i and a.channel < b.channel group by a.window_origin, a.channel, b.channel),
+cross_c as (select window_origin, avg(c) as f_cross_corr from pairs group by 1)
+select 'events' as dataset, window_origin, {", ".join(f"round({f}, 6) + 0.0::double as {f}" for f in features.FEATURES)} from own join spec using (window_origin) join cross_c using (window_origin)""")
 def window_features_all(spark, sf_dir):
-    return rounded(features.window_features(inputs.channels(spark, sf_dir), ["dataset"], 7, 2), *features.FEATURES)
+    return rounded(features.window_features(inputs.channels(spark, sf_dir), ["dataset"], _DAYS, _AHEAD), *features.FEATURES)
 
 
 @query(f"with {ARMS} select g, arm, pos, round(value, 4) as value from a")
@@ -289,7 +309,20 @@ def hourly_association(spark, sf_dir) -> DataFrame:
     return x.join(y, ["g", "pos"])
 
 
-@query()
+#: The native features of the hourly series beside the errors of the mean forecaster: CTE x.
+HOURLY_ASSOCIATION = f"""{ARMS}, {_W.format(k='', t='h', l1=L - 1, l=L, h=H, j='', jn='')},
+m as (select window_origin, avg(v) as m, stddev_pop(v) as sd, var_pop(v) as var, max(v) - min(v) as rg, avg(abs(nv - v)) filter (i < {L - 1}) as ad, covar_pop(v, i) / (stddev_pop(i) + 1e-12) as sl, avg(v) filter (i >= {L // 2}) - avg(v) filter (i < {L // 2}) as dr, max(v) filter (i = {L - 1}) as lv from w group by 1),
+c as (select window_origin, sum((v - m) * (nv - m)) filter (i < {L - 1}) as lag, sum(pow(v - m, 4)) / {L} as m4 from w join m using (window_origin) group by 1),
+x as (select 'hourly' as g, window_origin as pos, sd as f_std, rg as f_range, ad as f_absdiff, sl as f_slope, lag / ({L} * var + 1e-12) as f_acf1, abs(dr) / (sd + 1e-12) as f_drift, abs(lv - m) / (sd + 1e-12) as f_last_dev, m4 / (var * var) as f_kurtosis, a.value
+      from m join c using (window_origin) join a on a.pos = m.window_origin and a.arm = 'mean')"""
+_LONG = " union all ".join(f"select g, {i} as k, '{f}' as f, {f} as x, value from x" for i, f in enumerate(features.NATIVE))
+
+
+@query(f"""with {HOURLY_ASSOCIATION}, l as ({_LONG}), {sql.ranked('r', 'l', 'g, f', rx='x', ry='value')}, p as (select g, k, f, corr(rx, ry) as rho, count(*) as n from r group by 1, 2, 3),
+q as (select g, quantile_cont(f_std, 0.1) as a, quantile_cont(f_std, 0.9) as b from x group by 1), dr as (select x.g, avg(value) filter (f_std >= b) / avg(value) filter (f_std <= a) as d from x join q on x.g = q.g group by 1),
+s as (select g, {", ".join(f"max(rho) filter (f = '{f}') as rho_{f}" for f in features.NATIVE)}, avg(abs(rho)) as mean_abs, max(n) as n, arg_max(rho, abs(rho) - k * 1e-13) as best, arg_max(f, abs(rho) - k * 1e-13) as best_f from p group by 1),
+z as (select s.*, d, rho_f_std * sqrt(n - 1) as z from s join dr on dr.g = s.g)
+select g, {", ".join(f"round(rho_{f}, 6) + 0.0::double as rho_{f}" for f in features.NATIVE)}, round(mean_abs, 6) as assoc_abs_rho_mean, n, round(best, 6) as assoc_rho_best, best_f as assoc_rho_best_feature, round(z, 6) as assoc_z_fstd, round(d, 6) as decile_ratio_fstd, round(2 * {sql.normal_sf('abs(z)')}, 6) + 0.0::double as assoc_p_iid_naive from z""")
 def association_features(spark, sf_dir):
     df = hourly_association(spark, sf_dir)
     out = assoc.with_naive_p(assoc.association(df, ["g"], list(features.NATIVE), "value"))
@@ -298,8 +331,8 @@ def association_features(spark, sf_dir):
 
 @query(f"""with {ARMS}, b as (select pos, arg_min(arm, struct_pack(v := value, a := arm)) as label from a group by pos), f as (select label, count(*) / sum(count(*)) over () as f, count(*) as c from b group by label),
 fx as (select arg_min(arm, struct_pack(v := m, a := arm)) as arm from (select arm, avg(value) as m from a group by arm))
-select 'hourly' as g, arm as best_fixed_arm, (select label from f order by c desc, ascii(label) limit 1) as modal_arm, round((select max(f) from f), 6) as modal_share, round((select sum(-f * log2(f)) from f), 6) as entropy_bits,
- round(coalesce((select f from f where label = fx.arm), 0.0), 6) as best_fixed_share, case when (select label from f order by c desc, ascii(label) limit 1) = fx.arm then 1 else 0 end as modal_is_best_fixed from fx""")
+select 'hourly' as g, arm as best_fixed_arm, (select label from f order by c desc, label limit 1) as modal_arm, round((select max(f) from f), 6) as modal_share, round((select sum(-f * log2(f)) from f), 6) as entropy_bits,
+ round(coalesce((select f from f where label = fx.arm), 0.0), 6) as best_fixed_share, case when (select label from f order by c desc, label limit 1) = fx.arm then 1 else 0 end as modal_is_best_fixed from fx""")
 def label_law(spark, sf_dir):
     return rounded(downstream.label_law(inputs.arms(spark, sf_dir), ["g"]), "modal_share", "entropy_bits", "best_fixed_share")
 
@@ -358,14 +391,29 @@ def tost_moments(spark, sf_dir):
     return rounded(out.withColumn("mean_diff", F.round("mean_diff", 4) + 0.0).withColumn("sd_diff", F.round("sd_diff", 4)), "t_lower", "t_upper")
 
 
-@query()
+def _tost_sql(source: str, key: str, value: str, margin: float, more: str = "") -> str:
+    """Figures of the equivalence test per key; source is a name."""
+    return f"""tg as (select {key}, count(*) as n, avg({value}) as mean_diff, stddev_samp({value}) as sd_diff{more} from {source} group by {key}),
+te as (select *, sd_diff / sqrt(n) as se, (mean_diff + {margin}) / (sd_diff / sqrt(n)) as t_lower, (mean_diff - {margin}) / (sd_diff / sqrt(n)) as t_upper, n - 1.0 as df from tg),
+tt as (select *, greatest({sql.t_sf('t_lower', 'df')}, 1 - {sql.t_sf('t_upper', 'df')}) as p_tost, {sql.t_upper_025('df')} * se as half from te)"""
+
+
+_TOST_COLUMNS = "round(mean_diff, 4) + 0.0::double as mean_diff, round(sd_diff, 4) as sd_diff, round(t_lower, 4) + 0.0::double as t_lower, round(t_upper, 4) + 0.0::double as t_upper, round(p_tost, 6) + 0.0::double as p_tost, case when p_tost < 0.05 then 1 else 0 end as equivalent_at_05, round(mean_diff - half, 4) + 0.0::double as ci95_low, round(mean_diff + half, 4) + 0.0::double as ci95_high"
+
+
+def _tost_rounded(df: DataFrame) -> DataFrame:
+    return rounded(rounded(df, "p_tost"), "mean_diff", "sd_diff", "t_lower", "t_upper", "ci95_low", "ci95_high", digits=4)
+
+
+@query(f"with {_PAIRS}, {_tost_sql('d', 'o_orderpriority', 'd', 1000.0)} select o_orderpriority, n, 1000.0::double as margin, {_TOST_COLUMNS} from tt")
 def tost_equivalence(spark, sf_dir):
-    return assoc.equivalence_test(order_pairs(spark, sf_dir), ["o_orderpriority"], "d", 1000.0)
+    return _tost_rounded(assoc.equivalence_test(order_pairs(spark, sf_dir), ["o_orderpriority"], "d", 1000.0))
 
 
-@query()
+@query(f"""with {_PAIRS}, cm as (select o_orderpriority, o_custkey, avg(d) as v, count(*) as cells from d group by 1, 2), {_tost_sql('cm', 'o_orderpriority', 'v', 5000.0, ', sum(cells)::bigint as n_cells')}
+select o_orderpriority, n, 5000.0::double as margin, {_TOST_COLUMNS}, n as n_clusters, n_cells from tt""")
 def tost_clustered(spark, sf_dir):
-    return assoc.equivalence_test_clustered(order_pairs(spark, sf_dir), ["o_orderpriority"], "o_custkey", "d", 5000.0)
+    return _tost_rounded(assoc.equivalence_test_clustered(order_pairs(spark, sf_dir), ["o_orderpriority"], "o_custkey", "d", 5000.0))
 
 
 @query(f"with {_PAIRS} select o_orderpriority, o_custkey, round(avg(d), 6) + 0.0::double as cluster_mean, count(*) as cells from d group by 1, 2")
@@ -380,15 +428,13 @@ def rng_tax_pairs(spark, sf_dir):
     return rounded(joins.paired_runs(r, ["l_suppkey", "l_returnflag"], "l_linestatus", "F", "O", "q"), "rel_diff_pct", "abs_rel_diff_pct")
 
 
-def _samples(spark, sf_dir, where: str, value: str) -> DataFrame:
-    v = inputs.vectors(spark, sf_dir).where(where)
-    sid = contract.sample_id(F.col("source"), F.col("lang"), F.lit(96), F.lit(336), F.col("pos"))
-    return v.select(sid.alias("sample_id"), F.col("doc_id").alias("pos"), F.expr(value).cast("double").alias("value"))
-
-
-@query(f"with {VECTORS}, i as (select *, concat_ws('|', 'window_origin/v1', source, lang, 'L96', 'H336', 'w' || pos) as sample_id from v) select sample_id, doc_id as pos, value as chars, (doc_id % 10)::double as digit from i where doc_id % 2 = 0 and doc_id % 3 = 0")
+@query(f"with {VECTORS}, i as (select *, concat_ws('|', 'window_origin/v1', source, lang, 'L96', 'H336', 'w' || pos) as sample_id from v) select sample_id, doc_id as pos, value as chars, quality::double as quality from i join labels using (doc_id)")
 def join_by_sample_id(spark, sf_dir):
-    return joins.join_by_sample_id({"chars": _samples(spark, sf_dir, "doc_id % 2 = 0", "value"), "digit": _samples(spark, sf_dir, "doc_id % 3 = 0", "doc_id % 10")})
+    """All documents against the labelled ones, by id."""
+    v = inputs.vectors(spark, sf_dir)
+    ids = v.select(contract.sample_id(F.col("source"), F.col("lang"), F.lit(96), F.lit(336), F.col("pos")).alias("sample_id"), "doc_id", "value")
+    labelled = ids.join(table(spark, sf_dir, "labels"), "doc_id").select("sample_id", F.col("quality").cast("double").alias("value"))
+    return joins.join_by_sample_id({"chars": ids.withColumnRenamed("doc_id", "pos"), "quality": labelled})
 
 
 _IDS = "i as (select *, concat_ws('|', 'window_origin/v1', source, lang, 'L96', 'H336', 'w' || pos) as sample_id from v)"
@@ -405,7 +451,14 @@ def ordered_id_digest(spark, sf_dir):
     return contract.ordered_digest(ids, ["source", "lang"])
 
 
-@query()
+#: The little-endian bytes, in hexadecimal, of a whole number as a double.
+_BITS = "(case when value = 0 then 0::bigint else ((floor(log2(value))::bigint + 1023) << 52) + ((value - pow(2, floor(log2(value)))) * pow(2, 52 - floor(log2(value))))::bigint end)"
+_BYTES = "(" + " || ".join(f"substr(h, {15 - 2 * i}, 2)" for i in range(8)) + ")"
+
+
+@query(f"""with {VECTORS}, b as (select source, lang, pos, printf('%016x', {_BITS}) as h from v),
+g as (select source, lang, count(*) as n, string_agg({_BYTES}, '' order by pos) as body from b group by 1, 2)
+select source, lang, n, 'sha256:' || sha256(unhex(hex('order-audit/value-digest/v1' || chr(10) || 'dtype=<f8|shape=(' || n || ',)' || chr(10)) || body)) as digest from g""")
 def value_digest(spark, sf_dir):
     return contract.value_digest(inputs.vectors(spark, sf_dir), ["source", "lang"])
 
@@ -418,7 +471,9 @@ def positional_join_guard(spark, sf_dir):
     return joins.positional_join_check(sc, ["grp"])
 
 
-@query(f"with {ARMS} select 'hourly' as g, 4::bigint as n_arms, 3::bigint as n_distinct, 1::bigint as identical_pairs, 4::bigint as non_identity, 'partial_shared' as sharing")
+@query(f"""with {ARMS}, {_shared_sql('greatest(0, i - 1)', 'shared_k2')}, per as (select distinct al.g, al.arm, op.pos, op.src from al join op on al.g = op.g and al.label = op.label and al.pos = op.src),
+pd as (select g, arm, string_agg(src, ',' order by pos) as d, max((pos != src)::int) as moved from per group by 1, 2), po as (select g, d, count(*) as c, sum(moved) as moved from pd group by 1, 2), t as (select g, sum(c)::bigint as n_arms, count(*) as n_distinct, sum(c * (c - 1) // 2)::bigint as identical_pairs, sum(moved)::bigint as non_identity from po group by 1)
+select *, case when n_distinct = 1 then 'all_identical' when n_distinct = n_arms then 'all_distinct' else 'partial_shared' end as sharing from t""")
 def permutation_sharing(spark, sf_dir):
     a = inputs.arms(spark, sf_dir)
     index = F.dense_rank().over(Window.partitionBy("g").orderBy("arm")) - 1
@@ -474,9 +529,9 @@ def grid_cross_join(spark, sf_dir):
     return joins.grid(spark, {"dataset": ["a", "b"], "pred_len": [96, 192], "plugin": ["none", "revin", "none"]}, ["dataset", "pred_len", "plugin"]).select("ordinal", "dataset", "pred_len", "plugin", "cell_id")
 
 
-@query("select c_custkey, c_nationkey from customer where not exists (select 1 from orders where o_custkey = c_custkey)")
+@query("select c_custkey, c_nationkey from customer where not exists (select 1 from orders where o_custkey = c_custkey and o_orderpriority like '1%')")
 def pending_anti_join(spark, sf_dir):
-    done = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    done = table(spark, sf_dir, "orders").where("o_orderpriority like '1%'").select(F.col("o_custkey").alias("c_custkey"))
     return joins.pending(table(spark, sf_dir, "customer"), done, ["c_custkey"]).select("c_custkey", "c_nationkey")
 
 
@@ -609,11 +664,22 @@ def allclose_check(spark, sf_dir):
     return rounded(joins.allclose_violations(a, p, ["g", "arm"]), "worst")
 
 
-@query("with c as (select count(*)::double as rows, avg(l_quantity) as quantity, sum(l_discount) as discount from lineitem) select name, round(computed, 3) as computed, round(computed, 3) as declared, decimals, true as ok from (select 'rows' as name, rows as computed, 0 as decimals from c union all select 'quantity', quantity, 3 from c union all select 'discount', discount, 3 from c)")
+_VERIFIED = """c as (select count(*)::double as rows, avg(l_quantity) as quantity, sum(l_discount) as discount, max(l_tax) as tax from lineitem), computed as (unpivot c on rows, quantity, discount, tax into name name value value),
+f as (select l_returnflag, count(*) as n, sum(l_quantity) as q, sum(l_discount) as d from lineitem group by 1),
+declared as (select 'rows' as name, sum(n)::double as value, 0 as decimals from f union all select 'quantity', round(sum(q) / sum(n), 1), 1 from f union all select 'discount', round(sum(d) * 1.01, 2), 2 from f union all select 'flags', count(*)::double, 0 from f)"""
+
+
+@query(f"""with {_VERIFIED}, b as (select name, a.value as computed, d.value as declared, decimals from computed a full join declared d using (name)),
+o as (select *, coalesce(case when decimals = 0 then round(computed) = declared else abs(computed - declared) <= greatest(1e-9, 0.51 * pow(10.0, -decimals), 1e-3 * abs(declared)) end, false) as ok from b)
+select name, round(computed, 3) as computed, declared, decimals, ok, case when ok then null when declared is null then 'not declared' when computed is null then 'not computed' else 'differs' end as problem from o""")
 def verify_numbers(spark, sf_dir):
-    s = reports.scalars(table(spark, sf_dir, "lineitem"), rows=F.count("*"), quantity=F.avg("l_quantity"), discount=F.sum("l_discount"))
-    declared = s.select("name", F.round("value", 3).alias("value"), F.when(F.col("name") == "rows", 0).otherwise(3).alias("decimals"))
-    return reports.verify_numbers(s, declared).withColumn("computed", F.round("computed", 3))
+    """Figures of the whole table against a table declared from its groups, in which one figure is wrong, one missing and one too many."""
+    lines = table(spark, sf_dir, "lineitem")
+    computed = reports.scalars(lines, rows=F.count("*"), quantity=F.avg("l_quantity"), discount=F.sum("l_discount"), tax=F.max("l_tax"))
+    f = lines.groupBy("l_returnflag").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("q"), F.sum("l_discount").alias("d"))
+    declared = reports.scalars(f, rows=F.sum("n"), quantity=F.round(F.sum("q") / F.sum("n"), 1), discount=F.round(F.sum("d") * 1.01, 2), flags=F.count("*"))
+    declared = declared.withColumn("decimals", F.when(F.col("name").isin("rows", "flags"), 0).when(F.col("name") == "quantity", 1).otherwise(2))
+    return pipelines.verify(computed, declared).withColumn("computed", F.round("computed", 3))
 
 
 @query("select r_name as n from region intersect select r_name from region where r_regionkey > 1 union all (select r_name from region except select r_name from region where r_regionkey > 2)")
@@ -623,26 +689,30 @@ def set_operations(spark, sf_dir):
     return names(r).intersect(names(r.where("r_regionkey > 1"))).unionByName(names(r).subtract(names(r.where("r_regionkey > 2"))))
 
 
-@query("select source, coalesce(lang, 'unknown') as lang, doc_id % 4 as k, sum(n_chars)::bigint as total from documents group by 1, 2, 3 order by 1 limit 1000000")
+@query("select source, coalesce(lang, 'unknown') as lang, doc_id % 4 as k, sum(n_chars)::bigint as total from documents group by 1, 2, 3")
 def derived_keys(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     return d.groupBy("source", token(F.col("lang")).alias("lang"), (F.col("doc_id") % 4).alias("k")).agg(F.sum("n_chars").alias("total"))
 
 
-@query()
+_LENGTHS = (50, 100, 200, 500, 1000, 2000, 5000, 11425)
+_Z05, _Z10 = normal_isf(0.05), normal_isf(0.1)
+
+
+@query(f"""with n as (select unnest({list(_LENGTHS)})::bigint as n) select n, round({_Z05 + _Z10!r} / sqrt(n), 6) as rho_min_detectable, round({sql.normal_sf(f'({_Z05!r} - 0.5 * sqrt(n))')}, 6) + 0.0::double as power_at_rho_0_5, round({sql.normal_sf(f'({_Z05!r} - 0.1 * sqrt(n))')}, 6) + 0.0::double as power_at_rho_0_1 from n""")
 def aot_theory(spark, sf_dir):
     inputs.ship(spark)
-    return diagnose.theory(spark, [50, 100, 200, 500, 1000, 2000, 5000, 11425])
+    return rounded(diagnose.theory(spark, _LENGTHS), "rho_min_detectable", "power_at_rho_0_5", "power_at_rho_0_1")
 
 
-@query()
+@query(f"with {ARMS}, {sql.aot_monte_carlo('a', 'g, arm', 2000, 1)} select g, arm, n, round(r, 6) as r, round(p_perm, 6) as p_perm from mc")
 def aot_mc_pvalue(spark, sf_dir):
-    return diagnose.aot_monte_carlo(inputs.arms(spark, sf_dir), ["g", "arm"], 500, 1)
+    return rounded(diagnose.aot_monte_carlo(inputs.arms(spark, sf_dir), ["g", "arm"], seed=1), "r", "p_perm")
 
 
-@query()
+@query(f"with {ARMS}, {sql.agreement_monte_carlo('a', 'g', 2000, 1)} select g, round(rho_bar, 6) as rho_bar, round(p, 6) as p, round(null_mean, 6) + 0.0::double as null_mean, round(null_sd, 6) as null_sd from cm")
 def cat_mc_pvalue(spark, sf_dir):
-    return diagnose.agreement_monte_carlo(inputs.arms(spark, sf_dir), ["g"], 500, 1)
+    return rounded(diagnose.agreement_monte_carlo(inputs.arms(spark, sf_dir), ["g"], seed=1), "rho_bar", "p", "null_mean", "null_sd")
 
 
 @query()
@@ -650,75 +720,139 @@ def aot_tail(spark, sf_dir):
     return diagnose.tail_calibration(inputs.arms(spark, sf_dir), ["g", "arm"], 1_000_000, seed=1)
 
 
-@query()
+_DA_COLUMNS = "n, round(rho, 6) + 0.0::double as assoc_rho, round(lo, 6) + 0.0::double as ci_lo, round(hi, 6) + 0.0::double as ci_hi, excl as ci_excludes_zero, round(p, 6) as p_block, round(two, 6) as p_boot_2sided, round(mean, 6) + 0.0::double as boot_rho_mean, b as block_len, blocks as n_blocks, n_boot, n_perm"
+
+
+def _da_rounded(df: DataFrame) -> DataFrame:
+    return rounded(df, "assoc_rho", "ci_lo", "ci_hi", "p_block", "p_boot_2sided", "boot_rho_mean")
+
+
+@query(f"with {HOURLY_ASSOCIATION}, {sql.dependence_aware('x', 'g', 'f_std', 'value', L + H, 2000, 2000)} select g, {_DA_COLUMNS} from da")
 def assoc_dep_aware(spark, sf_dir):
     df = hourly_association(spark, sf_dir).select("g", "pos", "f_std", "value")
-    return assoc.dependence_aware(df, ["g"], "f_std", "value", L, H, 400, 400)
+    return _da_rounded(assoc.dependence_aware(df, ["g"], "f_std", "value", L, H))
 
 
-@query()
+_CLUSTER = """cb_v as (select {key}, {cluster} as c, {value} as v from {source} where {value} is not null), cb_c as (select {key}, c, row_number() over (partition by {key} order by c) - 1 as i, count(*) over (partition by {key}) as k from (select distinct {key}, c from cb_v)),
+cb_d as (select {key}, r, ('0x' || substr(md5(concat_ws('|', '{seed}', {key}, r, i)), 1, 15))::bigint % k as i from (select *, unnest(range({draws})) as r from cb_c)),
+cb_p as (select {of_d}, d.r, c.c from cb_d d join cb_c c on {on_c} and d.i = c.i), cb_s as (select {of_p}, p.r, {stat}(v.v) as s from cb_p p join cb_v v on {on_v} and p.c = v.c group by {of_p}, p.r),
+cb_i as (select {key}, quantile_cont(s, 0.025) as lo, quantile_cont(s, 0.975) as hi, median(s) as mid, count(*) as n_boot from cb_s group by {key}), cb_0 as (select {key}, {stat}(v) as point, count(distinct c) as n_clusters, count(*) as n_cells from cb_v group by {key})
+select {key}, {more}round(point, 6) as point, round(lo, 6) as ci_lo, round(hi, 6) as ci_hi, round(mid, 6) as boot_median, n_clusters, n_cells, n_boot from cb_0 join cb_i using ({key})"""
+
+
+def cluster_sql(source: str, key: str, cluster: str, value: str, seed: object, stat: str = "median", draws: int = 2000, more: str = "") -> str:
+    """CTEs and the select of assoc.cluster_bootstrap."""
+    return _CLUSTER.format(source=source, key=key, cluster=cluster, value=value, seed=seed, stat=stat, draws=draws, more=more, of_d=f"d.{key}", of_p=f"p.{key}", on_c=f"d.{key} = c.{key}", on_v=f"p.{key} = v.{key}")
+
+
+@query(f"with {cluster_sql('documents', 'lang', 'source', 'n_chars', 1)}")
 def cluster_bootstrap(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("lang", "source", F.col("n_chars").cast("double").alias("value"))
-    return assoc.cluster_bootstrap(d, ["lang"], "source", "value", 50, 1)
+    return rounded(assoc.cluster_bootstrap(d, ["lang"], "source", "value", seed=1), "point", "ci_lo", "ci_hi", "boot_median")
 
 
 @query()
 def difficulty_regression(spark, sf_dir):
+    """The first half of the hourly windows is the validation split, the second the test split."""
     df = hourly_association(spark, sf_dir)
+    half = df.crossJoin(F.broadcast(df.agg(F.floor(F.max("pos") / 2).alias("_half"))))  # one row
+    val, test = half.where("pos < _half").drop("_half"), half.where("pos >= _half").drop("_half")
     cols = list(features.NATIVE)
-    x, y = df.select("g", "pos", *cols), df.select("g", "pos", "value")
+    x, y = val.select("g", "pos", *cols), val.select("g", "pos", "value")
     perm, control = order.full_permutation(y, ["g"], "t1"), order.full_permutation(y, ["g"], "t1c")
     joined = downstream.three_conditions(x, y, perm, control, ["g"])
-    return downstream.difficulty_regression(joined.drop("g"), df.select(*cols, "value"), cols, L, H)
+    return downstream.difficulty_regression(joined.drop("g"), test.select(*cols, "value"), cols, L, H)
 
 
 @query()
 def arm_selection(spark, sf_dir):
+    """As difficulty_regression: labels and fit on the first half, figures on the second."""
     df = hourly_association(spark, sf_dir)
     cols = list(features.NATIVE)
     a = inputs.arms(spark, sf_dir).select("arm", "pos", "value")
     x = df.select("pos", *cols)
-    perms = order.full_permutation(a, ["arm"], "t2")
-    control = order.full_permutation(x.withColumn("k", F.lit(0)), ["k"], "t2c").drop("k")
-    return downstream.arm_selection(x, a, x, a, cols, perms, control)
+    cut = F.broadcast(a.agg(F.floor(F.max("pos") / 2).alias("_half")))  # one row
+    early, late = (lambda d: d.crossJoin(cut).where("pos < _half").drop("_half")), (lambda d: d.crossJoin(cut).where("pos >= _half").drop("_half"))
+    perms = order.full_permutation(early(a), ["arm"], "t2")
+    control = order.full_permutation(early(x).withColumn("k", F.lit(0)), ["k"], "t2c").drop("k")
+    return downstream.arm_selection(early(x), early(a), late(x), late(a), cols, perms, control)
 
 
-@query()
+def draws_sql(features_: str, values: str, x: str, draws: int, seed: object = 0) -> str:
+    """CTEs that end in rd (g, draw, condition, rho), of downstream.replicated_associations; both tables (g, pos, ...) hold the same positions."""
+    moved = lambda name, t, col: f"rd_{name} as (select g, draw, row_number() over (partition by g, draw order by md5(concat_ws('|', '{seed}/{name}', g, draw, pos)), pos) - 1 as pos, {col} as v from {t}, (select unnest(range({draws})) as draw))"
+    return f"""{moved('defect', values, 'value')}, {moved('control', features_, x)},
+rd_j as (select d.g, d.draw, 'defect' as condition, f.{x} as x, d.v as y from rd_defect d join {features_} f on f.g = d.g and f.pos = d.pos union all select d.g, d.draw, 'control', d.v, f.value from rd_control d join {values} f on f.g = d.g and f.pos = d.pos),
+{sql.ranked('rd_r', 'rd_j', 'g, draw, condition', rx='x', ry='y')}, rd as (select g, draw::int as draw, condition, corr(rx, ry) as rho, count(*) as n from rd_r group by 1, 2, 3)"""
+
+
+@query(f"with {HOURLY_ASSOCIATION}, {draws_sql('x', 'x', 'f_std', 8)} select g, draw, condition, round(rho, 6) + 0.0::double as rho, n from rd")
 def replicated_draws(spark, sf_dir):
     df = hourly_association(spark, sf_dir)
     return rounded(downstream.replicated_associations(df.select("g", "pos", "f_std"), df.select("g", "pos", "value"), ["g"], "f_std", 8), "rho")
 
 
-@query()
+@query(f"""with {SERIES}, d as (select series_id, pos // 32 as w, pos % 32 as k, -value as d, count(*) over (partition by series_id, pos // 32) as n from s),
+f as (select series_id, w, max(n) as n, q, sqrt(pow(sum(d * cos(2 * pi() * q * k / n)), 2) + pow(sum(d * sin(2 * pi() * q * k / n)), 2)) as f from d, range(17) r(q) where q <= n // 2 group by series_id, w, q),
+e as (select series_id, w, avg(d * d) as mse from d group by 1, 2) select e.series_id, e.w, round(0.5 * max(mse) + 0.5 * avg(f), 4) as loss from e join f on e.series_id = f.series_id and e.w = f.w group by 1, 2""")
 def frequency_loss(spark, sf_dir):
     s = inputs.series(spark, sf_dir)
     w = s.select("series_id", F.floor(F.col("pos") / 32).alias("w"), (F.col("pos") % 32).alias("step"), F.lit(0.0).alias("pred"), F.col("value").alias("true"))
-    return rounded(features.frequency_loss(w, ["series_id", "w"], 0.5), "loss")
-
-
-@query()
+    return rounded(features.frequency_loss(w, ["series_id", "w"], 0.5), "loss", digits=4)
+
+
+#: What the contract must say to each injected fault (fault, error, field; none where nothing recorded contradicts it).
+FAULTS = (
+    ("array_replaced_by_another_cell_same_length", "DigestMismatch", "value_digest"),
+    ("array_truncated_by_one_sample", "IdentityMismatch", "n_samples"),
+    ("cyclic_rotation_of_the_whole_array", "DigestMismatch", "value_digest"),
+    ("duplicate_sample_ids_in_one_product", "IdentityMismatch", "sample_id"),
+    ("float_perturbation_1e-12", "DigestMismatch", "value_digest"),
+    ("join_of_a_product_with_no_sample_ids", "MissingField", "sample_id"),
+    ("legacy_sidecar_without_schema_version", "SchemaVersion", "schema_version"),
+    ("loader_order_relabelled_as_index_order", "IdentityMismatch", "window_origin"),
+    ("no_sidecar_but_consumer_passes_require_order_None", None, None),
+    ("order_semantics_outside_the_enumeration", "OrderSemantics", "order_semantics"),
+    ("per_sample_value_computed_wrongly_but_consistently", None, None),
+    ("positional_join_across_different_sample_sets", "IdentityMismatch", "pred_len"),
+    ("positional_join_truncated_to_n_min", None, None),
+    ("random_permutation_of_the_array", "DigestMismatch", "value_digest"),
+    ("required_field_removed_from_sidecar", "MissingField", "value_digest"),
+    ("same_length_different_dataset_joined", "IdentityMismatch", "sample_id"),
+    ("same_length_different_horizon_joined", "IdentityMismatch", "sample_id"),
+    ("sample_id_source_replaced_val_perm", "IdentityMismatch", "ordered_sample_id_digest"),
+    ("sidecar_file_deleted", "MissingField", "sidecar"),
+    ("single_element_edited", "DigestMismatch", "value_digest"),
+    ("stale_sidecar_array_rerun_in_place", "DigestMismatch", "value_digest"),
+    ("two_producers_share_one_wrong_loader_order", None, None),
+    ("unknown_future_schema_version", "SchemaVersion", "schema_version"),
+    ("upstream_data_or_preprocessing_changed", None, None),
+    ("val_product_consumed_as_test", "IdentityMismatch", "split"),
+)
+_FAULT_ROWS = ", ".join("(" + ", ".join("null" if x is None else f"'{x}'" for x in f) + ")" for f in FAULTS)
+
+
+@query(f"select fault, (exception is not null)::int as detected, exception, detected_by_field from (values {_FAULT_ROWS}) t(fault, exception, detected_by_field)")
 def contract_coverage(spark, sf_dir):
     from seriata.plans.coverage import contract_coverage as run
 
     inputs.ship(spark)
-    return run(spark)
+    return run(spark).drop("note")
 
 
-@query()
+@query(f"with {HOURLY} select (t // 7)::bigint as batch_id, t % 7 as pos_in_batch, t as window_origin, round(pow((50::float - value::float)::double, 2), 4) as value from h")
 def recorder_stream(spark, sf_dir):
     """Forecaster errors recorded from a file stream of single predictions, one micro-batch a trigger, into the shared folder."""
-    import tempfile
     import uuid
 
     from seriata.streaming import recorder
 
     h = inputs.hourly(spark, sf_dir)
     pairs = h.select((F.col("t") % 7).alias("pos_in_batch"), F.floor(F.col("t") / 7).alias("batch_id"), F.col("t").alias("window_origin"), F.lit(0).alias("step"), F.lit(0).alias("channel"), F.lit(50.0).alias("pred"), F.col("value").alias("true"))
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="seriata-")
-    root = f"{shared}/recorder-{uuid.uuid4().hex}"
+    root = f"{inputs.shared_dir(spark)}/recorder-{uuid.uuid4().hex}"
     pairs.write.parquet(f"{root}/in")
     recorder.record(spark.readStream.schema(pairs.schema).parquet(f"{root}/in"), f"{root}/out", f"{root}/ck").awaitTermination()
-    return rounded(spark.read.parquet(f"{root}/out").select("batch_id", "pos_in_batch", "window_origin", "value"), "value")
+    return rounded(spark.read.parquet(f"{root}/out").select("batch_id", "pos_in_batch", "window_origin", "value"), "value", digits=4)
 
 
 def _cells(spark, sf_dir) -> DataFrame:
@@ -731,75 +865,145 @@ lo as (select cell_id, split, row_number() over (partition by cell_id, split ord
 q3 as (select *, 'index_order' as variant from cv union all select *, 'full_permutation' from fp union all select *, 'observed_loader_order' from lo)"""
 
 
-@query(aot_sql(_VARIANTS, "q3", "cell_id, split, variant"))
+@query(aot_sql(_VARIANTS, "q3", "cell_id, split, variant", P_COLUMN))
 def aot_sequences(spark, sf_dir):
     v = _cells(spark, sf_dir)
     out = pipelines.aot_sequences(v, order.full_permutation(v, ["cell_id", "split"], "loader"), "q3")
-    return rounded(out, "r", "null_mean", "null_sd", "z").select("cell_id", "split", "variant", "n", "r", "null_mean", "null_sd", "z", "reject")
+    return rounded(out, "r", "null_mean", "null_sd", "z", "p").select("cell_id", "split", "variant", "n", "r", "null_mean", "null_sd", "z", "p", "reject")
 
 
 _SEQ = aot_sql(_VARIANTS, "q3", "cell_id, split, variant")
 
 
-@query(f"""with sq as ({_SEQ}), l as (select * from (values (0.05::double, 1.6448536269514722), (0.01, 2.3263478740408408), (0.001, 3.090232306167813)) t(alpha, lim))
+@query(f"""with sq as ({_SEQ}), l as (select * from (values {", ".join(f"({a!r}::double, {normal_isf(a)!r}::double)" for a in pipelines.ALPHAS)}) t(alpha, lim))
 select alpha, count(*) filter (variant = 'index_order') as n_clean, count(*) filter (variant = 'full_permutation') as n_corrupted, round(100 * avg(case when z > lim then 1.0 else 0.0 end) filter (variant = 'index_order'), 6) as clean_certified_pct,
  round(100 * avg(case when z > lim then 1.0 else 0.0 end) filter (variant = 'full_permutation'), 6) as corrupted_certified_pct from sq, l where variant in ('index_order', 'full_permutation') group by 1""")
 def certification(spark, sf_dir):
     v = _cells(spark, sf_dir)
-    return rounded(pipelines.certification(pipelines.aot_sequences(v, None, "q3"), (0.05, 0.01, 1e-3)), "clean_certified_pct", "corrupted_certified_pct")
+    return rounded(pipelines.certification(pipelines.aot_sequences(v, None, "q3")), "clean_certified_pct", "corrupted_certified_pct")
 
 
-@query()
+def _exact(text: str) -> str:
+    """The text with the last select's figures unrounded."""
+    head, mark, last = text.rpartition("\nselect ")
+    return head + mark + last.replace("round(", "(").replace(", 6)", ")")
+
+
+@query(f"""with sq as ({_exact(_SEQ)}) select variant, {", ".join(f"round({f}({c}), 6) + 0.0::double as {n}_{c}" for c in ("z", "r") for n, f in (("min", "min"), ("median", "median"), ("max", "max")))} from sq where variant != 'observed_loader_order' group by 1""")
 def certification_margin(spark, sf_dir):
     out = pipelines.margin(pipelines.aot_sequences(_cells(spark, sf_dir), None, "q3"))
     return rounded(out, *[c for c in out.columns if c != "variant"])
 
 
-@query()
+@query(f"""with {ARMS}, cv as (select arm as cell_id, g as split, pos, value from a), {sql.aot_monte_carlo('cv', 'cell_id, split', 2000, 0)}, z as ({aot_sql('one as (select 1)', 'cv', 'cell_id, split', P_COLUMN)})
+select z.cell_id, z.split, z.n, z.p as p_normal, round(mc.p_perm, 6) as p_perm from z join mc on z.cell_id = mc.cell_id and z.split = mc.split""")
 def aot_calibration(spark, sf_dir):
-    return rounded(pipelines.aot_calibration(_cells(spark, sf_dir), 300), "p_normal", "p_perm")
+    return rounded(pipelines.aot_calibration(_cells(spark, sf_dir)), "p_normal", "p_perm")
 
 
-@query()
+def _sensitivity_sql() -> str:
+    parts = []
+    for b in (8, 32, 128, 512):
+        parts.append(f"select cell_id, split, 'block' as kind, {b}.0::double as param, row_number() over (partition by cell_id, split order by md5(concat_ws('|', '0/{b}', cell_id, split, pos // {b})), pos // {b}, pos) - 1 as pos, value from cv")
+    ctes = []
+    for i, f in enumerate((0.05, 0.1, 0.25, 0.5, 1.0)):
+        ctes.append(f"""f{i}a as (select *, md5(concat_ws('|', '0/{f}/pick', cell_id, split, pos)) as hp, md5(concat_ws('|', '0/{f}/move', cell_id, split, pos)) as hm, round_even({f} * count(*) over (partition by cell_id, split), 0) as m from cv),
+f{i}b as (select *, row_number() over (partition by cell_id, split order by hp, pos) as rp from f{i}a), f{i}c as (select *, row_number() over (partition by cell_id, split order by pos) as k, row_number() over (partition by cell_id, split order by hm, pos) as kk from f{i}b where rp <= m and m >= 2)""")
+        parts.append(f"select d.cell_id, d.split, 'partial', {f}::double, d.pos, s.value from f{i}c d join f{i}c s on d.cell_id = s.cell_id and d.split = s.split and d.k = s.kk")
+        parts.append(f"select cell_id, split, 'partial', {f}::double, pos, value from f{i}b where not (rp <= m and m >= 2)")
+    return f"{ARMS}, cv as (select arm as cell_id, g as split, pos, value from a), {', '.join(ctes)}, q5 as ({' union all '.join(parts)})"
+
+
+@query(f"select cell_id, split, kind, param, n, z, p, reject from ({aot_sql(_sensitivity_sql(), 'q5', 'cell_id, split, kind, param', P_COLUMN)})")
 def aot_sensitivity(spark, sf_dir):
-    return rounded(pipelines.aot_sensitivity(_cells(spark, sf_dir), (8, 32), (0.05, 0.5)), "z")
+    return rounded(pipelines.aot_sensitivity(_cells(spark, sf_dir)), "z", "p")
 
 
-@query()
+BLOCK = ["block_id", "seed", "val_order"]
+
+
+def blocks(spark, sf_dir) -> DataFrame:
+    """The arms as one block of the published reports."""
+    return inputs.arms(spark, sf_dir).select(F.col("g").alias("block_id"), F.lit(2021).alias("seed"), F.lit("det").alias("val_order"), "arm", "pos", "value")
+
+
+_BLOCKS = f"{ARMS}, bl as (select g as block_id, 2021 as seed, 'det' as val_order, arm, pos, value from a), ar as (select block_id, seed, val_order, string_agg(distinct arm, '|' order by arm) as arms from bl group by all)"
+
+
+def _variants_sql(source: str, key: str) -> str:
+    """CTE vr: source (key, arm, pos, value) as index_order and with each arm shuffled, as order.inject_sharing(..., independent, 0)."""
+    return f"""vr_i as (select *, dense_rank() over (partition by {key} order by arm) - 1 as label from {source}),
+vr as (select {key}, arm, pos, value, 'index_order' as variant from {source} union all select {key}, arm, row_number() over (partition by {key}, arm order by md5(concat_ws('|', '0/independent', {key}, label, pos)), pos) - 1, value, 'full_permutation' from vr_i)"""
+
+
+def _agreement_sql(source: str, key: str) -> str:
+    """CTE ag: key, n_arms, n, rho_bar, z_corrected, z_naive of all pairs of arms."""
+    on = " and ".join(f"x.{k.strip()} = y.{k.strip()}" for k in key.split(","))
+    of = ", ".join(f"x.{k.strip()}" for k in key.split(","))
+    return f"""{sql.ranked('ag_r', source, key + ', arm', rk='value')}, ag_p as (select {of}, x.arm as a, y.arm as b, corr(x.rk, y.rk) as rho, count(*) as n from ag_r x join ag_r y on {on} and x.pos = y.pos and x.arm < y.arm group by all),
+ag_n as (select {key}, count(distinct arm) as n_arms from {source} group by all),
+ag as (select {key}, n_arms, max(n) as n, avg(rho) as rho_bar, avg(rho) * sqrt(n_arms * (n_arms - 1) / 2.0 * (max(n) - 1)) as z_corrected, avg(rho) * sqrt(max(n) - 1) as z_naive from ag_p join ag_n using ({key}) group by {key}, n_arms)"""
+
+
+_BK = "block_id, seed, val_order"
+
+
+@query(f"""with {_BLOCKS}, {_variants_sql('bl', _BK)}, {_agreement_sql('vr', _BK + ', variant')}, {sql.agreement_monte_carlo('vr', _BK + ', variant', 2000, 0)},
+pa as (select {_BK}, 'pair:' || a || '~' || b as variant, 2::bigint as n_arms, n, rho as rho_bar, 2 * {sql.t_sf('(abs(rho) * sqrt((n - 2) / (1 - rho * rho)))', '(n - 2)')} as p, rho * sqrt(n - 1) as z_corrected, rho * sqrt(n - 1) as z_naive from ag_p where variant = 'index_order'),
+al as (select {_BK}, variant, n_arms, n, ag.rho_bar, cm.p, z_corrected, z_naive from ag join cm using ({_BK}, variant) union all select * from pa)
+select {_BK}, variant, n_arms, arms, n, round(rho_bar, 6) + 0.0::double as rho_bar, round(p, 6) + 0.0::double as p, round(z_corrected, 6) + 0.0::double as z_corrected, round(z_naive, 6) + 0.0::double as z_naive from al join ar using ({_BK})""")
 def cat_blocks(spark, sf_dir):
-    return rounded(pipelines.cat_blocks(inputs.arms(spark, sf_dir), ["g"]), "rho_bar", "z_corrected", "z_naive")
+    return rounded(pipelines.cat_blocks(blocks(spark, sf_dir), BLOCK), "rho_bar", "p", "z_corrected", "z_naive")
 
 
-@query()
-def battery(spark, sf_dir):
-    return rounded(pipelines.battery(inputs.arms(spark, sf_dir), ["g"], L, H, STRIDES), "overlap_ratio", "aot_median_z", "aot_certify_rate", "cat_rho_bar")
+_GRID = f"gr as (select {_BK}, stride::int as stride, arm, pos // stride as pos, value from (select *, unnest({list(STRIDES)}) as stride from bl) where pos % stride = 0 qualify count(*) over (partition by {_BK}, stride, arm) >= 40)"
 
 
-@query()
+@query(f"""with {_BLOCKS}, {_GRID}, {_variants_sql('gr', _BK + ', stride')}, {_agreement_sql('vr', _BK + ', variant, stride')}, {sql.agreement_monte_carlo('vr', _BK + ', variant, stride', 2000, 0)},
+on_ as ({aot_sql('one as (select 1)', 'vr', _BK + ', variant, stride, arm', _exact(P_COLUMN))}), oa as (select {_BK}, variant, stride, median(p) as aot_median_p, avg(reject) as aot_certify_rate from on_ group by all)
+select {_BK}, variant, stride, round(greatest(0, 1 - stride / {L + H}.0), 6) as overlap_ratio, n, n_arms, round(aot_median_p, 6) + 0.0::double as aot_median_p, round(aot_certify_rate, 6) as aot_certify_rate, round(ag.rho_bar, 6) + 0.0::double as cat_rho_bar, round(cm.p, 6) as cat_p, case when cm.p < 0.05 then 1 else 0 end as cat_certify
+from ag join cm using ({_BK}, variant, stride) join oa using ({_BK}, variant, stride)""")
+def battery(spark, sf_dir):
+    return rounded(pipelines.battery(blocks(spark, sf_dir), BLOCK, L, H, STRIDES), "overlap_ratio", "aot_median_p", "aot_certify_rate", "cat_rho_bar", "cat_p")
+
+
+@query(f"""with {_BLOCKS}, pm as (select block_id, seed, arm, pos as src, row_number() over (partition by block_id, seed, arm order by md5(concat_ws('|', 'scan', block_id, seed, arm, pos)), pos) - 1 as pos, value from bl),
+it as (select block_id, seed, arm, pos, value, 'intact' as kind from bl union all select block_id, seed, arm, pos, value, 'loader' from pm union all select block_id, seed, arm, pos, src::double, 'order' from pm),
+{_agreement_sql('it', 'block_id, seed, kind')}, mi as (select block_id, seed, kind, arm, pos, value from it where kind != 'order'),
+{sql.agreement_monte_carlo("(select block_id, seed, arm, pos, value from mi where kind = 'loader')", 'block_id, seed', 2000, 0)}, {sql.agreement_monte_carlo("(select block_id, seed, arm, pos, value from mi where kind = 'intact')", 'block_id, seed', 2000, 0).replace('cm_', 'ci_').replace('cm as', 'ci as')},
+ao as ({aot_sql('one as (select 1)', "(select * from mi where kind = 'loader')", 'block_id, seed, arm', _exact(P_COLUMN))}), aa as (select block_id, seed, min(p) as lo, max(p) as hi, median(p) as mid, sum(reject)::bigint as rejects, count(*) as k from ao group by all),
+dg as (select block_id, seed, arm, string_agg(src, ',' order by pos) as d, max((src != pos)::int) as moved from pm group by all), do_ as (select block_id, seed, d, count(*) as c, sum(moved) as moved from dg group by all),
+sh as (select block_id, seed, sum(c)::bigint as n_arms, count(*) as n_distinct_perms, sum(c * (c - 1) // 2)::bigint as n_pairs_identical, sum(moved)::bigint as n_arms_misordered from do_ group by all),
+pr as (select block_id, seed, count(*) as n_pairs, avg(rho) as me, max(rho) as ma, min(rho) as mi, max(rho) filter (rho < 1 - 1e-12) as mn from ag_p where kind = 'order' group by all)
+select block_id, seed, (select arms from ar) as arms, n_pairs, round(me, 6) + 0.0::double as spearman_perm_mean, round(ma, 6) + 0.0::double as spearman_perm_max, round(mi, 6) + 0.0::double as spearman_perm_min, round(mn, 6) + 0.0::double as spearman_perm_max_nonidentical, sh.n_arms, n_distinct_perms, n_pairs_identical, n_arms_misordered,
+ case when n_distinct_perms = 1 then 'all_identical' when n_distinct_perms = sh.n_arms then 'all_distinct' else 'partial_shared' end as perm_sharing, 1 as perm_consistent, lo_.n as n_windows, round(lo_.rho_bar, 6) + 0.0::double as cat_rho_bar, round(cm.p, 6) as cat_p_mc, case when cm.p < 0.05 then 1 else 0 end as cat_certified, round({sql.normal_sf('lo_.z_corrected')}, 6) + 0.0::double as cat_p_analytic,
+ round(in_.rho_bar, 6) + 0.0::double as cat_rho_bar_intact, round(ci.p, 6) as cat_p_mc_intact, case when ci.p < 0.05 then 1 else 0 end as cat_certified_intact, round(lo, 6) + 0.0::double as aot_p_min, round(hi, 6) + 0.0::double as aot_p_max, round(mid, 6) + 0.0::double as aot_p_median, rejects as n_arms_aot_rejects, k as n_arms_aot
+from sh join pr using (block_id, seed) join cm using (block_id, seed) join ci using (block_id, seed) join aa using (block_id, seed) join (select * from ag where kind = 'loader') lo_ using (block_id, seed) join (select * from ag where kind = 'intact') in_ using (block_id, seed)""")
 def observed_perm_scan(spark, sf_dir):
-    a = inputs.arms(spark, sf_dir)
-    out = pipelines.observed_scan(a, order.full_permutation(a, ["g", "arm"], "scan"), ["g"])
+    a = blocks(spark, sf_dir).drop("val_order")
+    out = pipelines.observed_scan(a, order.full_permutation(a, ["block_id", "seed", "arm"], "scan"), ["block_id", "seed"])
     return rounded(out, *[c for c, t in out.dtypes if t == "double"])
 
 
-@query()
+@query(f"""with {HOURLY}, b as (select (t // 120)::varchar as g, t % 120 as pos, value as x, abs(value - 50) as value from h), {draws_sql('b', 'b', 'x', 8)},
+dw as (select g, draw, max(rho) filter (condition = 'defect') - max(rho) filter (condition = 'control') as d from rd group by 1, 2), al as (select draw, d from dw union all select null, avg(d) from dw group by g), {_tost_sql('al', 'draw', 'd', 0.5)}
+select round(min(p_tost) filter (draw is not null), 6) + 0.0::double as p_min, round(median(p_tost) filter (draw is not null), 6) + 0.0::double as p_median, round(max(p_tost) filter (draw is not null), 6) + 0.0::double as p_max, round(avg((p_tost < 0.05)::int) filter (draw is not null), 6) as certify_fraction, round(max(p_tost) filter (draw is null), 6) + 0.0::double as p_of_means from tt""")
 def equivalence_draws(spark, sf_dir):
     d = inputs.hourly(spark, sf_dir).withColumn("g", F.floor(F.col("t") / 120).cast("string"))
     f = order.with_pos(d, ["g"], "t").select("g", "pos", F.col("value").alias("x"))
     v = order.with_pos(d.withColumn("value", F.abs(F.col("value") - 50)), ["g"], "t").select("g", "pos", "value")
-    draws = downstream.replicated_associations(f, v, ["g"], "x", 4)
-    return pipelines.draws_summary(pipelines.equivalence_draws(draws, "g", 0.5))
+    draws = downstream.replicated_associations(f, v, ["g"], "x", 8)
+    out = pipelines.draws_summary(pipelines.equivalence_draws(draws, "g", 0.5))
+    return rounded(out, *out.columns)
 
 
-@query()
-def purge_audit_rules(spark, sf_dir):
-    return pipelines.purge_audit(cells(spark, sf_dir), 4, 10)
+def _legacy_sql(purge: int) -> str:
+    return _audit_sql("labels").replace(f"ceil((pred_len - 1) / 2.0)::bigint as purge", f"{purge}::bigint as purge").replace("'labels' as purge_mode", "'legacy' as purge_mode")
 
 
-@query()
-def cluster_summary(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("source", "lang", F.col("n_chars").cast("double").alias("chars"), F.length("text").cast("double").alias("length"))
-    return rounded(pipelines.cluster_summary(d, ["source", "lang"], ["chars", "length"], 30), "point", "ci_lo", "ci_hi", "boot_median")
+@query(f"{_audit_sql('labels')} union all ({_audit_sql('disjoint')}) union all ({_legacy_sql(4)})")
+def purge_audit_rules(spark, sf_dir):
+    return pipelines.purge_audit(cells(spark, sf_dir), 4, 10)
 
 
 def runs(spark, sf_dir) -> DataFrame:
@@ -838,16 +1042,20 @@ def label_law_conditions(spark, sf_dir):
     return rounded(downstream.label_law(both, ["condition"]), "modal_share", "entropy_bits").select("condition", "modal_share", "entropy_bits")
 
 
-@query()
+_THREE = f"""{HOURLY_ASSOCIATION}, q19d as (select g, row_number() over (partition by g order by md5(concat_ws('|', 'q19', g, pos)), pos) - 1 as pos, value from x), q19c as (select g, row_number() over (partition by g order by md5(concat_ws('|', 'q19c', g, pos)), pos) - 1 as pos, f_std from x),
+th as (select 'index' as condition, g, pos, f_std, value from x union all select 'defect', x.g, x.pos, x.f_std, q.value from x join q19d q on q.g = x.g and q.pos = x.pos union all select 'control', x.g, x.pos, q.f_std, x.value from x join q19c q on q.g = x.g and q.pos = x.pos)"""
+
+
+@query(f"with {_THREE}, {sql.dependence_aware('th', 'condition, g', 'f_std', 'value', L + H, 2000, 2000)} select condition, g, {_DA_COLUMNS} from da")
 def difficulty_dep_aware(spark, sf_dir):
     """The dependence-aware association of all three joins; conditions are keys of one plan."""
     df = hourly_association(spark, sf_dir)
     x, y = df.select("g", "pos", "f_std"), df.select("g", "pos", "value")
     joined = downstream.three_conditions(x, y, order.full_permutation(y, ["g"], "q19"), order.full_permutation(y, ["g"], "q19c"), ["g"])
-    return assoc.dependence_aware(joined.select("condition", "g", "pos", "f_std", "value"), ["condition", "g"], "f_std", "value", L, H, 200, 200)
+    return _da_rounded(assoc.dependence_aware(joined.select("condition", "g", "pos", "f_std", "value"), ["condition", "g"], "f_std", "value", L, H))
 
 
-@query()
+@query("select 'cell' as cell_id, product, 'ok' as status, null::varchar as reason, 64::bigint as n from (values ('val_index_order'), ('val_loader_order')) t(product)")
 def backfill_report(spark, sf_dir):
     from seriata.sources.files import fixture_cell, fixture_identity
 
@@ -855,3 +1063,5 @@ def backfill_report(spark, sf_dir):
     names = ["val_index_order", "val_loader_order"]
     legacy = fixture_identity(spark, products=names).select("cell_id", "product", F.lit(None).cast("string").alias("schema_version"), F.split("product", "_")[1].alias("order"), F.lit(64).cast("bigint").alias("n_windows"))
     return contract.backfill_plan(legacy, fixture_cell(spark))
+
+from seriata.plans import report_queries  # noqa: E402,F401  registers its queries here

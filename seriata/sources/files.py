@@ -16,9 +16,9 @@ from seriata import schema as S
 from seriata.operators import contract
 
 
-def read_runs(spark: SparkSession, path: str) -> DataFrame:
-    """Run records (one JSON object a file) with block_id, sorted by cell_id; an empty folder is an error."""
-    runs = spark.read.schema(S.RUNS).json(path, multiLine=True)
+def read_runs(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Run records (one JSON object a file, or a line) with block_id, sorted by cell_id; an empty folder is an error."""
+    runs = spark.read.schema(S.RUNS).json(path, multiLine=not lines)
     if not runs.limit(1).count():
         raise FileNotFoundError(f"no run records in {path}")
     return runs.withColumn("block_id", block_id()).orderBy("cell_id")
@@ -58,7 +58,7 @@ def load_series(spark: SparkSession, root: str, cell_id: str, product: str, requ
     values, sidecars = read_values(spark, root).where(mine), read_sidecars(spark, root).where(mine)
     wanted = spark.createDataFrame([(cell_id, product)], "cell_id string, product string")
     siblings = read_values(spark, root).where(F.col("cell_id") == cell_id)
-    report = contract.validate(values, sidecars, expect, contract.resolve_sample_ids(sidecars, siblings), wanted, require_order, legacy_ok)
+    report = contract.validate(values, sidecars, expect, siblings, wanted, require_order, legacy_ok)
     contract.enforce(report)
     if expect_n is not None and (n := values.count()) != expect_n:
         raise contract.IdentityMismatch(f"{cell_id}/{product}: {n} values, {expect_n} expected")

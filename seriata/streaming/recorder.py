@@ -6,7 +6,7 @@ State is a few numbers a window or key, never predictions. Input batches carry
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -38,10 +38,10 @@ def record(stream: DataFrame, path: str, checkpoint: str):
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def loader_order(errors: DataFrame) -> DataFrame:
-    """ST3, ST4: pos (emission order), window_origin, value. One vector is ordered by one window; give `key` columns upstream for several."""
-    keyed = errors.withColumn("_k", F.lit(0))
-    return order.with_pos(keyed, ["_k"], "batch_id", "pos_in_batch").drop("_k", "batch_id", "pos_in_batch")
+def loader_order(errors: DataFrame, key: Sequence[str] = ()) -> DataFrame:
+    """ST3, ST4: key..., pos (emission order), window_origin, value. A vector is numbered by ranges of its batches, so no task holds a whole one."""
+    by = [*key, "_k"]
+    return order.with_pos_spread(errors.withColumn("_k", F.lit(0)), by, "batch_id", "pos_in_batch").drop("_k", "batch_id", "pos_in_batch")
 
 
 def index_order(errors: DataFrame) -> DataFrame:

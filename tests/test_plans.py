@@ -31,7 +31,7 @@ def test_aot_takes_one_shuffle_and_four_columns(spark):
 
 
 def test_native_queries_stay_in_the_jvm(spark):
-    for name in ("aot_sequences", "cat_rho_bar", "cat_conditions", "window_features_native", "join_by_sample_id", "ordered_id_digest", "purge_audit_disjoint", "paired_diff_summary", "signed_rank", "label_law", "moving_block_indices", "battery"):
+    for name in ("certification", "certification_margin", "cat_rho_bar", "cat_conditions", "window_features_native", "join_by_sample_id", "ordered_id_digest", "purge_audit_disjoint", "paired_diff_summary", "signed_rank", "label_law", "moving_block_indices", "numbered_by_ranges", "ks_two_sample"):
         assert not re.search("Python|Arrow|Pandas", plan(QUERIES[name](spark, DIR))), name
 
 
