@@ -70,12 +70,14 @@ class Encoder:
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.quick = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.exact = Tokenizer.from_file(json_path)
-        special = [re.escape(t.content) for t in self.exact.get_added_tokens_decoder().values()]
+        exact = Tokenizer.from_file(json_path)
+        special = [re.escape(t.content) for t in exact.get_added_tokens_decoder().values()]
         self.unfit = re.compile("|".join([*special, rf"\s{{{self.LONG_BLANK}}}"])).search
+        self.exact, self.load = None, lambda: Tokenizer.from_file(json_path)  # few workers need it again
 
     def encode(self, text: str) -> bytes:
         if self.unfit(text):
+            self.exact = self.exact or self.load()
             return np.array(self.exact.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         return self.quick.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
 

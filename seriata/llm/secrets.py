@@ -225,7 +225,8 @@ def train(findings: DataFrame, words: Sequence[str] = (), trees: int = 20, depth
     """findings: value, before, after, label (1: a secret), a bounded table; words: the dictionary."""
     findings = materialize(findings.select("value", "before", "after", F.col("label").cast("double").alias("label")), "secrets-findings")
     model = SecretModel(None, tuple(words), word_odds(findings))
-    forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, labelCol="label", featuresCol="features").fit(_vectors(findings, model))
+    vectors = materialize(_vectors(findings, model).select("features", "label"), "secrets-vectors", instead_of=findings)  # the fit reads them several times
+    forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, labelCol="label", featuresCol="features").fit(vectors)
     return SecretModel(forest, model.words, model.odds)
 
 
@@ -248,12 +249,10 @@ def windows(value: Column) -> Column:
 def scan(docs: DataFrame, model: SecretModel, threshold: float = THRESHOLD, keys: Sequence[str] = ("doc_id",)) -> DataFrame:
     """keys..., k, value, before, after, probability, secret: a row per candidate."""
     found = materialize(candidates(docs, keys).withColumn("rid", F.monotonically_increasing_id()), "secrets-candidates")
-    long = F.length("value") > LONGEST
-    parts = found.where(long).select("rid", "before", "after", F.explode(windows(F.col("value"))).alias("value"))
-    best = scored(parts, model).groupBy("rid").agg(F.max("probability").alias("probability"))
-    columns = [*found.columns, "probability"]
-    both = scored(found.where(~long), model).select(*columns).unionByName(found.where(long).join(best, "rid").select(*columns))
-    return both.select(*keys, "k", "value", "before", "after", "probability", (F.col("probability") >= threshold).alias("secret"))
+    value = F.col("value")
+    parts = found.select("rid", "before", "after", F.explode(F.when(F.length(value) > LONGEST, windows(value)).otherwise(F.array(value))).alias("value"))
+    best = materialize(scored(parts, model).groupBy("rid").agg(F.max("probability").alias("probability")), "secrets-scores")
+    return found.join(best, "rid").select(*keys, "k", "value", "before", "after", "probability", (F.col("probability") >= threshold).alias("secret"))
 
 
 def redact(docs: DataFrame, model: SecretModel, mark: str = "[SECRET]") -> DataFrame:

@@ -238,6 +238,53 @@ def test_quality_separates_and_ignores_held_out(spark):
     assert got == again
 
 
+def brute_statistics(t):
+    """The ten statistics, counted character by character."""
+    import math
+
+    t = t or ""
+    n = len(t.encode())
+    if not n:
+        return [0.0] * 10
+    space = " \t\n\x0b\f\r"
+    size = lambda c: len(c.encode())
+    solid = sum(size(c) for c in t if c not in space)
+    ws = [w for w in __import__("re").split(r"[ \t\n\x0b\f\r]+", t) if w]
+    w = max(1, len(ws))
+    lines = [x for x in t.split("\n") if x]
+    share = lambda x, of, more: math.log(x / (of + more) + 0.01)
+    plain = lambda c: c.isascii() and not c.isalnum() and c not in space
+    marks = ".,;:'\"()-?"
+    return [math.log1p(len(ws)), math.log((solid + 50) / (w + 10)), share(sum("A" <= c <= "Z" for c in t), solid, 100), share(sum(c in "0123456789" for c in t), solid, 100), share(sum(c in marks for c in t), solid, 100), share(sum(plain(c) and c not in marks for c in t), solid, 50), share(sum(a == b for a, b in zip(ws, ws[1:])), w, 20), math.log(len(set(ws)) + 10) / math.log(w + 10), share(len(lines) - len(set(lines)), len(lines), 10), share(max(Counter(ws).values(), default=0), w, 20)]
+
+
+def test_quality_equals_plain_densities(spark, texts):
+    """Means, shrunk covariances, densities by solving and determinants, and the logistic curve, recomputed without the operator."""
+    rng = random.Random(19)
+    docs = [*texts, *[" ".join(["junk"] * rng.randint(5, 60)) + "\n#$%" * rng.randint(0, 9) for _ in range(70)]]
+    y = [int(i < len(texts)) for i in range(len(docs))]
+    frame = make(spark, docs)
+    model = quality.fit(frame, spark.createDataFrame([(i, v, 0) for i, v in enumerate(y)], "doc_id long, quality int, toxic int"))
+    got = [r.score for r in quality.score(frame, model).orderBy("doc_id").collect()]
+    x = np.array([brute_statistics(t) for t in docs])
+    learnt = np.array([zlib.crc32(str(i).encode()) % 5 != 0 for i in range(len(docs))])
+    density = []
+    for c in (0, 1):
+        own = x[learnt & (np.array(y) == c)]
+        m, s = own.mean(0), np.cov(own.T, bias=True)
+        s = (1 - quality.SHRINK_DIAGONAL - quality.SHRINK_IDENTITY) * s + quality.SHRINK_DIAGONAL * np.diag(np.diag(s)) + quality.SHRINK_IDENTITY * max(np.trace(s) / 10, 1e-3) * np.eye(10)
+        d = x - m
+        density.append(-0.5 * (d * np.linalg.solve(s, d.T).T).sum(1) - 0.5 * np.linalg.slogdet(s)[1] + np.log(len(own)))
+    margin = density[1] - density[0]
+    z = np.clip(margin[learnt] / np.median(np.abs(margin[learnt])), -20, 20)
+    t = np.array(y)[learnt]
+    loss = lambda w: np.log1p(np.exp(-np.clip((2 * t - 1) * (w[0] * z + w[1]), -30, 30))).sum() + 0.05 * ((w[0] - 1) ** 2 + w[1] ** 2)
+    w = np.array([model.slope * np.median(np.abs(margin[learnt])), model.shift])
+    assert all(loss(w) <= loss(w + np.array(step)) + 1e-6 for step in ((0.01, 0), (-0.01, 0), (0, 0.01), (0, -0.01)))  # the curve is the best one
+    want = 1 / (1 + np.exp(-np.clip(model.slope * margin + model.shift, -500, 500)))
+    assert np.abs(np.array(got) - want).max() < 1e-6
+
+
 def test_quality_edges(spark):
     empty = make(spark, [])
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
