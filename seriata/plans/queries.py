@@ -306,14 +306,14 @@ def hourly_association(spark, sf_dir) -> DataFrame:
     h = inputs.hourly(spark, sf_dir).withColumn("g", F.lit("hourly")).withColumn("channel", F.lit(0))
     x = features.channel_features(h, ["g"], L, H).withColumnRenamed("window_origin", "pos").drop("channel")
     y = inputs.arms(spark, sf_dir).where("arm = 'mean'").select("g", "pos", "value")
-    return x.join(y, ["g", "pos"])
+    return rounded(x.join(y, ["g", "pos"]), *features.NATIVE, "value", digits=9)  # windows of equal values tie in every engine
 
 
 #: The native features of the hourly series beside the errors of the mean forecaster: CTE x.
 HOURLY_ASSOCIATION = f"""{ARMS}, {_W.format(k='', t='h', l1=L - 1, l=L, h=H, j='', jn='')},
 m as (select window_origin, avg(v) as m, stddev_pop(v) as sd, var_pop(v) as var, max(v) - min(v) as rg, avg(abs(nv - v)) filter (i < {L - 1}) as ad, covar_pop(v, i) / (stddev_pop(i) + 1e-12) as sl, avg(v) filter (i >= {L // 2}) - avg(v) filter (i < {L // 2}) as dr, max(v) filter (i = {L - 1}) as lv from w group by 1),
 c as (select window_origin, sum((v - m) * (nv - m)) filter (i < {L - 1}) as lag, sum(pow(v - m, 4)) / {L} as m4 from w join m using (window_origin) group by 1),
-x as (select 'hourly' as g, window_origin as pos, sd as f_std, rg as f_range, ad as f_absdiff, sl as f_slope, lag / ({L} * var + 1e-12) as f_acf1, abs(dr) / (sd + 1e-12) as f_drift, abs(lv - m) / (sd + 1e-12) as f_last_dev, m4 / (var * var) as f_kurtosis, a.value
+x as (select 'hourly' as g, window_origin as pos, {", ".join(f"round({e}, 9) + 0.0::double as {n}" for n, e in {"f_std": "sd", "f_range": "rg", "f_absdiff": "ad", "f_slope": "sl", "f_acf1": f"lag / ({L} * var + 1e-12)", "f_drift": "abs(dr) / (sd + 1e-12)", "f_last_dev": "abs(lv - m) / (sd + 1e-12)", "f_kurtosis": "m4 / (var * var)", "value": "a.value"}.items())}
       from m join c using (window_origin) join a on a.pos = m.window_origin and a.arm = 'mean')"""
 _LONG = " union all ".join(f"select g, {i} as k, '{f}' as f, {f} as x, value from x" for i, f in enumerate(features.NATIVE))
 
