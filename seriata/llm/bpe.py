@@ -9,7 +9,10 @@ without any break takes O(n log n).
 Short words are merged many at a time: their trees are rows of one array, and each step
 merges the best pair of every word that still has one. Long runs have a tree each.
 
-Null or empty text: no ids. Any text decodes to itself.
+Null or empty text: no ids. Any text, of any length, decodes to itself. Of pairs of equal rank
+(ties) the leftmost goes first. Repeated rows are encoded each; null doc_ids stay null; an
+empty table gives no rows. The digest query reads doc_id and text only; `encode_column` and
+`decode_column` keep all columns but one of their result's name.
 """
 
 from __future__ import annotations

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextvars
+import gc
 import tempfile
 import uuid
 import weakref
@@ -101,13 +102,19 @@ def materialize(df: DataFrame, name: str, instead_of: DataFrame | None = None) -
     return out
 
 
-def join_hot(rows: DataFrame, table: DataFrame, on: list[str], size: str, total: int, how: str = "inner") -> DataFrame:
+def tidy(spark: SparkSession) -> None:
+    """Between the parts of a long job: the driver lets go of finished plans, and Spark's cleaner then removes the shuffle files and broadcasts that only they held."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def join_hot(rows: DataFrame, table: DataFrame, on: list[str], size: str, total: int, how: str = "inner", few: int = FEW_ROWS) -> DataFrame:
     """rows join table (a row a key, of which column `size` says how many of the `total` rows it meets), inner or left, without `size`.
 
     Keys with over a thousandth of the rows are a thousand at most: those are broadcast, so
-    that their rows need not meet in one task; the rest is joined by shuffle. Of FEW_ROWS rows
+    that their rows need not meet in one task; the rest is joined by shuffle. Of `few` rows
     or less no key needs that: a task that gets all of them is small."""
-    if total <= FEW_ROWS:
+    if total <= few:
         return rows.join(table.drop(size), on, how)
     hot = F.col(size) * HOT_SHARE > F.lit(total)
     heavy, light = F.broadcast(table.where(hot).drop(size)), table.where(~hot).drop(size)

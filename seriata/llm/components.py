@@ -7,17 +7,19 @@ from pyspark.sql import functions as F
 
 from seriata.llm.common import join_hot, materialize
 
+FEW_EDGES = 200_000  # some MB: one task may get them all
+
 
 def _large_star(e: DataFrame, n: int) -> DataFrame:
     both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("deg"))
-    return join_hot(both.where("v > u"), least, ["u"], "deg", 2 * n).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
+    return join_hot(both.where("v > u"), least, ["u"], "deg", 2 * n, few=FEW_EDGES).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
 
 
 def _small_star(e: DataFrame, n: int) -> DataFrame:
     down = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("deg"))
-    moved = join_hot(down, least, ["u"], "deg", n).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = join_hot(down, least, ["u"], "deg", n, few=FEW_EDGES).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 

@@ -6,7 +6,11 @@ whole; two sketches give estimates of resemblance and containment, one the numbe
 distinct shingles (exact below k).
 
 Null text counts as empty; an empty text has the empty sketch, which is like itself (1)
-and unlike any other (0). Repeated doc_ids are ordered by text; null doc_ids come first.
+and unlike any other (0). A text of any length is read whole. Repeated doc_ids (ties) are
+ordered by text; null doc_ids come first. The rows of one doc_id, or of all null ones, are
+one task's work: doc_id is taken to be a key. An empty table gives no rows. Columns besides
+doc_id and text are not read by the comparison; `fingerprints` keeps all but one of its
+result's name.
 """
 
 from __future__ import annotations

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seriata.llm.common import join_hot, materialize, shingle_set, text_or_empty
+from seriata.llm.common import join_hot, materialize, shingle_set, text_or_empty, tidy
 from seriata.llm.components import components
 from seriata.ship import ship
 
@@ -309,7 +309,9 @@ def _labelled(docs: DataFrame, threshold: float) -> DataFrame:
     again = source.withColumn("_id", F.coalesce("doc_id", F.lit(-1))).where(maybe("_id")).withColumn("_hash", _text_hash()).join(wanted, ["_id", "_hash"], "left_semi")
     sets = again.select("text").mapInArrow(_sets, "digest binary, tokens array<long>")
     sets = materialize(sets.groupBy("digest").agg(F.first("tokens").alias("tokens")), "near-sets")
+    tidy(docs.sparkSession)
     roots = components(confirm(pairs, sets, t))
+    tidy(docs.sparkSession)
     mixed = wide.join(roots.select(F.col("node").alias("digest"), "root"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
     open_keys = mixed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.max("c").alias("_c")).where("r0 != r1").select("key", "_c")
     open_ = materialize(join_hot(wide, open_keys, ["key"], "_c", total).select("digest").distinct(), "near-undecided")
@@ -317,6 +319,7 @@ def _labelled(docs: DataFrame, threshold: float) -> DataFrame:
         roots = _residual(sets, open_, roots, t)
     named = classes.select("digest", "id", "class_size").join(roots.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
     least = named.groupBy("root").agg(F.min("id").alias("component_id"), F.count("*").alias("_c"))
+    tidy(docs.sparkSession)
     labels = materialize(join_hot(named, least, ["root"], "_c", n_classes).select("digest", "component_id", "class_size"), "near-labels")
     alone = rows.where("digest is null").select("doc_id", "text_hash", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(1).cast("long").alias("class_size"))
     linked = rows.where("digest is not null").select("doc_id", "text_hash", "n_shingles", "digest")

@@ -1,7 +1,7 @@
 """Quality classifier: regularised quadratic discriminant over transformed document statistics.
 
 Per class a mean and a covariance shrunk towards its own diagonal and a multiple of the
-identity; the score comes from the difference of the two Mahalanobis log-densities
+identity, by weights chosen by cross-validation among the training rows; the score comes from the difference of the two Mahalanobis log-densities
 plus the log prior ratio, scaled by a logistic curve over the training margins. Cholesky
 factors are computed once, at the fit, and travel with the model. The fit reads at most
 `sample` labelled rows (chosen by a hash of doc_id); the score uses the text only.
@@ -28,8 +28,8 @@ from seriata.ship import ship
 
 SAMPLE = 20_000
 THRESHOLD = 0.3
-SHRINK_DIAGONAL = 0.1
-SHRINK_IDENTITY = 0.02
+SHRINK = tuple((d, i) for d in (0.05, 0.1, 0.3, 0.6) for i in (0.02, 0.1, 0.3))  # weights of the diagonal and the identity to choose from
+FOLDS = 4
 _CLASS = np.full(256, 5)  # 0 letters of either kind and above ASCII, 1 capitals, 2 digits, 3 white space, 4 sentence marks, 5 other
 _CLASS[ord("a") : ord("z") + 1] = 0
 _CLASS[128:] = 0
@@ -79,6 +79,7 @@ class Discriminant:
     offset: float
     slope: float = 1.0
     shift: float = 0.0
+    shrink: tuple[float, float] = SHRINK[3]
 
     def margin(self, x: np.ndarray) -> np.ndarray:
         density = []
@@ -104,11 +105,12 @@ def calibrate(margin: np.ndarray, y: np.ndarray, ridge: float = 0.1, steps: int
     return (float(w[0] / scale), float(w[1])) if w[0] > 0 else (1.0, 0.0)
 
 
-def fit_discriminant(x: np.ndarray, y: np.ndarray, diagonal: float = SHRINK_DIAGONAL, identity: float = SHRINK_IDENTITY) -> Discriminant:
-    """A class without rows takes the mean and covariance of all rows and half a row as its prior."""
+def fit_discriminant(x: np.ndarray, y: np.ndarray, shrink: tuple[float, float] | None = None) -> Discriminant:
+    """A class without rows takes the mean and covariance of all rows and half a row as its prior. shrink: the covariances' weights of their own diagonal and of the identity; chosen by cross-validation if not given."""
     d = x.shape[1]
     if not len(x):
         return Discriminant(np.zeros((2, d)), np.stack([np.eye(d)] * 2), np.zeros(2), 0.0)
+    diagonal, identity = shrink = shrink or choose_shrinkage(x, y)
     means, factors, dets, sizes = [], [], [], []
     for c in (0, 1):
         own = x[y == c] if (y == c).any() else x
@@ -120,13 +122,30 @@ def fit_discriminant(x: np.ndarray, y: np.ndarray, diagonal: float = SHRINK_DIAG
         factors.append(np.linalg.inv(low))
         dets.append(float(np.log(np.diag(low)).sum()))
         sizes.append(max(0.5, float((y == c).sum())))
-    model = Discriminant(np.stack(means), np.stack(factors), np.array(dets), float(np.log(sizes[1] / sizes[0])))
+    model = Discriminant(np.stack(means), np.stack(factors), np.array(dets), float(np.log(sizes[1] / sizes[0])), shrink=shrink)
     if len(np.unique(y)) < 2:
         return model
     slope, shift = calibrate(model.margin(x), y)
     return replace(model, slope=slope, shift=shift)
 
 
+def choose_shrinkage(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """The weights with the least logarithmic loss on rows left out, every FOLDS-th row at a time; of equal ones the first. Too few rows of a class to leave any out: the default."""
+    if min((y == 0).sum(), (y == 1).sum()) < 2 * FOLDS:
+        return Discriminant.shrink
+    part = np.empty(len(y), int)
+    for c in (0, 1):
+        part[y == c] = np.arange((y == c).sum()) % FOLDS
+    losses = []
+    for shrink in SHRINK:
+        p = np.empty(len(y))
+        for k in range(FOLDS):
+            p[part == k] = fit_discriminant(x[part != k], y[part != k], shrink).score(x[part == k])
+        p = np.clip(p, 1e-6, 1 - 1e-6)
+        losses.append(-np.log(np.where(y == 1, p, 1 - p)).sum())
+    return SHRINK[int(np.argmin(losses))]
+
+
 def fold(doc_id) -> F.Column:
     """crc32 of doc_id as text, mod 5; held out where 0."""
     return F.crc32(doc_id.cast("string")) % 5

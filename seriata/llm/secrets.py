@@ -31,7 +31,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriata.llm.common import materialize
+from seriata.llm.common import materialize, tidy
 
 LONGEST = 200
 WINDOW = 48
@@ -232,8 +232,11 @@ def train(findings: DataFrame, words: Sequence[str] = (), trees: int = 20, depth
 
 def train_for(docs: DataFrame, findings: DataFrame | None = None) -> SecretModel:
     """A model with the dictionary of docs; findings are the example ones by default."""
+    tidy(docs.sparkSession)
     words = dictionary(docs)
-    return train(example_findings(docs.sparkSession, words) if findings is None else findings, words)
+    model = train(example_findings(docs.sparkSession, words) if findings is None else findings, words)
+    tidy(docs.sparkSession)
+    return model
 
 
 def scored(rows: DataFrame, model: SecretModel) -> DataFrame:

@@ -272,7 +272,8 @@ def test_quality_equals_plain_densities(spark, texts):
     for c in (0, 1):
         own = x[learnt & (np.array(y) == c)]
         m, s = own.mean(0), np.cov(own.T, bias=True)
-        s = (1 - quality.SHRINK_DIAGONAL - quality.SHRINK_IDENTITY) * s + quality.SHRINK_DIAGONAL * np.diag(np.diag(s)) + quality.SHRINK_IDENTITY * max(np.trace(s) / 10, 1e-3) * np.eye(10)
+        diagonal, identity = model.shrink
+        s = (1 - diagonal - identity) * s + diagonal * np.diag(np.diag(s)) + identity * max(np.trace(s) / 10, 1e-3) * np.eye(10)
         d = x - m
         density.append(-0.5 * (d * np.linalg.solve(s, d.T).T).sum(1) - 0.5 * np.linalg.slogdet(s)[1] + np.log(len(own)))
     margin = density[1] - density[0]
