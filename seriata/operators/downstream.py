@@ -67,6 +67,7 @@ def difficulty_regression(joined: DataFrame, test: DataFrame, columns: Sequence[
             sides = split.purged_split(train, F.lit(n), F.lit(p), origin="pos")
             ho = regressor(seed, iterations).fit(sides.where("side = 'train'")).transform(sides.where("side = 'holdout'")).withColumn("k", F.lit(1))
             hold = F.lit(assoc.spearman(ho, ["k"], "fitted", "_y").first()["rho"]).cast("double")
+        train.unpersist()  # both fits are done
         part = rho.crossJoin(r2).select(F.lit(name).alias("condition"), "*", hold.alias("spearman_holdout"), F.lit(int(eligible)).alias("holdout_eligible"), F.lit(int(p)).alias("purge_origins"), F.lit(n).cast("bigint").alias("n_val"))
         out = part if out is None else out.unionByName(part)
     return out.join(assoc.association(joined, ["condition"], columns, "value", main=columns[0]), "condition")

@@ -66,15 +66,17 @@ def channel_features(series: DataFrame, key: Key, seq_len: int, pred_len: int, c
     return whole.select(*key, "channel", F.col("t").alias("window_origin"), *NATIVE)
 
 
-def cross_correlation(series: DataFrame, key: Key, seq_len: int, pred_len: int) -> DataFrame:
+def cross_correlation(series: DataFrame, key: Key, seq_len: int, pred_len: int, chunks: int | None = None) -> DataFrame:
     """key..., window_origin, f_cross_corr: mean over channel pairs of |correlation|; series with one channel have no rows here (0 by definition)."""
     a = series.select(*key, "t", F.col("channel").alias("a"), F.col("value").alias("x"))
     b = series.select(*key, "t", F.col("channel").alias("b"), F.col("value").alias("y"))
     pairs = a.join(b, [*key, "t"]).where("a < b")
-    fr = Window.partitionBy(*key, "a", "b").orderBy("t").rowsBetween(0, int(seq_len) - 1)
+    last = series.groupBy(*key, "channel").agg(F.max("t").alias("_e"))
+    last = last.select(*key, F.col("channel").alias("a"), "_e").join(last.select(*key, F.col("channel").alias("b"), F.col("_e").alias("_e2")), list(key)).where("a < b").select(*key, "a", "b", F.least("_e", "_e2").alias("_e"))
+    pairs, split = (chunked(pairs, int(seq_len), max(chunks, int(seq_len))), ["_chunk"]) if chunks else (pairs.withColumn("_own", F.lit(True)), [])
+    fr = Window.partitionBy(*key, "a", "b", *split).orderBy("t").rowsBetween(0, int(seq_len) - 1)
     c = F.abs(F.covar_pop("x", "y").over(fr)) / (F.stddev_pop("x").over(fr) * F.stddev_pop("y").over(fr) + EPS)
-    ends = F.max("t").over(Window.partitionBy(*key, "a", "b"))
-    rows = pairs.withColumn("c", c).withColumn("_e", ends).where(F.col("t") <= F.col("_e") - int(seq_len) - int(pred_len) + 1)
+    rows = pairs.withColumn("c", c).where("_own").join(last, [*key, "a", "b"]).where(F.col("t") <= F.col("_e") - int(seq_len) - int(pred_len) + 1)
     return rows.groupBy(*key, F.col("t").alias("window_origin")).agg(F.avg("c").alias("f_cross_corr"))
 
 
@@ -89,11 +91,13 @@ def spectral_entropy(windows: pd.Series) -> pd.Series:
     return pd.Series(-(p * np.log(p + EPS)).sum(1) / np.log(max(p.shape[1], 2)))
 
 
-def spectral(series: DataFrame, key: Key, seq_len: int, pred_len: int) -> DataFrame:
+def spectral(series: DataFrame, key: Key, seq_len: int, pred_len: int, chunks: int | None = None) -> DataFrame:
     """key..., window_origin, f_spec_ent of the channels' mean series."""
     mean = series.groupBy(*key, "t").agg(F.avg("value").alias("value"))
-    by = Window.partitionBy(*key).orderBy("t")
-    rows = mean.withColumn("w", F.collect_list("value").over(by.rowsBetween(0, int(seq_len) - 1))).withColumn("_e", F.max("t").over(Window.partitionBy(*key)))
+    last = mean.groupBy(*key).agg(F.max("t").alias("_e"))
+    rows, split = (chunked(mean, int(seq_len), max(chunks, int(seq_len))), ["_chunk"]) if chunks else (mean.withColumn("_own", F.lit(True)), [])
+    by = Window.partitionBy(*key, *split).orderBy("t")
+    rows = rows.withColumn("w", F.collect_list("value").over(by.rowsBetween(0, int(seq_len) - 1))).where("_own").join(last, list(key))
     rows = rows.where(F.col("t") <= F.col("_e") - int(seq_len) - int(pred_len) + 1)
     return rows.select(*key, F.col("t").alias("window_origin"), spectral_entropy("w").alias("f_spec_ent"))
 
@@ -106,7 +110,7 @@ def window_features(series: DataFrame, key: Key, seq_len: int, pred_len: int, st
             raise ValueError(f"a series is too short for look-back {seq_len} and horizon {pred_len}")
     own = channel_features(series, key, seq_len, pred_len, chunks).groupBy(*key, "window_origin").agg(*[F.avg(f).alias(f) for f in NATIVE])
     at = [*key, "window_origin"]
-    out = own.join(spectral(series, key, seq_len, pred_len), at).join(cross_correlation(series, key, seq_len, pred_len), at, "left")
+    out = own.join(spectral(series, key, seq_len, pred_len, chunks), at).join(cross_correlation(series, key, seq_len, pred_len, chunks), at, "left")
     return out.withColumn("f_cross_corr", F.coalesce("f_cross_corr", F.lit(0.0))).select(*at, *FEATURES)
 
 
@@ -115,11 +119,12 @@ def feature_index(features: DataFrame, key: Key) -> DataFrame:
     return features.groupBy(*key).agg(F.count("*").alias("n"))
 
 
-def forecaster_errors(series: DataFrame, key: Key, seq_len: int, pred_len: int) -> DataFrame:
+def forecaster_errors(series: DataFrame, key: Key, seq_len: int, pred_len: int, chunks: int | None = None) -> DataFrame:
     """key..., arm, pos, value: per-window squared error of four closed-form forecasters (last value, mean, exponentially weighted mean, first values of the window)."""
     length, horizon = int(seq_len), int(pred_len)
-    by = Window.partitionBy(*key).orderBy("t")
-    rows = series.withColumn("w", F.collect_list("value").over(by.rowsBetween(0, length + horizon - 1))).where(F.size("w") == length + horizon)
+    rows, split = (chunked(series, length + horizon, max(chunks, length + horizon)), ["_chunk"]) if chunks else (series.withColumn("_own", F.lit(True)), [])
+    by = Window.partitionBy(*key, *split).orderBy("t")
+    rows = rows.withColumn("w", F.collect_list("value").over(by.rowsBetween(0, length + horizon - 1))).where(F.col("_own") & (F.size("w") == length + horizon))
     look, target = F.slice("w", 1, length), F.slice("w", length + 1, horizon)
     weights = [0.5 ** ((length - 1 - i) / (length / 2)) for i in range(length)]
     dot = F.aggregate(F.zip_with(look, F.array(*[F.lit(x) for x in weights]), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)

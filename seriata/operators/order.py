@@ -147,16 +147,31 @@ def sharing_label(condition: str, arm_index: Column) -> Column:
     raise ValueError(f"unknown sharing condition {condition!r}")
 
 
+def shuffled(df: DataFrame, key: Key, seed: object) -> DataFrame:
+    """df in the order of full_permutation, without a join: each row finds its own place."""
+    h = order_key(seed, *[F.col(k) for k in key], F.col("pos"))
+    moved = df.withColumn("_h", h).withColumn("_to", (F.row_number().over(_by(key, "_h", "pos")) - 1).cast("bigint"))
+    return moved.withColumn("pos", F.col("_to")).select(*df.columns)
+
+
 def inject_sharing(arms: DataFrame, group: Key, condition: str, seed: object) -> DataFrame:
     """arms (group..., arm, pos, value) with each arm's values permuted by the order that its label names within its group."""
+    return inject_conditions(arms, group, [condition], seed).drop("condition")
+
+
+def inject_conditions(arms: DataFrame, group: Key, conditions: Sequence[str], seed: object) -> DataFrame:
+    """inject_sharing for several conditions at once, with a condition column.
+
+    Arms of one label share positions and hashes, so a position's rank among the distinct
+    ones is its place: one window for all conditions and no join."""
     index = F.dense_rank().over(Window.partitionBy(*group).orderBy("arm")) - 1
-    rows = arms.withColumn("_label", sharing_label(condition, index))
-    if condition == "intact":
-        return rows.drop("_label")
-    key = [*group, "_label"]
-    perm = full_permutation(rows.select(*key, "pos").distinct(), key, f"{seed}/{condition}")
-    moved = rows.withColumnRenamed("pos", "src_pos").join(perm, [*key, "src_pos"])
-    return moved.select(*arms.columns)
+    rows = arms.withColumn("_index", index).withColumn("condition", F.explode(F.array(*[F.lit(c) for c in conditions])))
+    label = F.coalesce(*[F.when(F.col("condition") == c, sharing_label(c, F.col("_index"))) for c in conditions])
+    key = ["condition", *group, "_label"]
+    rows = rows.withColumn("_label", label)
+    rows = rows.withColumn("_h", F.md5(F.concat_ws("|", F.concat(F.lit(f"{seed}/"), "condition"), *[F.col(k).cast("string") for k in group], F.col("_label").cast("string"), F.col("pos").cast("string"))))
+    place = F.when(F.col("_label").isNull(), F.col("pos")).otherwise(F.dense_rank().over(_by(key, "_h", "pos")) - 1)
+    return rows.withColumn("_to", place.cast("bigint")).withColumn("pos", F.col("_to")).select(*arms.columns, "condition")
 
 
 def strided(df: DataFrame, strides: Sequence[int], pos: str = "pos") -> DataFrame:

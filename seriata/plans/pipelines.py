@@ -33,12 +33,28 @@ def with_p(df: DataFrame, z: str = "z", alpha: float = diagnose.ALPHA) -> DataFr
 def sequence_variants(values: DataFrame, perms: DataFrame | None, seed: object) -> DataFrame:
     """values with variant: index_order, full_permutation and, where perms has the cell, observed_loader_order."""
     key = list(CELL)
-    parts = [values.withColumn("variant", F.lit("index_order")), order.apply_permutation(values, order.full_permutation(values, key, seed), key).withColumn("variant", F.lit("full_permutation"))]
+    parts = [values.withColumn("variant", F.lit("index_order")), order.shuffled(values, key, seed).withColumn("variant", F.lit("full_permutation"))]
     if perms is not None:
         parts.append(order.apply_permutation(values, perms, key).withColumn("variant", F.lit("observed_loader_order")))
     return union(*parts)
 
 
+def loader_orders(values: DataFrame, observed: DataFrame, key: Key, seed: object) -> DataFrame:
+    """Q9: key..., pos, src_pos, perm_source: the observed order of each key that has one, a simulated order for the others."""
+    rest = values.select(*key, "pos").join(observed.select(*key).distinct(), list(key), "left_anti")
+    made = order.full_permutation(rest, key, seed).withColumn("perm_source", F.lit("simulated"))
+    return observed.select(*key, "pos", "src_pos", F.lit("observed").alias("perm_source")).unionByName(made)
+
+
+def difficulty_associations(features: DataFrame, values: DataFrame, orders: DataFrame, key: Key, columns: Sequence[str], seed: object) -> DataFrame:
+    """Q9's description: key..., condition, perm_source and the association columns of all keys in one plan; orders as loader_orders gives them."""
+    from seriata.operators import downstream
+
+    joined = downstream.three_conditions(features, values, orders.drop("perm_source"), order.full_permutation(values, key, f"{seed}/control"), key)
+    out = assoc.with_naive_p(assoc.association(joined, ["condition", *key], columns, "value"))
+    return out.join(orders.select(*key, "perm_source").distinct(), list(key))
+
+
 def aot_sequences(values: DataFrame, perms: DataFrame | None = None, seed: object = 0) -> DataFrame:
     """Q3: cell_id, split, variant, n, r, null_mean, null_sd, z, p, reject; ids of the cells join on cell_id."""
     return with_p(diagnose.aot_statistics(diagnose.aot_moments(sequence_variants(values, perms, seed), [*CELL, "variant"])))

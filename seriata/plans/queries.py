@@ -184,11 +184,7 @@ def _conditions_sql() -> str:
 pr as (select x.condition, corr(x.rk, y.rk) as rho from r x join r y on x.condition = y.condition and x.pos = y.pos and x.arm < y.arm group by x.condition, x.arm, y.arm)
 select condition, round(avg(rho), 6) + 0.0::double as rho_bar from pr group by 1""")
 def cat_conditions(spark, sf_dir):
-    a = inputs.arms(spark, sf_dir)
-    out = None
-    for c in order.SHARING:
-        part = order.inject_sharing(a, ["g"], c, "share").withColumn("condition", F.lit(c))
-        out = part if out is None else out.unionByName(part)
+    out = order.inject_conditions(inputs.arms(spark, sf_dir), ["g"], order.SHARING, "share")
     return rounded(diagnose.agreement(out, ["condition"]), "rho_bar").select("condition", "rho_bar")
 
 

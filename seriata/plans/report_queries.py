@@ -196,6 +196,24 @@ def analytic_check(spark, sf_dir):
     return rounded(pipelines.analytic_check(mc), "p_analytic", "p_error", digits=5).select(*BLOCK, "variant", "n_arms", "n", "p_analytic", "p_error")
 
 
+_ORDERS = f"""{_BANK}, ob as (select cell_id, row_number() over (partition by cell_id order by md5(concat_ws('|', 'seen', cell_id, pos)), pos) - 1 as pos, pos as src_pos, 'observed' as perm_source from bk where pred_len = 96),
+si as (select cell_id, row_number() over (partition by cell_id order by md5(concat_ws('|', 't1', cell_id, pos)), pos) - 1 as pos, pos as src_pos, 'simulated' as perm_source from bk where pred_len != 96), lo as (select * from ob union all select * from si)"""
+
+
+@query(f"""with {_ORDERS}, co as (select cell_id, row_number() over (partition by cell_id order by md5(concat_ws('|', 't1/control', cell_id, pos)), pos) - 1 as pos, x from bk),
+j as (select 'index' as condition, cell_id, x, value from bk union all select 'defect', a.cell_id, a.x, b.value from bk a join lo on lo.cell_id = a.cell_id and lo.pos = a.pos join bk b on b.cell_id = a.cell_id and b.pos = lo.src_pos union all select 'control', a.cell_id, co.x, a.value from bk a join co on co.cell_id = a.cell_id and co.pos = a.pos),
+{sql.ranked('jr', 'j', 'condition, cell_id', rx='x', ry='value')}, ro as (select condition, cell_id, corr(rx, ry) as rho, count(*) as n from jr group by 1, 2)
+select condition, cell_id, perm_source, n, round(rho, 6) + 0.0::double as rho, round(rho * sqrt(n - 1), 5) + 0.0::double as z, round(2 * {sql.normal_sf('abs(rho * sqrt(n - 1))')}, 5) + 0.0::double as p from ro join (select distinct cell_id, perm_source from lo) using (cell_id)""")
+def difficulty_associations(spark, sf_dir):
+    """The three joins of all cells; a quarter of the cells have an observed loader order, the others a simulated one."""
+    b = bank(spark, sf_dir)
+    seen = order.full_permutation(b.where("pred_len = 96"), ["cell_id"], "seen")
+    orders = pipelines.loader_orders(b, seen, ["cell_id"], "t1")
+    out = pipelines.difficulty_associations(b.select("cell_id", "pos", F.col("x").alias("f_std")), b.select("cell_id", "pos", "value"), orders, ["cell_id"], ["f_std"], "t1")
+    out = out.select("condition", "cell_id", "perm_source", "n", F.col("rho_f_std").alias("rho"), F.col("assoc_z_fstd").alias("z"), F.col("assoc_p_iid_naive").alias("p"))
+    return rounded(rounded(out, "rho"), "z", "p", digits=5)
+
+
 # Small operators.
 
 
@@ -358,6 +376,28 @@ def permuted_by_ranges(spark, sf_dir):
     return order.full_permutation_spread(inputs.series(spark, sf_dir), ["series_id"], "wide")
 
 
+@query(ORACLES["aot_by_event_type"])
+def aot_spread(spark, sf_dir):
+    """AOT of vectors of any length: positions by time ranges, neighbours by an equi-join on (key, position)."""
+    e = table(spark, sf_dir, "events").where("event_type is not null").select(F.col("event_type").alias("series_id"), "ts", "event_id", "value")
+    s = order.with_pos_spread(e, ["series_id"], "ts", "event_id", buckets=64).select("series_id", "pos", "value")
+    out = diagnose.aot_statistics(diagnose.aot_moments(s, ["series_id"], dense=True))
+    out = out.withColumn("reject", diagnose.aot_certified(F.col("z")))
+    return rounded(out, "r", "null_mean", "null_sd", "z").select("series_id", "n", "r", "null_mean", "null_sd", "z", "reject")
+
+
+@query(ORACLES["window_features_all"])
+def window_features_chunked(spark, sf_dir):
+    """All ten features with the series cut into overlapping pieces."""
+    return rounded(features.window_features(inputs.channels(spark, sf_dir), ["dataset"], 7, 2, chunks=8), *features.FEATURES)
+
+
+@query(ORACLES["forecaster_errors"])
+def forecaster_errors_chunked(spark, sf_dir):
+    h = inputs.hourly(spark, sf_dir).withColumn("g", F.lit("hourly"))
+    return rounded(features.forecaster_errors(h, ["g"], L, H, chunks=100), "value", digits=4)
+
+
 @query("select (select count(*) from (select lang from documents where doc_id % 2 = 0 except all select lang from documents where doc_id % 2 = 0)) = 0 as same, (select count(*) from (select lang from documents except all select lang from documents where doc_id % 2 = 0)) = 0 as half")
 def multisets(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "lang")

@@ -121,6 +121,35 @@ def manifest_check(spark: SparkSession, path: str, manifest: DataFrame) -> DataF
     return manifest.select("name", F.col("sha256").alias("expected")).join(files, "name", "left").withColumn("ok", F.coalesce(F.col("expected") == F.col("found"), F.lit(False)))
 
 
+def fetch(manifest: Sequence[Mapping[str, str]], folder: str, timeout: float = 60.0) -> list[str]:
+    """Files of the manifest (name, url, sha256) that the driver's folder lacks or holds with other contents, downloaded piece by piece; each becomes visible only with the pinned contents. Returns the names fetched."""
+    import hashlib
+    import urllib.request
+
+    def digest(path: Path) -> str | None:
+        if not path.exists():
+            return None
+        with open(path, "rb") as f:
+            return hashlib.file_digest(f, "sha256").hexdigest()
+
+    got = []
+    for row in manifest:
+        target = Path(folder) / row["name"]
+        if digest(target) == row["sha256"]:
+            continue
+        target.parent.mkdir(parents=True, exist_ok=True)
+        part = target.with_name(target.name + ".part")
+        with urllib.request.urlopen(row["url"], timeout=timeout) as source, open(part, "wb") as out:
+            while piece := source.read(1 << 20):
+                out.write(piece)
+        if (found := digest(part)) != row["sha256"]:
+            part.unlink()
+            raise ValueError(f"{row['name']}: {found} instead of the pinned {row['sha256']}")
+        os.replace(part, target)
+        got.append(row["name"])
+    return got
+
+
 def append_log(df: DataFrame, path: str) -> None:
     """JSON lines."""
     df.write.mode("append").json(path)

@@ -287,3 +287,39 @@ def test_difficulty_regression(spark):
     got = {r.condition: r for r in downstream.difficulty_regression(joined, df, ["f_std"], 4, 2, iterations=5).collect()}
     assert got["index"].spearman_test > 0.8 and abs(got["defect"].rho_f_std) < 0.15 and abs(got["control"].rho_f_std) < 0.15
     assert got["index"].holdout_eligible == 1 and got["index"].spearman_holdout is not None
+
+
+def test_files_are_fetched_with_pinned_contents(tmp_path):
+    source = tmp_path / "there" / "a.csv"
+    source.parent.mkdir()
+    source.write_bytes(b"x,y\n1,2\n" * 1000)
+    sha = hashlib.sha256(source.read_bytes()).hexdigest()
+    row = {"name": "a.csv", "url": source.as_uri(), "sha256": sha}
+    here = str(tmp_path / "here")
+    assert files.fetch([row], here) == ["a.csv"] and files.fetch([row], here) == []
+    (tmp_path / "here" / "a.csv").write_bytes(b"spoilt")
+    assert files.fetch([row], here) == ["a.csv"] and (tmp_path / "here" / "a.csv").read_bytes() == source.read_bytes()
+    with pytest.raises(ValueError):
+        files.fetch([row | {"name": "b.csv", "sha256": "0" * 64}], here)
+    assert sorted(p.name for p in (tmp_path / "here").iterdir()) == ["a.csv"]
+
+
+def test_a_missing_sibling_array_is_a_violation(spark, cell):
+    loader = cell.where("product = 'val_loader_order'")
+    side = contract.build_sidecars(loader, files.fixture_identity(spark, products=["val_loader_order"]), S.ORDER_LOADER, commit="c")
+    spec = F.expr("named_struct('kind', 'sibling_array', 'start', cast(null as bigint), 'name', 'val_perm', 'window_origins', cast(null as array<bigint>), 'sample_ids', cast(null as array<string>))")
+    side = side.withColumn("sample_id_spec", spec)
+    there = contract.validate(loader, side, siblings=cell, require_order="loader").first()
+    gone = contract.validate(loader, side, siblings=loader, require_order="loader").first()
+    assert there.violation is None and (gone.violation, gone.error) == ("sample_id_spec", "MissingField")
+    with pytest.raises(Exception, match="MissingField"):
+        contract.resolve_sample_ids(side, loader).collect()
+
+
+def test_channels_are_aligned_or_refused(spark):
+    from seriata.operators import features
+
+    df = spark.createDataFrame([(3, 1.0), (7, 2.0), (9, 5.0)], "channel int, value double")
+    assert sorted(map(tuple, features.align_channels(df, [7, 3]).select("channel", "value").collect())) == [(0, 2.0), (1, 1.0)]
+    with pytest.raises(Exception, match="no rows"):
+        features.align_channels(df, [7, 4]).collect()
