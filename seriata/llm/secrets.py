@@ -174,47 +174,53 @@ _NO = ("commit ", "sha256: ", "md5 ", "checksum ", "order ", "invoice no. ", "ph
 
 def example_findings(spark: SparkSession, words: Sequence[str] = (), n: int = 8000) -> DataFrame:
     """Labelled findings (value, before, after, label) made from hashes: access-key ids, prefixed and assigned random values of several alphabets and lengths are secrets; numbers, digests, paths, joined words of the dictionary and placeholders are not."""
+    words = list(words[:1000]) or [a + b for a in _SYLLABLES for b in _SYLLABLES]
     h = lambda k: F.md5(F.concat_ws("-", F.col("id").cast("string"), F.lit(k)))
     number = lambda k, m: F.pmod(F.conv(F.substr(h(k), F.lit(1), F.lit(8)), 16, 10).cast("bigint"), F.lit(m)).cast("int")
-    vocabulary = F.split(F.lit(" ".join(words[:1000] if words else [a + b for a in _SYLLABLES for b in _SYLLABLES])), " ")
-    word = lambda k: F.element_at(vocabulary, number(k, len(words[:1000]) or len(_SYLLABLES) ** 2) + 1)
-    of = lambda options, k: F.element_at(F.array(*[F.lit(x) for x in options]), number(k, len(options)) + 1)
-    cut = lambda text, low, high, k: F.substr(text, F.lit(1), F.lit(low) + number(k, high - low + 1))
-    hexes = F.concat(h("a"), h("b"))
-    up = F.translate(F.upper(hexes), "0189", "XQZW")
-    mixed = F.translate(F.base64(F.unhex(F.concat(h("m"), h("n"), h("o")))), "=", "")
-    digits = F.regexp_replace(F.concat(h("d"), h("e"), h("f"), h("g")), "[^0-9]", "")
-    prose = F.concat_ws(" ", word("p"), of(("", "", "mail@mail.example.com", "https://www.example.com/page"), "c1"), word("q"))
-    prose = F.when(number("c2", 3) == 0, F.concat(prose, F.lit(" "), of(("user.1@mail.example.com", "www.example.com", "(example)", "97.51.17.173"), "c3"))).otherwise(prose)
-    yes, no = F.concat(prose, F.lit(" "), of(_YES, "y")), F.concat(prose, F.lit(" "), of(_NO, "z"))
-    assigned = F.concat(prose, F.lit(" "), of(_YES[:7], "y"))
-    slug = F.concat_ws("-", word("s"), word("t"), word("u"), word("v"), F.substr(digits, F.lit(1), F.lit(2)))
+    # the words, characters and lengths of each row are written first: the cases below then are small expressions
+    vocabulary = F.split(F.lit(" ".join(words)), " ")
+    pick = F.transform(F.array(*[number(k, len(words)) for k in "pqstuvwx"]), lambda i: F.element_at(vocabulary, i + 1))
+    rows = spark.range(n).select("id", pick.alias("w"), F.concat(h("a"), h("b")).alias("hexes"), F.translate(F.base64(F.unhex(F.concat(h("m"), h("n"), h("o")))), "=", "").alias("mixed"), F.regexp_replace(F.concat(h("d"), h("e"), h("f"), h("g")), "[^0-9]", "").alias("digits"), F.array(*[number(k, 5040) for k in "1234567"]).alias("r"))
+    rows = materialize(rows, "secrets-parts")
+    col, lit = F.col, F.lit
+    word = lambda k: col("w")["pqstuvwx".index(k)]
+    of = lambda options, k: F.element_at(F.array(*[lit(x) for x in options]), col("r")[k] % len(options) + 1)
+    cut = lambda text, low, high: F.substr(text, lit(1), lit(low) + col("r")[0] % (high - low + 1))
+    up = F.translate(F.upper("hexes"), "0189", "XQZW")
+    prose = F.concat_ws(" ", word("p"), of(("", "", "mail@mail.example.com", "https://www.example.com/page"), 1), word("q"), of(("", "", "", "", "user.1@mail.example.com", "www.example.com", "(example)", "97.51.17.173"), 2), lit(""))
+    first, digits = F.substr("digits", lit(1), lit(4)), col("digits")
+    slug = F.concat_ws("-", word("s"), word("t"), word("u"), word("v"), F.substr(digits, lit(1), lit(2)))
+    yes, no, assigned, bare, url = 1, 2, 3, 4, 5  # what stands before: a likely mark or none, a harmless one, an assignment, prose, the start of an address
     cases = [
-        (F.concat(F.lit("AKIA"), F.substr(up, F.lit(1), F.lit(16))), yes, 1),
-        (F.concat(F.lit("AKIA"), F.substr(up, F.lit(9), F.lit(16))), F.concat(prose, F.lit(" ")), 1),
-        (cut(hexes, 18, 64, "1"), assigned, 1),
-        (F.upper(cut(hexes, 18, 64, "2")), F.upper(assigned), 1),
-        (cut(mixed, 20, 62, "3"), yes, 1),
-        (cut(mixed, 40, 62, "4"), F.concat(prose, F.lit(" ")), 1),
-        (F.concat(of(("ghp_", "sk_live_", "xoxb-", "glpat-"), "5"), cut(F.regexp_replace(mixed, "[+/]", "x"), 24, 40, "6")), yes, 1),
-        (F.concat(cut(mixed, 8, 14, "7"), F.lit("1")), assigned, 1),
-        (cut(digits, 12, 20, "8"), no, 0),
-        (cut(hexes, 32, 64, "9"), F.concat(prose, F.lit(" "), of(_NO[:4], "0")), 0),
-        (F.concat(cut(hexes, 32, 40, "a1"), F.lit("")), F.concat(prose, F.lit(" ")), 0),
-        (F.concat_ws("/", F.lit("img"), word("s"), F.substr(digits, F.lit(1), F.lit(4)), word("t")), F.concat(prose, F.lit(" https://www.example.com/")), 0),
+        (F.concat(lit("AKIA"), F.substr(up, lit(1), lit(16))), yes, 1),
+        (F.concat(lit("AKIA"), F.substr(up, lit(9), lit(16))), bare, 1),
+        (cut(col("hexes"), 18, 64), assigned, 1),
+        (F.upper(cut(col("hexes"), 18, 64)), assigned, 1),
+        (cut(col("mixed"), 20, 62), yes, 1),
+        (cut(col("mixed"), 40, 62), bare, 1),
+        (F.concat(of(("ghp_", "sk_live_", "xoxb-", "glpat-"), 3), cut(F.translate("mixed", "+/", "xx"), 24, 40)), yes, 1),
+        (F.concat(cut(col("mixed"), 8, 14), lit("1")), assigned, 1),
+        (cut(digits, 12, 20), no, 0),
+        (cut(col("hexes"), 32, 64), no, 0),
+        (cut(col("hexes"), 32, 40), bare, 0),
+        (F.concat_ws("/", lit("com"), word("s"), first, word("t")), url, 0),
         (slug, no, 0),
-        (F.concat(word("s"), word("t"), word("u"), F.substr(digits, F.lit(1), F.lit(3))), no, 0),
-        (F.concat(F.initcap(word("s")), F.initcap(word("t")), F.initcap(word("u")), F.initcap(word("v")), F.lit("2")), no, 0),
-        (F.concat(of(("changeme-example-", "your-password-here-", "dummy-token-value-"), "b1"), F.substr(digits, F.lit(1), F.lit(3))), assigned, 0),
-        (F.repeat(F.substr(digits, F.lit(1), F.lit(1)), F.lit(20)), assigned, 0),
-        (F.substr(slug, F.lit(3), F.lit(48)), F.concat(prose, F.lit(" ")), 0),
+        (F.concat(word("s"), word("t"), word("u"), F.substr(digits, lit(1), lit(3))), no, 0),
+        (F.concat(F.initcap(word("s")), F.initcap(word("t")), F.initcap(word("u")), F.initcap(word("v")), lit("2")), no, 0),
+        (F.concat(of(("changeme-example-", "your-password-here-", "dummy-token-value-"), 3), F.substr(digits, lit(1), lit(3))), assigned, 0),
+        (F.repeat(F.substr(digits, lit(1), lit(1)), lit(20)), assigned, 0),
+        (F.substr(slug, lit(3), lit(48)), bare, 0),
     ]
-    kind = (F.col("id") % len(cases)).cast("int")
-    pick = lambda k: F.coalesce(*[F.when(kind == i, F.lit(c[k]) if k == 2 else c[k]) for i, c in enumerate(cases)])
-    before = pick(1)
-    mark = F.substr(before, F.length(before), F.lit(1))
-    after = F.concat(F.when(mark.isin('"', "'"), mark).otherwise(""), F.lit(" "), word("w"), F.lit(" "), word("x"))
-    return spark.range(n).select(pick(0).alias("value"), before.alias("before"), after.alias("after"), pick(2).cast("double").alias("label"))
+    kind = (col("id") % len(cases)).cast("int")
+    value = F.coalesce(*[F.when(kind == i, c) for i, (c, _, _) in enumerate(cases)])
+    place = F.element_at(F.array(*[lit(b) for _, b, _ in cases]), kind + 1)
+    label = F.element_at(F.array(*[lit(float(y)) for _, _, y in cases]), kind + 1)
+    mark = F.when(col("place") == yes, of(_YES, 4)).when(col("place") == no, of(_NO, 5)).when(col("place") == assigned, of(_YES[:7], 4)).when(col("place") == url, "https://www.example.").otherwise("")
+    rows = rows.select("w", "r", "id", value.alias("value"), place.alias("place"), label.alias("label"), prose.alias("prose"))
+    rows = materialize(rows.withColumn("mark", F.when(kind == 3, F.upper(mark)).otherwise(mark)), "secrets-cases")
+    quote = F.substr("mark", F.greatest(F.length("mark"), lit(1)), lit(1))
+    after = F.concat(F.when(quote.isin('"', "'"), quote).otherwise(""), lit(" "), word("w"), lit(" "), word("x"))
+    return rows.select("value", F.concat("prose", "mark").alias("before"), after.alias("after"), "label")
 
 
 def _vectors(rows: DataFrame, model: SecretModel) -> DataFrame:
