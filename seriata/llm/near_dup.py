@@ -17,9 +17,9 @@
 
 Hot buckets, lists, classes and components are joined by `join_hot`; a pivot's set is sent
 once per PER_SALT members, to as many tasks. Texts are shingled again for candidates only:
-a bitmap of hashed doc_ids, sized by their number up to 2^MOST_BITS bits (8 MB), passes them
-and few others to a semi-join on doc_id and a hash of the text. From some 10^8 candidates
-on the bitmap passes most rows, and the semi-join shuffles most texts once; nothing is lost.
+a broadcast of the hashes of their doc_ids (2^SLOT_BITS slots at most) passes them and few
+others to a semi-join on doc_id and a hash of the text. From some million candidates on it
+passes most rows, and the semi-join shuffles most texts once; nothing is lost.
 
 Null and empty texts and texts without words have no shingles and link with nothing.
 Fewer than five words are one shingle. A text's length is not bounded. Repeated rows are
@@ -31,7 +31,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from fractions import Fraction
 
 import numpy as np
@@ -51,7 +51,7 @@ SMALL = 8
 PIVOTS = 48
 SLOTS = 1 << 18
 PER_SALT = 256
-MOST_BITS = 26
+SLOT_BITS = 20
 _SET_ROWS = "doc_id long, text_hash long, n_shingles long, digest binary, bands array<long>, signature binary"
 
 
@@ -123,30 +123,15 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 held, size = ([], []), 0
         if held[0]:
             yield _batch([*held], schema)
+        del held, batch
+        pa.default_memory_pool().release_unused()
 
 
-def slot_of(ids: pd.Series, bits: int) -> np.ndarray:
-    return (ids.to_numpy(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits)).astype(np.int64)
-
-
-def maybe_in(ids: DataFrame, n: int) -> Callable[[Column], Column]:
-    """A test that all of the n values of ids' column _id pass, and few others: a bitmap of 16 bits a value, 2^MOST_BITS at most, of which the driver gets a row for each 64."""
-    bits = min(MOST_BITS, max(16, (16 * n).bit_length()))
-
-    @F.pandas_udf("long")
-    def slot(x: pd.Series) -> pd.Series:
-        return pd.Series(slot_of(x, bits))
-
-    words = ids.select(slot("_id").alias("s")).groupBy(F.expr("s div 64").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(s % 64 as int)))").alias("b")).toPandas()
-    table = np.zeros(max(1, (1 << bits) // 64), np.int64)
-    table[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64)
-
-    @F.pandas_udf("boolean")
-    def test(x: pd.Series) -> pd.Series:
-        s = slot_of(x, bits)
-        return pd.Series((table[s >> 6] >> (s & 63)) & 1 == 1)
-
-    return test
+def maybe_in(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose _id hashes to a slot of some _id of ids: all that ids holds, and few others while they are few. The slots are 2^SLOT_BITS numbers at most, some 40 MB, and are broadcast."""
+    slot = F.pmod(F.xxhash64("_id"), F.lit(1 << SLOT_BITS)).alias("_slot")
+    slots = F.broadcast(ids.select(slot).distinct())
+    return rows.withColumn("_slot", slot).join(slots, "_slot", "left_semi").drop("_slot")
 
 
 def _slot_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -305,8 +290,7 @@ def _labelled(docs: DataFrame, threshold: float) -> DataFrame:
     wide = lists.where(F.col("c") > SMALL)
     wanted = pairs.select(F.col("u").alias("digest")).unionByName(pairs.select(F.col("v").alias("digest"))).unionByName(wide.select("digest")).distinct()
     wanted = materialize(classes.join(wanted, "digest", "left_semi").select(F.coalesce("id", F.lit(-1)).alias("_id"), F.col("text_hash").alias("_hash")).distinct(), "near-wanted")
-    maybe = maybe_in(wanted, wanted.count())
-    again = source.withColumn("_id", F.coalesce("doc_id", F.lit(-1))).where(maybe("_id")).withColumn("_hash", _text_hash()).join(wanted, ["_id", "_hash"], "left_semi")
+    again = maybe_in(source.withColumn("_id", F.coalesce("doc_id", F.lit(-1))), wanted).withColumn("_hash", _text_hash()).join(wanted, ["_id", "_hash"], "left_semi")
     sets = again.select("text").mapInArrow(_sets, "digest binary, tokens array<long>")
     sets = materialize(sets.groupBy("digest").agg(F.first("tokens").alias("tokens")), "near-sets")
     tidy(docs.sparkSession)

@@ -470,3 +470,105 @@ def test_forest_holds_on_findings_it_has_not_seen(spark):
     held = secrets.scored(found.where("fold = 0"), model).selectExpr("label", "probability >= 0.5 as yes").collect()
     hits = sum(r.yes and r.label == 1 for r in held)
     assert hits / sum(r.label == 1 for r in held) > 0.97 and hits / sum(r.yes for r in held) > 0.97
+
+
+def test_pipeline_redacts_and_packs_every_id(spark, tmp_path):
+    """Planted secrets, one in a row without doc_id, go through all stages; the packed ids are those of the redacted texts."""
+    import zlib
+
+    import numpy as np
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+
+    rng = random.Random(21)
+    hexa = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    plain = [prose(rng, rng.randint(30, 90)) for _ in range(40)]
+    planted = {}
+    for i in range(0, 12):
+        key = hexa(40)
+        planted[i] = plain[i] + ' token = "[SECRET]" ' + plain[i + 1][:40]
+        plain[i] = planted[i].replace("[SECRET]", key)
+    junk = [" ".join(["junk"] * rng.randint(60, 90)) for _ in range(30)]
+    texts = [*plain, *junk]
+    ids = [None if i == 3 else i for i in range(len(texts))]
+    make(spark, texts, ids).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, int(i < 40), 0) for i in range(len(texts)) if i != 3], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    by_doc = defaultdict(list)
+    for p in pieces:
+        by_doc[p.doc_id].append(p)
+    assert set(by_doc) == {None if i == 3 else i for i in range(40)}
+    tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    for d, own in by_doc.items():
+        i = 3 if d is None else d
+        want = np.array([*tok.encode(planted.get(i, texts[i]), add_special_tokens=False).ids, 1], "<u4")
+        own.sort(key=lambda p: p.start)
+        assert sum(p.length for p in own) == len(want), (d, texts[i])
+        assert all(p.ids_crc32 == zlib.crc32(want[p.start : p.start + p.length].tobytes()) for p in own)
+
+
+def test_very_long_texts_link_and_scan(spark, forest):
+    from pyspark.sql import functions as F
+
+    long = ["x" + " " * 2_000_000 + "y", "a" * 2_000_000, "ab " * 700_000, "0123456789abcdef" * 100_000, "w1 w2 w3 w4 w5 w6 " * 100_000]
+    docs = make(spark, [*long, *long[2:3]]).repartition(6)
+    near = {r.doc_id: r for r in near_dup.near_duplicates(docs, 0.85).collect()}
+    assert [near[i].n_shingles for i in range(6)] == [1, 1, 1, 1, 6, 1] and near[5].component_id == 2 and near[4].component_id == 4
+    assert sorted(r.doc_id for r in near_dup.drop_near_copies(docs, 0.85).collect()) == [0, 1, 2, 3, 4]
+    found = secrets.scan(docs, forest).collect()
+    assert {r.doc_id for r in found} == {3} and len(found[0].value) == 1_600_000
+    assert secrets.redact(docs, forest).count() == 6
+    urls = ["http://bad.example/" + "p" * 2_000_000, "http://" + "a." * 200 + "bad.example/", "x" * 2_000_000, "", None]
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string").withColumn("fetched_at", F.lit("2024-05-01").cast("date"))
+    lists = spark.createDataFrame([("block", "bad.example", "add", "2024-01-01"), (None, "bad.example", "remove", "2024-02-01"), ("other", "bad.example", "add", "2024-02-01")], "list string, pattern string, action string, d string").withColumn("at", F.to_date("d"))
+    got = {r.page_id: r.verdict for r in url_lists.evaluate(pages, lists).collect()}
+    assert got == {0: "blocked", 1: "allowed", 2: "allowed", 3: "allowed", 4: "allowed"}
+
+
+def test_url_lists_equal_plain_intervals(spark):
+    """Times within days, hot parent domains, several lists: against a scan of all entries."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(17)
+    hosts = [f"h{i}.hot.example" for i in range(30)] + [f"d{i}.example" for i in range(5)]
+    patterns = ["hot.example", "example", *rng.sample(hosts, 8)]
+    stamp = lambda: f"2024-01-{rng.randint(1, 6):02d} {rng.randint(0, 23):02d}:{rng.choice([0, 30]):02d}:00"
+    entries = [(rng.choice(["block", "allow"]), rng.choice(patterns), rng.choice(["add", "add", "remove"]), stamp()) for _ in range(60)]
+    rows = [(i, f"http://{rng.choice(hosts)}/", stamp()) for i in range(500)]
+    e = spark.createDataFrame(entries, "list string, pattern string, action string, d string").withColumn("at", F.to_timestamp("d"))
+    c = spark.createDataFrame(rows, "page_id long, url string, d string").withColumn("fetched_at", F.to_timestamp("d")).repartition(3)
+    last = {}
+    for name, pattern, action, at in entries:
+        last.setdefault((name, pattern), {}).setdefault(at, set()).add(action)
+    for r in url_lists.evaluate(c, e).collect():
+        host, want = r.url[7:-1], "allowed"
+        names = [host] + [host.split(".", k)[k] for k in range(1, host.count(".") + 1)]
+        for pattern in names:
+            open_ = {}
+            for name in ("allow", "block"):
+                before = [(at, acts) for at, acts in last.get((name, pattern), {}).items() if at <= r.d]
+                open_[name] = bool(before) and "remove" not in max(before)[1]
+            if open_["allow"] or open_["block"]:
+                want = "allowed" if open_["allow"] else "blocked"
+                break
+        assert r.verdict == want, r
+
+
+def test_clashing_columns_change_nothing(spark):
+    from pyspark.sql import functions as F
+
+    from seriata.llm import bpe, fingerprint
+
+    import public_tokenizers as P
+
+    rng = random.Random(5)
+    docs = make(spark, [prose(rng, 30) for _ in range(9)])
+    more = docs.select("*", *[F.lit("kept").alias(c) for c in ("bucket", "guest", "h", "fingerprint", "n_tokens", "ids", "level", "mid")])
+    same = lambda f: sorted(map(str, f(docs).collect())) == sorted(map(str, f(more).collect()))
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    assert same(fingerprint.compare_with_edits) and same(lambda d: bpe.encode_digests(d, path, P.PATTERN))
+    talk = conversation(spark, [(1, 0, "user", "a\nb"), (1, 1, "user", "> b\nc")])
+    extra = talk.select("*", *[F.lit("kept").alias(c) for c in ("mid", "level", "hash", "root", "depth", "body", "lines")])
+    assert sorted(map(str, quotes.link(talk).collect())) == sorted(map(str, quotes.link(extra).collect()))
