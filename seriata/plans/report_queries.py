@@ -122,7 +122,7 @@ bk as (select dataset || '_' || pred_len as cell_id, dataset, pred_len, row_numb
 
 def bank(spark, sf_dir) -> DataFrame:
     e = table(spark, sf_dir, "events").where("event_type is not null")
-    bucket = F.floor(F.col("ts").cast("timestamp").cast("long") / 21600)
+    bucket = F.floor(F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)") / 21600)
     g = e.groupBy(F.col("event_type").alias("dataset"), ((F.col("user_id") % 4) * 24 + 96).cast("int").alias("pred_len"), bucket.alias("bucket")).agg(F.avg("value").alias("value"), (F.max("value") - F.min("value")).alias("x"))
     return order.with_pos(g.withColumn("cell_id", F.concat_ws("_", "dataset", F.col("pred_len").cast("string"))), ["cell_id"], "bucket").drop("bucket")
 
