@@ -88,7 +88,7 @@ def test_sibling_ids_and_backfill(spark, cell):
     sib = sc.withColumn("sample_id_spec", F.expr("named_struct('kind', 'sibling_array', 'start', cast(null as bigint), 'name', 'val_perm', 'window_origins', cast(null as array<bigint>), 'sample_ids', cast(null as array<string>))"))
     ids = {r.pos: r.sample_id for r in contract.resolve_sample_ids(sib, values).collect()}
     assert ids == {r.pos: r.sample_id for r in loader.collect()}
-    assert violation(loader, sib, resolved=contract.resolve_sample_ids(sib, values), require_order="loader").violation is None
+    assert violation(loader, sib, siblings=values, require_order="loader").violation is None
     legacy = spark.createDataFrame([("cell", "val_index_order", None, "index", 64), ("cell", "val_loader_order", None, "loader", 64), ("cell", "val_perm", None, "odd", 64), ("other", "val_index_order", None, "index", 3)], "cell_id string, product string, schema_version string, order string, n_windows long")
     plan = {(r.cell_id, r["product"]): r.status for r in contract.backfill_plan(legacy, values).collect()}
     assert plan == {("cell", "val_index_order"): "ok", ("cell", "val_loader_order"): "ok", ("cell", "val_perm"): "error", ("other", "val_index_order"): "error"}
@@ -101,10 +101,9 @@ def test_backfilled_sidecars_validate(spark, cell):
     legacy = legacy.select("*", F.lit(None).cast("string").alias("schema_version"), F.lit(64).cast("bigint").alias("n_windows"), F.lit(None).cast("string").alias("note"), F.lit(None).cast("string").alias("val_order"))
     made = contract.backfill(legacy, values, files.fixture_identity(spark, products=names)).cache()
     assert {r["product"]: r.sample_id_spec.kind for r in made.collect()} == {"val_index_order": "identity_range", "val_loader_order": "sibling_array"}
-    resolved = contract.resolve_sample_ids(made, values)
     for name, order_ in zip(names, ("index", "loader")):
         own = made.where(F.col("product") == name)
-        assert violation(values.where(F.col("product") == name), own, resolved=resolved, require_order=order_).violation is None
+        assert violation(values.where(F.col("product") == name), own, siblings=values, require_order=order_).violation is None
     assert contract.loader_consistency(values).first().worst <= 0
     broken = values.withColumn("value", F.when((F.col("product") == "val_loader_order") & (F.col("pos") == 3), 99.0).otherwise(F.col("value")))
     assert contract.loader_consistency(broken).first().worst > 0
@@ -305,11 +304,12 @@ def test_files_are_fetched_with_pinned_contents(tmp_path):
 
 
 def test_a_missing_sibling_array_is_a_violation(spark, cell):
-    loader = cell.where("product = 'val_loader_order'")
+    _, _, values = cell
+    loader = values.where("product = 'val_loader_order'")
     side = contract.build_sidecars(loader, files.fixture_identity(spark, products=["val_loader_order"]), S.ORDER_LOADER, commit="c")
     spec = F.expr("named_struct('kind', 'sibling_array', 'start', cast(null as bigint), 'name', 'val_perm', 'window_origins', cast(null as array<bigint>), 'sample_ids', cast(null as array<string>))")
     side = side.withColumn("sample_id_spec", spec)
-    there = contract.validate(loader, side, siblings=cell, require_order="loader").first()
+    there = contract.validate(loader, side, siblings=values, require_order="loader").first()
     gone = contract.validate(loader, side, siblings=loader, require_order="loader").first()
     assert there.violation is None and (gone.violation, gone.error) == ("sample_id_spec", "MissingField")
     with pytest.raises(Exception, match="MissingField"):
