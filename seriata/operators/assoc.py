@@ -103,10 +103,13 @@ class _Sorted:
         sums[0] = 0
         np.take(w, self.order, axis=0, out=sums[1:])
         _running_sums(sums[1:])
-        low, high = sums[self.starts], sums[self.ends]
-        size = (high - low).astype(float)
-        squares = (float(n) ** 3 - n) / 3 - (size * size * size - size).sum(0) / 3
-        return np.take(low + high - w.dtype.type(n), self.group_at, axis=0), squares
+        tied = len(self.starts) < n
+        low, high = (sums[self.starts], sums[self.ends]) if tied else (sums[:-1], sums[1:])
+        size = (high - low).astype(float) if tied else w  # without ties a group is a position, drawn 255 times at most or counted in doubles
+        if not tied and w.max(initial=0) > 255:
+            size = w.astype(float)
+        cubes = (size * size * size).sum(0, dtype=float) - n
+        return np.take(low + high - w.dtype.type(n), self.group_at, axis=0), (float(n) ** 3 - n - cubes) / 3
 
 
 def _drawn(starts: np.ndarray, lengths: np.ndarray, n: int, dtype: type) -> np.ndarray:
@@ -121,7 +124,7 @@ def _drawn(starts: np.ndarray, lengths: np.ndarray, n: int, dtype: type) -> np.n
     return _running_sums(w)
 
 
-def block_bootstrap(x: np.ndarray, y: np.ndarray, block: int, draws: int, seed: int, first: int = 0, chunk: int = 32) -> np.ndarray:
+def block_bootstrap(x: np.ndarray, y: np.ndarray, block: int, draws: int, seed: int, first: int = 0, chunk: int = 64) -> np.ndarray:
     """Rank correlations of circular moving-block resamples (draws number `first` on), the last block cut to the vector's length; NaN where a resample is constant.
 
     A resample is a count per position, so its ranks are running sums of counts in the order of the values: nothing is sorted or copied per draw."""
