@@ -1,19 +1,21 @@
 """Analyses of joined tables under three conditions, arm selection, label laws.
 
 Conditions: index (the right join), defect (values in loader order joined by position),
-control (shuffled features). Learners come from pyspark.ml and run in the JVM.
+control (shuffled features). The regression's trees are functions/boost.py's, a fit per task; the
+classifier is pyspark.ml's and runs in the JVM.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from seriata.functions.boost import Boosting
 from seriata.functions.columns import clamped_log
 from seriata.operators import assoc, joins, order, split
 
@@ -37,9 +39,9 @@ def _vectors(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return VectorAssembler(inputCols=list(columns), outputCol="_x", handleInvalid="skip").transform(df)
 
 
-def regressor(seed: int = 0, iterations: int = 200) -> GBTRegressor:
-    """M3."""
-    return GBTRegressor(featuresCol="_x", labelCol="_y", predictionCol="fitted", maxDepth=3, maxIter=iterations, stepSize=0.08, minInstancesPerNode=40, seed=seed)
+def regressor(seed: int = 0, iterations: int = 200) -> Boosting:
+    """M3: the reference's settings; nothing is drawn, so every seed gives the same trees."""
+    return Boosting(iterations=iterations, rate=0.08, depth=3, least=40, l2=1.0)
 
 
 def classifier(seed: int = 0) -> RandomForestClassifier:
@@ -48,29 +50,39 @@ def classifier(seed: int = 0) -> RandomForestClassifier:
 
 
 def difficulty_regression(joined: DataFrame, test: DataFrame, columns: Sequence[str], seq_len: int, pred_len: int, purge: int | None = None, mode: str = "disjoint", seed: int = 0, iterations: int = 200) -> DataFrame:
-    """M1: joined (condition, pos, columns, value) and test (columns, value): condition, spearman_test, r2_test, spearman_holdout, holdout_eligible and association. The target is the log of the value."""
-    y = clamped_log(F.col("value"))
-    test = _vectors(test.withColumn("_y", y), columns)
-    out = None
-    for name in CONDITIONS:
-        rows = joined.where(F.col("condition") == name).withColumn("_y", y)
-        train = _vectors(rows, columns).cache()
-        n = train.count()
-        fitted = regressor(seed, iterations).fit(train).transform(test).withColumn("k", F.lit(1))
-        rho = assoc.spearman(fitted, ["k"], "fitted", "_y").select(F.col("rho").alias("spearman_test"))
-        r2 = assoc.r_squared(fitted, ["k"], "_y", "fitted").select(F.col("r2").alias("r2_test"))
-        cells = rows.sparkSession.createDataFrame([(n, seq_len, pred_len)], "n bigint, seq_len int, pred_len int")
-        audit = split.audited_split(cells, mode).first()
-        eligible, p = (audit["holdout_eligible"] == 1, audit["purge_origins"]) if purge is None else (True, purge)
-        hold = F.lit(None).cast("double")
-        if eligible:
-            sides = split.purged_split(train, F.lit(n), F.lit(p), origin="pos")
-            ho = regressor(seed, iterations).fit(sides.where("side = 'train'")).transform(sides.where("side = 'holdout'")).withColumn("k", F.lit(1))
-            hold = F.lit(assoc.spearman(ho, ["k"], "fitted", "_y").first()["rho"]).cast("double")
-        train.unpersist()  # both fits are done
-        part = rho.crossJoin(r2).select(F.lit(name).alias("condition"), "*", hold.alias("spearman_holdout"), F.lit(int(eligible)).alias("holdout_eligible"), F.lit(int(p)).alias("purge_origins"), F.lit(n).cast("bigint").alias("n_val"))
-        out = part if out is None else out.unionByName(part)
-    return out.join(assoc.association(joined, ["condition"], columns, "value", main=columns[0]), "condition")
+    """M1: joined (condition, pos, columns, value) and test (columns, value): condition, spearman_test, r2_test, spearman_holdout, holdout_eligible and association. The target is the log of the value.
+
+    All fits are groups of one plan; a fit's rows are in one task's memory. Rows with an undefined feature are left out. Runs at once and returns the rows, so that the joins are made once."""
+    learner = regressor(seed, iterations)
+    columns = list(columns)
+    joined = joined.cache()
+    cols = [*[F.col(c).cast("double").alias(c) for c in columns], clamped_log(F.col("value")).alias("_y")]
+    rows = joined.where(F.col("condition").isin(*CONDITIONS)).dropna(subset=columns).select("condition", F.col("pos").cast("bigint").alias("pos"), *cols)
+    cells = rows.groupBy("condition").agg(F.count("*").alias("n")).withColumn("seq_len", F.lit(seq_len)).withColumn("pred_len", F.lit(pred_len))
+    audit = split.audited_split(cells, mode) if purge is None else cells.withColumn("holdout_eligible", F.lit(1)).withColumn("purge_origins", F.lit(purge))
+    audit = audit.select("condition", "holdout_eligible", F.col("purge_origins").cast("int").alias("purge_origins"), F.col("n").alias("n_val"))
+    sides = split.purged_split(rows.join(F.broadcast(audit.where("holdout_eligible = 1")), "condition"), F.col("n_val"), F.col("purge_origins"), origin="pos").where("side is not null")  # a row per condition
+    given = test.dropna(subset=columns).select(F.explode(F.array(*[F.lit(c) for c in CONDITIONS])).alias("condition"), F.lit(None).cast("bigint").alias("pos"), *cols)
+    part = lambda df, fit, side: df.select(F.lit(fit).alias("fit"), side.alias("side"), "condition", "pos", *columns, "_y")
+    parts = part(rows, "test", F.lit("train")).unionByName(part(given, "test", F.lit("test"))).unionByName(part(sides, "holdout", F.col("side")))
+
+    def one(key: tuple, df: pd.DataFrame) -> pd.DataFrame:
+        train, rest = df[df.side == "train"].sort_values("pos"), df[df.side != "train"]
+        if train.empty:
+            raise ValueError(f"no rows to fit for {key}")
+        fitted = learner.fit_predict(train[columns].to_numpy(), train["_y"].to_numpy(), rest[columns].to_numpy())
+        return pd.DataFrame({"condition": key[0], "fit": key[1], "_y": rest["_y"], "fitted": fitted})
+
+    fitted = parts.groupBy("condition", "fit").applyInPandas(one, "condition string, fit string, _y double, fitted double").cache()
+    rho = assoc.spearman(fitted, ["condition", "fit"], "fitted", "_y").groupBy("condition").agg(*[F.max(F.when(F.col("fit") == fit, F.col("rho"))).alias(f"spearman_{fit}") for fit in ("test", "holdout")])
+    r2 = assoc.r_squared(fitted.where("fit = 'test'"), ["condition"], "_y", "fitted")
+    out = rho.join(r2, "condition").join(audit, "condition").select("condition", "spearman_test", F.col("r2").alias("r2_test"), "spearman_holdout", "holdout_eligible", "purge_origins", "n_val")
+    out = out.join(assoc.association(joined, ["condition"], columns, "value", main=columns[0]), "condition")
+    try:
+        return joined.sparkSession.createDataFrame(out.collect(), out.schema)  # a row per condition
+    finally:
+        fitted.unpersist()
+        joined.unpersist()
 
 
 def best_arms(arms: DataFrame, group: Key) -> DataFrame:
