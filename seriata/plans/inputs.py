@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from seriata.operators.features import forecaster_errors
@@ -35,6 +37,11 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + tempfile.mkdtemp(prefix="seriata-")
 
 
+def whole(*key: str, by: Sequence[str]) -> WindowSpec:
+    """All rows of a key, taken in one order: sums of doubles are then equal however the rows are dealt over files and tasks."""
+    return Window.partitionBy(*key).orderBy(*by).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
+
 SERIES = "s as (select event_type as series_id, row_number() over (partition by event_type order by ts, event_id) - 1 as pos, value from events where event_type is not null)"
 USER_SERIES = SERIES.replace("event_type", "user_id")
 

@@ -365,9 +365,9 @@ def paired_diff_summary(spark, sf_dir):
 
 
 def order_pairs(spark, sf_dir) -> DataFrame:
-    """Differences of order totals from the customer's mean, in whole cents: ties are exact."""
+    """Differences of order totals from the customer's mean, in whole units: ties are exact. The mean is summed in the order of the keys, as a whole mean's last digit moves its floor by one."""
     o = table(spark, sf_dir, "orders")
-    m = F.floor(F.avg(F.col("o_totalprice")).over(Window.partitionBy("o_custkey")))
+    m = F.floor(F.avg(F.col("o_totalprice")).over(inputs.whole("o_custkey", by=("o_orderkey", "o_totalprice"))))
     return o.select("o_orderpriority", "o_custkey", (F.floor("o_totalprice") - m).cast("double").alias("d"))
 
 
