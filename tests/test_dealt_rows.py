@@ -59,3 +59,7 @@ def orders(spark, tmp_path_factory):
 
 def test_cluster_means_of_dealt_orders(spark, orders):
     equal(spark, *orders, "cluster_means")
+
+
+def test_signed_rank_of_dealt_orders(spark, orders):
+    equal(spark, *orders, "signed_rank")
