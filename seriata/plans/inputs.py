@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import uuid
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -42,6 +44,19 @@ def whole(*key: str, by: Sequence[str]) -> WindowSpec:
     return Window.partitionBy(*key).orderBy(*by).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
 
 
+@contextmanager
+def written(df: DataFrame, name: str) -> Iterator[DataFrame]:
+    """df as a table in the shared folder while the block lasts: plans on it are short."""
+    spark = df.sparkSession
+    at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    try:
+        df.write.parquet(at)
+        yield spark.read.parquet(at)
+    finally:
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 SERIES = "s as (select event_type as series_id, row_number() over (partition by event_type order by ts, event_id) - 1 as pos, value from events where event_type is not null)"
 USER_SERIES = SERIES.replace("event_type", "user_id")
 

@@ -750,17 +750,14 @@ def cluster_bootstrap(spark, sf_dir):
 @query()
 def difficulty_regression(spark, sf_dir):
     """The first half of the hourly windows is the validation split, the second the test split."""
-    df = hourly_association(spark, sf_dir).cache()  # a row per hour
-    half = df.crossJoin(F.broadcast(df.agg(F.floor(F.max("pos") / 2).alias("_half"))))  # one row
-    val, test = half.where("pos < _half").drop("_half"), half.where("pos >= _half").drop("_half")
-    cols = list(features.NATIVE)
-    x, y = val.select("g", "pos", *cols), val.select("g", "pos", "value")
-    perm, control = order.full_permutation(y, ["g"], "t1"), order.full_permutation(y, ["g"], "t1c")
-    joined = downstream.three_conditions(x, y, perm, control, ["g"])
-    try:
+    with inputs.written(hourly_association(spark, sf_dir), "hourly") as df:
+        half = df.crossJoin(F.broadcast(df.agg(F.floor(F.max("pos") / 2).alias("_half"))))  # one row
+        val, test = half.where("pos < _half").drop("_half"), half.where("pos >= _half").drop("_half")
+        cols = list(features.NATIVE)
+        x, y = val.select("g", "pos", *cols), val.select("g", "pos", "value")
+        perm, control = order.full_permutation(y, ["g"], "t1"), order.full_permutation(y, ["g"], "t1c")
+        joined = downstream.three_conditions(x, y, perm, control, ["g"])
         return downstream.difficulty_regression(joined.drop("g"), test.select(*cols, "value"), cols, L, H)
-    finally:
-        df.unpersist()
 
 
 @query()
